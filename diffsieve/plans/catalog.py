@@ -193,3 +193,112 @@ def q_exclude(spark, sf):
 SELECT sum(CAST(same_key AS BIGINT)) AS same_key_count, count(*) AS total FROM y""")
 def q_same_key_count(spark, sf):
     return rank.same_key_count(q_hybrid(spark, sf))
+
+
+# ---------------------------------------------------------------------- sequences
+
+from diffsieve.functions import structure as ST  # noqa: E402
+from diffsieve.operators import edits as ED  # noqa: E402
+
+_LCS_PAIRS = f"""
+WITH pp AS ({S.PAGE_SEQ_PAIRS}),
+l AS (SELECT pair_id, len(a) AS n, len(b) AS m, {S.lcs('a', 'b')} AS lcs FROM pp)"""
+
+
+def _page_seq_pairs(spark, sf):
+    return T.page_pairs(spark, sf).select(
+        "pair_id", ST.structure_seq("old_html").alias("old_seq"),
+        ST.structure_seq("new_html").alias("new_seq"))
+
+
+def _script_counts(edits: DataFrame, pairs: DataFrame) -> DataFrame:
+    s = ED.edit_summary(edits)
+    r = ED.replay(edits)
+    return (pairs.join(s, "pair_id", "left").join(r.withColumnRenamed("old_seq", "r_old")
+                                                  .withColumnRenamed("new_seq", "r_new"),
+                                                  "pair_id", "left")
+            .select("pair_id",
+                    F.coalesce("kept", F.lit(0).cast("long")).alias("kept"),
+                    F.coalesce("removed", F.lit(0).cast("long")).alias("removed"),
+                    F.coalesce("added", F.lit(0).cast("long")).alias("added"),
+                    ((F.coalesce("r_old", F.array().cast("array<string>")) == F.col("old_seq")) &
+                     (F.coalesce("r_new", F.array().cast("array<string>")) == F.col("new_seq")))
+                    .alias("replay_ok")))
+
+
+@register("structure_seq", f"""
+SELECT page_id, len(t) AS n_tags, array_to_string(t, ' ') AS tags
+FROM (SELECT page_id, {S.tags('html')} AS t FROM pages)""")
+def q_structure_seq(spark, sf):
+    p = T.table(spark, sf, "pages").select("page_id", ST.structure_seq("html").alias("t"))
+    return p.select("page_id", F.size("t").alias("n_tags"), F.array_join("t", " ").alias("tags"))
+
+
+@register("edit_script", _LCS_PAIRS + """
+SELECT pair_id, lcs AS kept, n - lcs AS removed, m - lcs AS added, true AS replay_ok FROM l""")
+def q_edit_script(spark, sf):
+    pairs = _page_seq_pairs(spark, sf)
+    return _script_counts(ED.edit_script(pairs), pairs)
+
+
+@register("edit_summary", _LCS_PAIRS + """
+SELECT pair_id, lcs AS kept, n - lcs AS removed, m - lcs AS added FROM l WHERE n + m > 0""")
+def q_edit_summary(spark, sf):
+    return ED.edit_summary(ED.edit_script(_page_seq_pairs(spark, sf)))
+
+
+@register("changed_positions", _LCS_PAIRS + """
+SELECT pair_id, n - lcs AS n_removed, m - lcs AS n_added, true AS in_order FROM l
+WHERE n + m > 0""")
+def q_changed_positions(spark, sf):
+    pairs = _page_seq_pairs(spark, sf)
+    cp = ED.changed_positions(ED.edit_script(pairs)).join(pairs, "pair_id")
+
+    def ordered(arr, seq):
+        # strictly increasing and inside the sequence
+        return F.aggregate(arr, F.struct(F.lit(-1).alias("p"), F.lit(True).alias("ok")),
+                           lambda acc, x: F.struct(x.alias("p"),
+                                                   (acc["ok"] & (x > acc["p"]) &
+                                                    (x < F.size(seq))).alias("ok")))["ok"]
+    return cp.select("pair_id", F.size("removed").cast("long").alias("n_removed"),
+                     F.size("added").cast("long").alias("n_added"),
+                     (ordered("removed", "old_seq") & ordered("added", "new_seq")).alias("in_order"))
+
+
+def _parse_rendered(df: DataFrame, col: str = "ast_seq") -> DataFrame:
+    words = F.when(F.col(col) == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.expr(f"substr({col}, 1, length({col}) - 1)"), " "))
+    old = F.transform(F.filter(words, lambda w: ~w.startswith("+")),
+                      lambda w: F.regexp_replace(w, "^-", ""))
+    new = F.transform(F.filter(words, lambda w: ~w.startswith("-")),
+                      lambda w: F.regexp_replace(w, "^[+]", ""))
+    return df.select(
+        "pair_id",
+        F.size(F.filter(words, lambda w: ~w.startswith("+") & ~w.startswith("-")))
+        .cast("long").alias("kept"),
+        F.size(F.filter(words, lambda w: w.startswith("-"))).cast("long").alias("removed"),
+        F.size(F.filter(words, lambda w: w.startswith("+"))).cast("long").alias("added"),
+        ((old == F.col("old_seq")) & (new == F.col("new_seq"))).alias("replay_ok"),
+        ((F.col(col) == "") | F.col(col).endswith(" ")).alias("trailing_blank"))
+
+
+@register("render_edit_script", _LCS_PAIRS + """
+SELECT pair_id, lcs AS kept, n - lcs AS removed, m - lcs AS added, true AS replay_ok,
+       true AS trailing_blank FROM l""")
+def q_render(spark, sf):
+    pairs = _page_seq_pairs(spark, sf)
+    r = ED.render_edit_script(ED.edit_script(pairs), pairs)
+    return _parse_rendered(r.join(pairs, "pair_id"))
+
+
+@register("diff_versions", _LCS_PAIRS + """
+SELECT pair_id, n + m - lcs AS n_words, n + m - 2 * lcs AS n_marked FROM l""")
+def q_diff_versions(spark, sf):
+    from diffsieve.plans.diffjob import diff_versions
+    pairs = T.page_pairs(spark, sf)
+    out = diff_versions(pairs, "old_html", "new_html", key="pair_id")
+    words = F.when(F.col("ast_seq") == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.expr("substr(ast_seq, 1, length(ast_seq) - 1)"), " "))
+    return out.select("pair_id", F.size(words).cast("long").alias("n_words"),
+                      F.size(F.filter(words, lambda w: w.startswith("+") | w.startswith("-")))
+                      .cast("long").alias("n_marked"))

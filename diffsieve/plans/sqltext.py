@@ -94,3 +94,20 @@ def cos(a: str, b: str) -> str:
     na, nb = f"sqrt(list_dot_product({da}, {da}))", f"sqrt(list_dot_product({db}, {db}))"
     return (f"(CASE WHEN {na} = 0 OR {nb} = 0 OR {na} IS NULL OR {nb} IS NULL THEN 0.0 "
             f"ELSE list_dot_product({da}, {db}) / ({na} * {nb}) END)")
+
+
+def tags(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '<([a-z][a-z0-9]*)', 1)"
+
+
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two lists (row-by-row DP)."""
+    return (f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE "
+            f"list_reduce({a}, lambda row, x: list_reduce(range(1, len({b}) + 1), "
+            f"lambda acc, j: list_append(acc, CASE WHEN x = {b}[j] THEN row[j] + 1 "
+            f"ELSE greatest(row[j + 1], acc[j]) END), [0]), "
+            f"list_transform(range(len({b}) + 1), lambda i: 0))[len({b}) + 1] END)")
+
+
+PAGE_SEQ_PAIRS = (f"SELECT pair_id, {tags('old_html')} AS a, {tags('new_html')} AS b "
+                  f"FROM ({PAGE_PAIRS})")
