@@ -302,3 +302,135 @@ def q_diff_versions(spark, sf):
     return out.select("pair_id", F.size(words).cast("long").alias("n_words"),
                       F.size(F.filter(words, lambda w: w.startswith("+") | w.startswith("-")))
                       .cast("long").alias("n_marked"))
+
+
+# ----------------------------------------------------------------------- datasets
+
+from diffsieve.operators import datasets as DS  # noqa: E402
+
+_PAIRED_SQL = f"""
+SELECT commit_id,
+       arg_max(code, turn) FILTER (WHERE side = 'negative') AS neg_code,
+       arg_max(code, turn) FILTER (WHERE side = 'positive') AS pos_code
+FROM ({S.VERSIONS}) GROUP BY commit_id"""
+
+_DOC_COMMITS_SQL = ("SELECT doc_id AS commit_id, project, diff, message "
+                    f"FROM ({S.COMMITS})")
+
+
+def _doc_commits(spark, sf):
+    # commits keyed by the document key, so that conversation ids name their versions
+    return T.commits(spark, sf).select(F.col("doc_id").alias("commit_id"), "project", "diff",
+                                       "message")
+
+
+@register("parse_version_key", f"""
+SELECT file_name, string_split(split_part(file_name, '.', 1), '_')[2] AS commit_id,
+       string_split(split_part(file_name, '.', 1), '_')[3] AS side
+FROM ({S.VERSIONS})""")
+def q_parse_version_key(spark, sf):
+    v = T.versions(spark, sf)
+    return v.select("file_name", *DS.parse_version_key("file_name"))
+
+
+@register("pair_versions", _PAIRED_SQL)
+def q_pair_versions(spark, sf):
+    return DS.pair_versions(T.versions(spark, sf), keys=("commit_id",))
+
+
+@register("join_commit_versions", f"""
+SELECT c.commit_id, c.project, c.diff, c.message, p.neg_code, p.pos_code
+FROM ({_DOC_COMMITS_SQL}) c JOIN ({_PAIRED_SQL}) p USING (commit_id)
+WHERE p.neg_code IS NOT NULL AND p.pos_code IS NOT NULL""")
+def q_join_commit_versions(spark, sf):
+    paired = DS.pair_versions(T.versions(spark, sf), keys=("commit_id",))
+    return DS.join_commit_versions(_doc_commits(spark, sf), paired, keys=("commit_id",))
+
+
+@register("quarantine_failures", f"""
+SELECT reason, count(*) AS n FROM (
+  SELECT CASE WHEN p.commit_id IS NULL THEN 'no_versions'
+              WHEN p.neg_code IS NULL THEN 'missing_negative'
+              WHEN p.pos_code IS NULL THEN 'missing_positive' ELSE 'ok' END AS reason
+  FROM ({_DOC_COMMITS_SQL}) c LEFT JOIN ({_PAIRED_SQL}) p USING (commit_id))
+GROUP BY reason""")
+def q_quarantine(spark, sf):
+    paired = DS.pair_versions(T.versions(spark, sf), keys=("commit_id",))
+    good, bad = DS.quarantine_failures(_doc_commits(spark, sf), paired, keys=("commit_id",))
+    return (good.select(F.lit("ok").alias("reason")).unionByName(bad.select("reason"))
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("skip_finished", f"""
+SELECT doc_id, project, commit_id FROM ({S.COMMITS}) c
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.doc_id)""")
+def q_skip_finished(spark, sf):
+    done = T.table(spark, sf, "labels").select("doc_id")
+    return DS.skip_finished(T.commits(spark, sf), done, ("doc_id",)).select(
+        "doc_id", "project", "commit_id")
+
+
+@register("pending_projects", """
+SELECT source AS project FROM documents
+EXCEPT
+SELECT d.source FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1""")
+def q_pending(spark, sf):
+    c = T.commits(spark, sf)
+    toxic = T.table(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
+    done = c.join(toxic, "doc_id", "left_semi")
+    return DS.pending_projects(c, done)
+
+
+@register("distinct_projects", "SELECT DISTINCT source AS project FROM documents")
+def q_distinct_projects(spark, sf):
+    return DS.distinct_projects(T.commits(spark, sf))
+
+
+@register("merge_tables", f"""
+SELECT project, commit_id, diff, message, NULL::BIGINT AS turn FROM ({S.COMMITS})
+UNION ALL
+SELECT NULL AS project, CAST(conv_id AS VARCHAR) AS commit_id, text AS diff, role AS message,
+       turn FROM conversations""")
+def q_merge_tables(spark, sf):
+    a = T.commits(spark, sf).select("project", "commit_id", "diff", "message")
+    c = T.table(spark, sf, "conversations")
+    b = c.select(F.col("conv_id").cast("string").alias("commit_id"),
+                 F.col("text").alias("diff"), F.col("role").alias("message"), "turn")
+    return DS.merge_tables([a, b])
+
+
+def _split_sql(order: str) -> str:
+    return f"""
+WITH c AS (SELECT doc_id FROM documents), n AS (SELECT count(*) AS n FROM c),
+b AS (SELECT n * 6 // 10 AS b1, n * 6 // 10 + n // 10 AS b2, n * 6 // 10 + 2 * (n // 10) AS b3 FROM n),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY {order}) AS rk FROM c)
+SELECT doc_id, CASE WHEN rk <= b1 THEN 'train' WHEN rk <= b2 THEN 'valid'
+                    WHEN rk <= b3 THEN 'test' ELSE 'corpus' END AS split
+FROM r, b"""
+
+
+def _sizes(df: DataFrame):
+    n = df.count()
+    return (n * 6 // 10, n // 10, n // 10)
+
+
+_MD5 = "md5('114514:' || CAST(doc_id AS VARCHAR))"
+
+
+@register("split_exact", _split_sql(f"{_MD5}, doc_id"))
+def q_split_exact(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id")
+    return DS.split_exact(d, _sizes(d), seed=114514, key="doc_id")
+
+
+@register("split_blocked", _split_sql(f"doc_id // 100, {_MD5}, doc_id"))
+def q_split_blocked(spark, sf):
+    d = T.table(spark, sf, "documents").select("doc_id")
+    return DS.split_blocked(d, _sizes(d), seed=114514, key="doc_id", position="doc_id",
+                            block=100)
+
+
+@register("split_sizes", f"""
+SELECT split, count(*) AS n FROM ({_split_sql(f"{_MD5}, doc_id")}) GROUP BY split""")
+def q_split_sizes(spark, sf):
+    return DS.split_sizes(q_split_exact(spark, sf))
