@@ -70,7 +70,7 @@ def _group_topk(qids: np.ndarray, dids: np.ndarray, s: np.ndarray, k: int) -> pd
 
 
 def _kernel(k: int, w_cos: float, w_sparse: float):
-    def run(_key, vec: pd.DataFrame, sparse: pd.DataFrame) -> pd.DataFrame:
+    def run(_key, vec, sparse):
         docs = vec[vec["side"] == 0]
         qs = vec[vec["side"] == 1]
         if len(docs) == 0 or len(qs) == 0:
@@ -134,3 +134,53 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, **kw) -> DataFrame:
     """Per-query top ``k`` corpus rows by cosine similarity (A4 through J5)."""
     return block_topk(queries, corpus, k, w_cos=1.0, **kw)
+
+
+GRAM_SCHEMA = "query_id long, other_id long, dot double"
+
+
+def _gram(_key, pdf):
+    q = pd.Index(np.unique(pdf["query_id"].to_numpy()))
+    d = pd.Index(np.unique(pdf["doc_id"].to_numpy()))
+    m = np.zeros((len(q), len(d)))
+    m[q.get_indexer(pdf["query_id"]), d.get_indexer(pdf["doc_id"])] = pdf["score"].to_numpy()
+    g = m @ m.T
+    i, j = np.nonzero(g)
+    return pd.DataFrame({"query_id": q.to_numpy()[i].astype("int64"),
+                         "other_id": q.to_numpy()[j].astype("int64"), "dot": g[i, j]})
+
+
+def profile_similarity(scores: DataFrame, queries: DataFrame, batch_size: int = 32,
+                       query_key: str = "query_id", buckets: int | None = None) -> DataFrame:
+    """Cosine similarity between the score rows of queries of the same batch.
+
+    The reference compares the rows of its query x corpus score matrices inside each
+    batch of ``batch_size`` queries (batches by key: ``query_id div batch_size``);
+    absent scores are zeros. Partial Gram matrices are computed per ``(batch, doc
+    bucket)`` with numpy and summed by Spark, so no group holds more than one batch and
+    one bucket. Output ``(query_id, other_id, sim)`` for every ordered pair of a batch.
+    """
+    spark = scores.sparkSession
+    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batch = F.floor(F.col("query_id") / F.lit(batch_size))
+    s = (scores.where(F.col("score") != 0)
+         .select(F.col("query_id").cast("long").alias("query_id"),
+                 F.col("doc_id").cast("long").alias("doc_id"),
+                 F.col("score").cast("double").alias("score"))
+         .withColumn("batch", batch)
+         .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(nb))))
+    dots = (s.groupBy("batch", "bucket").applyInPandas(_gram, GRAM_SCHEMA)
+            .groupBy("query_id", "other_id").agg(F.sum("dot").alias("dot")))
+    norms = (dots.where(F.col("query_id") == F.col("other_id"))
+             .select("query_id", F.sqrt("dot").alias("nrm")))
+    q = queries.select(F.col(query_key).cast("long").alias("query_id")).distinct()
+    q = q.withColumn("batch", batch)
+    pairs = q.join(q.select(F.col("query_id").alias("other_id"), "batch"), "batch")
+    n1 = norms.withColumnRenamed("nrm", "n1")
+    n2 = norms.select(F.col("query_id").alias("other_id"), F.col("nrm").alias("n2"))
+    r = (pairs.join(dots, ["query_id", "other_id"], "left").join(n1, "query_id", "left")
+         .join(n2, "other_id", "left"))
+    ok = (F.coalesce("n1", F.lit(0.0)) > 0) & (F.coalesce("n2", F.lit(0.0)) > 0)
+    return r.select("query_id", "other_id",
+                    F.when(ok, F.coalesce("dot", F.lit(0.0)) / (F.col("n1") * F.col("n2")))
+                    .otherwise(F.lit(0.0)).alias("sim"))

@@ -434,3 +434,154 @@ def q_split_blocked(spark, sf):
 SELECT split, count(*) AS n FROM ({_split_sql(f"{_MD5}, doc_id")}) GROUP BY split""")
 def q_split_sizes(spark, sf):
     return DS.split_sizes(q_split_exact(spark, sf))
+
+
+# ----------------------------------------------------------------------- features
+
+from diffsieve.functions import vectors as VX  # noqa: E402
+from diffsieve.operators import features as FE  # noqa: E402
+
+
+def _rounded(c: str):
+    return F.transform(F.col(c), lambda x: F.round(x.cast("double"), 6))
+
+
+_HASH_SQL = S.hash_vec("diff", "doc_id", f"({S.COMMITS})")
+
+
+@register("hash_features", f"SELECT doc_id, v FROM ({_HASH_SQL})")
+def q_hash_features(spark, sf):
+    h = FE.hash_features(T.commits(spark, sf), "diff", 64)
+    return h.select("doc_id", _rounded("v").alias("v"))
+
+
+@register("encode_features", f"SELECT doc_id, v AS feature_vector FROM ({_HASH_SQL})")
+def q_encode_features(spark, sf):
+    c = T.commits(spark, sf).withColumn("ast_seq", F.lit(None).cast("string"))
+    e = FE.encode_features(c, FE.hash_encoder(64), batch_size=32)
+    return e.select("doc_id", _rounded("feature_vector").alias("feature_vector"))
+
+
+@register("fuse_channels", f"""
+SELECT a.doc_id, list_concat(a.v, b.v) AS v
+FROM ({_HASH_SQL}) a JOIN ({S.hash_vec("message", "doc_id", f"({S.COMMITS})")}) b USING (doc_id)""")
+def q_fuse_channels(spark, sf):
+    c = T.commits(spark, sf)
+    a = FE.hash_features(c, "diff", 64, out="va")
+    b = FE.hash_features(c, "message", 64, out="vb")
+    f = a.join(b, "doc_id").select("doc_id", VX.fuse_channels("va", "vb").alias("v"))
+    return f.select("doc_id", _rounded("v").alias("v"))
+
+
+@register("scan_vectors", """
+SELECT vec_id, len(embedding) AS dim, true AS same, false AS error FROM embeddings""")
+def q_scan_vectors(spark, sf):
+    e = T.table(spark, sf, "embeddings")
+    # render each vector as the reference's 2-D text "[[..], [..]]" and parse it back
+    text = F.concat(F.lit("[\n"), F.to_json(F.slice("embedding", 1, 32)), F.lit(",\n "),
+                    F.to_json(F.slice("embedding", 33, F.size("embedding"))), F.lit("]"))
+    vec, err = VX.parse_vector_text(text, 64)
+    return e.select("vec_id", F.size("embedding").alias("dim"),
+                    (vec == F.col("embedding")).alias("same"), err.alias("error"))
+
+
+@register("flatten_vector", f"""
+WITH c AS ({S.CORPUS})
+SELECT doc_id, len(v) AS dim, round(list_sum(CAST(v AS DOUBLE[])), 4) AS total FROM c""")
+def q_flatten_vector(spark, sf):
+    c = T.corpus(spark, sf)
+    # the corpus vectors seen as 2-D (8 rows of 8) and flattened back
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
+    f = c.select("doc_id", VX.flatten_vector(rows).alias("v"))
+    VX.check_width(f, "v")
+    total = F.aggregate(f["v"], F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return f.select("doc_id", F.size("v").alias("dim"), F.round(total, 4).alias("total"))
+
+
+@register("truncate_tokens", f"""
+SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, {S.tok('diff')}[1:512] AS t FROM ({S.COMMITS}))""")
+def q_truncate_tokens(spark, sf):
+    t = T.commits(spark, sf).select("doc_id", TX.truncate_tokens(TX.tokenize("diff"), 512).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@register("null_to_empty", """
+SELECT conv_id, turn, coalesce(CASE WHEN role = 'system' THEN NULL ELSE text END, '') AS text
+FROM conversations""")
+def q_null_to_empty(spark, sf):
+    c = T.table(spark, sf, "conversations")
+    # system turns carry no version text: null, then filled
+    t = c.select("conv_id", "turn", F.when(F.col("role") != "system", F.col("text")).alias("text"))
+    return t.select("conv_id", "turn", TX.null_to_empty("text").alias("text"))
+
+
+# --------------------------------------------------------- profile, augment, index
+
+from diffsieve.plans.augment import augment  # noqa: E402
+from diffsieve.sources.index_store import build_index_tables  # noqa: E402
+from diffsieve.session import shared_dir  # noqa: E402
+
+
+@register("profile_similarity", f"""
+WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()},
+sc AS (SELECT query_id, doc_id, fx / 1e9 AS score FROM s),
+mm AS (SELECT query_id, max(score) AS mx,
+              CASE WHEN count(*) < (SELECT n_rows FROM st) THEN 0.0 ELSE min(score) END AS mn
+       FROM sc GROUP BY query_id),
+bn AS (SELECT query_id, doc_id,
+              CASE WHEN mx - mn > 0 THEN (score - mn) / (mx - mn) ELSE 0.0 END AS b
+       FROM sc JOIN mm USING (query_id)),
+d AS (SELECT x.query_id, y.query_id AS other_id, sum(x.b * y.b) AS dot
+      FROM bn x JOIN bn y ON x.doc_id = y.doc_id AND x.query_id // 32 = y.query_id // 32
+      GROUP BY x.query_id, y.query_id),
+nr AS (SELECT query_id, sqrt(sum(b * b)) AS nr FROM bn GROUP BY query_id),
+qs AS (SELECT DISTINCT query_id, query_id // 32 AS batch FROM q)
+SELECT a.query_id, b.query_id AS other_id,
+       round(CASE WHEN coalesce(n1.nr, 0) > 0 AND coalesce(n2.nr, 0) > 0
+                  THEN coalesce(d.dot, 0) / (n1.nr * n2.nr) ELSE 0.0 END, 6) AS sim
+FROM qs a JOIN qs b ON a.batch = b.batch
+LEFT JOIN d ON d.query_id = a.query_id AND d.other_id = b.query_id
+LEFT JOIN nr n1 ON n1.query_id = a.query_id LEFT JOIN nr n2 ON n2.query_id = b.query_id""")
+def q_profile(spark, sf):
+    _, q, idx = _bench_index(spark, sf)
+    bn = rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus)
+    p = dense.profile_similarity(bn, q, batch_size=32)
+    return p.withColumn("sim", F.round("sim", 6))
+
+
+@register("augment", _HYBRID_PICKS + """
+SELECT q.query_id, c.message, d.diff AS retrieved_diff, d.ast_seq AS retrieved_ast_seq,
+       d.message AS retrieved_message, false AS vector_error
+FROM q JOIN c ON c.doc_id = q.query_id JOIN y ON y.query_id = q.query_id
+LEFT JOIN c d ON d.doc_id = y.doc_id""")
+def q_augment(spark, sf):
+    c = T.corpus(spark, sf)
+    # the query table as the reference stores it: vector as text, ast_seq missing
+    qt = c.select(F.col("doc_id").alias("query_id"), "diff",
+                  F.lit(None).cast("string").alias("ast_seq"),
+                  F.to_json("v").alias("feature_vector"), "message")
+    a = augment(qt, c, dim=64)
+    return a.select("query_id", "message", "retrieved_diff", "retrieved_ast_seq",
+                    "retrieved_message", "vector_error")
+
+
+@register("attach_results", _BM25_RANKED + "," + S.pick_ctes("r", fallback=True) + f""",
+y AS (SELECT {S.picked_cols()} FROM x)
+SELECT b.item_id AS query_id, b.text AS diff, d.diff AS retrieved_diff,
+       d.message AS retrieved_message
+FROM benchmark b LEFT JOIN y ON y.query_id = b.item_id LEFT JOIN c d ON d.doc_id = y.doc_id""")
+def q_attach(spark, sf):
+    c, q, idx = _bench_index(spark, sf)
+    res = retrieval.bm25_topk(c, q, index=idx)
+    return rank.attach_results(q.select("query_id", "diff"), res,
+                               cols=("retrieved_diff", "retrieved_message"))
+
+
+@register("build_index_tables", f"""
+WITH c AS ({S.COMMITS}), {S.bm25_ctes()}
+SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term""")
+def q_build_index_tables(spark, sf):
+    c = T.commits(spark, sf)
+    idx = build_index_tables(c, shared_dir(spark, "index"))
+    return lexical.term_stats(idx).drop("field")

@@ -111,3 +111,21 @@ def lcs(a: str, b: str) -> str:
 
 PAGE_SEQ_PAIRS = (f"SELECT pair_id, {tags('old_html')} AS a, {tags('new_html')} AS b "
                   f"FROM ({PAGE_PAIRS})")
+
+
+def hash_vec(text: str, key: str, source: str, dim: int = 64) -> str:
+    """Dense L2-normalised hashed token counts per row, as a rounded double list."""
+    return f"""
+SELECT k.{key}, list(round(CAST(CAST(coalesce(n.n, 0) / nr.nr AS FLOAT) AS DOUBLE), 6)
+                  ORDER BY r.i) AS v
+FROM (SELECT {key} FROM {source}) k CROSS JOIN (SELECT range AS i FROM range({dim})) r
+LEFT JOIN (SELECT {key}, b, count(*) AS n FROM (
+             SELECT {key}, CAST(CAST('0x' || substr(md5(term), 1, 6) AS BIGINT) % {dim} AS INTEGER) AS b
+             FROM (SELECT {key}, unnest({tok(text)}) AS term FROM {source}))
+           GROUP BY {key}, b) n ON n.{key} = k.{key} AND n.b = r.i
+LEFT JOIN (SELECT {key}, sqrt(sum(n * n)) AS nr FROM (
+             SELECT {key}, count(*) AS n FROM (
+               SELECT {key}, CAST(CAST('0x' || substr(md5(term), 1, 6) AS BIGINT) % {dim} AS INTEGER) AS b
+               FROM (SELECT {key}, unnest({tok(text)}) AS term FROM {source}))
+             GROUP BY {key}, b) GROUP BY {key}) nr ON nr.{key} = k.{key}
+GROUP BY k.{key}"""
