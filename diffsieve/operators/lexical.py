@@ -14,10 +14,12 @@ from diffsieve.functions.text import null_to_empty, tokenize
 K1 = 1.2
 B = 0.75
 
-# Scores are summed as integers in units of 1e-9 so that a sum does not depend on the
+# Scores are summed as integers in units of 2**-32 so that a sum does not depend on the
 # order in which partitions arrive: equal documents get bit-equal scores and ties are
-# then broken by key, whatever the partitioning.
-SCORE_SCALE = 1_000_000_000.0
+# then broken by key, whatever the partitioning. A binary unit keeps every score exact
+# in a double and off the decimal grid, so rounding a score for display never meets an
+# exact half.
+SCORE_SCALE = float(2 ** 32)
 
 # A query-term side up to this many rows is broadcast (the count is taken first).
 BROADCAST_ROWS = 1_000_000

@@ -66,7 +66,7 @@ def q_term_stats(spark, sf):
 
 @register("bm25_scores", f"""
 WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()}
-SELECT query_id, doc_id, round(fx / 1e9, 6) AS score FROM s""")
+SELECT query_id, doc_id, round(fx / {S.SCALE}, 6) AS score FROM s""")
 def q_bm25_scores(spark, sf):
     _, q, idx = _bench_index(spark, sf)
     s = lexical.bm25_scores(idx, q)
@@ -75,7 +75,7 @@ def q_bm25_scores(spark, sf):
 
 @register("minmax_scores", f"""
 WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()},
-sc AS (SELECT query_id, doc_id, fx / 1e9 AS score FROM s),
+sc AS (SELECT query_id, doc_id, fx / {S.SCALE} AS score FROM s),
 mm AS (SELECT query_id, max(score) AS mx,
               CASE WHEN count(*) < (SELECT n_rows FROM st) THEN 0.0 ELSE min(score) END AS mn
        FROM sc GROUP BY query_id)
@@ -90,7 +90,7 @@ def q_minmax(spark, sf):
 
 _BM25_RANKED = f"""
 WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()},
-r AS (SELECT query_id, doc_id, fx / 1e9 AS score,
+r AS (SELECT query_id, doc_id, fx / {S.SCALE} AS score,
              row_number() OVER (PARTITION BY query_id ORDER BY fx DESC, doc_id) AS rk FROM s)"""
 
 
@@ -132,7 +132,7 @@ def q_lookup_payload(spark, sf):
 _HYBRID_BASE = f"""
 WITH c AS ({S.CORPUS}), q AS (SELECT doc_id AS query_id, diff, ast_seq, v FROM c),
 {S.bm25_ctes()},
-sc AS (SELECT query_id, doc_id, fx / 1e9 AS score FROM s),
+sc AS (SELECT query_id, doc_id, fx / {S.SCALE} AS score FROM s),
 mm AS (SELECT query_id, max(score) AS mx,
               CASE WHEN count(*) < (SELECT n_rows FROM st) THEN 0.0 ELSE min(score) END AS mn
        FROM sc GROUP BY query_id),
@@ -525,7 +525,7 @@ from diffsieve.session import shared_dir  # noqa: E402
 
 @register("profile_similarity", f"""
 WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()},
-sc AS (SELECT query_id, doc_id, fx / 1e9 AS score FROM s),
+sc AS (SELECT query_id, doc_id, fx / {S.SCALE} AS score FROM s),
 mm AS (SELECT query_id, max(score) AS mx,
               CASE WHEN count(*) < (SELECT n_rows FROM st) THEN 0.0 ELSE min(score) END AS mn
        FROM sc GROUP BY query_id),

@@ -6,6 +6,7 @@ library; nothing here runs on Spark.
 """
 
 TOKEN_RE = r"[\p{L}\p{N}_]+"
+SCALE = "4294967296.0"
 
 
 def tok(x: str) -> str:
@@ -39,7 +40,7 @@ PAGE_PAIRS = ("SELECT a.page_id AS pair_id, a.html AS old_html, b.html AS new_ht
 def bm25_ctes(corpus: str = "c", queries: str = "q") -> str:
     """CTEs ``dt, st, post, dfs, qt, s`` over CTEs named ``corpus`` (doc_id, diff) and
     ``queries`` (query_id, diff, ast_seq). ``s(query_id, doc_id, fx)`` holds BM25 in
-    units of 1e-9, summed as integers like the Spark operator."""
+    units of 2**-32 (``SCALE``), summed as integers like the Spark operator."""
     return f"""
 dt AS (SELECT doc_id, {tok('diff')} AS toks FROM {corpus}),
 st AS (SELECT count(*) FILTER (WHERE len(toks) > 0) AS n,
@@ -55,7 +56,7 @@ qt AS (SELECT query_id, term, count(*) AS qtf
        GROUP BY query_id, term),
 s AS (SELECT qt.query_id, post.doc_id,
              sum(CAST(round(qt.qtf * ln(1 + (st.n - dfs.df + 0.5) / (dfs.df + 0.5))
-                 * post.tf / (post.tf + 1.2 * (0.25 + 0.75 * post.dl / st.avgdl)) * 1e9)
+                 * post.tf / (post.tf + 1.2 * (0.25 + 0.75 * post.dl / st.avgdl)) * {SCALE})
                  AS BIGINT)) AS fx
       FROM qt JOIN dfs USING (term) JOIN post USING (term) CROSS JOIN st
       GROUP BY qt.query_id, post.doc_id)"""
