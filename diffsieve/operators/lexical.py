@@ -28,11 +28,15 @@ BROADCAST_ROWS = 1_000_000
 SALT_ROWS = 1_000_000
 
 
+def _salt_rows(index) -> int:
+    return getattr(index, "salt_rows", SALT_ROWS)
+
+
 @dataclass
 class LexicalIndex:
     """Index tables over a corpus.
 
-    ``postings(field, term, doc_id, tf, dl, salt)`` and ``terms(field, term, df,
+    ``postings(field, term, doc_id, tf, dl, salt)`` and ``terms(field, term, df, cf,
     n_salt)`` are DataFrames (lazy or read back from Parquet); ``stats`` maps each field
     to ``(docs_with_field, avgdl)``; ``n_corpus`` is the corpus row count and
     ``min_key`` its smallest key (the reference's "row 0").
@@ -44,6 +48,7 @@ class LexicalIndex:
     n_corpus: int
     min_key: int | None
     fields: tuple
+    salt_rows: int = SALT_ROWS
 
 
 def _doc_tokens(corpus: DataFrame, key: str, fields) -> DataFrame:
@@ -56,49 +61,70 @@ def _doc_tokens(corpus: DataFrame, key: str, fields) -> DataFrame:
     return out.withColumn("dl", F.size("toks"))
 
 
-def build_index(corpus: DataFrame, key: str = "doc_id", fields=("diff",),
-                salt_rows: int = SALT_ROWS) -> LexicalIndex:
-    """Term statistics of a corpus as index tables (A1).
+def salted_postings(tf: DataFrame, terms: DataFrame, stats: dict, salt_rows: int) -> DataFrame:
+    """Postings with their salt group: ``pmod(xxhash64(doc_id), n_salt)``.
 
-    One tokenisation feeds both the postings (partial + final hash aggregate on
-    ``(field, term, doc_id)``) and the one-row-per-field statistics, which are
-    collected to the driver (a handful of numbers).
+    Only terms in more than ``salt_rows`` documents have ``n_salt > 1``. There are at
+    most (number of postings / salt_rows) of them -- a proven bound -- so their table
+    is broadcast and the postings are never shuffled by term. When no field has more
+    than ``salt_rows`` documents no term can be hot and every salt is 0.
     """
+    if not any(st[0] > salt_rows for st in stats.values()):
+        return tf.withColumn("salt", F.lit(0))
+    hot = F.broadcast(terms.where(F.col("n_salt") > 1).select("field", "term", "n_salt"))
+    return (tf.join(hot, ["field", "term"], "left")
+            .withColumn("salt", F.pmod(F.xxhash64("doc_id"),
+                                       F.coalesce(F.col("n_salt"), F.lit(1))).cast("int"))
+            .drop("n_salt"))
+
+
+def build_index(corpus: DataFrame, key: str = "doc_id", fields=("diff",),
+                salt_rows: int = SALT_ROWS, partitions: int | None = None,
+                path: str | None = None) -> LexicalIndex:
+    """Index tables of a corpus (A1), written once and read back.
+
+    The corpus is hash-partitioned by key once, before tokenising. Every document's
+    postings then live in one partition (and one output file), so the term counts need
+    no further shuffle and a later BM25 sum per ``(query, doc)`` completes map-side.
+    ``tf`` and ``terms`` are written as Parquet under ``path`` (default: a fresh folder
+    in the shared checkpoint folder), so the corpus is tokenised exactly once however
+    many branches read the index, and a lost executor does not re-tokenise it.
+    """
+    from diffsieve.session import shared_dir
+
     fields = tuple(fields)
-    docs = _doc_tokens(corpus, key, fields)
-    agg = (docs.groupBy("field")
-           .agg(F.count(F.lit(1)).alias("n_rows"),
-                F.sum(F.when(F.col("dl") > 0, 1).otherwise(0)).alias("n_docs"),
-                F.sum("dl").alias("total"),
-                F.min("doc_id").alias("min_key"))
-           .collect())
-    stats, n_corpus, min_key = {}, 0, None
-    for r in agg:
-        n_docs = int(r["n_docs"] or 0)
-        stats[r["field"]] = (n_docs, (float(r["total"]) / n_docs) if n_docs else 0.0)
-        n_corpus = max(n_corpus, int(r["n_rows"]))
-        if r["min_key"] is not None:
-            min_key = r["min_key"] if min_key is None else min(min_key, r["min_key"])
+    spark = corpus.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = path or shared_dir(spark, "index")
+    docs = _doc_tokens(corpus.select(key, *fields).repartition(n, F.col(key).cast("long")),
+                       key, fields)
+    (docs.select("field", "doc_id", "dl", F.explode("toks").alias("term"))
+     .groupBy("doc_id", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+     .write.mode("overwrite").parquet(path + "/tf"))
+    tf = spark.read.parquet(path + "/tf")
+    (tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+     .withColumn("n_salt", F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows)))
+                 .cast("int"))
+     .write.mode("overwrite").parquet(path + "/terms"))
+    terms = spark.read.parquet(path + "/terms")
+
+    per_field = {r["field"]: r for r in
+                 tf.groupBy("field").agg(F.countDistinct("doc_id").alias("n_docs"),
+                                         F.sum("tf").alias("total")).collect()}
+    rows = corpus.agg(F.count(F.lit(1)).alias("n"), F.min(F.col(key).cast("long")).alias("k")).first()
+    stats = {}
     for f in fields:
-        stats.setdefault(f, (0, 0.0))
+        r = per_field.get(f)
+        n_docs = int(r["n_docs"]) if r else 0
+        stats[f] = (n_docs, float(r["total"]) / n_docs if n_docs else 0.0)
 
-    tf = (docs.select("field", "doc_id", "dl", F.explode("toks").alias("term"))
-          .groupBy("field", "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    terms = (tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-             .withColumn("n_salt", F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows)))
-                         .cast("int")))
-    # The join that places each posting in its salt group is skewed on frequent terms;
-    # AQE's skew-join split handles it (the terms side has one row per term).
-    postings = (tf.join(terms.select("field", "term", "n_salt"), ["field", "term"])
-                .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("n_salt")).cast("int"))
-                .drop("n_salt"))
-    return LexicalIndex(postings, terms, stats, n_corpus, min_key, fields)
+    postings = salted_postings(tf, terms, stats, salt_rows)
+    return LexicalIndex(postings, terms, stats, int(rows["n"]), rows["k"], fields, salt_rows)
 
 
 def term_stats(index: LexicalIndex) -> DataFrame:
     """``(field, term, df, cf)``: document and collection frequency per term (A1)."""
-    return (index.postings.groupBy("field", "term")
-            .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    return index.terms.select("field", "term", "df", "cf")
 
 
 def query_terms(queries: DataFrame, key: str = "query_id",
@@ -123,29 +149,38 @@ def match_postings(index: LexicalIndex, queries: DataFrame, key: str = "query_id
     are shuffled on the salted key, which spreads frequent terms over many tasks.
     """
     qt = query_terms(queries, key, query_fields)
-    sides = []
+    # Size bound of the replicated query side without computing the term table:
+    # query terms x the largest possible salt count (df <= documents).
+    max_salt = max([1] + [-(-st[0] // _salt_rows(index)) for st in index.stats.values()])
+    bounded = qt.count() * max_salt * len(index.fields) <= broadcast_rows
+    parts = []
     for f in index.fields:
         n, avgdl = index.stats[f]
         if n == 0:
             continue
         idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        sides.append(qt.join(index.terms.where(F.col("field") == f), "term")
-                     .select("field", "term", "query_id",
-                             (F.col("qtf") * idf).alias("qw"),
-                             F.lit(avgdl).alias("avgdl"),
-                             F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")))
-    if not sides:
+        qside = (qt.join(index.terms.where(F.col("field") == f), "term")
+                 .select("term", "query_id", (F.col("qtf") * idf).alias("qw"),
+                         F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")))
+        if bounded:
+            qside = F.broadcast(qside)
+        # the document side of a term's weight is computed once per posting, below the
+        # join; the join output only multiplies
+        norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
+        post = (index.postings.where(F.col("field") == f)
+                .select("term", "salt", "doc_id",
+                        (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("tfn")))
+        # contributions are positive: floor(x + 0.5) is round-half-up, without the
+        # decimal arithmetic of round()
+        parts.append(post.join(qside, ["term", "salt"])
+                     .select("query_id", "doc_id",
+                             F.floor(F.col("qw") * F.col("tfn") + F.lit(0.5)).cast("long").alias("fx")))
+    if not parts:
         return qt.sparkSession.createDataFrame([], "query_id long, doc_id long, fx long")
-    qside = sides[0]
-    for s in sides[1:]:
-        qside = qside.unionByName(s)
-    if qside.count() <= broadcast_rows:
-        qside = F.broadcast(qside)
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    contrib = F.col("qw") * F.col("tf") / (F.col("tf") + norm)
-    return (index.postings.join(qside, ["field", "term", "salt"])
-            .select("query_id", "doc_id",
-                    F.round(contrib * F.lit(SCORE_SCALE)).cast("long").alias("fx")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame, key: str = "query_id",

@@ -10,6 +10,7 @@ from diffsieve.operators.dense import block_topk
 from diffsieve.operators.lexical import LexicalIndex, bm25_scores, build_index
 from diffsieve.operators.rank import (DIGITS, lookup_payload, minmax_normalize,
                                       pick_with_exclusion, top_k)
+from diffsieve.session import materialize
 
 # A query table up to this many rows (counted first) is broadcast into the joins that
 # attach per-query statistics and payload, so the corpus side is streamed.
@@ -63,7 +64,9 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     bounded = nq <= BROADCAST_QUERIES
     sparse = None
     if w_lex != 0:
-        lex = bm25_scores(idx, queries, query_key, query_fields)
+        # the hits feed both the per-query statistics and the fused scores: written
+        # once instead of joined twice
+        lex = materialize(bm25_scores(idx, queries, query_key, query_fields), "bm25")
         sparse = minmax_normalize(lex, idx.n_corpus, broadcast_stats=bounded)
     top = block_topk(queries, corpus, k, query_key=query_key, vec=vec, w_cos=w_cos,
                      sparse=sparse, w_sparse=w_lex, n_queries=nq, n_docs=idx.n_corpus)

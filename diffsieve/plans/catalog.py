@@ -163,7 +163,8 @@ def q_fuse(spark, sf):
     c = T.corpus(spark, sf)
     q = _self_queries(c)
     idx = lexical.build_index(c)
-    sparse = rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus)
+    from diffsieve.session import materialize
+    sparse = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
     t = dense.block_topk(q, c, 2, w_cos=0.5, sparse=sparse, w_sparse=0.5, n_docs=idx.n_corpus)
     return t.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
@@ -545,7 +546,8 @@ LEFT JOIN d ON d.query_id = a.query_id AND d.other_id = b.query_id
 LEFT JOIN nr n1 ON n1.query_id = a.query_id LEFT JOIN nr n2 ON n2.query_id = b.query_id""")
 def q_profile(spark, sf):
     _, q, idx = _bench_index(spark, sf)
-    bn = rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus)
+    from diffsieve.session import materialize
+    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
     p = dense.profile_similarity(bn, q, batch_size=32)
     return p.withColumn("sim", F.round("sim", 6))
 

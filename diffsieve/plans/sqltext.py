@@ -55,9 +55,9 @@ qt AS (SELECT query_id, term, count(*) AS qtf
              FROM {queries})
        GROUP BY query_id, term),
 s AS (SELECT qt.query_id, post.doc_id,
-             sum(CAST(round(qt.qtf * ln(1 + (st.n - dfs.df + 0.5) / (dfs.df + 0.5))
-                 * post.tf / (post.tf + 1.2 * (0.25 + 0.75 * post.dl / st.avgdl)) * {SCALE})
-                 AS BIGINT)) AS fx
+             sum(CAST(floor(qt.qtf * ln(1 + (st.n - dfs.df + 0.5) / (dfs.df + 0.5))
+                 * (post.tf / (post.tf + 1.2 * (0.25 + 0.75 * post.dl / st.avgdl)) * {SCALE})
+                 + 0.5) AS BIGINT)) AS fx
       FROM qt JOIN dfs USING (term) JOIN post USING (term) CROSS JOIN st
       GROUP BY qt.query_id, post.doc_id)"""
 

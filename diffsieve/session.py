@@ -67,3 +67,16 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.sparkContext.defaultParallelism))
     except Exception:  # pragma: no cover - connect sessions have no SparkContext
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    Used where one expensive intermediate feeds several branches of a plan (Spark
+    would otherwise compute it once per branch) or where lineage should be cut: after
+    this, a lost executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

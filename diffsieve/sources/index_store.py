@@ -1,7 +1,7 @@
 """Persisted lexical index tables with a corpus fingerprint.
 
-Layout under ``path``: ``postings/`` (range-partitioned and sorted by term, so Parquet
-row-group statistics prune a term lookup), ``terms/`` and ``meta/`` (one row: the
+Layout under ``path``: ``tf/`` (postings; each file holds whole documents, as the build
+partitions by document), ``terms/`` and ``meta/`` (one row: the
 fingerprint and per-field statistics). A build whose fingerprint matches the stored one
 reuses the tables; a changed corpus triggers a rebuild (the reference reuses any
 existing index directory).
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from diffsieve.operators.lexical import SALT_ROWS, LexicalIndex, build_index
+from diffsieve.operators.lexical import SALT_ROWS, LexicalIndex, build_index, salted_postings
 
 
 def fingerprint(corpus: DataFrame, key: str, fields) -> str:
@@ -43,16 +43,15 @@ def build_index_tables(corpus: DataFrame, path: str, key: str = "doc_id", fields
     fp = fingerprint(corpus, key, fields)
     meta = _read(spark, path) if reuse else None
     if meta is None or meta["fingerprint"] != fp or tuple(json.loads(meta["fields"])) != fields:
-        idx = build_index(corpus, key, fields, salt_rows)
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (idx.postings.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term")
-         .write.mode("overwrite").parquet(path + "/postings"))
-        idx.terms.write.mode("overwrite").parquet(path + "/terms")
+        idx = build_index(corpus, key, fields, salt_rows, path=path)
         row = [(fp, json.dumps(fields), json.dumps(idx.stats), idx.n_corpus, idx.min_key)]
         (spark.createDataFrame(row, "fingerprint string, fields string, stats string, "
                                     "n_corpus long, min_key long")
          .coalesce(1).write.mode("overwrite").parquet(path + "/meta"))
-        meta = _read(spark, path)
+        return idx
     stats = {k: tuple(v) for k, v in json.loads(meta["stats"]).items()}
-    return LexicalIndex(spark.read.parquet(path + "/postings"), spark.read.parquet(path + "/terms"),
-                        stats, int(meta["n_corpus"]), meta["min_key"], fields)
+    # a stored index is re-opened through the same salting rule as a fresh build
+    terms = spark.read.parquet(path + "/terms")
+    postings = salted_postings(spark.read.parquet(path + "/tf"), terms, stats, salt_rows)
+    return LexicalIndex(postings, terms, stats, int(meta["n_corpus"]), meta["min_key"], fields,
+                        salt_rows)
