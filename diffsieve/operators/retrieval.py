@@ -13,8 +13,9 @@ from diffsieve.operators.rank import (DIGITS, lookup_payload, minmax_normalize,
 from diffsieve.session import materialize
 
 # A query table up to this many rows (counted first) is broadcast into the joins that
-# attach per-query statistics and payload, so the corpus side is streamed.
-BROADCAST_QUERIES = 2_000_000
+# attach per-query statistics and payload (a few tens of bytes per row), so the corpus
+# side is streamed; above it those joins shuffle and AQE re-plans from runtime sizes.
+BROADCAST_QUERIES = 200_000
 
 
 def _prepare_queries(queries: DataFrame, query_key: str, fields) -> DataFrame:

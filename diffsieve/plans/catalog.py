@@ -587,3 +587,23 @@ def q_build_index_tables(spark, sf):
     c = T.commits(spark, sf)
     idx = build_index_tables(c, shared_dir(spark, "index"))
     return lexical.term_stats(idx).drop("field")
+
+
+# ------------------------------------------------------------ file round trips
+
+from diffsieve.sources import files as FS  # noqa: E402
+
+
+@register("scan_commits", f"SELECT project, commit_id, diff, message FROM ({S.COMMITS})")
+def q_scan_commits(spark, sf):
+    # the commit view written as project folders of CSV (S5) and scanned back
+    path = shared_dir(spark, "commits")
+    FS.write_by_project(T.commits(spark, sf).drop("doc_id"), path, fmt="csv", mode="overwrite")
+    return FS.scan_commits(spark, path, layout="partitioned")
+
+
+@register("write_splits", _split_sql(f"{_MD5}, doc_id"))
+def q_write_splits(spark, sf):
+    path = shared_dir(spark, "splits")
+    FS.write_splits(q_split_exact(spark, sf), path)
+    return spark.read.parquet(path).select("doc_id", F.col("split").cast("string"))

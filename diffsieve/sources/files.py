@@ -27,10 +27,18 @@ def project_from_file(name_col) -> F.Column:
     return F.regexp_replace(name_col, r"_commits\.csv$", "")
 
 
-def scan_commits(spark: SparkSession, path: str, columns=COMMIT_COLUMNS) -> DataFrame:
-    """``(project, commit_id, diff, message)`` from every ``*_commits.csv`` under
-    ``path`` (S1). Columns are picked by header name, all read as text (no inference);
-    other columns are ignored and never parsed."""
+def scan_commits(spark: SparkSession, path: str, columns=COMMIT_COLUMNS,
+                 layout: str = "reference") -> DataFrame:
+    """``(project, commit_id, diff, message)`` from commit CSV files.
+
+    ``layout='reference'``: every ``*_commits.csv`` under ``path``, project from the file
+    name. ``layout='partitioned'``: folders ``project=<name>/`` as written by
+    ``write_by_project``. Columns are picked by header name and read as text (no
+    inference); other columns are ignored and never parsed.
+    """
+    if layout == "partitioned":
+        df = spark.read.options(**CSV_OPTIONS).csv(path)
+        return df.select(F.col("project").cast("string"), *[F.col(c) for c in columns])
     df = (spark.read.options(**CSV_OPTIONS).option("pathGlobFilter", "*" + COMMIT_SUFFIX)
           .option("recursiveFileLookup", "true").csv(path))
     return df.select(project_from_file(F.col("_metadata.file_name")).alias("project"),
