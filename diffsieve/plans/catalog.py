@@ -39,7 +39,7 @@ SELECT doc_id, len(toks) AS n_tokens, array_to_string(toks, ' ') AS tokens
 FROM (SELECT doc_id, {S.tok('diff')} AS toks FROM ({S.COMMITS}))""")
 def q_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     c = T.commits(spark, sf).select("doc_id", TX.tokenize("diff").alias("toks"))
-    return c.select("doc_id", F.size("toks").alias("n_tokens"),
+    return c.select("doc_id", F.size("toks").cast("long").alias("n_tokens"),
                     F.array_join("toks", " ").alias("tokens"))
 
 
@@ -58,7 +58,7 @@ def _bench_index(spark, sf):
 
 @register("term_stats", f"""
 WITH c AS ({S.COMMITS}), {S.bm25_ctes()}
-SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term""")
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term""")
 def q_term_stats(spark, sf):
     c = T.commits(spark, sf)
     return lexical.term_stats(lexical.build_index(c)).drop("field")
@@ -99,7 +99,7 @@ SELECT query_id, doc_id, rk AS rank, round(score, 6) AS score FROM r WHERE rk <=
 def q_top2(spark, sf):
     _, q, idx = _bench_index(spark, sf)
     t = rank.top_k(lexical.bm25_scores(idx, q), 2)
-    return t.select("query_id", "doc_id", F.col("rank"), F.round("score", 6).alias("score"))
+    return t.select("query_id", "doc_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
 @register("bm25_topk", _BM25_RANKED + "," + S.pick_ctes("r", fallback=True) + f""",
@@ -154,7 +154,7 @@ SELECT query_id, doc_id, rk AS rank, round(score, 6) AS score FROM r WHERE rk <=
 def q_cosine_topk(spark, sf):
     c = T.corpus(spark, sf)
     t = dense.cosine_topk(_self_queries(c), c, 2)
-    return t.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return t.select("query_id", "doc_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
 @register("fuse_scores", _HYBRID_BASE + """
@@ -166,7 +166,7 @@ def q_fuse(spark, sf):
     from diffsieve.session import materialize
     sparse = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
     t = dense.block_topk(q, c, 2, w_cos=0.5, sparse=sparse, w_sparse=0.5, n_docs=idx.n_corpus)
-    return t.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return t.select("query_id", "doc_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
 _HYBRID_PICKS = _HYBRID_BASE + "," + S.pick_ctes("r", fallback=False) + f""",
@@ -191,7 +191,7 @@ def q_exclude(spark, sf):
 
 
 @register("same_key_count", _HYBRID_PICKS + """
-SELECT sum(CAST(same_key AS BIGINT)) AS same_key_count, count(*) AS total FROM y""")
+SELECT CAST(sum(CAST(same_key AS BIGINT)) AS BIGINT) AS same_key_count, count(*) AS total FROM y""")
 def q_same_key_count(spark, sf):
     return rank.same_key_count(q_hybrid(spark, sf))
 
@@ -203,7 +203,7 @@ from diffsieve.operators import edits as ED  # noqa: E402
 
 _LCS_PAIRS = f"""
 WITH pp AS ({S.PAGE_SEQ_PAIRS}),
-l AS (SELECT pair_id, len(a) AS n, len(b) AS m, {S.lcs('a', 'b')} AS lcs FROM pp)"""
+l AS (SELECT pair_id, len(a) AS n, len(b) AS m, CAST({S.lcs('a', 'b')} AS BIGINT) AS lcs FROM pp)"""
 
 
 def _page_seq_pairs(spark, sf):
@@ -232,7 +232,7 @@ SELECT page_id, len(t) AS n_tags, array_to_string(t, ' ') AS tags
 FROM (SELECT page_id, {S.tags('html')} AS t FROM pages)""")
 def q_structure_seq(spark, sf):
     p = T.table(spark, sf, "pages").select("page_id", ST.structure_seq("html").alias("t"))
-    return p.select("page_id", F.size("t").alias("n_tags"), F.array_join("t", " ").alias("tags"))
+    return p.select("page_id", F.size("t").cast("long").alias("n_tags"), F.array_join("t", " ").alias("tags"))
 
 
 @register("edit_script", _LCS_PAIRS + """
@@ -482,7 +482,7 @@ def q_scan_vectors(spark, sf):
     text = F.concat(F.lit("[\n"), F.to_json(F.slice("embedding", 1, 32)), F.lit(",\n "),
                     F.to_json(F.slice("embedding", 33, F.size("embedding"))), F.lit("]"))
     vec, err = VX.parse_vector_text(text, 64)
-    return e.select("vec_id", F.size("embedding").alias("dim"),
+    return e.select("vec_id", F.size("embedding").cast("long").alias("dim"),
                     (vec == F.col("embedding")).alias("same"), err.alias("error"))
 
 
@@ -496,7 +496,7 @@ def q_flatten_vector(spark, sf):
     f = c.select("doc_id", VX.flatten_vector(rows).alias("v"))
     VX.check_width(f, "v")
     total = F.aggregate(f["v"], F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return f.select("doc_id", F.size("v").alias("dim"), F.round(total, 4).alias("total"))
+    return f.select("doc_id", F.size("v").cast("long").alias("dim"), F.round(total, 4).alias("total"))
 
 
 @register("truncate_tokens", f"""
@@ -504,7 +504,7 @@ SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {S.tok('diff')}[1:512] AS t FROM ({S.COMMITS}))""")
 def q_truncate_tokens(spark, sf):
     t = T.commits(spark, sf).select("doc_id", TX.truncate_tokens(TX.tokenize("diff"), 512).alias("t"))
-    return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @register("null_to_empty", """
@@ -582,7 +582,7 @@ def q_attach(spark, sf):
 
 @register("build_index_tables", f"""
 WITH c AS ({S.COMMITS}), {S.bm25_ctes()}
-SELECT term, count(*) AS df, sum(tf) AS cf FROM post GROUP BY term""")
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term""")
 def q_build_index_tables(spark, sf):
     c = T.commits(spark, sf)
     idx = build_index_tables(c, shared_dir(spark, "index"))
