@@ -92,6 +92,27 @@ def _kernel(k: int, w_cos: float, w_sparse: float):
     return run
 
 
+MIN_PAIRS = 250_000
+
+
+def _layout(spark, nq: int, nd: int, q_rows: int, d_rows: int):
+    """Query blocks ``qb`` and document buckets ``db``.
+
+    A group never holds more than ``q_rows`` queries or ``d_rows`` documents (memory
+    bound, whatever the data size). Beyond that, work of at least ``MIN_PAIRS`` pairs is
+    split into up to four groups per task slot, so that uneven placement of groups
+    on partitions evens out. Query-side rows are copied ``db`` times and document-side
+    rows ``qb`` times, so the split follows ``qb / db ~ nq / nd``.
+    """
+    nq, nd = max(nq, 1), max(nd, 1)
+    need_q, need_d = math.ceil(nq / q_rows), math.ceil(nd / d_rows)
+    want = min(4 * default_parallelism(spark), max(1, (nq * nd) // MIN_PAIRS))
+    groups = max(need_q * need_d, want)
+    qb = min(nq, max(need_q, round(math.sqrt(groups * nq / nd))))
+    db = min(nd, max(need_d, math.ceil(groups / qb)))
+    return qb, db
+
+
 def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
                query_key: str = "query_id", doc_key: str = "doc_id", vec: str = "v",
                w_cos: float = 1.0, sparse: DataFrame | None = None, w_sparse: float = 0.0,
@@ -106,8 +127,7 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
     spark = queries.sparkSession
     nq = n_queries if n_queries is not None else queries.count()
     nd = n_docs if n_docs is not None else corpus.count()
-    qb = max(1, math.ceil(nq / q_rows))
-    db = max(1, math.ceil(nd / d_rows), math.ceil(default_parallelism(spark) / qb))
+    qb, db = _layout(spark, nq, nd, q_rows, d_rows)
 
     qv = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"))
     dv = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"))
@@ -126,6 +146,11 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
         F.col("score").cast("double").alias("score"),
         F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(qb)).cast("int").alias("q_block"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(db)).cast("int").alias("d_bucket"))
+    # One partition per group, fixed: AQE would merge these small shuffle partitions
+    # and run the numpy kernels of many groups one after another in a single task.
+    g = qb * db
+    vecs = vecs.repartition(g, "q_block", "d_bucket")
+    sp = sp.repartition(g, "q_block", "d_bucket")
     cand = (vecs.groupBy("q_block", "d_bucket")
             .cogroup(sp.groupBy("q_block", "d_bucket"))
             .applyInPandas(_kernel(k, w_cos, w_sparse), CAND_SCHEMA))
@@ -152,17 +177,21 @@ def _gram(_key, pdf):
 
 
 def profile_similarity(scores: DataFrame, queries: DataFrame, batch_size: int = 32,
-                       query_key: str = "query_id", buckets: int | None = None) -> DataFrame:
+                       query_key: str = "query_id", n_docs: int | None = None,
+                       d_rows: int = D_ROWS) -> DataFrame:
     """Cosine similarity between the score rows of queries of the same batch.
 
     The reference compares the rows of its query x corpus score matrices inside each
     batch of ``batch_size`` queries (batches by key: ``query_id div batch_size``);
     absent scores are zeros. Partial Gram matrices are computed per ``(batch, doc
     bucket)`` with numpy and summed by Spark, so no group holds more than one batch and
-    one bucket. Output ``(query_id, other_id, sim)`` for every ordered pair of a batch.
+    one bucket (at most ``d_rows`` documents of ``n_docs``, so a group does not grow with
+    the corpus). Output ``(query_id, other_id, sim)`` for every ordered pair of a batch.
     """
     spark = scores.sparkSession
-    nb = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_docs is None:
+        n_docs = scores.select("doc_id").distinct().count()
+    nb = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / d_rows))
     batch = F.floor(F.col("query_id") / F.lit(batch_size))
     s = (scores.where(F.col("score") != 0)
          .select(F.col("query_id").cast("long").alias("query_id"),
@@ -170,7 +199,7 @@ def profile_similarity(scores: DataFrame, queries: DataFrame, batch_size: int =
                  F.col("score").cast("double").alias("score"))
          .withColumn("batch", batch)
          .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(nb))))
-    dots = (s.groupBy("batch", "bucket").applyInPandas(_gram, GRAM_SCHEMA)
+    dots = (s.repartition(nb, "bucket").groupBy("batch", "bucket").applyInPandas(_gram, GRAM_SCHEMA)
             .groupBy("query_id", "other_id").agg(F.sum("dot").alias("dot")))
     norms = (dots.where(F.col("query_id") == F.col("other_id"))
              .select("query_id", F.sqrt("dot").alias("nrm")))
@@ -185,3 +214,185 @@ def profile_similarity(scores: DataFrame, queries: DataFrame, batch_size: int =
     return r.select("query_id", "other_id",
                     F.when(ok, F.coalesce("dot", F.lit(0.0)) / (F.col("n1") * F.col("n2")))
                     .otherwise(F.lit(0.0)).alias("sim"))
+
+
+# ------------------------------------------------- hybrid with the lexical part in blocks
+
+STATS_SCHEMA = "query_id long, mx double, mn0 double, hits long"
+CHUNK_PAIRS = 4_000_000
+
+
+def _lexical_block(qids, dids, qt: pd.DataFrame, po: pd.DataFrame, scale: float):
+    """BM25 of a query block against a document bucket, from term weights.
+
+    ``qt`` holds ``(id, key, w)`` query-term weights, ``po`` ``(id, key, w)`` posting
+    weights (already scaled). Every contribution is rounded to an integer unit exactly
+    as the join path does, ``floor(qw * tfn + 0.5)``; sums of integers below 2**53 are
+    exact in doubles in any order. Returns the score matrix and the hit mask.
+    """
+    nq, nd = len(qids), len(dids)
+    total = np.zeros(nq * nd)
+    hits = np.zeros(nq * nd)
+    if len(qt) == 0 or len(po) == 0:
+        return total.reshape(nq, nd), hits.reshape(nq, nd) > 0
+    codes, _ = pd.factorize(pd.concat([qt["key"], po["key"]], ignore_index=True))
+    qc, pc = codes[:len(qt)], codes[len(qt):]
+    order = np.argsort(pc, kind="stable")
+    pc = pc[order]
+    pd_idx = pd.Index(dids).get_indexer(po["id"].to_numpy())[order]
+    pw = po["w"].to_numpy()[order]
+    q_idx = pd.Index(qids).get_indexer(qt["id"].to_numpy())
+    qw = qt["w"].to_numpy()
+    start = np.searchsorted(pc, qc, "left")
+    cnt = np.searchsorted(pc, qc, "right") - start
+    keep = cnt > 0
+    q_idx, qw, start, cnt = q_idx[keep], qw[keep], start[keep], cnt[keep]
+    cum = np.cumsum(cnt)
+    lo = 0
+    while lo < len(cnt):
+        # a slice of query terms whose matches fit one chunk (at least one term)
+        base = cum[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(cum, base + CHUNK_PAIRS, "right")))
+        c = cnt[lo:hi]
+        rep = np.repeat(np.arange(lo, hi), c)
+        first = np.repeat(cum[lo:hi] - c - base, c)
+        offs = start[rep] + (np.arange(len(rep)) - first)
+        flat = q_idx[rep] * nd + pd_idx[offs]
+        fx = np.floor(qw[rep] * pw[offs] + 0.5)
+        total += np.bincount(flat, weights=fx, minlength=nq * nd)
+        hits += np.bincount(flat, minlength=nq * nd)
+        lo = hi
+    return (total / scale).reshape(nq, nd), hits.reshape(nq, nd) > 0
+
+
+def _stats_kernel(scale: float):
+    def run(pdf):
+        po = pdf[pdf["kind"].to_numpy() == 2]
+        qt = pdf[pdf["kind"].to_numpy() == 3]
+        qids = np.unique(qt["id"].to_numpy()).astype(np.int64)
+        dids = np.unique(po["id"].to_numpy()).astype(np.int64)
+        if len(qids) == 0 or len(dids) == 0:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                                 "mx": pd.Series([], dtype="float64"),
+                                 "mn0": pd.Series([], dtype="float64"),
+                                 "hits": pd.Series([], dtype="int64")})
+        s, h = _lexical_block(qids, dids, qt, po, scale)
+        n = h.sum(axis=1)
+        mx = np.where(h, s, -np.inf).max(axis=1)
+        mn = np.where(h, s, np.inf).min(axis=1)
+        ok = n > 0
+        return pd.DataFrame({"query_id": qids[ok], "mx": mx[ok], "mn0": mn[ok],
+                             "hits": n[ok].astype("int64")})
+    return run
+
+
+def _fuse_kernel(k: int, w_cos: float, w_lex: float, scale: float):
+    def run(_key, vec, lex):
+        kinds = vec["kind"].to_numpy()
+        docs, qs = vec[kinds == 0], vec[kinds == 1]
+        if len(docs) == 0 or len(qs) == 0:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                                 "doc_id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
+        qids = qs["id"].to_numpy(dtype=np.int64)
+        dids = docs["id"].to_numpy(dtype=np.int64)
+        if w_cos != 0:
+            out = (_unit_rows(qs["v"]) @ _unit_rows(docs["v"]).T) * w_cos
+        else:
+            out = np.zeros((len(qids), len(dids)))
+        if w_lex != 0 and len(lex):
+            lk = lex["kind"].to_numpy()
+            s, h = _lexical_block(qids, dids, lex[lk == 3], lex[lk == 2], scale)
+            # per-query statistics travel on the query rows
+            mx = qs["mx"].to_numpy(dtype=np.float64)[:, None]
+            mn = qs["mn"].to_numpy(dtype=np.float64)[:, None]
+            span = mx - mn
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bn = np.where(span > 0, (s - mn) / span, 0.0)
+            out[h] += w_lex * bn[h]
+        return _group_topk(qids, dids, out, k)
+    return run
+
+
+def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
+                w_cos: float = 0.5, w_lex: float = 0.5, query_key: str = "query_id",
+                doc_key: str = "doc_id", vec: str = "v", query_fields=("diff", "ast_seq"),
+                n_queries: int | None = None, stats_bounded: bool = True,
+                q_rows: int = Q_ROWS, d_rows: int = D_ROWS) -> DataFrame:
+    """Exact top ``k`` per query by ``w_cos * cosine + w_lex * minmax(BM25)`` with the
+    lexical part computed inside the blocks (W4 at scale).
+
+    Spark computes the weights -- ``qtf * idf`` per query term and the scaled document
+    factor per posting, as in ``lexical.match_postings`` -- and shuffles them into
+    ``(query block, document bucket)`` groups. Pass A sums BM25 per group and emits
+    per-query maximum, minimum and hit count; Spark combines them per query. Pass B
+    cogroups the vectors (with the statistics on the query rows) and the weights,
+    normalises, adds the cosine part and emits the group's top ``k``. No table of
+    query x document scores is ever formed as rows, written or shuffled; scores equal
+    the join path bit for bit.
+    """
+    from diffsieve.operators.lexical import B, K1, SCORE_SCALE, query_terms, term_key
+
+    spark = queries.sparkSession
+    nq = n_queries if n_queries is not None else queries.count()
+    nd = index.n_corpus
+    qb, db = _layout(spark, nq, nd, q_rows, d_rows)
+    g = qb * db
+    qblk = F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")
+    dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
+    all_q = F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q_block")
+    all_d = F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket")
+    key = term_key(index)
+
+    qt = query_terms(queries, query_key, query_fields)
+    lex_q, lex_d = [], []
+    for f in index.fields:
+        n, avgdl = index.stats[f]
+        if n == 0:
+            continue
+        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        lex_q.append(qt.join(index.terms.where(F.col("field") == f), "term")
+                     .select(F.lit(3).alias("kind"), F.col("query_id").alias("id"),
+                             key.alias("key"), (F.col("qtf") * idf).alias("w")))
+        norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
+        lex_d.append(index.postings.where(F.col("field") == f)
+                     .select(F.lit(2).alias("kind"), F.col("doc_id").alias("id"), key.alias("key"),
+                             (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("w")))
+
+    def union(parts):
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    qv = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"))
+    use_lex = w_lex != 0 and bool(lex_q)
+    if use_lex:
+        lex_rows = (union(lex_d).select("kind", "id", "key", "w", dbkt.alias("d_bucket"), all_q)
+                    .unionByName(union(lex_q).select("kind", "id", "key", "w",
+                                                     qblk.alias("q_block"), all_d))
+                    .repartition(g, "q_block", "d_bucket"))
+        stats = (lex_rows.groupBy("q_block", "d_bucket")
+                 .applyInPandas(_stats_kernel(SCORE_SCALE), STATS_SCHEMA)
+                 .groupBy("query_id")
+                 .agg(F.max("mx").alias("mx"), F.min("mn0").alias("mn0"), F.sum("hits").alias("hits"))
+                 .select(F.col("query_id").alias("id"), "mx",
+                         F.when(F.col("hits") < F.lit(nd), F.lit(0.0)).otherwise(F.col("mn0")).alias("mn")))
+        qv = qv.join(F.broadcast(stats) if stats_bounded else stats, "id", "left")
+    else:
+        lex_rows = spark.createDataFrame([], "kind int, id long, key long, w double, "
+                                             "q_block int, d_bucket int")
+        qv = qv.withColumn("mx", F.lit(None).cast("double")).withColumn("mn", F.lit(None).cast("double"))
+    # a query without any hit has an all-zero lexical row
+    qv = qv.na.fill(0.0, subset=["mx", "mn"])
+    nul = F.lit(None).cast("double")
+    dv = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"))
+    vecs = (dv.select(F.lit(0).alias("kind"), "id", "v", nul.alias("mx"), nul.alias("mn"),
+                      dbkt.alias("d_bucket"), all_q)
+            .unionByName(qv.select(F.lit(1).alias("kind"), "id", "v", "mx", "mn",
+                                   qblk.alias("q_block"), all_d))
+            .repartition(g, "q_block", "d_bucket"))
+    cand = (vecs.groupBy("q_block", "d_bucket")
+            .cogroup(lex_rows.groupBy("q_block", "d_bucket"))
+            .applyInPandas(_fuse_kernel(k, w_cos, w_lex, SCORE_SCALE), CAND_SCHEMA))
+    return top_k(cand, k)

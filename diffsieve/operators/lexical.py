@@ -28,6 +28,24 @@ BROADCAST_ROWS = 1_000_000
 SALT_ROWS = 1_000_000
 
 
+def term_key(index) -> "F.Column":
+    """A join key for ``(field, term)`` inside the block kernels.
+
+    ``xxhash64(field, term)`` when it is unique over the index vocabulary (checked
+    exactly, once per index, by one aggregate over the term table); otherwise the text
+    ``field|term`` (terms never contain ``|``). Query terms outside the vocabulary are
+    dropped by their join with the term table first, so uniqueness over the
+    vocabulary is all that exactness needs.
+    """
+    if index.hash_unique is None:
+        r = index.terms.agg(F.count(F.lit(1)).alias("n"),
+                            F.countDistinct(F.xxhash64("field", "term")).alias("u")).first()
+        index.hash_unique = r["n"] == r["u"]
+    if index.hash_unique:
+        return F.xxhash64("field", "term")
+    return F.concat(F.col("field"), F.lit("|"), F.col("term"))
+
+
 def _salt_rows(index) -> int:
     return getattr(index, "salt_rows", SALT_ROWS)
 
@@ -49,6 +67,7 @@ class LexicalIndex:
     min_key: int | None
     fields: tuple
     salt_rows: int = SALT_ROWS
+    hash_unique: bool | None = None
 
 
 def _doc_tokens(corpus: DataFrame, key: str, fields) -> DataFrame:

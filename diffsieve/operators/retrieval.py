@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffsieve.functions.text import require_columns
-from diffsieve.operators.dense import block_topk
+from diffsieve.operators.dense import block_topk, hybrid_topk
 from diffsieve.operators.lexical import LexicalIndex, bm25_scores, build_index
 from diffsieve.operators.rank import (DIGITS, lookup_payload, minmax_normalize,
                                       pick_with_exclusion, top_k)
@@ -49,12 +49,15 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
                     w_cos: float = 0.5, w_lex: float = 0.5,
                     index: LexicalIndex | None = None, query_key: str = "query_id",
                     vec: str = "v", fields=("diff",), query_fields=("diff", "ast_seq"),
-                    payload=("diff", "ast_seq", "message")) -> DataFrame:
+                    payload=("diff", "ast_seq", "message"), lexical: str = "block") -> DataFrame:
     """Hybrid retrieval: ``w_cos * cosine + w_lex * minmax(BM25)`` over the whole
     corpus, top ``k`` per query, rank-1 self match skipped, payload attached (W4).
 
     ``w_lex = 0`` gives pure cosine retrieval and ``w_cos = 0`` pure normalised BM25
-    over the dense row (the reference's single-signal modes).
+    over the dense row (the reference's single-signal modes). ``lexical='block'``
+    (default) computes BM25 inside the similarity blocks, so no query x document table
+    exists; ``lexical='join'`` computes the sparse BM25 table by joins, writes it once
+    and feeds it to the blocks. Both give the same scores.
     """
     if w_cos == 0 and w_lex == 0:
         raise ValueError("at least one of cosine or bm25 must be used")
@@ -63,14 +66,19 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     idx = index or build_index(corpus, fields=fields)
     nq = queries.count()
     bounded = nq <= BROADCAST_QUERIES
-    sparse = None
-    if w_lex != 0:
-        # the hits feed both the per-query statistics and the fused scores: written
-        # once instead of joined twice
-        lex = materialize(bm25_scores(idx, queries, query_key, query_fields), "bm25")
-        sparse = minmax_normalize(lex, idx.n_corpus, broadcast_stats=bounded)
-    top = block_topk(queries, corpus, k, query_key=query_key, vec=vec, w_cos=w_cos,
-                     sparse=sparse, w_sparse=w_lex, n_queries=nq, n_docs=idx.n_corpus)
+    if lexical == "block":
+        top = hybrid_topk(idx, queries, corpus, k, w_cos=w_cos, w_lex=w_lex,
+                          query_key=query_key, vec=vec, query_fields=query_fields,
+                          n_queries=nq, stats_bounded=bounded)
+    else:
+        sparse = None
+        if w_lex != 0:
+            # the hits feed both the per-query statistics and the fused scores: written
+            # once instead of joined twice
+            lex = materialize(bm25_scores(idx, queries, query_key, query_fields), "bm25")
+            sparse = minmax_normalize(lex, idx.n_corpus, broadcast_stats=bounded)
+        top = block_topk(queries, corpus, k, query_key=query_key, vec=vec, w_cos=w_cos,
+                         sparse=sparse, w_sparse=w_lex, n_queries=nq, n_docs=idx.n_corpus)
     picks = pick_with_exclusion(top, queries, corpus, query_key=query_key,
                                 queries_bounded=bounded)
     out = lookup_payload(picks, corpus, payload, picks_bounded=bounded)

@@ -119,7 +119,8 @@ FROM y LEFT JOIN labels l ON l.doc_id = y.doc_id""")
 def q_lookup_payload(spark, sf):
     c, q, idx = _bench_index(spark, sf)
     top = rank.top_k(lexical.bm25_scores(idx, q), 2)
-    picks = rank.pick_with_exclusion(top, q, c, fallback_key=idx.min_key, queries_bounded=True)
+    bounded = q.count() <= retrieval.BROADCAST_QUERIES
+    picks = rank.pick_with_exclusion(top, q, c, fallback_key=idx.min_key, queries_bounded=bounded)
     labels = T.table(spark, sf, "labels")
     # labels cover only some documents: the payload is a left join from the picks.
     return (picks.select("query_id", "doc_id")
@@ -548,7 +549,7 @@ def q_profile(spark, sf):
     _, q, idx = _bench_index(spark, sf)
     from diffsieve.session import materialize
     bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
-    p = dense.profile_similarity(bn, q, batch_size=32)
+    p = dense.profile_similarity(bn, q, batch_size=32, n_docs=idx.n_corpus)
     return p.withColumn("sim", F.round("sim", 6))
 
 

@@ -136,3 +136,33 @@ def test_salted_and_shuffled_paths_equal(spark):
 
 def test_idf_formula():
     assert math.isclose(lexical.idf_value(4, 1), math.log(1 + 3.5 / 1.5))
+
+
+def test_hybrid_block_and_join_paths_equal(spark):
+    from diffsieve.sources import tables as T
+    c = T.corpus(spark, "/root/testdata/sf0.001")
+    q = c.select(F.col("doc_id").alias("query_id"), "diff", "ast_seq", "v")
+    idx = lexical.build_index(c)
+    want = {(r.query_id, r.doc_id, r.score, r.same_key) for r in
+            retrieval.retrieve_hybrid(c, q, index=idx, lexical="join").collect()}
+    for qr, dr in [(512, 2048), (7, 40)]:
+        top = dense.hybrid_topk(idx, q, c, 2, q_rows=qr, d_rows=dr)
+        ref = dense.block_topk(q, c, 2, w_cos=0.5, w_sparse=0.5, n_docs=idx.n_corpus, q_rows=qr,
+                               d_rows=dr, sparse=rank.minmax_normalize(lexical.bm25_scores(idx, q),
+                                                                       idx.n_corpus))
+        a = {(r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in top.collect()}
+        b = {(r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in ref.collect()}
+        assert a == b
+    got = {(r.query_id, r.doc_id, r.score, r.same_key) for r in
+           retrieval.retrieve_hybrid(c, q, index=idx).collect()}
+    assert got == want
+
+
+def test_hybrid_salted_index_same_result(spark):
+    from diffsieve.sources import tables as T
+    c = T.corpus(spark, "/root/testdata/sf0.001")
+    q = c.select(F.col("doc_id").alias("query_id"), "diff", "ast_seq", "v")
+    base = {(r.query_id, r.doc_id) for r in retrieval.retrieve_hybrid(c, q).collect()}
+    salted = lexical.build_index(c, salt_rows=5)
+    assert {(r.query_id, r.doc_id) for r in
+            retrieval.retrieve_hybrid(c, q, index=salted).collect()} == base
