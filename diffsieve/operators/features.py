@@ -27,13 +27,18 @@ def hash_features(df: DataFrame, text: str, dim: int = 64, key: str = "doc_id",
                   out: str = "v") -> DataFrame:
     """L2-normalised hashed token counts of a text column (F2): ``(key, out)``.
 
-    Tokens are exploded and counted per ``(key, bucket)`` (partial aggregate before the
-    shuffle), then gathered per row into a dense ``array<float>`` of width ``dim``; at
+    Rows are hash-partitioned by key once; every later aggregate -- term counts per
+    row, bucket counts per row, the dense vector per row -- then runs inside the
+    partition that holds the row (hash(key) satisfies each grouping), so no
+    token-level data is shuffled. Each distinct (row, term) is hashed once, and at
     most ``dim`` entries are gathered per row. Rows without tokens get a zero vector.
     """
-    toks = df.select(F.col(key), F.explode(tokenize(null_to_empty(text))).alias("term"))
-    counts = (toks.select(key, term_bucket(F.col("term"), dim).alias("b"))
-              .groupBy(key, "b").agg(F.count(F.lit(1)).alias("n")))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, text).repartition(n, key)
+    terms = (rows.select(key, F.explode(tokenize(null_to_empty(text))).alias("term"))
+             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")))
+    counts = (terms.select(key, term_bucket(F.col("term"), dim).alias("b"), "n")
+              .groupBy(key, "b").agg(F.sum("n").alias("n")))
     per_row = counts.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"),
         F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
@@ -42,7 +47,7 @@ def hash_features(df: DataFrame, text: str, dim: int = 64, key: str = "doc_id",
                         .cast("float"))
     vec = per_row.select(key, dense.alias(out))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return (df.select(key).join(vec, key, "left")
+    return (rows.select(key).join(vec, key, "left")
             .select(key, F.coalesce(F.col(out), zero).alias(out)))
 
 
