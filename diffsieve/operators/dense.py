@@ -191,7 +191,7 @@ def profile_similarity(scores: DataFrame, queries: DataFrame, batch_size: int =
     spark = scores.sparkSession
     if n_docs is None:
         n_docs = scores.select("doc_id").distinct().count()
-    nb = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / d_rows))
+    nb = max(default_parallelism(spark), math.ceil(n_docs / d_rows))
     batch = F.floor(F.col("query_id") / F.lit(batch_size))
     s = (scores.where(F.col("score") != 0)
          .select(F.col("query_id").cast("long").alias("query_id"),

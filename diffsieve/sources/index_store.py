@@ -26,12 +26,19 @@ def fingerprint(corpus: DataFrame, key: str, fields) -> str:
     return f"{r['n']}:{r['s']}"
 
 
+def _exists(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _read(spark, path: str):
+    if not _exists(spark, path + "/meta/_SUCCESS"):
+        return None
     try:
-        meta = spark.read.parquet(path + "/meta").first()
+        return spark.read.parquet(path + "/meta").first()
     except AnalysisException:
         return None
-    return meta
 
 
 def build_index_tables(corpus: DataFrame, path: str, key: str = "doc_id", fields=("diff",),
