@@ -58,3 +58,14 @@ def same_patch_key(a: str | Column, b: str | Column) -> Column:
 def truncate_tokens(tokens: str | Column, n: int = MAX_TOKENS) -> Column:
     """Keep at most ``n`` leading tokens of an array column."""
     return F.slice(_col(tokens), 1, n)
+
+
+def patch_key_hashes(c: str | Column) -> tuple[Column, Column, Column]:
+    """Identity of a patch key as two 64-bit hashes plus a non-empty flag.
+
+    Used to compare keys where the texts themselves are not at hand (inside the
+    similarity blocks); two keys are taken as equal when both hashes agree.
+    """
+    k = patch_key(c)
+    return (F.xxhash64(k).alias("pk1"), F.xxhash64(F.concat(k, F.lit("#"))).alias("pk2"),
+            (k != F.lit("")).alias("pk_set"))

@@ -69,6 +69,20 @@ def _group_topk(qids: np.ndarray, dids: np.ndarray, s: np.ndarray, k: int) -> pd
                          "score": v.astype("float64")})
 
 
+def _mask_identical(out: np.ndarray, qs: pd.DataFrame, docs: pd.DataFrame) -> None:
+    """Set pairs whose document carries the query's own (non-empty) patch key to -inf."""
+    if "pk1" not in qs.columns:
+        return
+    same = ((qs["pk1"].to_numpy()[:, None] == docs["pk1"].to_numpy()[None, :])
+            & (qs["pk2"].to_numpy()[:, None] == docs["pk2"].to_numpy()[None, :])
+            & qs["pk_set"].to_numpy(dtype=bool)[:, None])
+    out[same] = -np.inf
+
+
+def _drop_excluded(top: pd.DataFrame) -> pd.DataFrame:
+    return top[np.isfinite(top["score"].to_numpy())]
+
+
 def _kernel(k: int, w_cos: float, w_sparse: float):
     def run(_key, vec, sparse):
         docs = vec[vec["side"] == 0]
@@ -88,13 +102,21 @@ def _kernel(k: int, w_cos: float, w_sparse: float):
             ok = (qi >= 0) & (di >= 0)
             # (query, doc) pairs are unique in a score table: plain fancy-index add
             s[qi[ok], di[ok]] += w_sparse * sparse["score"].to_numpy()[ok]
-        return _group_topk(qids, dids, s, k)
+        _mask_identical(s, qs, docs)
+        return _drop_excluded(_group_topk(qids, dids, s, k))
     return run
 
 
 MIN_PAIRS = 250_000
 
 
+def _identity(text: str | None) -> list:
+    if not text:
+        return []
+    from diffsieve.functions.text import patch_key_hashes
+    return list(patch_key_hashes(text))
+
+
 def _layout(spark, nq: int, nd: int, q_rows: int, d_rows: int):
     """Query blocks ``qb`` and document buckets ``db``.
 
@@ -117,26 +139,32 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
                query_key: str = "query_id", doc_key: str = "doc_id", vec: str = "v",
                w_cos: float = 1.0, sparse: DataFrame | None = None, w_sparse: float = 0.0,
                n_queries: int | None = None, n_docs: int | None = None,
-               q_rows: int = Q_ROWS, d_rows: int = D_ROWS) -> DataFrame:
+               q_rows: int = Q_ROWS, d_rows: int = D_ROWS,
+               exclude_identical: str | None = None) -> DataFrame:
     """Exact top ``k`` corpus rows per query by ``w_cos * cosine + w_sparse * sparse``.
 
     Returns ``(query_id, doc_id, score, rank)``. Every corpus row is scored against
     every query (rows absent from ``sparse`` contribute 0 there); ties go to the
-    smaller ``doc_id``. Zero or null vectors have cosine 0.
+    smaller ``doc_id``. Zero or null vectors have cosine 0. With
+    ``exclude_identical`` naming a text column of both tables, corpus rows with the
+    query's own non-empty patch key are never candidates.
     """
     spark = queries.sparkSession
     nq = n_queries if n_queries is not None else queries.count()
     nd = n_docs if n_docs is not None else corpus.count()
     qb, db = _layout(spark, nq, nd, q_rows, d_rows)
 
-    qv = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"))
-    dv = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"))
+    qv = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"),
+                        *_identity(exclude_identical))
+    dv = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"),
+                       *_identity(exclude_identical))
     qblk = F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")
     dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
-    vecs = (dv.select(F.lit(0).alias("side"), "id", "v", dbkt.alias("d_bucket"),
+    ident = ["pk1", "pk2", "pk_set"] if exclude_identical else []
+    vecs = (dv.select(F.lit(0).alias("side"), "id", "v", *ident, dbkt.alias("d_bucket"),
                       F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q_block"))
             .unionByName(
-                qv.select(F.lit(1).alias("side"), "id", "v", qblk.alias("q_block"),
+                qv.select(F.lit(1).alias("side"), "id", "v", *ident, qblk.alias("q_block"),
                           F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket"))))
     if sparse is None:
         sparse = spark.createDataFrame([], "query_id long, doc_id long, score double")
@@ -310,7 +338,8 @@ def _fuse_kernel(k: int, w_cos: float, w_lex: float, scale: float):
             with np.errstate(divide="ignore", invalid="ignore"):
                 bn = np.where(span > 0, (s - mn) / span, 0.0)
             out[h] += w_lex * bn[h]
-        return _group_topk(qids, dids, out, k)
+        _mask_identical(out, qs, docs)
+        return _drop_excluded(_group_topk(qids, dids, out, k))
     return run
 
 
@@ -318,9 +347,11 @@ def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
                 w_cos: float = 0.5, w_lex: float = 0.5, query_key: str = "query_id",
                 doc_key: str = "doc_id", vec: str = "v", query_fields=("diff", "ast_seq"),
                 n_queries: int | None = None, stats_bounded: bool = True,
-                q_rows: int = Q_ROWS, d_rows: int = D_ROWS) -> DataFrame:
+                q_rows: int = Q_ROWS, d_rows: int = D_ROWS,
+                exclude_identical: str | None = None) -> DataFrame:
     """Exact top ``k`` per query by ``w_cos * cosine + w_lex * minmax(BM25)`` with the
-    lexical part computed inside the blocks (W4 at scale).
+    lexical part computed inside the blocks (W4 at scale). ``exclude_identical`` as in
+    ``block_topk``.
 
     Spark computes the weights -- ``qtf * idf`` per query term and the scaled document
     factor per posting, as in ``lexical.match_postings`` -- and shuffles them into
@@ -365,7 +396,8 @@ def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
             out = out.unionByName(p)
         return out
 
-    qv = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"))
+    qv = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"),
+                        *_identity(exclude_identical))
     use_lex = w_lex != 0 and bool(lex_q)
     if use_lex:
         lex_rows = (union(lex_d).select("kind", "id", "key", "w", dbkt.alias("d_bucket"), all_q)
@@ -386,10 +418,12 @@ def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
     # a query without any hit has an all-zero lexical row
     qv = qv.na.fill(0.0, subset=["mx", "mn"])
     nul = F.lit(None).cast("double")
-    dv = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"))
-    vecs = (dv.select(F.lit(0).alias("kind"), "id", "v", nul.alias("mx"), nul.alias("mn"),
+    dv = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"),
+                       *_identity(exclude_identical))
+    ident = ["pk1", "pk2", "pk_set"] if exclude_identical else []
+    vecs = (dv.select(F.lit(0).alias("kind"), "id", "v", *ident, nul.alias("mx"), nul.alias("mn"),
                       dbkt.alias("d_bucket"), all_q)
-            .unionByName(qv.select(F.lit(1).alias("kind"), "id", "v", "mx", "mn",
+            .unionByName(qv.select(F.lit(1).alias("kind"), "id", "v", *ident, "mx", "mn",
                                    qblk.alias("q_block"), all_d))
             .repartition(g, "q_block", "d_bucket"))
     cand = (vecs.groupBy("q_block", "d_bucket")

@@ -138,3 +138,31 @@ def same_key_count(picks: DataFrame) -> DataFrame:
     """``(same_key_count, total)``: how many queries had a rank-1 self match."""
     return picks.agg(F.sum(F.col("same_key").cast("long")).alias("same_key_count"),
                      F.count(F.lit(1)).alias("total"))
+
+
+def pick_first_distinct(top: DataFrame, queries: DataFrame, corpus: DataFrame,
+                        query_key: str = "query_id", doc_key: str = "doc_id",
+                        text: str = "diff", fallback_key=None,
+                        queries_bounded: bool = False) -> DataFrame:
+    """Rank 1 of a candidate list from which every row carrying the query's own patch
+    key was already removed (W3, ``mode='all'``).
+
+    ``same_key`` tells whether the corpus holds a row with the query's non-empty patch
+    key at all (such rows were skipped): the query keys are broadcast when bounded and
+    the corpus is streamed past them once. Output as ``pick_with_exclusion``.
+    """
+    from diffsieve.functions.text import patch_key_hashes
+
+    first = top.where(F.col("rank") == 1).select("query_id", F.col("doc_id").alias("id1"),
+                                                  F.col("score").alias("s1"))
+    qk = queries.select(F.col(query_key).cast("long").alias("query_id"), *patch_key_hashes(text))
+    ck = corpus.select(*patch_key_hashes(F.col(text))[:2])
+    hit = (ck.join(F.broadcast(qk.where("pk_set")) if queries_bounded else qk.where("pk_set"),
+                   ["pk1", "pk2"])
+           .select("query_id").distinct().withColumn("same_key", F.lit(True)))
+    r = (qk.select("query_id").join(first, "query_id", "left")
+         .join(hit, "query_id", "left"))
+    fb = F.col("id1").isNull()
+    doc = F.col("id1") if fallback_key is None else F.coalesce("id1", F.lit(fallback_key))
+    return r.select("query_id", doc.alias("doc_id"), doc.alias("rank1_id"), F.col("s1").alias("score"),
+                    F.coalesce("same_key", F.lit(False)).alias("same_key"), fb.alias("is_fallback"))

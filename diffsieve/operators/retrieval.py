@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from diffsieve.functions.text import require_columns
 from diffsieve.operators.dense import block_topk, hybrid_topk
 from diffsieve.operators.lexical import LexicalIndex, bm25_scores, build_index
+from diffsieve.functions.text import patch_key_hashes
 from diffsieve.operators.rank import (DIGITS, lookup_payload, minmax_normalize,
-                                      pick_with_exclusion, top_k)
+                                      pick_first_distinct, pick_with_exclusion, top_k)
 from diffsieve.session import materialize
 
 # A query table up to this many rows (counted first) is broadcast into the joins that
@@ -26,11 +27,13 @@ def _prepare_queries(queries: DataFrame, query_key: str, fields) -> DataFrame:
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
               index: LexicalIndex | None = None, query_key: str = "query_id",
               fields=("diff",), query_fields=("diff", "ast_seq"),
-              payload=("diff", "message")) -> DataFrame:
+              payload=("diff", "message"), mode: str = "second") -> DataFrame:
     """Lexical retrieval with the reference's fallback and self-match rules.
 
     Ranks 1 and 2 by BM25; a missing rank falls back to the smallest corpus key;
-    a rank-1 row with the query's own patch key is replaced by rank 2. Output:
+    a rank-1 row with the query's own patch key is replaced by rank 2
+    (``mode='second'``, as the reference does), or every row with that key is removed
+    before ranking (``mode='all'``). Output:
     ``(query_id, doc_id, rank1_id, score, same_key, is_fallback, retrieved_*)``.
     """
     queries = _prepare_queries(queries, query_key, query_fields)
@@ -38,18 +41,41 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     idx = index or build_index(corpus, fields=fields)
     bounded = queries.count() <= BROADCAST_QUERIES
     lex = bm25_scores(idx, queries, query_key, query_fields)
-    top = top_k(lex, k)
-    picks = pick_with_exclusion(top, queries, corpus, query_key=query_key,
-                                fallback_key=idx.min_key, queries_bounded=bounded)
+    if mode == "all":
+        lex = _drop_identical(lex, queries, corpus, query_key, idx.n_corpus, bounded)
+        picks = pick_first_distinct(top_k(lex, 1), queries, corpus, query_key=query_key,
+                                    fallback_key=idx.min_key, queries_bounded=bounded)
+    else:
+        picks = pick_with_exclusion(top_k(lex, k), queries, corpus, query_key=query_key,
+                                    fallback_key=idx.min_key, queries_bounded=bounded)
     out = lookup_payload(picks, corpus, payload, picks_bounded=bounded)
     return out.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS))
 
 
+# A corpus identity table (doc key + two hashes, 24 bytes a row) up to this many rows
+# is broadcast into the hits; above it the hits are joined by document key.
+BROADCAST_DOCS = 1_000_000
+
+
+def _drop_identical(hits: DataFrame, queries: DataFrame, corpus: DataFrame, query_key: str,
+                    n_corpus: int, queries_bounded: bool) -> DataFrame:
+    """Hits without the pairs whose document has the query's own non-empty patch key."""
+    dk = corpus.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       *[c.alias("d" + n) for c, n in zip(patch_key_hashes("diff")[:2], ("pk1", "pk2"))])
+    qk = queries.select(F.col(query_key).cast("long").alias("query_id"),
+                        *[c.alias("q" + n) for c, n in zip(patch_key_hashes("diff"), ("pk1", "pk2", "set"))])
+    h = hits.join(F.broadcast(dk) if n_corpus <= BROADCAST_DOCS else dk, "doc_id")
+    h = h.join(F.broadcast(qk) if queries_bounded else qk, "query_id")
+    same = (F.col("dpk1") == F.col("qpk1")) & (F.col("dpk2") == F.col("qpk2")) & F.col("qset")
+    return h.where(~same).select("query_id", "doc_id", "score")
+
+
 def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
                     w_cos: float = 0.5, w_lex: float = 0.5,
                     index: LexicalIndex | None = None, query_key: str = "query_id",
                     vec: str = "v", fields=("diff",), query_fields=("diff", "ast_seq"),
-                    payload=("diff", "ast_seq", "message"), lexical: str = "block") -> DataFrame:
+                    payload=("diff", "ast_seq", "message"), lexical: str = "block",
+                    mode: str = "second") -> DataFrame:
     """Hybrid retrieval: ``w_cos * cosine + w_lex * minmax(BM25)`` over the whole
     corpus, top ``k`` per query, rank-1 self match skipped, payload attached (W4).
 
@@ -57,7 +83,9 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     over the dense row (the reference's single-signal modes). ``lexical='block'``
     (default) computes BM25 inside the similarity blocks, so no query x document table
     exists; ``lexical='join'`` computes the sparse BM25 table by joins, writes it once
-    and feeds it to the blocks. Both give the same scores.
+    and feeds it to the blocks. Both give the same scores. ``mode='second'`` skips a
+    rank-1 self match as the reference does; ``mode='all'`` removes every corpus row
+    with the query's own patch key before ranking.
     """
     if w_cos == 0 and w_lex == 0:
         raise ValueError("at least one of cosine or bm25 must be used")
@@ -66,10 +94,11 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     idx = index or build_index(corpus, fields=fields)
     nq = queries.count()
     bounded = nq <= BROADCAST_QUERIES
+    excl = "diff" if mode == "all" else None
     if lexical == "block":
         top = hybrid_topk(idx, queries, corpus, k, w_cos=w_cos, w_lex=w_lex,
                           query_key=query_key, vec=vec, query_fields=query_fields,
-                          n_queries=nq, stats_bounded=bounded)
+                          n_queries=nq, stats_bounded=bounded, exclude_identical=excl)
     else:
         sparse = None
         if w_lex != 0:
@@ -78,8 +107,13 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
             lex = materialize(bm25_scores(idx, queries, query_key, query_fields), "bm25")
             sparse = minmax_normalize(lex, idx.n_corpus, broadcast_stats=bounded)
         top = block_topk(queries, corpus, k, query_key=query_key, vec=vec, w_cos=w_cos,
-                         sparse=sparse, w_sparse=w_lex, n_queries=nq, n_docs=idx.n_corpus)
-    picks = pick_with_exclusion(top, queries, corpus, query_key=query_key,
-                                queries_bounded=bounded)
+                         sparse=sparse, w_sparse=w_lex, n_queries=nq, n_docs=idx.n_corpus,
+                         exclude_identical=excl)
+    if mode == "all":
+        picks = pick_first_distinct(top, queries, corpus, query_key=query_key,
+                                    queries_bounded=bounded)
+    else:
+        picks = pick_with_exclusion(top, queries, corpus, query_key=query_key,
+                                    queries_bounded=bounded)
     out = lookup_payload(picks, corpus, payload, picks_bounded=bounded)
     return out.withColumn("score", F.round("score", DIGITS))

@@ -608,3 +608,51 @@ def q_write_splits(spark, sf):
     path = shared_dir(spark, "splits")
     FS.write_splits(q_split_exact(spark, sf), path)
     return spark.read.parquet(path).select("doc_id", F.col("split").cast("string"))
+
+
+# ------------------------------------------------ exclusion of every identical row
+
+_HYBRID_ALL = f"""
+WITH c AS ({S.CORPUS}), q AS (SELECT doc_id AS query_id, diff, ast_seq, v FROM c),
+{S.bm25_ctes()},
+sc AS (SELECT query_id, doc_id, fx / {S.SCALE} AS score FROM s),
+mm AS (SELECT query_id, max(score) AS mx,
+              CASE WHEN count(*) < (SELECT n_rows FROM st) THEN 0.0 ELSE min(score) END AS mn
+       FROM sc GROUP BY query_id),
+bn AS (SELECT query_id, doc_id,
+              CASE WHEN mx - mn > 0 THEN (score - mn) / (mx - mn) ELSE 0.0 END AS b
+       FROM sc JOIN mm USING (query_id)),
+f AS (SELECT q.query_id, d.doc_id, 0.5 * {S.cos('q.v', 'd.v')} + 0.5 * coalesce(bn.b, 0.0) AS score
+      FROM q CROSS JOIN c d LEFT JOIN bn ON bn.query_id = q.query_id AND bn.doc_id = d.doc_id
+      WHERE NOT ({S.pk('d.diff')} = {S.pk('q.diff')} AND {S.pk('q.diff')} <> '')),
+r AS (SELECT query_id, doc_id, score,
+             row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM f),
+same AS (SELECT DISTINCT q.query_id FROM q JOIN c d ON {S.pk('d.diff')} = {S.pk('q.diff')}
+         WHERE {S.pk('q.diff')} <> '')"""
+
+
+@register("exclude_all_identical", _HYBRID_ALL + """
+SELECT q.query_id, r.doc_id, r.doc_id AS rank1_id, round(r.score, 6) AS score,
+       same.query_id IS NOT NULL AS same_key
+FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.rk = 1
+LEFT JOIN same ON same.query_id = q.query_id""")
+def q_exclude_all(spark, sf):
+    c = T.corpus(spark, sf)
+    r = retrieval.retrieve_hybrid(c, _self_queries(c), mode="all")
+    return r.select("query_id", "doc_id", "rank1_id", "score", "same_key")
+
+
+@register("bm25_topk_exclude_all", f"""
+WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()},
+kept AS (SELECT s.query_id, s.doc_id, s.fx FROM s
+         JOIN c d ON d.doc_id = s.doc_id JOIN q ON q.query_id = s.query_id
+         WHERE NOT ({S.pk('d.diff')} = {S.pk('q.diff')} AND {S.pk('q.diff')} <> '')),
+r AS (SELECT query_id, doc_id, fx / {S.SCALE} AS score,
+             row_number() OVER (PARTITION BY query_id ORDER BY fx DESC, doc_id) AS rk FROM kept)
+SELECT q.query_id, coalesce(r.doc_id, (SELECT min(doc_id) FROM c)) AS doc_id,
+       round(coalesce(r.score, 0.0), 6) AS score, r.doc_id IS NULL AS is_fallback
+FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.rk = 1""")
+def q_bm25_all(spark, sf):
+    c, q, idx = _bench_index(spark, sf)
+    r = retrieval.bm25_topk(c, q, index=idx, mode="all")
+    return r.select("query_id", "doc_id", "score", "is_fallback")

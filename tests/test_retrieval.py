@@ -166,3 +166,19 @@ def test_hybrid_salted_index_same_result(spark):
     salted = lexical.build_index(c, salt_rows=5)
     assert {(r.query_id, r.doc_id) for r in
             retrieval.retrieve_hybrid(c, q, index=salted).collect()} == base
+
+
+def test_mode_all_skips_every_copy(spark):
+    # doc 0..2 are copies (same patch key); docs 3.. differ
+    rows = [(i, "diff\n+++ b/p\nsame words here", [1.0, 0.0]) for i in range(3)]
+    rows += [(i, f"diff\n+++ b/q{i}\nsame words there", [0.9, 0.1 * i]) for i in range(3, 8)]
+    c = spark.createDataFrame([(i, d, "", v, f"m{i}") for i, d, v in rows],
+                              "doc_id long, diff string, ast_seq string, v array<float>, message string")
+    q = c.where("doc_id = 0").select(F.col("doc_id").alias("query_id"), "diff", "ast_seq", "v")
+    second = retrieval.retrieve_hybrid(c, q).first()
+    assert second.same_key and second.doc_id in (1, 2)  # rank 2 is another copy
+    for lex in ("block", "join"):
+        every = retrieval.retrieve_hybrid(c, q, mode="all", lexical=lex).first()
+        assert every.same_key and every.doc_id >= 3
+    lexical_all = retrieval.bm25_topk(c, q, mode="all").first()
+    assert lexical_all.doc_id >= 3 and lexical_all.same_key
