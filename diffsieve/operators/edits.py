@@ -98,6 +98,10 @@ def render(ops, a, b) -> str:
     return "".join(t + " " for t in out)
 
 
+# Marker row of a pair whose script needs more than ``max_edits`` edits (quarantine).
+TOO_MANY = "!"
+
+
 def _edits_kernel(old: str, new: str, key: str, max_edits):
     def fn(batches):
         for pdf in batches:
@@ -105,7 +109,13 @@ def _edits_kernel(old: str, new: str, key: str, max_edits):
             for pid, a, b in zip(pdf[key], pdf[old], pdf[new]):
                 a = [] if a is None else list(a)
                 b = [] if b is None else list(b)
-                for pos, (op, i, j) in enumerate(shortest_edit(a, b, max_edits)):
+                try:
+                    ops = shortest_edit(a, b, max_edits)
+                except ValueError as e:
+                    for c, v in zip(rows, (pid, -1, TOO_MANY, str(e), None, None)):
+                        rows[c].append(v)
+                    continue
+                for pos, (op, i, j) in enumerate(ops):
                     rows["pair_id"].append(pid)
                     rows["pos"].append(pos)
                     rows["op"].append(op)
@@ -123,7 +133,9 @@ def edit_script(pairs: DataFrame, old: str = "old_seq", new: str = "new_seq",
     """Long edits table of every pair (Q2).
 
     Pairs are spread by a hash of their key, so long pairs do not pile up in one task;
-    the kernel's cost per pair grows with ``(n + m) * edits``.
+    the kernel's cost per pair grows with ``(n + m) * edits``. With ``max_edits`` set,
+    a pair needing more edits gets one row with ``op = '!'`` instead of a script (see
+    ``edit_quarantine``); by default every pair gets its whole script.
     """
     p = pairs.select(F.col(key).cast("long").alias(key), old, new)
     n = p.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -131,6 +143,13 @@ def edit_script(pairs: DataFrame, old: str = "old_seq", new: str = "new_seq",
     return p.mapInPandas(_edits_kernel(old, new, key, max_edits), EDIT_SCHEMA)
 
 
+def edit_quarantine(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split an edits table into ``(scripts, quarantined pairs with their reason)``."""
+    bad = edits.where(F.col("op") == TOO_MANY)
+    return (edits.where(F.col("op") != TOO_MANY),
+            bad.select("pair_id", F.col("token").alias("reason")))
+
+
 def render_edit_script(edits: DataFrame, pairs: DataFrame | None = None,
                        key: str = "pair_id") -> DataFrame:
     """``(pair_id, ast_seq)``: the script as text, trailing blank kept (Q3).

@@ -88,3 +88,11 @@ def test_keep_list(spark):
     df = spark.createDataFrame([("<html><body><p>x</p><div></div></body></html>",)], "h string")
     r = df.select(structure_seq("h", keep=["p", "div"]).alias("s")).first().s
     assert r == ["p", "div"]
+
+
+def test_max_edits_quarantine(spark):
+    pairs = spark.createDataFrame([(1, list("abc"), list("abd")), (2, list("abcdef"), list("uvwxyz"))],
+                                  "pair_id long, old_seq array<string>, new_seq array<string>")
+    good, bad = ED.edit_quarantine(ED.edit_script(pairs, max_edits=3))
+    assert [r.pair_id for r in bad.collect()] == [2]
+    assert {r.pair_id for r in good.collect()} == {1}

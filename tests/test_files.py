@@ -78,3 +78,21 @@ def test_augment_stream(spark, tmp):
     augment_stream(stream, lookup, tmp + "/res", tmp + "/ck")
     res = spark.read.parquet(tmp + "/res")
     assert sorted(r.query_id for r in res.collect()) == [1, 2]
+
+
+def test_augment_stream_with_hybrid_lookup(spark, tmp):
+    from diffsieve.operators import lexical, retrieval
+    from diffsieve.sources import tables as T
+    c = T.corpus(spark, "/root/testdata/sf0.001")
+    idx = lexical.build_index(c)
+    qdir = tmp + "/queries"
+    c.select(F.col("doc_id").alias("query_id"), "diff", "ast_seq", "v").write.parquet(qdir)
+    stream = spark.readStream.schema(spark.read.parquet(qdir).schema).parquet(qdir)
+
+    def lookup(batch):
+        return retrieval.retrieve_hybrid(c, batch, index=idx).select("query_id", "doc_id", "same_key")
+    augment_stream(stream, lookup, tmp + "/res", tmp + "/ck")
+    got = {(r.query_id, r.doc_id) for r in spark.read.parquet(tmp + "/res").collect()}
+    want = {(r.query_id, r.doc_id) for r in retrieval.retrieve_hybrid(
+        c, c.select(F.col("doc_id").alias("query_id"), "diff", "ast_seq", "v"), index=idx).collect()}
+    assert got == want
