@@ -177,8 +177,9 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
     # One partition per group, fixed: AQE would merge these small shuffle partitions
     # and run the numpy kernels of many groups one after another in a single task.
     g = qb * db
-    vecs = vecs.repartition(g, "q_block", "d_bucket")
-    sp = sp.repartition(g, "q_block", "d_bucket")
+    if g > 1:
+        vecs = vecs.repartition(g, "q_block", "d_bucket")
+        sp = sp.repartition(g, "q_block", "d_bucket")
     cand = (vecs.groupBy("q_block", "d_bucket")
             .cogroup(sp.groupBy("q_block", "d_bucket"))
             .applyInPandas(_kernel(k, w_cos, w_sparse), CAND_SCHEMA))
@@ -402,8 +403,9 @@ def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
     if use_lex:
         lex_rows = (union(lex_d).select("kind", "id", "key", "w", dbkt.alias("d_bucket"), all_q)
                     .unionByName(union(lex_q).select("kind", "id", "key", "w",
-                                                     qblk.alias("q_block"), all_d))
-                    .repartition(g, "q_block", "d_bucket"))
+                                                     qblk.alias("q_block"), all_d)))
+        if g > 1:
+            lex_rows = lex_rows.repartition(g, "q_block", "d_bucket")
         stats = (lex_rows.groupBy("q_block", "d_bucket")
                  .applyInPandas(_stats_kernel(SCORE_SCALE), STATS_SCHEMA)
                  .groupBy("query_id")
@@ -424,8 +426,9 @@ def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
     vecs = (dv.select(F.lit(0).alias("kind"), "id", "v", *ident, nul.alias("mx"), nul.alias("mn"),
                       dbkt.alias("d_bucket"), all_q)
             .unionByName(qv.select(F.lit(1).alias("kind"), "id", "v", *ident, "mx", "mn",
-                                   qblk.alias("q_block"), all_d))
-            .repartition(g, "q_block", "d_bucket"))
+                                   qblk.alias("q_block"), all_d)))
+    if g > 1:
+        vecs = vecs.repartition(g, "q_block", "d_bucket")
     cand = (vecs.groupBy("q_block", "d_bucket")
             .cogroup(lex_rows.groupBy("q_block", "d_bucket"))
             .applyInPandas(_fuse_kernel(k, w_cos, w_lex, SCORE_SCALE), CAND_SCHEMA))

@@ -41,14 +41,18 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     idx = index or build_index(corpus, fields=fields)
     bounded = queries.count() <= BROADCAST_QUERIES
     lex = bm25_scores(idx, queries, query_key, query_fields)
+    # the k best rows per query and the picks are small (k rows / one row per query) and
+    # each is read by two joins: written once so that no branch recomputes the scoring
     if mode == "all":
         lex = _drop_identical(lex, queries, corpus, query_key, idx.n_corpus, bounded)
-        picks = pick_first_distinct(top_k(lex, 1), queries, corpus, query_key=query_key,
-                                    fallback_key=idx.min_key, queries_bounded=bounded)
+        picks = pick_first_distinct(materialize(top_k(lex, 1), "topk"), queries, corpus,
+                                    query_key=query_key, fallback_key=idx.min_key,
+                                    queries_bounded=bounded)
     else:
-        picks = pick_with_exclusion(top_k(lex, k), queries, corpus, query_key=query_key,
-                                    fallback_key=idx.min_key, queries_bounded=bounded)
-    out = lookup_payload(picks, corpus, payload, picks_bounded=bounded)
+        picks = pick_with_exclusion(materialize(top_k(lex, k), "topk"), queries, corpus,
+                                    query_key=query_key, fallback_key=idx.min_key,
+                                    queries_bounded=bounded)
+    out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
     return out.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS))
 
 
@@ -109,11 +113,14 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
         top = block_topk(queries, corpus, k, query_key=query_key, vec=vec, w_cos=w_cos,
                          sparse=sparse, w_sparse=w_lex, n_queries=nq, n_docs=idx.n_corpus,
                          exclude_identical=excl)
+    # the k best rows per query and the picks are small and each feeds two joins:
+    # written once so that no branch recomputes the similarity blocks
+    top = materialize(top, "topk")
     if mode == "all":
         picks = pick_first_distinct(top, queries, corpus, query_key=query_key,
                                     queries_bounded=bounded)
     else:
         picks = pick_with_exclusion(top, queries, corpus, query_key=query_key,
                                     queries_bounded=bounded)
-    out = lookup_payload(picks, corpus, payload, picks_bounded=bounded)
+    out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
     return out.withColumn("score", F.round("score", DIGITS))
