@@ -182,3 +182,25 @@ def test_mode_all_skips_every_copy(spark):
         assert every.same_key and every.doc_id >= 3
     lexical_all = retrieval.bm25_topk(c, q, mode="all").first()
     assert lexical_all.doc_id >= 3 and lexical_all.same_key
+
+
+def test_index_tables_reuse_and_rebuild(spark, tmp):
+    from diffsieve.sources.index_store import build_index_tables
+    c, _q = _frames(spark)
+    a = build_index_tables(c, tmp + "/idx")
+    files = sorted(spark.read.parquet(tmp + "/idx/tf").inputFiles())
+    b = build_index_tables(c, tmp + "/idx")  # same corpus: tables reused, not rewritten
+    assert sorted(spark.read.parquet(tmp + "/idx/tf").inputFiles()) == files
+    assert b.stats == a.stats and b.n_corpus == 4
+    changed = c.union(c.where("doc_id = 3").withColumn("doc_id", F.lit(9).cast("long")))
+    d = build_index_tables(changed, tmp + "/idx")  # fingerprint differs: rebuilt
+    assert d.n_corpus == 5
+
+
+def test_two_field_index(spark):
+    c, q = _frames(spark)
+    one = _dense(lexical.bm25_scores(lexical.build_index(c, fields=("diff",)), q))
+    two = _dense(lexical.bm25_scores(lexical.build_index(c, fields=("diff", "ast_seq")), q))
+    # "ast1" only matches the ast_seq field of key 0: the second field adds to that score
+    assert two[0][0] > one[0][0]
+    assert round(two[1][1], 6) > round(one[1][1], 6)
