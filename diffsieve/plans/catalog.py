@@ -656,3 +656,34 @@ def q_bm25_all(spark, sf):
     c, q, idx = _bench_index(spark, sf)
     r = retrieval.bm25_topk(c, q, index=idx, mode="all")
     return r.select("query_id", "doc_id", "score", "is_fallback")
+
+
+# --------------------------------------------- edit scripts checked value by value
+
+_SEQ_PAIRS = S.PAGE_SEQ_PAIRS
+
+
+@register("edit_script_table", f"SELECT * FROM ({S.edits_sql(_SEQ_PAIRS)})")
+def q_edit_script_table(spark, sf):
+    return ED.edit_script(_page_seq_pairs(spark, sf))
+
+
+@register("render_edit_script_text", S.rendered_sql(_SEQ_PAIRS))
+def q_render_text(spark, sf):
+    pairs = _page_seq_pairs(spark, sf)
+    return ED.render_edit_script(ED.edit_script(pairs), pairs)
+
+
+@register("changed_positions_lists", f"""
+SELECT pair_id,
+       coalesce(list(old_idx ORDER BY old_idx) FILTER (WHERE op = '-'), []::INTEGER[]) AS removed,
+       coalesce(list(new_idx ORDER BY new_idx) FILTER (WHERE op = '+'), []::INTEGER[]) AS added
+FROM ({S.edits_sql(_SEQ_PAIRS)}) GROUP BY pair_id""")
+def q_changed_lists(spark, sf):
+    return ED.changed_positions(ED.edit_script(_page_seq_pairs(spark, sf)))
+
+
+@register("diff_versions_text", S.rendered_sql(_SEQ_PAIRS))
+def q_diff_versions_text(spark, sf):
+    from diffsieve.plans.diffjob import diff_versions
+    return diff_versions(T.page_pairs(spark, sf), "old_html", "new_html", key="pair_id")

@@ -130,3 +130,105 @@ LEFT JOIN (SELECT {key}, sqrt(sum(n * n)) AS nr FROM (
                FROM (SELECT {key}, unnest({tok(text)}) AS term FROM {source}))
              GROUP BY {key}, b) GROUP BY {key}) nr ON nr.{key} = k.{key}
 GROUP BY k.{key}"""
+
+
+# ------------------------------------------------------------ edit scripts
+
+def snake(x, y):
+    """Position reached from (x, y) along equal tokens of lists ``a``, ``b`` (lengths n, m)."""
+    L = f"greatest(0, least(n - ({x}), m - ({y})))"
+    return (f"(({x}) + coalesce(list_position(list_transform(range(0, {L}), "
+            f"lambda i: a[({x}) + i + 1] = b[({y}) + i + 1]), false) - 1, {L}))")
+
+
+def edits_sql(pairs_sql):
+    """The edits table ``(pair_id, pos, op, token, old_idx, new_idx)`` of the pairs
+    ``(pair_id, a, b)``: the same greedy diagonal search and tie rule as the Spark
+    kernel, as a recursive CTE over the edit depth (frontier as a list of segments),
+    then a back-trace over parent links."""
+    return f"""
+WITH RECURSIVE
+pp AS (SELECT pair_id, a, b, len(a) AS n, len(b) AS m FROM ({pairs_sql})),
+s0 AS (SELECT pair_id, a, b, n, m, {snake('0', '0')} AS x0 FROM pp),
+it(pair_id, a, b, n, m, d, segs, front, win) AS (
+  SELECT pair_id, a, b, n, m, 0,
+         [{{'kind': 0, 'sx': 0, 'sy': 0, 'ex': x0, 'ey': x0, 'par': 0}}],
+         [1],
+         CASE WHEN x0 = n AND x0 = m THEN {{'kind': 0, 'sx': 0, 'sy': 0, 'ex': x0, 'ey': x0, 'par': 0}} END
+  FROM s0
+  UNION ALL
+  SELECT pair_id, a, b, n, m, d, list_concat(segs, list_transform(c3, lambda c: c.ch)),
+         list_transform(range(1, len(c3) + 1), lambda i: len(segs) + i),
+         CASE WHEN fk IS NULL THEN NULL
+              WHEN c3[fk].ins_fin THEN c3[fk].ins ELSE c3[fk].rem END
+  FROM (
+    SELECT *, list_position(list_transform(c3, lambda c: c.ins_fin OR c.rem_fin), true) AS fk
+    FROM (
+      SELECT pair_id, a, b, n, m, d, segs, front,
+             list_transform(c2, lambda c: {{
+               'ins': c.ins, 'rem': c.rem,
+               'ins_fin': coalesce(c.ins.ex = n AND c.ins.ey = m, false),
+               'rem_fin': coalesce(c.rem.ex = n AND c.rem.ey = m, false),
+               'ch': CASE WHEN c.ins IS NULL THEN c.rem WHEN c.rem IS NULL THEN c.ins
+                          WHEN c.rem.ex > c.ins.ex THEN c.rem ELSE c.ins END}}) AS c3
+      FROM (
+        SELECT pair_id, a, b, n, m, d, segs, front,
+               list_transform(c1, lambda c: {{
+                 'ins': CASE WHEN c.ins IS NULL THEN NULL ELSE {{
+                    'kind': 1, 'sx': c.ins.sx, 'sy': c.ins.sy,
+                    'ex': {snake('c.ins.sx', 'c.ins.sy')},
+                    'ey': {snake('c.ins.sx', 'c.ins.sy')} - c.ins.sx + c.ins.sy,
+                    'par': c.ins.par}} END,
+                 'rem': CASE WHEN c.rem IS NULL THEN NULL ELSE {{
+                    'kind': 2, 'sx': c.rem.sx, 'sy': c.rem.sy,
+                    'ex': {snake('c.rem.sx', 'c.rem.sy')},
+                    'ey': {snake('c.rem.sx', 'c.rem.sy')} - c.rem.sx + c.rem.sy,
+                    'par': c.rem.par}} END}}) AS c2
+        FROM (
+          SELECT pair_id, a, b, n, m, d + 1 AS d, segs, front,
+                 list_transform(range(d + 1, -(d + 1) - 1, -2), lambda k: {{
+                   'ins': CASE WHEN k + 1 <= d THEN {{
+                      'sx': segs[front[(d - (k + 1)) // 2 + 1]].ex,
+                      'sy': segs[front[(d - (k + 1)) // 2 + 1]].ey + 1,
+                      'par': front[(d - (k + 1)) // 2 + 1]}} END,
+                   'rem': CASE WHEN k - 1 >= -d THEN {{
+                      'sx': segs[front[(d - (k - 1)) // 2 + 1]].ex + 1,
+                      'sy': segs[front[(d - (k - 1)) // 2 + 1]].ey,
+                      'par': front[(d - (k - 1)) // 2 + 1]}} END}}) AS c1
+          FROM it WHERE win IS NULL
+        ) t1
+      ) t2
+    ) t3
+  ) t4
+),
+fin AS (SELECT pair_id, a, b, segs, win FROM it WHERE win IS NOT NULL),
+bt(pair_id, a, b, segs, seg, lvl) AS (
+  SELECT pair_id, a, b, segs, win, 0 FROM fin
+  UNION ALL
+  SELECT pair_id, a, b, segs, segs[seg.par], lvl + 1 FROM bt WHERE seg.par > 0
+),
+ops AS (
+  SELECT pair_id, lvl, 0 AS t,
+         CASE seg.kind WHEN 1 THEN '+' ELSE '-' END AS op,
+         CASE seg.kind WHEN 1 THEN b[seg.sy] ELSE a[seg.sx] END AS token,
+         CASE seg.kind WHEN 2 THEN seg.sx - 1 END AS old_idx,
+         CASE seg.kind WHEN 1 THEN seg.sy - 1 END AS new_idx
+  FROM bt WHERE seg.kind > 0
+  UNION ALL
+  SELECT pair_id, lvl, t + 1 AS t, '=' AS op, a[seg.sx + t + 1] AS token,
+         seg.sx + t AS old_idx, seg.sy + t AS new_idx
+  FROM (SELECT pair_id, lvl, seg, a, unnest(range(0, seg.ex - seg.sx)) AS t FROM bt)
+)
+SELECT pair_id,
+       CAST(row_number() OVER (PARTITION BY pair_id ORDER BY lvl DESC, t) - 1 AS INTEGER) AS pos,
+       op, token, CAST(old_idx AS INTEGER) AS old_idx, CAST(new_idx AS INTEGER) AS new_idx
+FROM ops"""
+
+
+def rendered_sql(pairs_sql):
+    """``(pair_id, ast_seq)``: the script text of every pair, '' for a pair without rows."""
+    return f"""
+WITH e AS ({edits_sql(pairs_sql)})
+SELECT p.pair_id, coalesce(string_agg(CASE e.op WHEN '=' THEN e.token ELSE e.op || e.token END || ' ',
+                                      '' ORDER BY e.pos), '') AS ast_seq
+FROM ({pairs_sql}) p LEFT JOIN e USING (pair_id) GROUP BY p.pair_id"""

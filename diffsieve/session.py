@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,10 +54,8 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
         base = tempfile.mkdtemp(prefix="diffsieve-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    path = base.rstrip("/") + "/" + (name or "work") + "-" + uuid.uuid4().hex[:12]
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
-    return path
+    # the writers that use this folder create it on whatever file system it lives
+    return base.rstrip("/") + "/" + (name or "work") + "-" + uuid.uuid4().hex[:12]
 
 
 def default_parallelism(spark: SparkSession) -> int:
