@@ -187,7 +187,6 @@ def q_hybrid(spark, sf):
 @register("exclude_self_match", _HYBRID_PICKS + """
 SELECT query_id, doc_id, rank1_id, same_key FROM y""")
 def q_exclude(spark, sf):
-    c = T.corpus(spark, sf)
     return q_hybrid(spark, sf).select("query_id", "doc_id", "rank1_id", "same_key")
 
 

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from diffsieve.functions.vectors import check_width, fuse_channel_sequences, parse_vector_text
 
 # FIXTURES.md 2.4
