@@ -686,3 +686,37 @@ def q_changed_lists(spark, sf):
 def q_diff_versions_text(spark, sf):
     from diffsieve.plans.diffjob import diff_versions
     return diff_versions(T.page_pairs(spark, sf), "old_html", "new_html", key="pair_id")
+
+
+# ------------------------------------------------------------ streaming, checked
+
+from diffsieve.streaming.ingest import augment_stream, ingest_incremental  # noqa: E402
+
+
+@register("ingest_incremental", f"SELECT project, commit_id, diff, message FROM ({S.COMMITS})")
+def q_ingest(spark, sf):
+    # the commit view lands as project folders of CSV; one availableNow run ingests it
+    src, out, ck = (shared_dir(spark, n) for n in ("ingest-src", "ingest-out", "ingest-ck"))
+    FS.write_by_project(T.commits(spark, sf).select("project", "commit_id", "diff", "message"),
+                        src, fmt="csv", mode="overwrite")
+    ingest_incremental(spark, src, out, ck, layout="partitioned")
+    return spark.read.parquet(out).select(F.col("project").cast("string"), "commit_id", "diff",
+                                          "message")
+
+
+@register("augment_stream", _HYBRID_PICKS + """
+SELECT y.query_id, y.doc_id, y.rank1_id, round(y.score0, 6) AS score, y.same_key,
+       y.is_fallback, d.diff AS retrieved_diff, d.ast_seq AS retrieved_ast_seq,
+       d.message AS retrieved_message
+FROM y LEFT JOIN c d ON d.doc_id = y.doc_id""")
+def q_augment_stream(spark, sf):
+    # queries arrive as four files, one micro-batch each; the corpus and its index are
+    # the static side of every batch
+    c = T.corpus(spark, sf)
+    idx = lexical.build_index(c)
+    qdir, out, ck = (shared_dir(spark, n) for n in ("stream-q", "stream-out", "stream-ck"))
+    _self_queries(c).repartition(4).write.parquet(qdir)
+    stream = (spark.readStream.schema(spark.read.parquet(qdir).schema)
+              .option("maxFilesPerTrigger", 1).parquet(qdir))
+    augment_stream(stream, lambda b: retrieval.retrieve_hybrid(c, b, index=idx), out, ck)
+    return spark.read.parquet(out).drop("batch_id")

@@ -20,17 +20,26 @@ def commit_schema(columns=COMMIT_COLUMNS) -> T.StructType:
 
 def ingest_incremental(spark: SparkSession, src: str, out: str, checkpoint: str,
                        schema: T.StructType | None = None, keep=COMMIT_COLUMNS,
-                       fmt: str = "parquet") -> int:
+                       fmt: str = "parquet", layout: str = "reference") -> int:
     """Process the commit files under ``src`` that earlier runs have not seen.
 
     Runs one ``availableNow`` micro-batch sequence and returns the number of rows
     written. ``schema`` lists the files' columns in file order (CSV headers are not
     used to name columns in a stream); ``keep`` are the columns written, plus
-    ``project`` from the file name.
+    ``project`` -- from the file name (``layout='reference'``, files
+    ``<project>_commits.csv``) or from ``project=<name>/`` folders
+    (``layout='partitioned'``, as ``write_by_project`` writes them).
     """
-    stream = (spark.readStream.options(**CSV_OPTIONS).option("pathGlobFilter", "*" + COMMIT_SUFFIX)
-              .schema(schema or commit_schema()).csv(src)
-              .select(project_from_file(F.col("_metadata.file_name")).alias("project"), *keep))
+    if layout == "partitioned":
+        sch = T.StructType(list((schema or commit_schema()).fields)
+                           + [T.StructField("project", T.StringType())])
+        stream = (spark.readStream.options(**CSV_OPTIONS).schema(sch).csv(src)
+                  .select("project", *keep))
+    else:
+        stream = (spark.readStream.options(**CSV_OPTIONS)
+                  .option("pathGlobFilter", "*" + COMMIT_SUFFIX)
+                  .schema(schema or commit_schema()).csv(src)
+                  .select(project_from_file(F.col("_metadata.file_name")).alias("project"), *keep))
     q = (stream.writeStream.format(fmt).partitionBy("project")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
     q.awaitTermination()
