@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from diffsieve.session import materialize
+
 SPLIT_NAMES = ("train", "valid", "test", "corpus")
 # Groups of the exact split: the first HASH_GROUP_CHARS hex digits of the row hash
 # (20 bits), so the per-group count table has at most 2**20 rows.
@@ -116,13 +118,16 @@ def _assign_by_groups(rows: DataFrame, group, within: list, sizes: Sequence[int]
         raise ValueError("split sizes must be non-negative")
     bounds = [sum(sizes[:i + 1]) for i in range(3)]
     g = rows.withColumn("_g", group)
-    counts = g.groupBy("_g").agg(F.count(F.lit(1)).alias("_cnt"))
+    run = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    # the count table (one row per group) is written once: both branches below and the
+    # size check read it instead of recounting the rows
+    counts = materialize(
+        g.groupBy("_g").agg(F.count(F.lit(1)).alias("_cnt"))
+        .withColumn("_before", F.coalesce(F.sum("_cnt").over(run), F.lit(0))), "split-counts")
     stats = counts.agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("groups")).first()
     total = int(stats["n"] or 0)
     if total < bounds[2]:
         raise ValueError(f"too few rows for the split: {total} < {bounds[2]}")
-    run = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(run), F.lit(0)))
     counts = (counts.withColumn("_first", _split_of(F.col("_before") + 1, bounds))
               .withColumn("_last", _split_of(F.col("_before") + F.col("_cnt"), bounds)))
     if int(stats["groups"]) <= BROADCAST_GROUPS:
