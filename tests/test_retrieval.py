@@ -204,3 +204,17 @@ def test_two_field_index(spark):
     # "ast1" only matches the ast_seq field of key 0: the second field adds to that score
     assert two[0][0] > one[0][0]
     assert round(two[1][1], 6) > round(one[1][1], 6)
+
+
+def test_edge_cases_empty_and_null(spark):
+    c, q = _frames(spark)
+    empty_q = q.limit(0)
+    assert retrieval.retrieve_hybrid(c, empty_q).count() == 0
+    assert retrieval.bm25_topk(c, empty_q).count() == 0
+    # an empty corpus: every query gets a row without a match
+    r = retrieval.retrieve_hybrid(c.limit(0), q).collect()
+    assert len(r) == 3 and all(x.doc_id is None for x in r)
+    # null vectors score cosine 0 instead of failing
+    cn = c.withColumn("v", F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.col("v")))
+    got = {x.query_id: x.doc_id for x in retrieval.retrieve_hybrid(cn, q, w_lex=0).collect()}
+    assert got[2] in (1, 2)
