@@ -433,3 +433,68 @@ def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
             .cogroup(lex_rows.groupBy("q_block", "d_bucket"))
             .applyInPandas(_fuse_kernel(k, w_cos, w_lex, SCORE_SCALE), CAND_SCHEMA))
     return top_k(cand, k)
+
+
+# ------------------------------------------------- profile similarity of cosine rows
+
+def _cos_gram_kernel(batch_size: int):
+    def run(pdf):
+        kinds = pdf["kind"].to_numpy()
+        docs, qs = pdf[kinds == 0], pdf[kinds == 1]
+        if len(docs) == 0 or len(qs) == 0:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                                 "other_id": pd.Series([], dtype="int64"),
+                                 "dot": pd.Series([], dtype="float64")})
+        qids = qs["id"].to_numpy(dtype=np.int64)
+        c = _unit_rows(qs["v"]) @ _unit_rows(docs["v"]).T
+        batch = qids // batch_size
+        out_q, out_o, out_d = [], [], []
+        for b in np.unique(batch):
+            sel = np.nonzero(batch == b)[0]
+            g = c[sel] @ c[sel].T
+            i, j = np.meshgrid(np.arange(len(sel)), np.arange(len(sel)), indexing="ij")
+            out_q.append(qids[sel][i.ravel()])
+            out_o.append(qids[sel][j.ravel()])
+            out_d.append(g.ravel())
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "other_id": np.concatenate(out_o),
+                             "dot": np.concatenate(out_d)})
+    return run
+
+
+def cosine_profile(queries: DataFrame, corpus: DataFrame, batch_size: int = 32, *,
+                   query_key: str = "query_id", doc_key: str = "doc_id", vec: str = "v",
+                   n_queries: int | None = None, n_docs: int | None = None,
+                   q_rows: int = Q_ROWS, d_rows: int = D_ROWS) -> DataFrame:
+    """A6 on the cosine matrix: cosine similarity between the query x corpus cosine rows
+    of queries in the same batch (``query_id div batch_size``).
+
+    The cosine rows are dense, so they are never formed as rows: query blocks hold whole
+    batches (``q_rows // batch_size`` of them), corpus rows are hashed into buckets,
+    every group computes its cosine block and the partial Gram matrix of each batch,
+    and Spark sums the partials over buckets. Output ``(query_id, other_id, sim)``.
+    """
+    spark = queries.sparkSession
+    nq = n_queries if n_queries is not None else queries.count()
+    nd = n_docs if n_docs is not None else corpus.count()
+    per_block = max(1, q_rows // batch_size)
+    qb, db = _layout(spark, nq, nd, per_block * batch_size, d_rows)
+    q = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"))
+    d = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"))
+    # whole batches per block; blocks in key order
+    qblk = F.floor(F.floor(F.col("id") / F.lit(batch_size)) / F.lit(per_block)).cast("int")
+    dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
+    n_blocks = max(1, math.ceil(nq / (per_block * batch_size)))
+    rows = (d.select(F.lit(0).alias("kind"), "id", "v", dbkt.alias("d_bucket"),
+                     F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("q_block"))
+            .unionByName(q.select(F.lit(1).alias("kind"), "id", "v", qblk.alias("q_block"),
+                                  F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket"))))
+    dots = (rows.groupBy("q_block", "d_bucket")
+            .applyInPandas(_cos_gram_kernel(batch_size), GRAM_SCHEMA)
+            .groupBy("query_id", "other_id").agg(F.sum("dot").alias("dot")))
+    nrm = dots.where(F.col("query_id") == F.col("other_id")).select("query_id", F.sqrt("dot").alias("n1"))
+    r = (dots.join(F.broadcast(nrm) if nq <= 2_000_000 else nrm, "query_id")
+         .join((F.broadcast(nrm) if nq <= 2_000_000 else nrm)
+               .select(F.col("query_id").alias("other_id"), F.col("n1").alias("n2")), "other_id"))
+    ok = (F.col("n1") > 0) & (F.col("n2") > 0)
+    return r.select("query_id", "other_id",
+                    F.when(ok, F.col("dot") / (F.col("n1") * F.col("n2"))).otherwise(F.lit(0.0)).alias("sim"))

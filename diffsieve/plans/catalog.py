@@ -720,3 +720,51 @@ def q_augment_stream(spark, sf):
               .option("maxFilesPerTrigger", 1).parquet(qdir))
     augment_stream(stream, lambda b: retrieval.retrieve_hybrid(c, b, index=idx), out, ck)
     return spark.read.parquet(out).drop("batch_id")
+
+
+# -------------------------------- the reference's per-batch Q x Q mixing
+
+_COS_PROFILE_SQL = f"""
+cs AS (SELECT q.query_id, d.doc_id, {S.cos('q.v', 'd.v')} AS x FROM q CROSS JOIN c d),
+cd AS (SELECT a.query_id, b.query_id AS other_id, sum(a.x * b.x) AS dot
+       FROM cs a JOIN cs b ON a.doc_id = b.doc_id AND a.query_id // 32 = b.query_id // 32
+       GROUP BY a.query_id, b.query_id),
+cn AS (SELECT query_id, sqrt(dot) AS nr FROM cd WHERE query_id = other_id),
+cp AS (SELECT cd.query_id, cd.other_id,
+              CASE WHEN n1.nr > 0 AND n2.nr > 0 THEN dot / (n1.nr * n2.nr) ELSE 0.0 END AS sim
+       FROM cd JOIN cn n1 ON n1.query_id = cd.query_id JOIN cn n2 ON n2.query_id = cd.other_id)"""
+
+
+@register("cosine_profile", f"""
+WITH c AS ({S.CORPUS}), q AS (SELECT doc_id AS query_id, v FROM c), {_COS_PROFILE_SQL}
+SELECT query_id, other_id, round(sim, 6) AS sim FROM cp""")
+def q_cosine_profile(spark, sf):
+    c = T.corpus(spark, sf)
+    p = dense.cosine_profile(_self_queries(c), c, 32)
+    return p.withColumn("sim", F.round("sim", 6))
+
+
+@register("mixed_profile", _HYBRID_BASE + "," + _COS_PROFILE_SQL + """,
+bd AS (SELECT x.query_id, y.query_id AS other_id, sum(x.b * y.b) AS dot
+       FROM bn x JOIN bn y ON x.doc_id = y.doc_id AND x.query_id // 32 = y.query_id // 32
+       GROUP BY x.query_id, y.query_id),
+bnr AS (SELECT query_id, sqrt(sum(b * b)) AS nr FROM bn GROUP BY query_id),
+bp AS (SELECT a.query_id, b.query_id AS other_id,
+              CASE WHEN coalesce(n1.nr, 0) > 0 AND coalesce(n2.nr, 0) > 0
+                   THEN coalesce(bd.dot, 0) / (n1.nr * n2.nr) ELSE 0.0 END AS sim
+       FROM q a JOIN q b ON a.query_id // 32 = b.query_id // 32
+       LEFT JOIN bd ON bd.query_id = a.query_id AND bd.other_id = b.query_id
+       LEFT JOIN bnr n1 ON n1.query_id = a.query_id LEFT JOIN bnr n2 ON n2.query_id = b.query_id)
+SELECT cp.query_id, cp.other_id, round(0.5 * cp.sim + 0.5 * bp.sim, 6) AS sim
+FROM cp JOIN bp USING (query_id, other_id)""")
+def q_mixed_profile(spark, sf):
+    from diffsieve.session import materialize
+    c = T.corpus(spark, sf)
+    q = _self_queries(c)
+    idx = lexical.build_index(c)
+    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
+    lex = dense.profile_similarity(bn, q, 32, n_docs=idx.n_corpus).withColumnRenamed("sim", "ls")
+    cos = dense.cosine_profile(q, c, 32, n_docs=idx.n_corpus).withColumnRenamed("sim", "cs")
+    m = cos.join(lex, ["query_id", "other_id"])
+    return m.select("query_id", "other_id",
+                    F.round(F.lit(0.5) * F.col("cs") + F.lit(0.5) * F.col("ls"), 6).alias("sim"))

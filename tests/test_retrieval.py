@@ -218,3 +218,26 @@ def test_edge_cases_empty_and_null(spark):
     cn = c.withColumn("v", F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.col("v")))
     got = {x.query_id: x.doc_id for x in retrieval.retrieve_hybrid(cn, q, w_lex=0).collect()}
     assert got[2] in (1, 2)
+
+
+def test_cosine_profile_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    dv = {i: rng.normal(size=6) for i in range(90)}
+    qv = {i: rng.normal(size=6) for i in range(70)}
+    qv[5] = np.zeros(6)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in dv.items()], "doc_id long, v array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in qv.items()], "query_id long, v array<double>")
+
+    def unit(x):
+        n = np.linalg.norm(x)
+        return x / n if n else x
+    D = np.array([unit(dv[i]) for i in range(90)])
+    C = {i: D @ unit(qv[i]) for i in qv}
+    for qr, dr in [(512, 2048), (64, 20)]:
+        got = {(r.query_id, r.other_id): r.sim for r in
+               dense.cosine_profile(q, c, 32, q_rows=qr, d_rows=dr).collect()}
+        assert len(got) == 32 * 32 * 2 + 6 * 6
+        for (a, b), s in got.items():
+            x, y = C[a], C[b]
+            want = float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))) if x.any() and y.any() else 0.0
+            assert abs(s - want) < 1e-9
