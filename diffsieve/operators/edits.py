@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 EDIT_SCHEMA = ("pair_id long, pos int, op string, token string, old_idx int, new_idx int")
 
 
+def _edit_schema(key_type: str) -> str:
+    return f"pair_id {key_type}, pos int, op string, token string, old_idx int, new_idx int"
+
+
 def shortest_edit(a: list, b: list, max_edits: int | None = None):
     """Shortest edit script of ``a`` into ``b`` as a list of ``(op, i, j)``.
 
@@ -123,8 +127,7 @@ def _edits_kernel(old: str, new: str, key: str, max_edits):
                     rows["old_idx"].append(i)
                     rows["new_idx"].append(j)
             out = pd.DataFrame(rows)
-            yield out.astype({"pair_id": "int64", "pos": "int32", "old_idx": "Int32",
-                              "new_idx": "Int32"})
+            yield out.astype({"pos": "int32", "old_idx": "Int32", "new_idx": "Int32"})
     return fn
 
 
@@ -137,10 +140,11 @@ def edit_script(pairs: DataFrame, old: str = "old_seq", new: str = "new_seq",
     a pair needing more edits gets one row with ``op = '!'`` instead of a script (see
     ``edit_quarantine``); by default every pair gets its whole script.
     """
-    p = pairs.select(F.col(key).cast("long").alias(key), old, new)
+    p = pairs.select(key, old, new)
+    key_type = p.schema[key].dataType.simpleString()
     n = p.sparkSession.conf.get("spark.sql.shuffle.partitions")
     p = p.repartition(int(n), F.xxhash64(key))
-    return p.mapInPandas(_edits_kernel(old, new, key, max_edits), EDIT_SCHEMA)
+    return p.mapInPandas(_edits_kernel(old, new, key, max_edits), _edit_schema(key_type))
 
 
 def edit_quarantine(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,7 +166,7 @@ def render_edit_script(edits: DataFrame, pairs: DataFrame | None = None,
          .select("pair_id", F.concat(F.array_join(F.transform("ws", lambda s: s["w"]), " "),
                                      F.lit(" ")).alias("ast_seq")))
     if pairs is not None:
-        ids = pairs.select(F.col(key).cast("long").alias("pair_id"))
+        ids = pairs.select(F.col(key).alias("pair_id"))
         r = ids.join(r, "pair_id", "left").na.fill("", subset=["ast_seq"])
     return r
 
