@@ -127,18 +127,30 @@ def build_index(corpus: DataFrame, key: str = "doc_id", fields=("diff",),
      .write.mode("overwrite").parquet(path + "/terms"))
     terms = spark.read.parquet(path + "/terms")
 
-    per_field = {r["field"]: r for r in
-                 tf.groupBy("field").agg(F.countDistinct("doc_id").alias("n_docs"),
-                                         F.sum("tf").alias("total")).collect()}
-    rows = corpus.agg(F.count(F.lit(1)).alias("n"), F.min(F.col(key).cast("long")).alias("k")).first()
+    # all statistics in one job: per-field document count and length, corpus rows and
+    # smallest key, and whether xxhash64(field, term) is unique over the vocabulary
+    nul_s = F.lit(None).cast("string")
+    parts = (tf.groupBy("field").agg(F.countDistinct("doc_id").alias("a"), F.sum("tf").alias("b"))
+             .select(F.lit("field").alias("what"), "field", "a", "b")
+             .unionByName(corpus.agg(F.count(F.lit(1)).alias("a"),
+                                     F.min(F.col(key).cast("long")).alias("b"))
+                          .select(F.lit("corpus").alias("what"), nul_s.alias("field"), "a", "b"))
+             .unionByName(terms.agg(F.count(F.lit(1)).alias("a"),
+                                    F.countDistinct(F.xxhash64("field", "term")).alias("b"))
+                          .select(F.lit("terms").alias("what"), nul_s.alias("field"), "a", "b"))
+             .collect())
+    per_field = {r["field"]: r for r in parts if r["what"] == "field"}
+    rows = next(r for r in parts if r["what"] == "corpus")
+    vocab = next(r for r in parts if r["what"] == "terms")
     stats = {}
     for f in fields:
         r = per_field.get(f)
-        n_docs = int(r["n_docs"]) if r else 0
-        stats[f] = (n_docs, float(r["total"]) / n_docs if n_docs else 0.0)
+        n_docs = int(r["a"]) if r else 0
+        stats[f] = (n_docs, float(r["b"]) / n_docs if n_docs else 0.0)
 
     postings = salted_postings(tf, terms, stats, salt_rows)
-    return LexicalIndex(postings, terms, stats, int(rows["n"]), rows["k"], fields, salt_rows)
+    return LexicalIndex(postings, terms, stats, int(rows["a"]), rows["b"], fields, salt_rows,
+                        vocab["a"] == vocab["b"])
 
 
 def term_stats(index: LexicalIndex) -> DataFrame:
