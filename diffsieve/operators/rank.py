@@ -124,7 +124,8 @@ def lookup_payload(picks: DataFrame, corpus: DataFrame, cols=("diff", "ast_seq",
     """
     c = corpus.select(F.col(doc_key).cast("long").alias("doc_id"),
                       *[F.col(x).alias(prefix + x) for x in cols])
-    return _stream_join(c, picks, "doc_id", picks_bounded)
+    out = _stream_join(c, picks, "doc_id", picks_bounded)
+    return out.select(*picks.columns, *[prefix + x for x in cols])
 
 
 def attach_results(queries: DataFrame, results: DataFrame, query_key: str = "query_id",
