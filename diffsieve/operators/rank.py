@@ -167,3 +167,52 @@ def pick_first_distinct(top: DataFrame, queries: DataFrame, corpus: DataFrame,
     doc = F.col("id1") if fallback_key is None else F.coalesce("id1", F.lit(fallback_key))
     return r.select("query_id", doc.alias("doc_id"), doc.alias("rank1_id"), F.col("s1").alias("score"),
                     F.coalesce("same_key", F.lit(False)).alias("same_key"), fb.alias("is_fallback"))
+
+
+def pick_and_attach(top: DataFrame, queries: DataFrame, corpus: DataFrame, *,
+                    query_key: str = "query_id", doc_key: str = "doc_id", text: str = "diff",
+                    payload=("diff", "ast_seq", "message"), prefix: str = "retrieved_",
+                    fallback_key=None, queries_bounded: bool = False) -> DataFrame:
+    """W3 and J6 with one pass over the corpus texts.
+
+    The (at most two) candidate rows per query are joined to their texts once -- the
+    candidate table is broadcast when the queries were counted and bounded, so the
+    corpus is streamed -- then rank 1's patch key is compared with the query's and the
+    payload of the chosen row is kept. Same output as ``pick_with_exclusion`` followed
+    by ``lookup_payload``.
+    """
+    r = (top.groupBy("query_id")
+         .agg(F.max(F.when(F.col("rank") == 1, F.col("doc_id"))).alias("id1"),
+              F.max(F.when(F.col("rank") == 2, F.col("doc_id"))).alias("id2"),
+              F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"),
+              F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2")))
+    q = queries.select(F.col(query_key).cast("long").alias("query_id"),
+                       patch_key(text).alias("qkey"))
+    r = (q.join(r, "query_id", "left")
+         .withColumn("fb1", F.col("id1").isNull()).withColumn("fb2", F.col("id2").isNull()))
+    if fallback_key is not None:
+        r = (r.withColumn("id1", F.coalesce("id1", F.lit(fallback_key)))
+             .withColumn("id2", F.coalesce("id2", F.lit(fallback_key))))
+    cand = (r.select("query_id", F.lit(1).alias("slot"), F.col("id1").alias("doc_id"))
+            .unionByName(r.select("query_id", F.lit(2).alias("slot"), F.col("id2").alias("doc_id")))
+            .where(F.col("doc_id").isNotNull()))
+    texts = corpus.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("_t"),
+                          *[F.col(c).alias(prefix + c) for c in payload])
+    j = texts.join(F.broadcast(cand) if queries_bounded else cand, "doc_id")
+    body = F.struct(*[F.col(prefix + c) for c in payload])
+    per_q = (j.groupBy("query_id")
+             .agg(F.max(F.when(F.col("slot") == 1, patch_key("_t"))).alias("k1"),
+                  F.max(F.when(F.col("slot") == 1, body)).alias("p1"),
+                  F.max(F.when(F.col("slot") == 2, body)).alias("p2")))
+    out = r.join(per_q, "query_id", "left")
+    same = F.coalesce((F.col("k1") == F.col("qkey")) & (F.col("qkey") != ""), F.lit(False))
+    out = out.withColumn("same_key", same)
+    chosen = F.when(F.col("same_key"), F.col("p2")).otherwise(F.col("p1"))
+    return out.select(
+        "query_id",
+        F.when(F.col("same_key"), F.col("id2")).otherwise(F.col("id1")).alias("doc_id"),
+        F.col("id1").alias("rank1_id"),
+        F.when(F.col("same_key"), F.col("s2")).otherwise(F.col("s1")).alias("score"),
+        "same_key",
+        F.when(F.col("same_key"), F.col("fb2")).otherwise(F.col("fb1")).alias("is_fallback"),
+        *[chosen[prefix + c].alias(prefix + c) for c in payload])

@@ -10,7 +10,7 @@ from diffsieve.operators.dense import block_topk, hybrid_topk
 from diffsieve.operators.lexical import LexicalIndex, bm25_scores, build_index
 from diffsieve.functions.text import patch_key_hashes
 from diffsieve.operators.rank import (DIGITS, lookup_payload, minmax_normalize,
-                                      pick_first_distinct, pick_with_exclusion, top_k)
+                                      pick_and_attach, pick_first_distinct, top_k)
 from diffsieve.session import materialize
 
 # A query table up to this many rows (counted first) is broadcast into the joins that
@@ -48,11 +48,11 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
         picks = pick_first_distinct(materialize(top_k(lex, 1), "topk"), queries, corpus,
                                     query_key=query_key, fallback_key=idx.min_key,
                                     queries_bounded=bounded)
+        out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
     else:
-        picks = pick_with_exclusion(materialize(top_k(lex, k), "topk"), queries, corpus,
-                                    query_key=query_key, fallback_key=idx.min_key,
-                                    queries_bounded=bounded)
-    out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
+        out = pick_and_attach(materialize(top_k(lex, k), "topk"), queries, corpus,
+                              query_key=query_key, payload=payload, fallback_key=idx.min_key,
+                              queries_bounded=bounded)
     return out.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS))
 
 
@@ -119,8 +119,9 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     if mode == "all":
         picks = pick_first_distinct(top, queries, corpus, query_key=query_key,
                                     queries_bounded=bounded)
+        out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
     else:
-        picks = pick_with_exclusion(top, queries, corpus, query_key=query_key,
-                                    queries_bounded=bounded)
-    out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
+        # the rank-1 patch keys and the payload come from one pass over the corpus texts
+        out = pick_and_attach(top, queries, corpus, query_key=query_key, payload=payload,
+                              queries_bounded=bounded)
     return out.withColumn("score", F.round("score", DIGITS))

@@ -241,3 +241,20 @@ def test_cosine_profile_equals_brute_force(spark):
             x, y = C[a], C[b]
             want = float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))) if x.any() and y.any() else 0.0
             assert abs(s - want) < 1e-9
+
+
+def test_fused_pick_equals_separate_operators(spark):
+    rows = [(i, f"diff\n+++ b/p{i % 4}\nword{i % 5} common text", [float(i % 3 + 1), 1.0])
+            for i in range(24)]
+    c = spark.createDataFrame([(i, d, "", v, f"m{i}") for i, d, v in rows],
+                              "doc_id long, diff string, ast_seq string, v array<float>, message string")
+    q = c.select(F.col("doc_id").alias("query_id"), "diff", "ast_seq", "v")
+    idx = lexical.build_index(c)
+    for top, fb in [(rank.top_k(lexical.bm25_scores(idx, q), 2), idx.min_key),
+                    (dense.hybrid_topk(idx, q, c, 2), None)]:
+        a = rank.lookup_payload(rank.pick_with_exclusion(top, q, c, fallback_key=fb), c)
+        b = rank.pick_and_attach(top, q, c, fallback_key=fb)
+        key = ["query_id", "doc_id", "rank1_id", "score", "same_key", "is_fallback",
+               "retrieved_diff", "retrieved_message"]
+        assert {tuple(r) for r in a.select(*key).collect()} == {tuple(r) for r in b.select(*key).collect()}
+        assert b.where("same_key").count() > 0
