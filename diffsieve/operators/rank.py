@@ -193,9 +193,10 @@ def pick_and_attach(top: DataFrame, queries: DataFrame, corpus: DataFrame, *,
     if fallback_key is not None:
         r = (r.withColumn("id1", F.coalesce("id1", F.lit(fallback_key)))
              .withColumn("id2", F.coalesce("id2", F.lit(fallback_key))))
-    cand = (r.select("query_id", F.lit(1).alias("slot"), F.col("id1").alias("doc_id"))
-            .unionByName(r.select("query_id", F.lit(2).alias("slot"), F.col("id2").alias("doc_id")))
-            .where(F.col("doc_id").isNotNull()))
+    slots = F.explode(F.array(F.struct(F.lit(1).alias("slot"), F.col("id1").alias("doc_id")),
+                              F.struct(F.lit(2).alias("slot"), F.col("id2").alias("doc_id"))))
+    cand = (r.select("query_id", slots.alias("c"))
+            .select("query_id", "c.slot", "c.doc_id").where(F.col("doc_id").isNotNull()))
     texts = corpus.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("_t"),
                           *[F.col(c).alias(prefix + c) for c in payload])
     j = texts.join(F.broadcast(cand) if queries_bounded else cand, "doc_id")
