@@ -45,35 +45,30 @@ def scan_commits(spark: SparkSession, path: str, columns=COMMIT_COLUMNS,
                      *[F.col(c) for c in columns])
 
 
-def _zero_byte_files(spark: SparkSession, root: str) -> list:
-    """Qualified paths of the empty files under ``root`` (file metadata only).
-
-    Spark's file scans skip zero-byte files, but an empty version is still a version
-    (an added or deleted function), so they are listed through the Hadoop file system.
-    """
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    it = fs.listFiles(p, True)
-    out = []
-    while it.hasNext():
-        st = it.next()
-        if st.getLen() == 0:
-            out.append(st.getPath().toString())
-    return out
+def _norm_path(c) -> F.Column:
+    # one spelling for "scheme:///path" and "scheme:/path"
+    return F.regexp_replace(c, r"^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
 
 
 def scan_versions(spark: SparkSession, root: str) -> DataFrame:
     """``(project, commit_id, side, code, file_name, path)`` from the version files
-    (S2). Each file is read whole by the binary file source; zero-byte files, which
-    every Spark file scan skips, are added back with empty text; ``project`` is the
-    parent folder."""
+    (S2). Each file is read whole by the binary file source; ``project`` is the parent
+    folder.
+
+    Every Spark file scan skips zero-byte files, but an empty version is still a version
+    (an added or deleted function). The file index's listing (``inputFiles``, one call)
+    keeps them: files listed but not scanned are added back with empty text by an anti
+    join -- no per-file calls and nothing scanned on the driver.
+    """
     b = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-         .select("path", "content"))
-    empty = _zero_byte_files(spark, root)
-    if empty:
-        b = b.unionByName(spark.createDataFrame([(x, bytearray()) for x in empty],
-                                                "path string, content binary"))
+         .select(_norm_path(F.col("path")).alias("path"), "content"))
+    listed = spark.createDataFrame([(x,) for x in
+                                    spark.read.format("binaryFile")
+                                    .option("recursiveFileLookup", "true").load(root).inputFiles()],
+                                   "path string").select(_norm_path(F.col("path")).alias("path"))
+    empty = (listed.join(b.select("path"), "path", "left_anti")
+             .select("path", F.lit(bytearray()).cast("binary").alias("content")))
+    b = b.unionByName(empty)
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     project = F.element_at(F.split(F.col("path"), "/"), -2)
     cid, side = parse_version_key("file_name")
