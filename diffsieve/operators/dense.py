@@ -347,7 +347,7 @@ def _fuse_kernel(k: int, w_cos: float, w_lex: float, scale: float):
 def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
                 w_cos: float = 0.5, w_lex: float = 0.5, query_key: str = "query_id",
                 doc_key: str = "doc_id", vec: str = "v", query_fields=("diff", "ast_seq"),
-                n_queries: int | None = None, stats_bounded: bool = True,
+                n_queries: int | None = None, stats_bounded: bool = False,
                 q_rows: int = Q_ROWS, d_rows: int = D_ROWS,
                 exclude_identical: str | None = None) -> DataFrame:
     """Exact top ``k`` per query by ``w_cos * cosine + w_lex * minmax(BM25)`` with the

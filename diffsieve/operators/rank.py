@@ -14,14 +14,15 @@ from diffsieve.functions.text import patch_key
 DIGITS = 6
 
 
-def minmax_normalize(scores: DataFrame, n_corpus: int, broadcast_stats: bool = True) -> DataFrame:
+def minmax_normalize(scores: DataFrame, n_corpus: int, broadcast_stats: bool = False) -> DataFrame:
     """Per-query min-max of a sparse score table to [0, 1] (A3).
 
     The reference normalises the dense row, where every corpus row without a hit holds
     0, so the minimum is 0 unless all ``n_corpus`` rows were hit. A row whose maximum
     equals its minimum becomes all zeros. The per-query statistics come from a partial
-    + final aggregate; they are joined back by broadcast when the caller has bounded the
-    number of queries, so the hit table itself is never shuffled by query.
+    + final aggregate; they are joined back by broadcast when the caller has counted the
+    queries and passes ``broadcast_stats=True``, so the hit table itself is never
+    shuffled by query.
     """
     st = (scores.groupBy("query_id")
           .agg(F.max("score").alias("mx"), F.min("score").alias("mn0"),

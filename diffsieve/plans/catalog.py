@@ -28,6 +28,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _bounded(queries: DataFrame) -> bool:
+    """Counted query table small enough to broadcast per-query rows."""
+    return queries.count() <= retrieval.BROADCAST_QUERIES
+
+
 def _self_queries(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("doc_id").alias("query_id"), "diff", "ast_seq", "v")
 
@@ -84,7 +89,7 @@ SELECT query_id, doc_id,
 FROM sc JOIN mm USING (query_id)""")
 def q_minmax(spark, sf):
     _, q, idx = _bench_index(spark, sf)
-    n = rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus)
+    n = rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus, broadcast_stats=_bounded(q))
     return n.withColumn("score", F.round("score", 6))
 
 
@@ -165,7 +170,8 @@ def q_fuse(spark, sf):
     q = _self_queries(c)
     idx = lexical.build_index(c)
     from diffsieve.session import materialize
-    sparse = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
+    sparse = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus,
+                                   broadcast_stats=_bounded(q))
     t = dense.block_topk(q, c, 2, w_cos=0.5, sparse=sparse, w_sparse=0.5, n_docs=idx.n_corpus)
     return t.select("query_id", "doc_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
@@ -547,7 +553,8 @@ LEFT JOIN nr n1 ON n1.query_id = a.query_id LEFT JOIN nr n2 ON n2.query_id = b.q
 def q_profile(spark, sf):
     _, q, idx = _bench_index(spark, sf)
     from diffsieve.session import materialize
-    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
+    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus,
+                               broadcast_stats=_bounded(q))
     p = dense.profile_similarity(bn, q, batch_size=32, n_docs=idx.n_corpus)
     return p.withColumn("sim", F.round("sim", 6))
 
@@ -762,7 +769,8 @@ def q_mixed_profile(spark, sf):
     c = T.corpus(spark, sf)
     q = _self_queries(c)
     idx = lexical.build_index(c)
-    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus)
+    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus,
+                               broadcast_stats=_bounded(q))
     lex = dense.profile_similarity(bn, q, 32, n_docs=idx.n_corpus).withColumnRenamed("sim", "ls")
     cos = dense.cosine_profile(q, c, 32, n_docs=idx.n_corpus).withColumnRenamed("sim", "cs")
     m = cos.join(lex, ["query_id", "other_id"])
