@@ -10,10 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffsieve.functions import structure as ST
 from diffsieve.functions import text as TX
+from diffsieve.functions import vectors as VX
+from diffsieve.operators import datasets as DS
 from diffsieve.operators import dense, lexical, rank, retrieval
+from diffsieve.operators import edits as ED
+from diffsieve.operators import features as FE
 from diffsieve.plans import sqltext as S
+from diffsieve.plans.augment import augment
+from diffsieve.plans.diffjob import diff_versions
+from diffsieve.session import materialize, shared_dir
+from diffsieve.sources import files as FS
 from diffsieve.sources import tables as T
+from diffsieve.sources.index_store import build_index_tables
+from diffsieve.streaming.ingest import augment_stream, ingest_incremental
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -169,7 +180,6 @@ def q_fuse(spark, sf):
     c = T.corpus(spark, sf)
     q = _self_queries(c)
     idx = lexical.build_index(c)
-    from diffsieve.session import materialize
     sparse = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus,
                                    broadcast_stats=_bounded(q))
     t = dense.block_topk(q, c, 2, w_cos=0.5, sparse=sparse, w_sparse=0.5, n_docs=idx.n_corpus)
@@ -204,8 +214,6 @@ def q_same_key_count(spark, sf):
 
 # ---------------------------------------------------------------------- sequences
 
-from diffsieve.functions import structure as ST  # noqa: E402
-from diffsieve.operators import edits as ED  # noqa: E402
 
 _LCS_PAIRS = f"""
 WITH pp AS ({S.PAGE_SEQ_PAIRS}),
@@ -301,7 +309,6 @@ def q_render(spark, sf):
 @register("diff_versions", _LCS_PAIRS + """
 SELECT pair_id, n + m - lcs AS n_words, n + m - 2 * lcs AS n_marked FROM l""")
 def q_diff_versions(spark, sf):
-    from diffsieve.plans.diffjob import diff_versions
     pairs = T.page_pairs(spark, sf)
     out = diff_versions(pairs, "old_html", "new_html", key="pair_id")
     words = F.when(F.col("ast_seq") == "", F.array().cast("array<string>")).otherwise(
@@ -313,7 +320,6 @@ def q_diff_versions(spark, sf):
 
 # ----------------------------------------------------------------------- datasets
 
-from diffsieve.operators import datasets as DS  # noqa: E402
 
 _PAIRED_SQL = f"""
 SELECT commit_id,
@@ -445,9 +451,6 @@ def q_split_sizes(spark, sf):
 
 # ----------------------------------------------------------------------- features
 
-from diffsieve.functions import vectors as VX  # noqa: E402
-from diffsieve.operators import features as FE  # noqa: E402
-
 
 def _rounded(c: str):
     return F.transform(F.col(c), lambda x: F.round(x.cast("double"), 6))
@@ -525,10 +528,6 @@ def q_null_to_empty(spark, sf):
 
 # --------------------------------------------------------- profile, augment, index
 
-from diffsieve.plans.augment import augment  # noqa: E402
-from diffsieve.sources.index_store import build_index_tables  # noqa: E402
-from diffsieve.session import shared_dir  # noqa: E402
-
 
 @register("profile_similarity", f"""
 WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()},
@@ -552,7 +551,6 @@ LEFT JOIN d ON d.query_id = a.query_id AND d.other_id = b.query_id
 LEFT JOIN nr n1 ON n1.query_id = a.query_id LEFT JOIN nr n2 ON n2.query_id = b.query_id""")
 def q_profile(spark, sf):
     _, q, idx = _bench_index(spark, sf)
-    from diffsieve.session import materialize
     bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus,
                                broadcast_stats=_bounded(q))
     p = dense.profile_similarity(bn, q, batch_size=32, n_docs=idx.n_corpus)
@@ -598,8 +596,6 @@ def q_build_index_tables(spark, sf):
 
 # ------------------------------------------------------------ file round trips
 
-from diffsieve.sources import files as FS  # noqa: E402
-
 
 @register("scan_commits", f"SELECT project, commit_id, diff, message FROM ({S.COMMITS})")
 def q_scan_commits(spark, sf):
@@ -691,14 +687,11 @@ def q_changed_lists(spark, sf):
 
 @register("diff_versions_text", S.rendered_sql(_SEQ_PAIRS))
 def q_diff_versions_text(spark, sf):
-    from diffsieve.plans.diffjob import diff_versions
     return diff_versions(T.page_pairs(spark, sf), "old_html", "new_html", key="pair_id")
 
 
 # ------------------------------------------------------------ streaming, checked
 
-from diffsieve.streaming.ingest import augment_stream, ingest_incremental  # noqa: E402
-
 
 @register("ingest_incremental", f"SELECT project, commit_id, diff, message FROM ({S.COMMITS})")
 def q_ingest(spark, sf):
@@ -765,7 +758,6 @@ bp AS (SELECT a.query_id, b.query_id AS other_id,
 SELECT cp.query_id, cp.other_id, round(0.5 * cp.sim + 0.5 * bp.sim, 6) AS sim
 FROM cp JOIN bp USING (query_id, other_id)""")
 def q_mixed_profile(spark, sf):
-    from diffsieve.session import materialize
     c = T.corpus(spark, sf)
     q = _self_queries(c)
     idx = lexical.build_index(c)
