@@ -550,10 +550,9 @@ FROM qs a JOIN qs b ON a.batch = b.batch
 LEFT JOIN d ON d.query_id = a.query_id AND d.other_id = b.query_id
 LEFT JOIN nr n1 ON n1.query_id = a.query_id LEFT JOIN nr n2 ON n2.query_id = b.query_id""")
 def q_profile(spark, sf):
+    # normalised BM25 rows compared inside blocks: no query x document table is formed
     _, q, idx = _bench_index(spark, sf)
-    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus,
-                               broadcast_stats=_bounded(q))
-    p = dense.profile_similarity(bn, q, batch_size=32, n_docs=idx.n_corpus)
+    p = dense.lexical_profile(idx, q, 32, stats_bounded=_bounded(q))
     return p.withColumn("sim", F.round("sim", 6))
 
 
@@ -761,9 +760,7 @@ def q_mixed_profile(spark, sf):
     c = T.corpus(spark, sf)
     q = _self_queries(c)
     idx = lexical.build_index(c)
-    bn = rank.minmax_normalize(materialize(lexical.bm25_scores(idx, q), "bm25"), idx.n_corpus,
-                               broadcast_stats=_bounded(q))
-    lex = dense.profile_similarity(bn, q, 32, n_docs=idx.n_corpus).withColumnRenamed("sim", "ls")
+    lex = dense.lexical_profile(idx, q, 32, stats_bounded=_bounded(q)).withColumnRenamed("sim", "ls")
     cos = dense.cosine_profile(q, c, 32, n_docs=idx.n_corpus).withColumnRenamed("sim", "cs")
     m = cos.join(lex, ["query_id", "other_id"])
     return m.select("query_id", "other_id",

@@ -258,3 +258,18 @@ def test_fused_pick_equals_separate_operators(spark):
                "retrieved_diff", "retrieved_message"]
         assert {tuple(r) for r in a.select(*key).collect()} == {tuple(r) for r in b.select(*key).collect()}
         assert b.where("same_key").count() > 0
+
+
+def test_lexical_profile_equals_score_table_profile(spark):
+    from diffsieve.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    c, q = T.commits(spark, sf), T.benchmark_queries(spark, sf)
+    idx = lexical.build_index(c)
+    want = {(r.query_id, r.other_id): r.sim for r in dense.profile_similarity(
+        rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus), q, 32,
+        n_docs=idx.n_corpus).collect()}
+    for qr, dr in [(512, 2048), (32, 40)]:
+        got = {(r.query_id, r.other_id): r.sim for r in
+               dense.lexical_profile(idx, q, 32, q_rows=qr, d_rows=dr).collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
