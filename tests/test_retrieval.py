@@ -1,3 +1,4 @@
+import pytest
 import math
 
 import numpy as np
@@ -273,3 +274,21 @@ def test_lexical_profile_equals_score_table_profile(spark):
                dense.lexical_profile(idx, q, 32, q_rows=qr, d_rows=dr).collect()}
         assert set(got) == set(want)
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_layout_bounds_groups(spark):
+    import math
+    for nq, nd in [(1, 1), (40, 1000), (2000, 2000), (7500, 10**8), (10**6, 10**6)]:
+        qb, db = dense._layout(spark, nq, nd, 512, 2048)
+        assert math.ceil(nq / qb) <= 512 and math.ceil(nd / db) <= 2048
+        assert qb <= max(nq, 1) and db <= max(nd, 1)
+
+
+def test_hash_features_zero_rows(spark):
+    from diffsieve.operators.features import hash_features
+    df = spark.createDataFrame([(1, "alpha beta alpha"), (2, "!!! ..."), (3, None)],
+                               "doc_id long, diff string")
+    v = {r.doc_id: r.v for r in hash_features(df, "diff", 8).collect()}
+    assert len(v) == 3 and all(len(x) == 8 for x in v.values())
+    assert sum(x * x for x in v[1]) == pytest.approx(1.0, abs=1e-6)
+    assert v[2] == [0.0] * 8 and v[3] == [0.0] * 8
