@@ -613,3 +613,69 @@ def lexical_profile(index, queries: DataFrame, batch_size: int = 32, *,
     return r.select("query_id", "other_id",
                     F.when(ok, F.coalesce("dot", F.lit(0.0)) / (F.col("n1") * F.col("n2")))
                     .otherwise(F.lit(0.0)).alias("sim"))
+
+
+# ------------------------------------------------------- lexical top-k in blocks
+
+def _lex_topk_kernel(k: int, scale: float):
+    def run(pdf):
+        kinds = pdf["kind"].to_numpy()
+        po, qt = pdf[kinds == 2], pdf[kinds == 3]
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                              "doc_id": pd.Series([], dtype="int64"),
+                              "score": pd.Series([], dtype="float64")})
+        if len(po) == 0 or len(qt) == 0:
+            return empty
+        qids = np.unique(qt["id"].to_numpy()).astype(np.int64)
+        dids = np.unique(po["id"].to_numpy()).astype(np.int64)
+        s, h = _lexical_block(qids, dids, qt, po, scale)
+        s = np.where(h, s, -np.inf)          # only documents sharing a term are hits
+        return _drop_excluded(_group_topk(qids, dids, s, k))
+    return run
+
+
+def lexical_topk(index, queries: DataFrame, k: int = 2, *, query_key: str = "query_id",
+                 query_fields=("diff", "ast_seq"), n_queries: int | None = None,
+                 q_rows: int = Q_ROWS, d_rows: int = D_ROWS) -> DataFrame:
+    """Top ``k`` hits per query by raw BM25 (ties by key), computed in blocks (W1 on A2).
+
+    Equal to ``top_k(bm25_scores(..), k)``, without shuffling the table of all hits:
+    each (query block, document bucket) group sums BM25 from the term weights and emits
+    only its top ``k`` hits per query; the final window keeps the global top ``k``.
+    """
+    from diffsieve.operators.lexical import B, K1, SCORE_SCALE, query_terms, term_key
+
+    spark = queries.sparkSession
+    nq = n_queries if n_queries is not None else queries.count()
+    nd = index.n_corpus
+    qb, db = _layout(spark, nq, nd, q_rows, d_rows)
+    qblk = F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")
+    dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
+    all_q = F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q_block")
+    all_d = F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket")
+    key = term_key(index)
+    qt = query_terms(queries, query_key, query_fields)
+    parts = []
+    for f in index.fields:
+        n, avgdl = index.stats[f]
+        if n == 0:
+            continue
+        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
+        parts.append(qt.join(index.terms.where(F.col("field") == f), "term")
+                     .select(F.lit(3).alias("kind"), F.col("query_id").alias("id"), key.alias("key"),
+                             (F.col("qtf") * idf).alias("w"), qblk.alias("q_block"), all_d))
+        parts.append(index.postings.where(F.col("field") == f)
+                     .select(F.lit(2).alias("kind"), F.col("doc_id").alias("id"), key.alias("key"),
+                             (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("w"),
+                             dbkt.alias("d_bucket"), all_q))
+    if not parts:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    if qb * db > 1:
+        rows = rows.repartition(qb * db, "q_block", "d_bucket")
+    cand = (rows.groupBy("q_block", "d_bucket")
+            .applyInPandas(_lex_topk_kernel(k, SCORE_SCALE), CAND_SCHEMA))
+    return top_k(cand, k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffsieve.functions.text import require_columns
-from diffsieve.operators.dense import block_topk, hybrid_topk
+from diffsieve.operators.dense import block_topk, hybrid_topk, lexical_topk
 from diffsieve.operators.lexical import LexicalIndex, bm25_scores, build_index
 from diffsieve.functions.text import patch_key_hashes
 from diffsieve.operators.rank import (DIGITS, lookup_payload, minmax_normalize,
@@ -27,7 +27,8 @@ def _prepare_queries(queries: DataFrame, query_key: str, fields) -> DataFrame:
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
               index: LexicalIndex | None = None, query_key: str = "query_id",
               fields=("diff",), query_fields=("diff", "ast_seq"),
-              payload=("diff", "message"), mode: str = "second") -> DataFrame:
+              payload=("diff", "message"), mode: str = "second",
+              lexical: str = "block") -> DataFrame:
     """Lexical retrieval with the reference's fallback and self-match rules.
 
     Ranks 1 and 2 by BM25; a missing rank falls back to the smallest corpus key;
@@ -35,22 +36,29 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     (``mode='second'``, as the reference does), or every row with that key is removed
     before ranking (``mode='all'``). Output:
     ``(query_id, doc_id, rank1_id, score, same_key, is_fallback, retrieved_*)``.
+    With ``lexical='block'`` (default for ``mode='second'``) the top hits come from the
+    similarity blocks and the table of all hits is never shuffled; ``lexical='join'``
+    ranks the joined BM25 table. Both give the same rows.
     """
     queries = _prepare_queries(queries, query_key, query_fields)
     corpus = corpus.na.fill("", subset=[c for c in ("diff", "ast_seq") if c in corpus.columns])
     idx = index or build_index(corpus, fields=fields)
     bounded = queries.count() <= BROADCAST_QUERIES
-    lex = bm25_scores(idx, queries, query_key, query_fields)
     # the k best rows per query and the picks are small (k rows / one row per query) and
     # each is read by two joins: written once so that no branch recomputes the scoring
     if mode == "all":
-        lex = _drop_identical(lex, queries, corpus, query_key, idx.n_corpus, bounded)
+        lex = _drop_identical(bm25_scores(idx, queries, query_key, query_fields), queries,
+                              corpus, query_key, idx.n_corpus, bounded)
         picks = pick_first_distinct(materialize(top_k(lex, 1), "topk"), queries, corpus,
                                     query_key=query_key, fallback_key=idx.min_key,
                                     queries_bounded=bounded)
         out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
     else:
-        out = pick_and_attach(materialize(top_k(lex, k), "topk"), queries, corpus,
+        if lexical == "block":
+            top = lexical_topk(idx, queries, k, query_key=query_key, query_fields=query_fields)
+        else:
+            top = top_k(bm25_scores(idx, queries, query_key, query_fields), k)
+        out = pick_and_attach(materialize(top, "topk"), queries, corpus,
                               query_key=query_key, payload=payload, fallback_key=idx.min_key,
                               queries_bounded=bounded)
     return out.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), DIGITS))

@@ -292,3 +292,18 @@ def test_hash_features_zero_rows(spark):
     assert len(v) == 3 and all(len(x) == 8 for x in v.values())
     assert sum(x * x for x in v[1]) == pytest.approx(1.0, abs=1e-6)
     assert v[2] == [0.0] * 8 and v[3] == [0.0] * 8
+
+
+def test_lexical_topk_equals_join_path(spark):
+    from diffsieve.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    c, q = T.commits(spark, sf), T.benchmark_queries(spark, sf)
+    idx = lexical.build_index(c)
+    want = {(r.query_id, r.rank, r.doc_id, r.score) for r in rank.top_k(lexical.bm25_scores(idx, q), 2).collect()}
+    for qr, dr in [(512, 2048), (8, 30)]:
+        got = {(r.query_id, r.rank, r.doc_id, r.score) for r in
+               dense.lexical_topk(idx, q, 2, q_rows=qr, d_rows=dr).collect()}
+        assert got == want
+    a = {tuple(r) for r in retrieval.bm25_topk(c, q, index=idx).collect()}
+    b = {tuple(r) for r in retrieval.bm25_topk(c, q, index=idx, lexical="join").collect()}
+    assert a == b
