@@ -307,3 +307,16 @@ def test_lexical_topk_equals_join_path(spark):
     a = {tuple(r) for r in retrieval.bm25_topk(c, q, index=idx).collect()}
     b = {tuple(r) for r in retrieval.bm25_topk(c, q, index=idx, lexical="join").collect()}
     assert a == b
+
+
+def test_bm25_topk_fallback_both_paths(spark):
+    c, _q = _frames(spark)
+    q = spark.createDataFrame([(10, "zzz qqq", ""), (11, "fourth", ""), (12, "This is the second diff", "")],
+                              "query_id long, diff string, ast_seq string")
+    for lex in ("block", "join"):
+        r = {x.query_id: x for x in retrieval.bm25_topk(c, q, lexical=lex).collect()}
+        # no hit at all: row 0 (smallest key) as a fallback, score 0
+        assert r[10].doc_id == 0 and r[10].is_fallback and r[10].score == 0.0
+        # one hit: rank 1 is that hit
+        assert r[11].doc_id == 3 and not r[11].is_fallback
+        assert r[12].doc_id == 1 and r[12].score == 0.738825
