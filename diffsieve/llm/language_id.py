@@ -276,9 +276,10 @@ def classified(docs: DataFrame, keep: list[str], text: str = "text", lang: str =
     names = [f"lid_keep_{i}" for i in range(len(keep))]
     wide = flagged.select(F.col(text).alias("text"), F.col(lang).alias("lid_true"), "lid_out", *[F.col(c).alias(n) for c, n in zip(keep, names)])
     scored = saved(identify(wide, model).drop(*(["text"] if text not in keep else [])), "lid-scored")
+    # a row a learned language: no more than the model, which is collected already
     limits = rejection_limits(scored.where(~F.col("lid_out") & (F.col("lid_true") == F.col("lid_pred"))))
     rejected = (F.col("lid_pred") == "und") | F.coalesce(F.col("lid_xent") > F.col("limit"), F.lit(False))
-    return scored.join(limits, scored["lid_pred"] == limits["pred"], "left").select(
+    return scored.join(F.broadcast(limits), scored["lid_pred"] == limits["pred"], "left").select(
         *[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("lid_out").alias("held_out"), F.col("lid_pred").alias("lang_pred"),
         F.col("lid_score").alias("score"), F.col("lid_xent").alias("xent"), rejected.alias("rejected"))
 

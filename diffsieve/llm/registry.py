@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .html_extraction import op10_html_extraction
 from .language_id import op2_language_id
+from .quality import op6_quality_classifier
+from .toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (
+    op1_toxicity,
     op2_language_id,
+    op6_quality_classifier,
     op10_html_extraction,
 )}
 
