@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .html_extraction import op10_html_extraction
 from .language_id import op2_language_id
+from .packing import op4_best_fit_packing
 from .quality import op6_quality_classifier
+from .substring_dedup import op3_substring_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity,
     op2_language_id,
+    op3_substring_dedup,
+    op4_best_fit_packing,
     op6_quality_classifier,
     op10_html_extraction,
 )}

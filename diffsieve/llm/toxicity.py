@@ -37,7 +37,7 @@ from ._io import kept_out, read, worker_cache
 from ._words import mix
 
 P, DECAY, POWER, FLOOR, ALIKE = 3, 0.7, 2, 0.55, 0.85
-VIRTUAL = 0.3
+VIRTUAL, COST = 1.5, 2.0
 LANDMARKS, COMMON, UNIT = 96, 16, 32
 TOXIC, CLEAN = 1_500, 2_500
 SLICE_CHARS = 4 << 20
@@ -216,7 +216,7 @@ def _choose(u: Units, toxic: np.ndarray) -> tuple[list[str], int]:
     with_toxic, with_clean = (np.bincount(word[is_toxic == v], minlength=len(keys)) for v in (True, False))
     p1, p0 = (with_toxic + 0.5) / (toxic.sum() + 1), (with_clean + 0.5) / ((~toxic).sum() + 1)
     fit_size = (u.size[at] >= 4) & (u.size[at] <= 20)
-    z = np.where(fit_size & (with_toxic >= 3) & (p1 > 2 * p0), with_toxic * np.log(p1 / p0), 0)
+    z = np.where(fit_size & (with_toxic >= 3) & (p1 > 5 * p0), with_toxic * np.log(p1 / p0), 0)
     word_of = lambda k: u.code[u.start[at[k]]:u.start[at[k]] + u.size[at[k]]]
     best, norms = [], []
     for k in np.argsort(-z, kind="stable")[:4 * LANDMARKS]:
@@ -229,8 +229,9 @@ def _choose(u: Units, toxic: np.ndarray) -> tuple[list[str], int]:
     return ["".join(map(chr, word_of(k))) for k in best + common], len(common)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 4.0) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Linear SVM with squared hinge by Newton steps on the rows inside the margin; last is the bias."""
+    c = COST
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], 1.0)
