@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_benchmark_decontamination
 from .html_extraction import op10_html_extraction
 from .language_id import op2_language_id
 from .packing import op4_best_fit_packing
@@ -15,6 +16,7 @@ QUERIES = {f.__name__: f for f in (
     op3_substring_dedup,
     op4_best_fit_packing,
     op6_quality_classifier,
+    op7_benchmark_decontamination,
     op10_html_extraction,
 )}
 

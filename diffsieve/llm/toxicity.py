@@ -39,7 +39,7 @@ from ._words import mix
 P, DECAY, POWER, FLOOR, ALIKE = 3, 0.7, 2, 0.55, 0.85
 VIRTUAL, COST = 1.5, 2.0
 LANDMARKS, COMMON, UNIT = 96, 16, 32
-TOXIC, CLEAN = 1_500, 2_500
+TOXIC, CLEAN = 1_200, 2_000
 SLICE_CHARS = 4 << 20
 KNOWN = 2 << 20
 _SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　"
