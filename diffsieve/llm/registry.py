@@ -7,6 +7,7 @@ from .html_extraction import op10_html_extraction
 from .language_id import op2_language_id
 from .packing import op4_best_fit_packing
 from .quality import op6_quality_classifier
+from .simhash import op9_document_fingerprints
 from .substring_dedup import op3_substring_dedup
 from .toxicity import op1_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {f.__name__: f for f in (
     op4_best_fit_packing,
     op6_quality_classifier,
     op7_benchmark_decontamination,
+    op9_document_fingerprints,
     op10_html_extraction,
 )}
 
