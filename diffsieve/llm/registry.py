@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .decontamination import op7_benchmark_decontamination
 from .html_extraction import op10_html_extraction
+from .jaccard_join import op5_ngram_jaccard_join
 from .language_id import op2_language_id
 from .packing import op4_best_fit_packing
+from .pii import op8_pii_surrogates
 from .quality import op6_quality_classifier
 from .simhash import op9_document_fingerprints
 from .substring_dedup import op3_substring_dedup
@@ -16,8 +18,10 @@ QUERIES = {f.__name__: f for f in (
     op2_language_id,
     op3_substring_dedup,
     op4_best_fit_packing,
+    op5_ngram_jaccard_join,
     op6_quality_classifier,
     op7_benchmark_decontamination,
+    op8_pii_surrogates,
     op9_document_fingerprints,
     op10_html_extraction,
 )}
