@@ -246,6 +246,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def clean_rows(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, judged each by its own text."""
+    _, some = matches(docs, bench, id_col, text)
+    bad = some.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("id").alias("bad_id"), F.xxhash64("text").alias("bad_text")).distinct()
+    own = docs.select(*[F.col(c).alias(f"clean_{i}") for i, c in enumerate(docs.columns)])
+    id_own, text_own = (F.col(f"clean_{docs.columns.index(c)}") for c in (id_col, text))
+    kept = own.join(bad, id_own.eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_own) == F.col("bad_text")), "left_anti")
+    return kept.toDF(*docs.columns)
+
+
 def proximity_matches(docs: DataFrame, bench: DataFrame, slop: int = 3, rarest: int = 3, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
                       item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """(id, item, start, displaced): windows of which all anchors stand within ``slop`` words of

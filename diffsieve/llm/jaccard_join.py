@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._io import read, saved
@@ -275,5 +275,22 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     return linked.unionByName(alone).select(F.col("id").cast(kind).alias(id_col), F.col("size").alias("n_shingles"), F.col("comp").cast(kind).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the text of its smallest id, once.
+
+    Rows without words, or with a null id, are linked with nothing and stay.
+    """
+    names = docs.columns
+    joined = similarity_classes(docs, id_col, text)
+    firsts = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("first_id")).distinct()
+    rows = docs.select(*[F.col(c).alias(f"of_{i}") for i, c in enumerate(names)])
+    own_id, own_text = (F.col(f"of_{names.index(c)}") for c in (id_col, text))
+    kept = rows.join(firsts, own_id == F.col("first_id"), "left_semi")
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy(own_id, F.xxhash64(own_text)).orderBy(own_id)))
+    wordless = own_text.isNull() | ~own_text.rlike(r"[^\x20\x09-\x0D]")
+    kept = kept.where((F.col("place") == 1) | wordless).drop("place")
+    return kept.unionByName(rows.where(own_id.isNull())).toDF(*names)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -271,11 +271,11 @@ def classified(docs: DataFrame, keep: list[str], text: str = "text", lang: str =
 
     Returns the columns ``keep`` with held_out, lang_pred, score, xent and rejected.
     """
-    flagged = docs.withColumn("lid_out", kept_out("doc_id", 5, 0))
-    model = train(flagged.where(~F.col("lid_out")), text, lang)
     names = [f"lid_keep_{i}" for i in range(len(keep))]
-    wide = flagged.select(F.col(text).alias("text"), F.col(lang).alias("lid_true"), "lid_out", *[F.col(c).alias(n) for c, n in zip(keep, names)])
-    scored = saved(identify(wide, model).drop(*(["text"] if text not in keep else [])), "lid-scored")
+    wide = docs.select(F.col(text).alias("lid_text"), F.col(lang).alias("lid_true"), kept_out("doc_id", 5, 0).alias("lid_out"),
+                       *[F.col(c).alias(n) for c, n in zip(keep, names)])
+    model = train(wide.where(~F.col("lid_out")), "lid_text", "lid_true")
+    scored = saved(identify(wide, model, "lid_text").drop("lid_text"), "lid-scored")
     # a row a learned language: no more than the model, which is collected already
     limits = rejection_limits(scored.where(~F.col("lid_out") & (F.col("lid_true") == F.col("lid_pred"))))
     rejected = (F.col("lid_pred") == "und") | F.coalesce(F.col("lid_xent") > F.col("limit"), F.lit(False))
@@ -284,5 +284,13 @@ def classified(docs: DataFrame, keep: list[str], text: str = "text", lang: str =
         F.col("lid_score").alias("score"), F.col("lid_xent").alias("xent"), rejected.alias("rejected"))
 
 
+def accepted(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are not rejected."""
+    names = docs.columns
+    out = classified(docs, names, text, lang)  # the columns kept come first
+    return out.toDF(*[f"c{i}" for i in range(len(out.columns))]).where(f"not c{len(out.columns) - 1}").select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
