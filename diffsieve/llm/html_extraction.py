@@ -149,7 +149,15 @@ def _kept(block: list[tuple[str, int, bool]]) -> list[str]:
     kept = [r for r in regions if max(window[r[0]:r[1]]) >= SURGE or any(block[i][2] for i in range(*r))]
     if not kept and regions:
         kept = [max(regions, key=lambda r: sum(length[r[0]:r[1]]))]
-    return [block[i][0] for a, b in kept for i in range(a, b) if block[i][0]]
+    out = []
+    for a, b in kept:  # lines of links alone at a region's ends are menus, unless an article holds them
+        mine = [i for i in range(a, b) if block[i][0]]
+        while mine and not block[mine[0]][1] and not block[mine[0]][2]:
+            mine.pop(0)
+        while mine and not block[mine[-1]][1] and not block[mine[-1]][2]:
+            mine.pop()
+        out += [block[i][0] for i in mine]
+    return out
 
 
 @F.pandas_udf(StringType())

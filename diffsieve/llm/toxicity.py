@@ -225,7 +225,8 @@ def _choose(u: Units, toxic: np.ndarray) -> tuple[list[str], int]:
         if z[k] > 0 and len(best) < LANDMARKS and all(subsequence_kernel(code, word_of(j)[:, None])[0] / np.sqrt(norm * n) < ALIKE for j, n in zip(best, norms)):
             best.append(k)
             norms.append(norm)
-    common = [k for k in np.argsort(-np.where(fit_size & (z == 0), with_clean + with_toxic, 0), kind="stable")[:COMMON]]
+    frequent = np.where(fit_size & (z == 0), with_clean + with_toxic, 0)
+    common = [k for k in np.argsort(-frequent, kind="stable")[:COMMON] if frequent[k]]
     return ["".join(map(chr, word_of(k))) for k in best + common], len(common)
 
 
