@@ -30,7 +30,13 @@ def parse_vector_text(c, dim: int) -> tuple[Column, Column]:
     s = F.regexp_replace(s, r"([0-9])\.([^0-9]|$)", "$1.0$2")
     two_d = F.flatten(F.from_json(s, "array<array<float>>"))
     one_d = F.from_json(s, "array<float>")
-    parsed = F.when(s.startswith("[["), two_d).otherwise(one_d)
+    # the JSON reader stops at the first closing bracket and lets nulls pass: the text counts
+    # only if it is numbers and separators throughout
+    nested = s.startswith("[[")
+    inner = F.when(nested, F.replace(F.regexp_extract(s, r"^\[\[([^\n]*)\]\]$", 1), F.lit("],["), F.lit(","))).otherwise(
+        F.regexp_extract(s, r"^\[([^\n]*)\]$", 1))
+    numbers = F.forall(F.split(inner, ","), lambda x: x.rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"))
+    parsed = F.when(numbers | s.isin("[]", "[[]]"), F.when(nested, two_d).otherwise(one_d))
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     vec = F.when(empty, zero).otherwise(parsed)
     err = (~empty) & parsed.isNull()

@@ -28,22 +28,32 @@ D_ROWS = 2048
 CAND_SCHEMA = "query_id long, doc_id long, score double"
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    """Stack a column of vectors into rows of unit length; null or zero rows stay zero."""
-    dims = {len(v) for v in vectors if v is not None}
+def _width(*columns: pd.Series) -> int:
+    """Common width of all non-null vectors of the columns; 0 without any."""
+    dims = {len(v) for c in columns for v in c if v is not None}
     if len(dims) > 1:
         raise ValueError(f"vectors of different widths in one table: {sorted(dims)}")
-    dim = dims.pop() if dims else 0
+    return dims.pop() if dims else 0
+
+
+def _unit_rows(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Stack a column of vectors into rows of unit length; null or zero rows stay zero."""
     m = np.zeros((len(vectors), dim), dtype=np.float64)
-    for i, v in enumerate(vectors):
-        if v is not None:
-            m[i] = v
+    there = np.flatnonzero(vectors.notna().to_numpy())
+    if len(there) and dim:
+        m[there] = np.stack(vectors.to_numpy()[there])
     norm = np.sqrt((m * m).sum(axis=1))
     nz = norm > 0
     m[nz] /= norm[nz][:, None]
     return m
 
 
+def _cosines(qs: pd.Series, docs: pd.Series) -> np.ndarray:
+    """Cosine block; a side without any vector gives zeros."""
+    dim = _width(qs, docs)
+    return _unit_rows(qs, dim) @ _unit_rows(docs, dim).T
+
+
 def _group_topk(qids: np.ndarray, dids: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
     """Per row of ``s`` the ``k`` best columns by (score desc, doc id asc)."""
     order = np.argsort(dids, kind="stable")
@@ -93,7 +103,7 @@ def _kernel(k: int, w_cos: float, w_sparse: float):
         qids = qs["id"].to_numpy(dtype=np.int64)
         dids = docs["id"].to_numpy(dtype=np.int64)
         if w_cos != 0:
-            s = (_unit_rows(qs["v"]) @ _unit_rows(docs["v"]).T) * w_cos
+            s = _cosines(qs["v"], docs["v"]) * w_cos
         else:
             s = np.zeros((len(qids), len(dids)))
         if len(sparse) and w_sparse != 0:
@@ -135,6 +145,54 @@ def _layout(spark, nq: int, nd: int, q_rows: int, d_rows: int):
     return qb, db
 
 
+def _partitions(spark, groups: int) -> int:
+    """Shuffle partitions for ``groups`` blocks: one each while there are few, else as many as
+    keep the slots busy; a task then works off many groups, one after the other."""
+    most = max(4 * default_parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return min(groups, most)
+
+
+def _batch(key: str, batch_size: int):
+    """Number of the batch that a key belongs to, by exact integer floor division."""
+    return F.expr(f"({key} - pmod({key}, {batch_size}L)) div {batch_size}L")
+
+
+# Distinct query terms up to this many (counted first; a string and a field name each) are
+# broadcast to filter the postings; beyond it both sides are shuffled by term.
+BROADCAST_TERMS = 1_000_000
+
+
+def _lexical_weights(index, queries: DataFrame, query_key: str, query_fields, qblk, dbkt, all_q, all_d) -> DataFrame | None:
+    """``(kind, id, key, w, q_block, d_bucket)``: query-term weights (kind 3, ``qtf * idf``) and the
+    scaled weights of the postings of queried terms (kind 2), dealt to their blocks.
+
+    Postings of terms that no query has are dropped before any copy or shuffle of them.
+    """
+    from diffsieve.operators.lexical import B, K1, SCORE_SCALE, query_terms, term_key
+
+    key = term_key(index)
+    qt = query_terms(queries, query_key, query_fields)
+    asked = qt.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
+    out = None
+    for f in index.fields:
+        n, avgdl = index.stats[f]
+        if n == 0:
+            continue
+        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
+        for part in (qt.join(index.terms.where(F.col("field") == f), "term")
+                     .select(F.lit(3).alias("kind"), F.col("query_id").alias("id"), key.alias("key"),
+                             (F.col("qtf") * idf).alias("w"))
+                     .select("kind", "id", "key", "w", qblk.alias("q_block"), all_d),
+                     index.postings.where(F.col("field") == f).join(asked, "term", "left_semi")
+                     .select(F.lit(2).alias("kind"), F.col("doc_id").alias("id"), key.alias("key"),
+                             (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("w"))
+                     .select("kind", "id", "key", "w", all_q, dbkt.alias("d_bucket"))):
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
                query_key: str = "query_id", doc_key: str = "doc_id", vec: str = "v",
                w_cos: float = 1.0, sparse: DataFrame | None = None, w_sparse: float = 0.0,
@@ -174,9 +232,9 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int = 2, *,
         F.col("score").cast("double").alias("score"),
         F.pmod(F.xxhash64(F.col("query_id").cast("long")), F.lit(qb)).cast("int").alias("q_block"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(db)).cast("int").alias("d_bucket"))
-    # One partition per group, fixed: AQE would merge these small shuffle partitions
-    # and run the numpy kernels of many groups one after another in a single task.
-    g = qb * db
+    # A fixed number of partitions: AQE would merge these small shuffle partitions and run
+    # the numpy kernels of all groups one after another in a single task.
+    g = _partitions(spark, qb * db)
     if g > 1:
         vecs = vecs.repartition(g, "q_block", "d_bucket")
         sp = sp.repartition(g, "q_block", "d_bucket")
@@ -221,14 +279,14 @@ def profile_similarity(scores: DataFrame, queries: DataFrame, batch_size: int =
     if n_docs is None:
         n_docs = scores.select("doc_id").distinct().count()
     nb = max(default_parallelism(spark), math.ceil(n_docs / d_rows))
-    batch = F.floor(F.col("query_id") / F.lit(batch_size))
+    batch = _batch("query_id", batch_size)
     s = (scores.where(F.col("score") != 0)
          .select(F.col("query_id").cast("long").alias("query_id"),
                  F.col("doc_id").cast("long").alias("doc_id"),
                  F.col("score").cast("double").alias("score"))
          .withColumn("batch", batch)
          .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(nb))))
-    dots = (s.repartition(nb, "bucket").groupBy("batch", "bucket").applyInPandas(_gram, GRAM_SCHEMA)
+    dots = (s.repartition(_partitions(spark, nb), "bucket").groupBy("batch", "bucket").applyInPandas(_gram, GRAM_SCHEMA)
             .groupBy("query_id", "other_id").agg(F.sum("dot").alias("dot")))
     norms = (dots.where(F.col("query_id") == F.col("other_id"))
              .select("query_id", F.sqrt("dot").alias("nrm")))
@@ -326,7 +384,7 @@ def _fuse_kernel(k: int, w_cos: float, w_lex: float, scale: float):
         qids = qs["id"].to_numpy(dtype=np.int64)
         dids = docs["id"].to_numpy(dtype=np.int64)
         if w_cos != 0:
-            out = (_unit_rows(qs["v"]) @ _unit_rows(docs["v"]).T) * w_cos
+            out = _cosines(qs["v"], docs["v"]) * w_cos
         else:
             out = np.zeros((len(qids), len(dids)))
         if w_lex != 0 and len(lex):
@@ -363,47 +421,23 @@ def hybrid_topk(index, queries: DataFrame, corpus: DataFrame, k: int = 2, *,
     query x document scores is ever formed as rows, written or shuffled; scores equal
     the join path bit for bit.
     """
-    from diffsieve.operators.lexical import B, K1, SCORE_SCALE, query_terms, term_key
+    from diffsieve.operators.lexical import SCORE_SCALE
 
     spark = queries.sparkSession
     nq = n_queries if n_queries is not None else queries.count()
     nd = index.n_corpus
     qb, db = _layout(spark, nq, nd, q_rows, d_rows)
-    g = qb * db
+    g = _partitions(spark, qb * db)
     qblk = F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")
     dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
     all_q = F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q_block")
     all_d = F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket")
-    key = term_key(index)
-
-    qt = query_terms(queries, query_key, query_fields)
-    lex_q, lex_d = [], []
-    for f in index.fields:
-        n, avgdl = index.stats[f]
-        if n == 0:
-            continue
-        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        lex_q.append(qt.join(index.terms.where(F.col("field") == f), "term")
-                     .select(F.lit(3).alias("kind"), F.col("query_id").alias("id"),
-                             key.alias("key"), (F.col("qtf") * idf).alias("w")))
-        norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
-        lex_d.append(index.postings.where(F.col("field") == f)
-                     .select(F.lit(2).alias("kind"), F.col("doc_id").alias("id"), key.alias("key"),
-                             (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("w")))
-
-    def union(parts):
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
 
     qv = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"),
                         *_identity(exclude_identical))
-    use_lex = w_lex != 0 and bool(lex_q)
-    if use_lex:
-        lex_rows = (union(lex_d).select("kind", "id", "key", "w", dbkt.alias("d_bucket"), all_q)
-                    .unionByName(union(lex_q).select("kind", "id", "key", "w",
-                                                     qblk.alias("q_block"), all_d)))
+    lex_rows = (_lexical_weights(index, queries, query_key, query_fields, qblk, dbkt, all_q, all_d)
+                if w_lex != 0 else None)
+    if lex_rows is not None:
         if g > 1:
             lex_rows = lex_rows.repartition(g, "q_block", "d_bucket")
         stats = (lex_rows.groupBy("q_block", "d_bucket")
@@ -446,7 +480,7 @@ def _cos_gram_kernel(batch_size: int):
                                  "other_id": pd.Series([], dtype="int64"),
                                  "dot": pd.Series([], dtype="float64")})
         qids = qs["id"].to_numpy(dtype=np.int64)
-        c = _unit_rows(qs["v"]) @ _unit_rows(docs["v"]).T
+        c = _cosines(qs["v"], docs["v"])
         batch = qids // batch_size
         out_q, out_o, out_d = [], [], []
         for b in np.unique(batch):
@@ -480,14 +514,17 @@ def cosine_profile(queries: DataFrame, corpus: DataFrame, batch_size: int = 32,
     qb, db = _layout(spark, nq, nd, per_block * batch_size, d_rows)
     q = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec).alias("v"))
     d = corpus.select(F.col(doc_key).cast("long").alias("id"), F.col(vec).alias("v"))
-    # whole batches per block; blocks in key order
-    qblk = F.floor(F.floor(F.col("id") / F.lit(batch_size)) / F.lit(per_block)).cast("int")
-    dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
+    # whole batches per block, dealt by a hash of the batch number: keys may be sparse or negative
     n_blocks = max(1, math.ceil(nq / (per_block * batch_size)))
+    qblk = F.pmod(F.xxhash64(_batch("id", batch_size)), F.lit(n_blocks)).cast("int")
+    dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
     rows = (d.select(F.lit(0).alias("kind"), "id", "v", dbkt.alias("d_bucket"),
                      F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("q_block"))
             .unionByName(q.select(F.lit(1).alias("kind"), "id", "v", qblk.alias("q_block"),
                                   F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket"))))
+    g = _partitions(spark, n_blocks * db)
+    if g > 1:
+        rows = rows.repartition(g, "q_block", "d_bucket")
     dots = (rows.groupBy("q_block", "d_bucket")
             .applyInPandas(_cos_gram_kernel(batch_size), GRAM_SCHEMA)
             .groupBy("query_id", "other_id").agg(F.sum("dot").alias("dot")))
@@ -545,7 +582,7 @@ def lexical_profile(index, queries: DataFrame, batch_size: int = 32, *,
     the partial Gram matrix of each batch; Spark adds the partials over buckets.
     Output ``(query_id, other_id, sim)`` for every ordered pair of a batch.
     """
-    from diffsieve.operators.lexical import B, K1, SCORE_SCALE, query_terms, term_key
+    from diffsieve.operators.lexical import SCORE_SCALE
 
     spark = queries.sparkSession
     nq = n_queries if n_queries is not None else queries.count()
@@ -553,35 +590,17 @@ def lexical_profile(index, queries: DataFrame, batch_size: int = 32, *,
     per_block = max(1, q_rows // batch_size)
     qb, db = _layout(spark, nq, nd, per_block * batch_size, d_rows)
     n_blocks = max(1, math.ceil(nq / (per_block * batch_size)))
-    qblk = F.floor(F.floor(F.col("id") / F.lit(batch_size)) / F.lit(per_block)).cast("int")
+    qblk = F.pmod(F.xxhash64(_batch("id", batch_size)), F.lit(n_blocks)).cast("int")
     dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
     all_q = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("q_block")
     all_d = F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket")
-    key = term_key(index)
-    qt = query_terms(queries, query_key, query_fields)
-    parts = []
-    for f in index.fields:
-        n, avgdl = index.stats[f]
-        if n == 0:
-            continue
-        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
-        parts.append(qt.join(index.terms.where(F.col("field") == f), "term")
-                     .select(F.lit(3).alias("kind"), F.col("query_id").alias("id"), key.alias("key"),
-                             (F.col("qtf") * idf).alias("w"), qblk.alias("q_block"), all_d))
-        parts.append(index.postings.where(F.col("field") == f)
-                     .select(F.lit(2).alias("kind"), F.col("doc_id").alias("id"), key.alias("key"),
-                             (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("w"),
-                             dbkt.alias("d_bucket"), all_q))
+    lex = _lexical_weights(index, queries, query_key, query_fields, qblk, dbkt, all_q, all_d)
     q_ids = queries.select(F.col(query_key).cast("long").alias("query_id"))
-    if not parts:
-        pairs = q_ids.withColumn("batch", F.floor(F.col("query_id") / F.lit(batch_size)))
+    if lex is None:
+        pairs = q_ids.withColumn("batch", _batch("query_id", batch_size))
         return (pairs.join(pairs.withColumnRenamed("query_id", "other_id"), "batch")
                 .select("query_id", "other_id", F.lit(0.0).alias("sim")))
-    lex = parts[0]
-    for p in parts[1:]:
-        lex = lex.unionByName(p)
-    g = n_blocks * db
+    g = _partitions(spark, n_blocks * db)
     if g > 1:
         lex = lex.repartition(g, "q_block", "d_bucket")
     stats = (lex.groupBy("q_block", "d_bucket")
@@ -602,7 +621,7 @@ def lexical_profile(index, queries: DataFrame, batch_size: int = 32, *,
             .applyInPandas(_lex_gram_kernel(batch_size, SCORE_SCALE), GRAM_SCHEMA)
             .groupBy("query_id", "other_id").agg(F.sum("dot").alias("dot")))
     nrm = dots.where(F.col("query_id") == F.col("other_id")).select("query_id", F.sqrt("dot").alias("nrm"))
-    pairs = q_ids.distinct().withColumn("batch", F.floor(F.col("query_id") / F.lit(batch_size)))
+    pairs = q_ids.distinct().withColumn("batch", _batch("query_id", batch_size))
     pairs = pairs.join(pairs.withColumnRenamed("query_id", "other_id"), "batch")
     small = (lambda d: F.broadcast(d)) if stats_bounded else (lambda d: d)
     r = (pairs.join(dots, ["query_id", "other_id"], "left")
@@ -643,7 +662,7 @@ def lexical_topk(index, queries: DataFrame, k: int = 2, *, query_key: str = "que
     each (query block, document bucket) group sums BM25 from the term weights and emits
     only its top ``k`` hits per query; the final window keeps the global top ``k``.
     """
-    from diffsieve.operators.lexical import B, K1, SCORE_SCALE, query_terms, term_key
+    from diffsieve.operators.lexical import SCORE_SCALE
 
     spark = queries.sparkSession
     nq = n_queries if n_queries is not None else queries.count()
@@ -653,29 +672,12 @@ def lexical_topk(index, queries: DataFrame, k: int = 2, *, query_key: str = "que
     dbkt = F.pmod(F.xxhash64("id"), F.lit(db)).cast("int")
     all_q = F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q_block")
     all_d = F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d_bucket")
-    key = term_key(index)
-    qt = query_terms(queries, query_key, query_fields)
-    parts = []
-    for f in index.fields:
-        n, avgdl = index.stats[f]
-        if n == 0:
-            continue
-        idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
-        parts.append(qt.join(index.terms.where(F.col("field") == f), "term")
-                     .select(F.lit(3).alias("kind"), F.col("query_id").alias("id"), key.alias("key"),
-                             (F.col("qtf") * idf).alias("w"), qblk.alias("q_block"), all_d))
-        parts.append(index.postings.where(F.col("field") == f)
-                     .select(F.lit(2).alias("kind"), F.col("doc_id").alias("id"), key.alias("key"),
-                             (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("w"),
-                             dbkt.alias("d_bucket"), all_q))
-    if not parts:
+    rows = _lexical_weights(index, queries, query_key, query_fields, qblk, dbkt, all_q, all_d)
+    if rows is None:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    if qb * db > 1:
-        rows = rows.repartition(qb * db, "q_block", "d_bucket")
+    g = _partitions(spark, qb * db)
+    if g > 1:
+        rows = rows.repartition(g, "q_block", "d_bucket")
     cand = (rows.groupBy("q_block", "d_bucket")
             .applyInPandas(_lex_topk_kernel(k, SCORE_SCALE), CAND_SCHEMA))
     return top_k(cand, k)

@@ -61,12 +61,14 @@ def _stream_join(big: DataFrame, small: DataFrame, key: str, bounded: bool) -> D
     """``small`` left-joined to ``big`` on ``key`` without shuffling ``big``.
 
     An outer join cannot build on its preserved side, so the matching rows come from an
-    inner join (broadcasting ``small`` when it is bounded) and the rows of ``small``
-    whose key is null are added back; every non-null key of ``small`` exists in ``big``.
+    inner join (broadcasting ``small`` when it is bounded). Rows of ``small`` whose key is
+    null or not in ``big`` are added back; they are found by a pass over ``big``'s key
+    column alone, which keeps at most the keys of ``small``.
     """
-    s = F.broadcast(small) if bounded else small
-    matched = big.join(s, key)
-    missing = small.where(F.col(key).isNull())
+    hint = F.broadcast if bounded else (lambda df: df)
+    matched = big.join(hint(small), key)
+    found = big.select(key).join(hint(small.select(key).distinct()), key, "left_semi").distinct()
+    missing = small.join(found, key, "left_anti")
     for c in big.columns:
         if c != key:
             missing = missing.withColumn(c, F.lit(None).cast(big.schema[c].dataType))

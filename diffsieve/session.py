@@ -45,12 +45,15 @@ def get_session(master: str | None = None, app: str = "diffsieve",
 def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir`` (set by the cluster). Only when the
-    session has none -- local tests -- a new temporary folder is created and registered
-    as the checkpoint folder, so that ``DataFrame.checkpoint()`` works as well.
+    The folder comes from ``spark.checkpoint.dir`` (set by the cluster). Only when a local
+    session has none -- tests -- a new temporary folder is created and registered as the
+    checkpoint folder, so that ``DataFrame.checkpoint()`` works as well. On a cluster a
+    machine-local folder would be a different one on every executor, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local") or "local-cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="diffsieve-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
