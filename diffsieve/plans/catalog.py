@@ -137,11 +137,10 @@ def q_lookup_payload(spark, sf):
     top = rank.top_k(lexical.bm25_scores(idx, q), 2)
     bounded = q.count() <= retrieval.BROADCAST_QUERIES
     picks = rank.pick_with_exclusion(top, q, c, fallback_key=idx.min_key, queries_bounded=bounded)
-    labels = T.table(spark, sf, "labels")
-    # labels cover only some documents: the payload is a left join from the picks.
-    return (picks.select("query_id", "doc_id")
-            .join(labels.select("doc_id", F.col("quality").alias("retrieved_quality"),
-                                F.col("toxic").alias("retrieved_toxic")), "doc_id", "left"))
+    # labels cover only some documents: picks without a row there keep nulls
+    labels = T.table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    picks = materialize(picks.select("query_id", "doc_id"), "picks")
+    return rank.lookup_payload(picks, labels, ("quality", "toxic"), picks_bounded=bounded)
 
 
 # ------------------------------------------------------------------ dense / hybrid
@@ -484,15 +483,28 @@ def q_fuse_channels(spark, sf):
 
 
 @register("scan_vectors", """
-SELECT vec_id, len(embedding) AS dim, true AS same, false AS error FROM embeddings""")
+SELECT vec_id, CASE vec_id % 5 WHEN 3 THEN 64 WHEN 4 THEN NULL ELSE len(embedding) END AS dim,
+       CASE vec_id % 5 WHEN 3 THEN 0.0 WHEN 4 THEN NULL
+            ELSE round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * i)), 4) END AS weighted,
+       vec_id % 5 = 4 AS error
+FROM embeddings""")
 def q_scan_vectors(spark, sf):
     e = T.table(spark, sf, "embeddings")
-    # render each vector as the reference's 2-D text "[[..], [..]]" and parse it back
-    text = F.concat(F.lit("[\n"), F.to_json(F.slice("embedding", 1, 32)), F.lit(",\n "),
-                    F.to_json(F.slice("embedding", 33, F.size("embedding"))), F.lit("]"))
+    # render each vector in one of the forms of the reference's files and parse it back:
+    # 2-D text, flat list, tuple of lists, blank, and text that is cut in the middle
+    a, b = F.to_json(F.slice("embedding", 1, 32)), F.to_json(F.slice("embedding", 33, F.size("embedding")))
+    form = F.col("vec_id") % 5
+    text = (F.when(form == 0, F.concat(F.lit("[\n"), a, F.lit(",\n "), b, F.lit("]")))
+            .when(form == 1, F.to_json("embedding"))
+            .when(form == 2, F.concat(a, F.lit(", "), b))
+            .when(form == 3, F.lit(" nan "))
+            .otherwise(F.concat(a, F.lit(" "), b)))
     vec, err = VX.parse_vector_text(text, 64)
-    return e.select("vec_id", F.size("embedding").cast("long").alias("dim"),
-                    (vec == F.col("embedding")).alias("same"), err.alias("error"))
+    p = e.select("vec_id", vec.alias("v"), err.alias("error"))
+    weights = F.transform("v", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
+    return p.select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("dim"),
+                    F.round(total, 4).alias("weighted"), "error")
 
 
 @register("flatten_vector", f"""
@@ -743,6 +755,24 @@ def q_cosine_profile(spark, sf):
     return p.withColumn("sim", F.round("sim", 6))
 
 
+# keys far apart, negative and beyond 2**53, in the same batches of 32 neighbours
+_FAR_ID = "((doc_id // 32) * 1000003 - 17) * 32 + doc_id % 32 + CASE WHEN doc_id // 32 % 2 = 1 THEN 1152921504606846976 ELSE 0 END"
+
+
+@register("cosine_profile_sparse_ids", f"""
+WITH c AS ({S.CORPUS}), q AS (SELECT {_FAR_ID} AS query_id, doc_id // 32 AS batch, v FROM c),
+w AS (SELECT q.query_id, q.batch, d.doc_id, {S.cos('q.v', 'd.v')} AS x FROM q CROSS JOIN c d),
+nr AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM w GROUP BY query_id),
+p AS (SELECT a.query_id, b.query_id AS other_id, sum(a.x * b.x) AS dot
+      FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.batch = b.batch GROUP BY a.query_id, b.query_id)
+SELECT p.query_id, p.other_id, round(dot / (n1.n * n2.n), 6) AS sim
+FROM p JOIN nr n1 ON n1.query_id = p.query_id JOIN nr n2 ON n2.query_id = p.other_id""")
+def q_cosine_profile_sparse_ids(spark, sf):
+    c = T.corpus(spark, sf)
+    q = c.select(F.expr(_FAR_ID.replace("//", "div").replace("1152921504606846976", "1152921504606846976L")).alias("query_id"), "v")
+    return dense.cosine_profile(q, c, 32).withColumn("sim", F.round("sim", 6))
+
+
 @register("mixed_profile", _HYBRID_BASE + "," + _COS_PROFILE_SQL + """,
 bd AS (SELECT x.query_id, y.query_id AS other_id, sum(x.b * y.b) AS dot
        FROM bn x JOIN bn y ON x.doc_id = y.doc_id AND x.query_id // 32 = y.query_id // 32

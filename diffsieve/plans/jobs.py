@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diffsieve.functions.vectors import fuse_channels
@@ -25,6 +25,7 @@ from diffsieve.operators.features import encode_features, hash_features
 from diffsieve.operators.rank import attach_results
 from diffsieve.operators.retrieval import retrieve_hybrid
 from diffsieve.plans.diffjob import diff_versions
+from diffsieve.session import materialize
 from diffsieve.sources.files import scan_commits, scan_versions, write_by_project, write_splits
 from diffsieve.sources.index_store import build_index_tables
 
@@ -53,17 +54,53 @@ def sequence_job(spark: SparkSession, commits_dir: str, versions_dir: str, out_d
     ok_name = F.col("commit_id").isNotNull() & F.col("side").isin("negative", "positive")
     paired = pair_versions(versions.where(ok_name), keys=("project", "commit_id"),
                            order="file_name")
+    # one script per version pair, however many commit rows share it; both outputs read it
+    paired = materialize(paired, "version-pairs")
+    whole = paired.where(F.col("neg_code").isNotNull() & F.col("pos_code").isNotNull())
+    keyed = whole.withColumn("_key", F.to_json(F.struct("project", "commit_id")))
+    scripts, too_long = diff_versions(keyed, "neg_code", "pos_code", key="_key", dialect=dialect,
+                                      keep=keep, max_edits=max_edits, quarantine=True)
+    scripts = materialize(scripts.select("project", "commit_id", "ast_seq"), "scripts")
     good, bad = quarantine_failures(commits, paired, keys=("project", "commit_id"))
-    good = good.withColumn("_key", F.to_json(F.struct("project", "commit_id")))
-    rows = diff_versions(good, "neg_code", "pos_code", key="_key", dialect=dialect, keep=keep,
-                         max_edits=max_edits)
+    rows = good.drop("neg_code", "pos_code").join(scripts, ["project", "commit_id"])
     write_by_project(rows.select("project", "commit_id", "diff", "ast_seq", "message"), out_dir)
     if quarantine_dir:
         names = versions.where(~ok_name).select(
             "project", F.col("file_name").alias("commit_id"),
             F.lit("bad_file_name").alias("reason"))
-        (bad.select("project", "commit_id", "reason").unionByName(names)
-         .write.mode("append").parquet(quarantine_dir))
+        long = (commits.select("project", "commit_id").distinct()
+                .join(too_long.select("project", "commit_id", "reason"), ["project", "commit_id"]))
+        new = (bad.select("project", "commit_id", "reason").unionByName(names).unionByName(long)
+               .distinct())
+        if _exists(spark, quarantine_dir):
+            # a re-run meets the same failures again: only new ones are appended
+            old = spark.read.parquet(quarantine_dir)
+            same = [new[c].eqNullSafe(old[c]) for c in ("project", "commit_id", "reason")]
+            new = materialize(new.join(old, same[0] & same[1] & same[2], "left_anti"), "quarantine")
+        new.write.mode("append").parquet(quarantine_dir)
+
+
+def _unique_keys(df: DataFrame) -> DataFrame:
+    """``df`` with a unique ``doc_id``: ``xxhash64(project, commit_id)``, drawn again from the
+    row's number for all but the first of the rows that share one (repeated commits, or a
+    collision of the hash). The rows that share one are found by an aggregate; only they are
+    numbered.
+    """
+    names = df.columns
+    whole = F.to_json(F.struct(*sorted(names)))
+    out = df.withColumn("doc_id", F.xxhash64("project", "commit_id"))
+    for again in range(4):
+        out = materialize(out, "row-keys")
+        shared = out.groupBy("doc_id").count().where("count > 1").select("doc_id")
+        if not shared.limit(1).count():
+            return out
+        of = Window.partitionBy("doc_id").orderBy(whole)
+        part = out.join(shared, "doc_id", "left_semi").withColumn("_n", F.row_number().over(of))
+        drawn = F.when(F.col("_n") == 1, F.col("doc_id")).otherwise(
+            F.xxhash64("doc_id", "_n", F.lit(again)))
+        out = (out.join(shared, "doc_id", "left_anti")
+               .unionByName(part.withColumn("doc_id", drawn).drop("_n")).select(*names, "doc_id"))
+    raise ValueError("row keys are still not unique")
 
 
 def dataset_job(spark: SparkSession, tables: Sequence[DataFrame], out_dir: str,
@@ -71,16 +108,16 @@ def dataset_job(spark: SparkSession, tables: Sequence[DataFrame], out_dir: str,
                 encoder: Callable | None = None, batch_size: int = 32) -> DataFrame:
     """Merge commit tables, add ``v`` and an exact split, write per split.
 
-    The row key ``doc_id`` is ``xxhash64(project, commit_id)``, checked to be unique
-    (the reference keys rows by position). ``encoder`` is the user's batch encoder
-    (F1); without it ``v`` is the concatenation of the hashed token vectors of ``diff``
-    and ``ast_seq`` (F2 + F3).
+    The row key ``doc_id`` is a hash of (project, commit_id), made unique where commits
+    repeat (the reference keys rows by position). ``encoder`` is the user's batch encoder
+    (F1), called once a row; without it ``v`` is the concatenation of the hashed token
+    vectors of ``diff`` and ``ast_seq`` (F2 + F3).
     """
     merged = merge_tables(list(tables)).na.fill("", subset=["ast_seq"])
-    merged = merged.withColumn("doc_id", F.xxhash64("project", "commit_id"))
-    r = merged.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("u")).first()
-    if r["n"] != r["u"]:
-        raise ValueError("row keys are not unique (duplicate commits or a hash collision)")
+    merged = _unique_keys(merged)
+    # the split needs the keys alone; features are made once, for rows that know their split
+    split = materialize(split_exact(merged.select("doc_id"), sizes, seed=seed, key="doc_id"), "split")
+    merged = merged.join(split.select("doc_id", "split"), "doc_id")
     if encoder is not None:
         withv = encode_features(merged, encoder, batch_size, out="v")
     else:
@@ -88,8 +125,7 @@ def dataset_job(spark: SparkSession, tables: Sequence[DataFrame], out_dir: str,
         b = hash_features(merged, "ast_seq", dim, out="vb")
         withv = (merged.join(a, "doc_id").join(b, "doc_id")
                  .withColumn("v", fuse_channels("va", "vb")).drop("va", "vb"))
-    splits = split_exact(withv, sizes, seed=seed, key="doc_id")
-    write_splits(splits, out_dir)
+    write_splits(withv, out_dir)
     return spark.read.parquet(out_dir)
 
 

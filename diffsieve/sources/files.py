@@ -28,21 +28,43 @@ def project_from_file(name_col) -> F.Column:
 
 
 def scan_commits(spark: SparkSession, path: str, columns=COMMIT_COLUMNS,
-                 layout: str = "reference") -> DataFrame:
+                 layout: str = "reference", headers: str = "mixed") -> DataFrame:
     """``(project, commit_id, diff, message)`` from commit CSV files.
 
     ``layout='reference'``: every ``*_commits.csv`` under ``path``, project from the file
     name. ``layout='partitioned'``: folders ``project=<name>/`` as written by
     ``write_by_project``. Columns are picked by header name and read as text (no
-    inference); other columns are ignored and never parsed.
+    inference); other columns are ignored. ``headers='mixed'``: files may order their columns
+    differently or have further ones; one pass over the text finds each file's first line,
+    files are read in groups of one header. ``headers='same'`` saves that pass and fails when a
+    file's header differs from the first one's (columns are never taken by position).
     """
-    if layout == "partitioned":
-        df = spark.read.options(**CSV_OPTIONS).csv(path)
-        return df.select(F.col("project").cast("string"), *[F.col(c) for c in columns])
-    df = (spark.read.options(**CSV_OPTIONS).option("pathGlobFilter", "*" + COMMIT_SUFFIX)
-          .option("recursiveFileLookup", "true").csv(path))
-    return df.select(project_from_file(F.col("_metadata.file_name")).alias("project"),
-                     *[F.col(c) for c in columns])
+    options = {**CSV_OPTIONS, "enforceSchema": "false", "recursiveFileLookup": str(layout == "reference").lower()}
+    if layout == "reference":
+        options["pathGlobFilter"] = "*" + COMMIT_SUFFIX
+        project = project_from_file(F.col("_metadata.file_name"))
+    else:
+        options["pathGlobFilter"] = "*.csv"
+        project = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"/project=([^/]*)/", 1)
+    if headers == "same":
+        groups = [(None, [path])]
+    else:
+        text = {k: v for k, v in options.items() if k in ("pathGlobFilter", "recursiveFileLookup")}
+        lines = spark.read.options(**text).text(path).where(F.col("_metadata.file_block_start") == 0)
+        first = (lines.select(F.col("_metadata.file_path").alias("file"), "value",
+                              F.monotonically_increasing_id().alias("n"))
+                 .groupBy("file").agg(F.min_by("value", "n").alias("header")))
+        # a row per distinct header; the file names of a group are needed to read it
+        groups = [(r["header"], sorted(r["files"])) for r in
+                  first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()]
+    out = None
+    for _, files in groups:
+        part = spark.read.options(**options).csv(files)
+        part = part.select(project.alias("project"), *[F.col(c) for c in columns])
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ("project", *columns)))
+    return out
 
 
 def _norm_path(c) -> F.Column:

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from diffsieve.sources.files import COMMIT_COLUMNS, COMMIT_SUFFIX, CSV_OPTIONS, project_from_file
 
 
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+
+
 def commit_schema(columns=COMMIT_COLUMNS) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
@@ -24,8 +27,9 @@ def ingest_incremental(spark: SparkSession, src: str, out: str, checkpoint: str,
     """Process the commit files under ``src`` that earlier runs have not seen.
 
     Runs one ``availableNow`` micro-batch sequence and returns the number of rows
-    written. ``schema`` lists the files' columns in file order (CSV headers are not
-    used to name columns in a stream); ``keep`` are the columns written, plus
+    written. ``schema`` lists the files' columns in file order; a file whose header has other
+    names or another order ends the run with an error, so no cell lands in a wrong column.
+    ``keep`` are the columns written, plus
     ``project`` -- from the file name (``layout='reference'``, files
     ``<project>_commits.csv``) or from ``project=<name>/`` folders
     (``layout='partitioned'``, as ``write_by_project`` writes them).
@@ -33,17 +37,23 @@ def ingest_incremental(spark: SparkSession, src: str, out: str, checkpoint: str,
     if layout == "partitioned":
         sch = T.StructType(list((schema or commit_schema()).fields)
                            + [T.StructField("project", T.StringType())])
-        stream = (spark.readStream.options(**CSV_OPTIONS).schema(sch).csv(src)
+        stream = (spark.readStream.options(**CSV_OPTIONS).option("enforceSchema", "false").schema(sch).csv(src)
                   .select("project", *keep))
     else:
-        stream = (spark.readStream.options(**CSV_OPTIONS)
+        stream = (spark.readStream.options(**CSV_OPTIONS).option("enforceSchema", "false")
                   .option("pathGlobFilter", "*" + COMMIT_SUFFIX)
                   .schema(schema or commit_schema()).csv(src)
                   .select(project_from_file(F.col("_metadata.file_name")).alias("project"), *keep))
-    q = (stream.writeStream.format(fmt).partitionBy("project")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
-    q.awaitTermination()
-    return sum(int(p.get("numInputRows", 0)) for p in q.recentProgress)
+    # Spark keeps the last 100 progress reports by default; the count needs all of this run's
+    kept = spark.conf.get(PROGRESS)
+    spark.conf.set(PROGRESS, str(10**6))
+    try:
+        q = (stream.writeStream.format(fmt).partitionBy("project")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
+        q.awaitTermination()
+        return sum(int(p.get("numInputRows", 0)) for p in q.recentProgress)
+    finally:
+        spark.conf.set(PROGRESS, kept)
 
 
 def augment_stream(queries: DataFrame, lookup, out: str, checkpoint: str,
