@@ -1,14 +1,15 @@
 """Persisted lexical index tables with a corpus fingerprint.
 
-Layout under ``path``: ``tf/`` (postings; each file holds whole documents, as the build
-partitions by document), ``terms/`` and ``meta/`` (one row: the
-fingerprint and per-field statistics). A build whose fingerprint matches the stored one
-reuses the tables; a changed corpus triggers a rebuild (the reference reuses any
-existing index directory).
+Layout under ``path``: a folder per corpus fingerprint with ``tf/`` (postings; each file holds
+whole documents, as the build partitions by document), ``terms/`` and, written last,
+``meta/`` (one row: the fingerprint and per-field statistics). A folder with ``meta`` is
+complete and is reused; a changed corpus gets a folder of its own, so a rebuild that ends
+half way neither harms nor impersonates an older index.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame
@@ -48,6 +49,7 @@ def build_index_tables(corpus: DataFrame, path: str, key: str = "doc_id", fields
     spark = corpus.sparkSession
     fields = tuple(fields)
     fp = fingerprint(corpus, key, fields)
+    path = f"{path.rstrip('/')}/{hashlib.sha256((fp + json.dumps(fields)).encode()).hexdigest()[:16]}"
     meta = _read(spark, path) if reuse else None
     if meta is None or meta["fingerprint"] != fp or tuple(json.loads(meta["fields"])) != fields:
         idx = build_index(corpus, key, fields, salt_rows, path=path)

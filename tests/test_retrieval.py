@@ -189,13 +189,13 @@ def test_index_tables_reuse_and_rebuild(spark, tmp):
     from diffsieve.sources.index_store import build_index_tables
     c, _q = _frames(spark)
     a = build_index_tables(c, tmp + "/idx")
-    files = sorted(spark.read.parquet(tmp + "/idx/tf").inputFiles())
+    files = sorted(a.terms.inputFiles())
     b = build_index_tables(c, tmp + "/idx")  # same corpus: tables reused, not rewritten
-    assert sorted(spark.read.parquet(tmp + "/idx/tf").inputFiles()) == files
+    assert sorted(b.terms.inputFiles()) == files
     assert b.stats == a.stats and b.n_corpus == 4
     changed = c.union(c.where("doc_id = 3").withColumn("doc_id", F.lit(9).cast("long")))
-    d = build_index_tables(changed, tmp + "/idx")  # fingerprint differs: rebuilt
-    assert d.n_corpus == 5
+    d = build_index_tables(changed, tmp + "/idx")  # fingerprint differs: a folder of its own
+    assert d.n_corpus == 5 and not set(d.terms.inputFiles()) & set(files)
 
 
 def test_two_field_index(spark):
