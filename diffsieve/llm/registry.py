@@ -10,9 +10,12 @@ from .packing import op4_best_fit_packing
 from .pii import op8_pii_surrogates
 from .quality import op6_quality_classifier
 from .simhash import op9_document_fingerprints
+from .sqltext import SQL
 from .substring_dedup import op3_substring_dedup
 from .toxicity import op1_toxicity
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity,
     op2_language_id,
@@ -25,5 +28,3 @@ QUERIES = {f.__name__: f for f in (
     op9_document_fingerprints,
     op10_html_extraction,
 )}
-
-SQL: dict[str, str] = {}
