@@ -128,6 +128,18 @@ def q_bm25_topk(spark, sf):
     return retrieval.bm25_topk(c, q, index=idx)
 
 
+@register("bm25_topk_mixed", _BM25_RANKED.replace(S.BENCH_QUERIES, S.MIXED_QUERIES) + ","
+          + S.pick_ctes("r", fallback=True) + f""",
+y AS (SELECT {S.picked_cols()} FROM x)
+SELECT y.query_id, y.doc_id, y.rank1_id, round(coalesce(y.score0, 0.0), 6) AS score,
+       y.same_key, y.is_fallback, d.diff AS retrieved_diff, d.message AS retrieved_message
+FROM y LEFT JOIN c d ON d.doc_id = y.doc_id""")
+def q_bm25_topk_mixed(spark, sf):
+    # both values of same_key and of is_fallback occur, and the second query text is in use
+    c = T.commits(spark, sf)
+    return retrieval.bm25_topk(c, T.mixed_queries(spark, sf))
+
+
 @register("lookup_payload", _BM25_RANKED + "," + S.pick_ctes("r", fallback=True) + f""",
 y AS (SELECT {S.picked_cols()} FROM x)
 SELECT y.query_id, y.doc_id, l.quality AS retrieved_quality, l.toxic AS retrieved_toxic
@@ -199,6 +211,26 @@ def q_hybrid(spark, sf):
     return retrieval.retrieve_hybrid(c, _self_queries(c))
 
 
+def _one_signal(cos: str, lex: str) -> str:
+    return (_HYBRID_PICKS.replace("SELECT q.query_id, d.doc_id, 0.5 * ", f"SELECT q.query_id, d.doc_id, {cos} * ")
+            .replace("+ 0.5 * coalesce(bn.b", f"+ {lex} * coalesce(bn.b")
+            + "\nSELECT query_id, doc_id, rank1_id, round(score0, 6) AS score, same_key FROM y")
+
+
+@register("retrieve_cosine_only", _one_signal("1.0", "0.0"))
+def q_cosine_only(spark, sf):
+    c = T.corpus(spark, sf)
+    return (retrieval.retrieve_hybrid(c, _self_queries(c), w_cos=1.0, w_lex=0.0)
+            .select("query_id", "doc_id", "rank1_id", "score", "same_key"))
+
+
+@register("retrieve_lexical_only", _one_signal("0.0", "1.0"))
+def q_lexical_only(spark, sf):
+    c = T.corpus(spark, sf)
+    return (retrieval.retrieve_hybrid(c, _self_queries(c), w_cos=0.0, w_lex=1.0)
+            .select("query_id", "doc_id", "rank1_id", "score", "same_key"))
+
+
 @register("exclude_self_match", _HYBRID_PICKS + """
 SELECT query_id, doc_id, rank1_id, same_key FROM y""")
 def q_exclude(spark, sf):
@@ -681,6 +713,12 @@ def q_edit_script_table(spark, sf):
     return ED.edit_script(_page_seq_pairs(spark, sf))
 
 
+@register("edit_summary_tokens", f"""
+SELECT op, token, count(*) AS n FROM ({S.edits_sql(_SEQ_PAIRS)}) GROUP BY op, token""")
+def q_edit_summary_tokens(spark, sf):
+    return ED.edit_summary(ED.edit_script(_page_seq_pairs(spark, sf)), by="token")
+
+
 @register("render_edit_script_text", S.rendered_sql(_SEQ_PAIRS))
 def q_render_text(spark, sf):
     pairs = _page_seq_pairs(spark, sf)

@@ -27,6 +27,13 @@ CORPUS = (f"SELECT c.doc_id, c.project, c.diff, '' AS ast_seq, c.message, e.embe
 
 BENCH_QUERIES = "SELECT item_id AS query_id, text AS diff, '' AS ast_seq FROM benchmark"
 
+# self matches, foreign texts with a second text column, and texts without any hit
+MIXED_QUERIES = (
+    "SELECT item_id AS query_id, text AS diff, 'src1 the' AS ast_seq FROM benchmark "
+    f"UNION ALL SELECT 1000000000 + k.doc_id, k.diff, k.message FROM ({COMMITS}) k "
+    "JOIN labels l ON l.doc_id = k.doc_id WHERE l.toxic = 1 "
+    "UNION ALL SELECT 2000000000 + n_nationkey, 'qq' || n_nationkey || 'xx', '' FROM nation")
+
 VERSIONS = ("SELECT conv_id AS commit_id, CASE role WHEN 'user' THEN 'negative' "
             "WHEN 'assistant' THEN 'positive' END AS side, turn, text AS code, "
             "'x_' || CAST(conv_id AS VARCHAR) || '_' || CASE role WHEN 'user' THEN 'negative' "

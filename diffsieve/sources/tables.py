@@ -70,3 +70,20 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("diff"),
                     F.lit("").alias("ast_seq"))
+
+
+def mixed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, diff, ast_seq)``: benchmark items with a second text (foreign keys), the
+    commits labelled toxic (self matches) and nations (no hit, so the fallback applies)."""
+    b = table(spark, sf_dir, "benchmark")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    k = commits(spark, sf_dir).join(toxic, "doc_id")
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    return (b.select(F.col("item_id").alias("query_id"), F.col("text").alias("diff"),
+                     F.lit("src1 the").alias("ast_seq"))
+            .unionByName(k.select((F.col("doc_id") + 1_000_000_000).alias("query_id"), "diff",
+                                  F.col("message").alias("ast_seq")))
+            .unionByName(n.select((key.cast("long") + 2_000_000_000).alias("query_id"),
+                                  F.concat(F.lit("qq"), key.cast("string"), F.lit("xx")).alias("diff"),
+                                  F.lit("").alias("ast_seq"))))
