@@ -11,8 +11,9 @@ so copies never meet each other.
   hash order) are multiplied, and of them only columns with two entries (``keep_repeated``).
 * Columns are dealt in blocks by their hash. Within a column, rows sorted by size form bands that
   the size bound allows. A pair is dropped when the parity sketches of the two sets (``SKETCH``
-  bits, every shingle flips one) differ in more bits than the sets may differ in shingles; overlap
-  of the rest is counted exactly on the whole sets.
+  bits, every shingle flips one; ``WIDE_SKETCH`` for large sets in crowded columns) differ in more bits than the sets may differ in shingles, and when
+  the overlap counted over all blocks is too low for the sizes; that of the rest is counted on the
+  whole sets.
 * First product: each row only with the first row of its band. Linked rows become one component.
   Second product: all pairs of rows in different components, columns within one component being
   skipped. A pair that is left out is connected already, so components lose no link, and a large group of
@@ -37,9 +38,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._io import read, saved
-from ._words import SPACE, Words, keep_repeated, mix, slices, spread_repeats, window_hash
+from ._words import SPACE, Words, keep_repeated, mix, own_repeats, slices, window_hash
 
 N, PERCENT, SKETCH = 5, 80, 512
+#: Sketch of sets over LARGE shingles, for columns of over CROWDED rows.
+WIDE_SKETCH, LARGE, CROWDED = 4096, 700, 64
 
 
 def _sets(w: Words, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +65,22 @@ def _sets(w: Words, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(key: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(rows, SKETCH / 64) parity sketches."""
-    rows, words = len(off) - 1, SKETCH // 64
-    row = np.repeat(np.arange(rows), np.diff(off))
-    flips = np.bincount(row * SKETCH + (mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH)).astype(np.int64), minlength=rows * SKETCH) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64).reshape(rows, words) if rows else np.zeros((0, words), np.uint64)
+    """(rows, WIDE_SKETCH / 64) parity sketches; their folds are the narrow ones."""
+    rows = len(off) - 1
+    out = np.zeros((rows, WIDE_SKETCH // 64), np.uint64)
+    bit = (mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(WIDE_SKETCH)).astype(np.int64)
+    for a in range(0, rows, 256):  # counts of a few rows at a time
+        b = min(a + 256, rows)
+        at = slice(off[a], off[b])
+        row = np.repeat(np.arange(b - a), np.diff(off[a:b + 1]))
+        flips = np.bincount(row * WIDE_SKETCH + bit[at], minlength=(b - a) * WIDE_SKETCH) & 1
+        out[a:b] = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64).reshape(b - a, -1)
+    return out
+
+
+def _folded(wide: np.ndarray) -> np.ndarray:
+    """Narrow sketches: the parity of the wide one's bits that share a place."""
+    return np.bitwise_xor.reduce(wide.reshape(len(wide), WIDE_SKETCH // SKETCH, SKETCH // 64), axis=1)
 
 
 def _class_hash(key: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -76,17 +90,20 @@ def _class_hash(key: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, kind: str, n: int) -> DataFrame:
-    """(id, size, c1, c2, sketch): set size, 128-bit hash of the set, and its parity sketch."""
+    """(id, size, c1, c2, sketch, wide): set size, 128-bit hash of the set, its parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 key, off = _sets(Words(part.column(1), SPACE, lower=True), n, part.num_rows)
                 half = _class_hash(key, off)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()),
-                                                  pa.array([x.tobytes() for x in _sketch(key, off)], pa.binary())], ["id", "size", "c1", "c2", "sketch"])
+                size = np.diff(off)
+                wide = _sketch(key, off)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()),
+                                                  pa.array([x.tobytes() for x in _folded(wide)], pa.binary()), pa.array([x.tobytes() if n > LARGE else None for x, n in zip(wide, size)], pa.binary())],
+                                                 ["id", "size", "c1", "c2", "sketch", "wide"])
 
-    return docs.mapInArrow(run, f"id {kind}, size long, c1 long, c2 long, sketch binary")
+    return docs.mapInArrow(run, f"id {kind}, size long, c1 long, c2 long, sketch binary, wide binary")
 
 
 def prefix_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -100,15 +117,24 @@ def prefix_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 c1 = _class_hash(key, off)[:, 0]
                 _, first = np.unique(c1, return_index=True)
                 first = first[size[first] > 0]
-                take = size[first] + (-percent * size[first] // 100) + 1  # size - ceil(percent size) + 1
+                take = _prefix(size[first], percent)
                 at = np.repeat(off[first] - (np.cumsum(take) - take), take) + np.arange(take.sum())
                 row = np.repeat(first, take)
-                # of a column's entries in this slice all but the first are sure, and all are needed
-                dealt, sure = spread_repeats(key[at], c1[row].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(dealt.view(np.int64)), pa.array(sure), pa.array(key[at].view(np.int64)), pa.array(c1[row]), pa.array(size[row].astype(np.int32))],
-                                                 ["deal", "sure", "key", "c1", "size"])
+                # a column's entries in this slice are all sure if there are two; all but the first are spread
+                one, sure = own_repeats(key[at])
+                spread = np.where(one, 0, 1 + (mix(c1[row].view(np.uint64)) % np.uint64(30_000)).astype(np.int64))
+                mark = spread << 48 | size[row] << 1 | sure
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(c1[row]), pa.array(mark)], ["key", "c1", "mark"])
+
+    spread = F.shiftright("mark", 48)
+    found = keep_repeated(docs.mapInArrow(run, "key long, c1 long, mark long"), "key long, c1 long, mark long",
+                          derived={"sure": F.col("mark") % 2 == 1}, dealt_by=("key", spread))
+    return found.select("key", "c1", F.shiftright(F.col("mark").bitwiseAND(F.lit((1 << 48) - 1)), 1).cast("int").alias("size"))
 
-    return keep_repeated(docs.mapInArrow(run, "deal long, sure boolean, key long, c1 long, size int"), "key long, c1 long, size int", by=("deal",))
+
+def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
+    """Columns of a row that a linked row must share one of: size - ceil(percent size) + 1."""
+    return size + (-percent * size // 100) + 1
 
 
 def _bands(size: np.ndarray, percent: int) -> np.ndarray:
@@ -122,25 +148,55 @@ def _bands(size: np.ndarray, percent: int) -> np.ndarray:
     return first
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    differ = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-    return differ * (100 + percent) <= (size_a + size_b).astype(np.int64) * (100 - percent)
+class _Sketches:
+    """Sketches of rows, narrow for all and wide for some, and the test of pairs of rows."""
+
+    def __init__(self, raw: list[bytes], size: np.ndarray, percent: int):
+        self.size, self.percent = size.astype(np.int64), percent
+        long = np.array([len(x) > SKETCH // 8 for x in raw], bool)
+        self.wide_at = np.cumsum(long) - 1
+        self.wide_at[~long] = -1
+        self.wide = np.frombuffer(b"".join(x for x in raw if len(x) > SKETCH // 8), np.uint64).reshape(-1, WIDE_SKETCH // 64)
+        self.narrow = np.zeros((len(raw), SKETCH // 64), np.uint64)
+        self.narrow[~long] = np.frombuffer(b"".join(x for x in raw if len(x) == SKETCH // 8), np.uint64).reshape(-1, SKETCH // 64)
+        self.narrow[long] = _folded(self.wide)
+
+    def _close(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+        return differ * (100 + self.percent) <= (self.size[i] + self.size[j]) * (100 - self.percent)
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Positions of the pairs of rows that their sketches don't rule out."""
+        good = np.flatnonzero(self._close(self.narrow[i], self.narrow[j], i, j))
+        both = (self.wide_at[i[good]] >= 0) & (self.wide_at[j[good]] >= 0)
+        drop = np.zeros(len(good), bool)
+        for a in range(0, len(good), 4096):
+            some = np.flatnonzero(both[a:a + 4096]) + a
+            x, y = i[good[some]], j[good[some]]
+            drop[some] = ~self._close(self.wide[self.wide_at[x]], self.wide[self.wide_at[y]], x, y)
+        return good[~drop]
 
 
 def product(entries: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """(a, b): class pairs that share a column, fit in size and sketch and differ in component.
 
     entries: (key, c1, size, comp, sketch). all_pairs: else only pairs with the opener of a band.
+    The overlaps counted in the columns add up to the overlap of two prefixes; what lies beyond
+    the shorter one can add no more than its row's other columns, so pairs that stay below the
+    overlap that their sizes ask for are discarded. With openers only, a pair isn't counted in
+    every column; what is discarded then comes again with all pairs.
     A column's rows must fit into a task as 100 bytes each; their pairs are made in blocks.
     """
     block = 256
 
-    def group(c1: np.ndarray, size: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def group(x: int, size: np.ndarray, comp: np.ndarray, sketches: _Sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the column whose rows start at ``x``."""
         if not all_pairs:
             first = _bands(size, percent)
             mine = np.flatnonzero((first < np.arange(len(size))) & (comp[first] != comp))
-            good = mine[_may_link(sketch[first[mine]], sketch[mine], size[first[mine]], size[mine], percent)]
-            yield c1[first[good]], c1[good]
+            i, j = first[mine] + x, mine + x
+            good = sketches.may_link(i, j)
+            yield i[good], j[good]
             return
         reach = np.searchsorted(size, size * 100 // percent, side="right")
         for a in range(0, len(size), block):
@@ -149,28 +205,49 @@ def product(entries: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
                 cols = np.arange(b, min(b + block, len(size)))
                 ok = (cols[None, :] > rows[:, None]) & (cols[None, :] < reach[rows][:, None]) & (comp[rows][:, None] != comp[cols][None, :])
                 i, j = np.nonzero(ok)
-                i, j = rows[i], cols[j]
-                good = _may_link(sketch[i], sketch[j], size[i], size[j], percent)
-                yield c1[i[good]], c1[j[good]]
+                i, j = rows[i] + x, cols[j] + x
+                good = sketches.may_link(i, j)
+                yield i[good], j[good]
+
+    def counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, size_a, size_b = (np.concatenate(x) for x in zip(*found))
+        swap = a > b
+        a, b, size_a, size_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, size_b, size_a), np.where(swap, size_a, size_b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        columns = a[new], b[new], size_a[order][new], size_b[order][new], np.diff(np.append(new, len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["a", "b", "size_a", "size_b", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        seen: set[tuple[int, int]] = set()
+        held, found, pending = None, [], 0
+
+        def add(i: np.ndarray, j: np.ndarray, c1: np.ndarray, size: np.ndarray) -> None:
+            nonlocal pending
+            if len(i):
+                found.append((c1[i], c1[j], size[i], size[j]))
+                pending += len(i)
 
         def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, c1, size, comp = (t.column(c).to_numpy() for c in ("key", "c1", "size", "comp"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+            nonlocal found, pending
+            key, c1 = (t.column(c).to_numpy() for c in ("key", "c1"))
+            own = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (c1[1:] != c1[:-1])]))  # rows come sorted
+            key, c1 = key[own], c1[own]
+            size, comp = (t.column(c).to_numpy()[own] for c in ("size", "comp"))
+            sketches = _Sketches(t.column("sketch").take(pa.array(own)).to_pylist(), size, percent)
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            for x, y in zip(cut, np.append(cut[1:], len(key))):
-                new = np.concatenate([[True], c1[x + 1:y] != c1[x:y - 1]])  # rows come sorted by size and class
-                own = np.arange(x, y)[new]
-                if len(own) > 1 and comp[own].min() != comp[own].max():
-                    for a, b in group(c1[own], size[own], comp[own], sketch[own]):
-                        pairs = [p for p in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()) if p not in seen]
-                        if pairs:
-                            if len(seen) < 1_000_000:
-                                seen.update(pairs)
-                            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+            rows = np.diff(np.append(cut, len(key)))
+            i = cut[rows == 2]  # most columns: all at once
+            i = i[(comp[i] != comp[i + 1]) & (size[i + 1] <= size[i].astype(np.int64) * 100 // percent)]
+            i = i[sketches.may_link(i, i + 1)]
+            add(i, i + 1, c1, size)
+            mixed = np.minimum.reduceat(comp, cut) != np.maximum.reduceat(comp, cut)
+            for x, n in zip(cut[mixed & (rows > 2)].tolist(), rows[mixed & (rows > 2)].tolist()):
+                for i, j in group(x, size[x:x + n], comp[x:x + n], sketches):
+                    add(i, j, c1, size)
+                    if pending > 500_000:
+                        yield counted(found)
+                        found, pending = [], 0
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -184,9 +261,15 @@ def product(entries: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
                 yield from made(t.slice(0, last))
         if held is not None:
             yield from made(held)
+        if found:
+            yield counted(found)
 
     dealt = entries.repartition("key").sortWithinPartitions("key", "size", "c1")
-    return dealt.select("key", "c1", "size", "comp", "sketch").mapInArrow(run, "a long, b long").distinct()
+    pairs = dealt.select("key", "c1", "size", "comp", "sketch").mapInArrow(run, "a long, b long, size_a long, size_b long, shared long")
+    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
+    beyond = F.ceil(F.greatest("size_a", "size_b") * percent / 100) - 1  # outside the longer row's prefix
+    needed = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent))
+    return pairs.where(F.col("shared") + beyond >= needed).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -208,19 +291,8 @@ def links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct().join(nodes, "c1").select("c1", F.col("rep").alias("id"))
     sets = saved(shingle_sets(rows.join(needed, "id").select("c1", "text"), n), "jaccard-sets")
     both = pairs.join(sets.select(F.col("c1").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c1").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
-                merged = np.concatenate([x, y])
-                merged.sort()
-                shared = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(merged) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -253,19 +325,20 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     made = saved(classes(rows, "long", n), "jaccard-classes")
     some = made.where("size > 0 and id is not null")
-    members = some.groupBy("c1", "c2", "size").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"))
+    members = some.groupBy("c1", "c2", "size").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     members = saved(members, "jaccard-members")  # c1 names a class in pairs; c2 guards it
-    nodes = saved(members.groupBy("c1").agg(F.min("rep").alias("comp"), F.first("sketch").alias("sketch"), F.first("rep").alias("rep")), "jaccard-nodes")
+    nodes = saved(members.groupBy("c1").agg(F.min("rep").alias("comp"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("rep").alias("rep")), "jaccard-nodes")
     entries = saved(prefix_entries(rows, n, percent), "jaccard-entries")
     labels = nodes.select("c1", "comp")
     edges = None
     for all_pairs in (False, True):
-        known = labels.join(nodes.select("c1", "sketch"), "c1")
-        open_keys = entries
+        known = labels.join(nodes.select("c1", "sketch", "wide"), "c1")
+        open_keys = entries.withColumn("crowded", F.lit(False))
         if all_pairs:
-            mixed = entries.join(labels, "c1").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-            open_keys = entries.join(mixed, "key")
-        pairs = saved(product(open_keys.join(known, "c1"), percent, all_pairs), "jaccard-pairs")
+            mixed = entries.join(labels, "c1").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), (F.count("*") > CROWDED).alias("crowded"))
+            open_keys = entries.join(mixed.where("x != y").select("key", "crowded"), "key")
+        rows_in = open_keys.join(known, "c1").withColumn("sketch", F.when(F.col("crowded") & F.col("wide").isNotNull(), F.col("wide")).otherwise(F.col("sketch")))
+        pairs = saved(product(rows_in, percent, all_pairs), "jaccard-pairs")
         found = saved(links(pairs, rows, nodes.select("c1", "rep"), n, percent), "jaccard-links")
         edges = found if edges is None else edges.unionByName(found)
         labels = saved(components(nodes.select("c1", "comp"), edges), "jaccard-components")
