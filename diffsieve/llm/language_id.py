@@ -39,7 +39,7 @@ ORDER = 4
 RARE = 2.0 ** -21
 EVIDENCE = 40
 TAIL, SLACK = 0.999, 3.0
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 
 
 def _letters() -> np.ndarray:
