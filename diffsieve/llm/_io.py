@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import pickle
 import sys
@@ -18,8 +19,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, read by every branch."""
-    return materialize(df, name)
+    """``df`` as a Parquet table in the shared folder: computed once, read by every branch.
+
+    What the tasks shuffled for it isn't needed from then on. Spark deletes shuffle files once
+    the driver's garbage collector has found their plan unused, so it is asked to look now;
+    otherwise every step's files would stay on the executors' disks until the job ends.
+    """
+    table = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
 
 
 def kept_out(doc_id: str, modulus: int, value: int):

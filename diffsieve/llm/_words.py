@@ -145,12 +145,14 @@ def spread_repeats(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(first, key, mix(key ^ (rest * _A + np.uint64(1)))), many
 
 
-def keep_repeated(rows: DataFrame, payload: str, by: tuple[str, ...] = ("key",)) -> DataFrame:
+def keep_repeated(rows: DataFrame, payload: str, by: tuple[str, ...] = ("key",), derived: dict | None = None, dealt_by: tuple | None = None) -> DataFrame:
     """Rows of which the key occurs in another row too, or that are ``sure`` already.
 
-    rows: the columns ``by`` (long), ``sure`` (boolean) and those of the DDL ``payload``, which
-    are returned. One shuffle by key and one streaming pass over sorted rows; a batch's last
-    row waits for its successor, so a task holds one batch.
+    rows: the columns ``by`` (whole numbers), ``sure`` (boolean) and those of the DDL ``payload``,
+    which are returned. One shuffle by the first key column and one streaming pass over sorted
+    rows; a batch's last row waits for its successor, so a task holds one batch. ``derived``
+    columns are made behind the shuffle, from others that cross it. dealt_by: what to deal rows
+    by instead of the first key column; rows that aren't sure must meet by it.
     """
     names = [x.split()[0] for x in payload.split(",")]
 
@@ -175,5 +177,5 @@ def keep_repeated(rows: DataFrame, payload: str, by: tuple[str, ...] = ("key",))
         if held is not None and linked:
             yield from held.select(names).to_batches()
 
-    dealt = rows.repartition(*by).sortWithinPartitions(*by)
+    dealt = rows.repartition(*(dealt_by or by[:1])).withColumns(derived or {}).sortWithinPartitions(*by)
     return dealt.mapInArrow(scan, payload)

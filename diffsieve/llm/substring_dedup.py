@@ -8,7 +8,7 @@ anchor, ``WIDTH - PERIOD + 1`` words at a cover position of both rows, and only
 1. every row sends its anchors' hashes; those that occur twice come back as (row id, position);
 2. rows with such anchors extend them: each window that holds one is a candidate. Other rows
    are done. The rest is written with its texts, so they move once more only;
-3. candidate windows' 128-bit hashes are compared likewise, which is exact up to hash collisions;
+3. candidate windows' 95-bit hashes are compared likewise, which is exact up to hash collisions;
    a window found is checked by its hash in the row it is returned to, so rows that share an
    id don't mix;
 4. words under a found window are removed.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +68,12 @@ def anchors(docs: DataFrame, kind: str, width: int) -> DataFrame:
                 at = w.whole(long)
                 at = at[in_cover[w.pos[at] % period]]
                 key, sure = spread_repeats(window_hash(w.hash, long, 1)[at], _id_hash(part.column(0), w.row[at], w.pos[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sure), part.column(0).take(pa.array(w.row[at])), pa.array(w.pos[at].astype(np.int32))], ["key", "sure", "id", "at"])
+                mark = w.pos[at].astype(np.int64) << 1 | sure
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(w.row[at])), pa.array(mark)], ["key", "id", "mark"])
 
-    return keep_repeated(docs.mapInArrow(run, f"key long, sure boolean, id {kind}, at int"), f"id {kind}, at int")
+    dealt = docs.mapInArrow(run, f"key long, id {kind}, mark long")
+    found = keep_repeated(dealt, f"id {kind}, mark long", derived={"sure": F.col("mark") % 2 == 1})
+    return found.select("id", F.shiftright("mark", 1).cast("int").alias("at"))
 
 
 def _kept(words: list[bytes], keep_text: bool) -> str:
@@ -116,40 +120,53 @@ def _rows(part: pa.RecordBatch, column: int) -> tuple[Words, np.ndarray, np.ndar
     return w, w.first[row] + lists.flatten().to_numpy(zero_copy_only=False), row
 
 
+def _window_keys(w: Words, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 31 bits of the hash of the windows that start at the words ``at``."""
+    h1, h2 = (window_hash(w.hash, width, seed)[at] if len(at) else np.zeros(0, np.uint64) for seed in (2, 3))
+    return h1, (h2 >> np.uint64(33)).astype(np.int64)
+
+
 def repeated_windows(open_rows: DataFrame, kind: str, width: int) -> DataFrame:
-    """(id, at, h1): candidate windows that start elsewhere, too; open_rows: (id, text, at)."""
+    """(id, mark): candidate windows that start elsewhere, too; open_rows: (id, text, at).
+
+    ``mark`` is the position, 31 bits of the hash to know the row by, and a bit for rows that
+    are known to repeat, in one number: the rows are many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w, at, row = _rows(part, 2)
-                h1, h2 = (window_hash(w.hash, width, seed)[at] for seed in (2, 3))
-                key, sure = spread_repeats(mix(h1 ^ mix(h2)), _id_hash(part.column(0), row, w.pos[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sure), part.column(0).take(pa.array(row)), pa.array(w.pos[at].astype(np.int32)), pa.array(h1.view(np.int64))],
-                                                 ["key", "h2", "sure", "id", "at", "h1"])
+                h1, check = _window_keys(w, at, width)
+                key, sure = spread_repeats(mix(h1 ^ mix(check.astype(np.uint64))), _id_hash(part.column(0), row, w.pos[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(w.pos[at].astype(np.int64) << 32 | check << 1 | sure)], ["key", "id", "mark"])
 
-    dealt = open_rows.mapInArrow(run, f"key long, h2 long, sure boolean, id {kind}, at int, h1 long")
-    return keep_repeated(dealt, f"id {kind}, at int, h1 long", by=("key", "h2"))
+    # the key mixes both parts of the hash; with the part in the mark it is 95 bits
+    dealt = open_rows.mapInArrow(run, f"key long, id {kind}, mark long")
+    derived = {"check": F.shiftright("mark", 1).bitwiseAND(F.lit(0x7FFFFFFF)), "sure": F.col("mark") % 2 == 1}
+    return keep_repeated(dealt, f"id {kind}, mark long", by=("key", "check"), derived=derived)
 
 
 def removed(open_rows: DataFrame, found: DataFrame, kind: str, width: int, keep_text: bool) -> DataFrame:
     """(id, n_words, n_removed, kept) of the open rows."""
-    by_id = found.groupBy(F.col("id").alias("found_id")).agg(F.collect_set(F.struct("at", "h1")).alias("found"))
-    joined = open_rows.join(by_id, open_rows["id"].eqNullSafe(by_id["found_id"]), "left")
-    joined = joined.select("id", "text", F.col("found.at").alias("at"), F.col("found.h1").alias("h1"))
+    by_id = found.groupBy(F.col("id").alias("found_id")).agg(F.collect_set("mark").alias("mark"))
+    joined = open_rows.join(by_id, open_rows["id"].eqNullSafe(by_id["found_id"]), "left").select("id", "text", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w, at, row = _rows(part, 2)
-                h1 = part.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                w = Words(part.column(1), SPACE)
+                lists = part.column(2)
+                mark = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists).fill_null(0), dtype=np.int64))
                 n = np.diff(w.first)
-                own = w.pos[np.minimum(at, len(w.pos) - 1)] + width <= n[row] if len(at) else np.zeros(0, bool)
-                at, row, h1 = at[own], row[own], h1[own]
-                good = at[window_hash(w.hash, width, 2)[at] == h1] if len(at) else at
+                pos = mark >> 32
+                own = np.flatnonzero(pos + width <= n[row])
+                at = w.first[row[own]] + pos[own]
+                at = at[_window_keys(w, at, width)[1] == mark[own] >> 1 & 0x7FFFFFFF]
                 cover = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(cover, good, 1)
-                np.add.at(cover, good + width, -1)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + width, -1)
                 drop = np.cumsum(cover)[:-1] > 0
                 texts = part.column(1).to_pylist()
                 kept = [_kept([x for x, d in zip((t or "").encode().split(), drop[a:b].tolist()) if not d], keep_text)
