@@ -42,7 +42,7 @@ from ._words import SPACE, Words, keep_repeated, mix, own_repeats, slices, windo
 
 N, PERCENT, SKETCH = 5, 80, 512
 #: Sketch of sets over LARGE shingles, for columns of over CROWDED rows.
-WIDE_SKETCH, LARGE, CROWDED = 4096, 700, 64
+WIDE_SKETCH, LARGE, CROWDED = 4096, 700, 6
 
 
 def _sets(w: Words, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
