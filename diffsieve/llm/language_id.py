@@ -13,7 +13,8 @@ A row gets the language of the lowest cross-entropy per character (ties: the fir
 ``score`` is the posterior against the other languages, as if at most ``EVIDENCE`` characters
 were seen. Rejected are rows without a letter (``und``, score 0) and rows of which the
 cross-entropy lies beyond the language's limit, calibrated on its learning rows: the median
-plus ``SLACK`` times the distance from the median to the ``TAIL`` quantile.
+plus ``SLACK`` times the distance from the median to the ``TAIL`` quantile, ``LEAST`` bits at
+least (few learning rows tell little about the tail).
 
 Defined results: null, empty or letterless text is ``und``; with nothing to learn from every
 row is ``und``; null labels are not learned from; equal texts get equal results; very long
@@ -38,7 +39,7 @@ from ._words import mix
 ORDER = 4
 RARE = 2.0 ** -21
 EVIDENCE = 40
-TAIL, SLACK = 0.999, 3.0
+TAIL, SLACK, LEAST = 0.999, 3.0, 1.5
 SLICE_CHARS = 2 << 20
 
 
@@ -263,7 +264,7 @@ def rejection_limits(scored: DataFrame, prefix: str = "lid_") -> DataFrame:
     """(pred, limit): a row a language, from rows it was rightly given to while learning."""
     q = F.percentile_approx(prefix + "xent", F.array(F.lit(0.5), F.lit(TAIL)), 10_000)
     return scored.groupBy(F.col(prefix + "pred").alias("pred")).agg(q.alias("q")).select(
-        "pred", (F.col("q")[0] + SLACK * (F.col("q")[1] - F.col("q")[0])).alias("limit"))
+        "pred", (F.col("q")[0] + F.greatest(F.lit(LEAST), SLACK * (F.col("q")[1] - F.col("q")[0]))).alias("limit"))
 
 
 def classified(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
