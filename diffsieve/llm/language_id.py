@@ -3,11 +3,12 @@
 Text is lower-cased; every run of characters other than letters is one blank; a row starts
 with ``ORDER - 1`` blanks. ``train`` counts the ``ORDER``-grams of every learning row in one pass
 (per task and language, then one small shuffle). Lower orders are Kneser-Ney continuation
-counts of those types. A gram is kept in the model if it makes up at least one in
-``1 / RARE`` of its language's grams, which bounds a language's model by that number of grams at
-any corpus size; counts themselves cover all rows. The model is held as sorted arrays of 64-bit
-hashes beside their discounted probabilities or back-off weights, and is small enough to
-be sent to every task.
+counts of those types; discounts and counts of two characters and less are made in Spark from
+all of them. No gram is dropped, so the model grows with the corpus. It is held as sorted arrays of
+64-bit hashes beside their discounted probabilities or back-off weights, in parts of about
+``PART`` grams by their two middle characters: all that a gram's probability needs of orders 4
+and 3 lies in one part. The driver makes one part at a time, and a task holds one at a time, next
+to orders 2 and 1, which every task holds whole.
 
 A row gets the language of the lowest cross-entropy per character (ties: the first name).
 ``score`` is the posterior against the other languages, as if at most ``EVIDENCE`` characters
@@ -29,7 +30,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -37,7 +40,7 @@ from ._io import kept_out, read, saved
 from ._words import mix
 
 ORDER = 4
-RARE = 2.0 ** -21
+PART, BUCKETS = 1 << 21, 4093
 EVIDENCE = 40
 TAIL, SLACK, LEAST = 0.999, 3.0, 1.5
 SLICE_CHARS = 2 << 20
@@ -123,27 +126,53 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+Tables = list[list[tuple[np.ndarray, np.ndarray]]]
+
+
 @dataclass
 class Model:
     """Per language and order: sorted hashes of grams with their discounted probability, and
-    sorted hashes of contexts with their back-off weight."""
+    sorted hashes of contexts with their back-off weight. ``low`` has orders 1 and 2, ``parts``
+    orders 3 and 4, each as (grams, contexts); ``of`` is the part of each bucket of middles."""
 
     langs: list[str]
-    grams: list[list[tuple[np.ndarray, np.ndarray]]]
-    contexts: list[list[tuple[np.ndarray, np.ndarray]]]
+    low: Broadcast
+    parts: list[Broadcast]
+    of: np.ndarray
 
     def log_probs(self, g: np.ndarray) -> np.ndarray:
         """log2 P(last character | the others) of packed grams, a column per language."""
+        out = np.empty((len(g), len(self.langs)), np.float32)
+        part = self.of[_bucket(g)]
+        for k, held in enumerate(self.parts):
+            mine = np.flatnonzero(part == k) if len(self.parts) > 1 else slice(None)
+            own = g[mine]
+            if len(own):
+                # a single part stays in the worker, of several each is read when it's needed
+                high = held.value if len(self.parts) == 1 or held._path is None else held.load_from_path(held._path)
+                out[mine] = self._of_part(own, high)
+        return out
+
+    def _of_part(self, g: np.ndarray, high: tuple[Tables, Tables]) -> np.ndarray:
         out = np.empty((len(g), len(self.langs)), np.float32)
         for j in range(len(self.langs)):
             p = np.full(len(g), 2.0 ** -16)
             for n in range(1, ORDER + 1):
+                grams, contexts = (x[j][(n - 1) % 2] for x in (self.low.value if n <= 2 else high))
                 gram = _last(g, n)
-                p = _lookup(self.grams[j][n - 1], _hashed(gram), 0.0) + _lookup(self.contexts[j][n - 1], _hashed(gram >> np.uint64(16)), 1.0) * p
+                p = _lookup(grams, _hashed(gram), 0.0) + _lookup(contexts, _hashed(gram >> np.uint64(16)), 1.0) * p
             out[:, j] = np.log2(p)
         return out
 
 
+def _bucket(g: np.ndarray) -> np.ndarray:
+    return ((g >> np.uint64(16) & np.uint64(0xFFFFFFFF)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _bucket_column(gram: Column) -> Column:
+    return F.shiftrightunsigned(gram, 16).bitwiseAND(F.lit(0xFFFFFFFF)) % BUCKETS
+
+
 def _last(g: np.ndarray, n: int) -> np.ndarray:
     return g if n == 4 else g & np.uint64((1 << (16 * n)) - 1)
 
@@ -166,52 +195,70 @@ def _hash_array(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[order], values[order].astype(np.float32)
 
 
-def _kneser_ney(g: np.ndarray, n: np.ndarray) -> tuple[list, list]:
-    """Discounted probabilities and back-off weights of every order from the top-order counts."""
-    grams, contexts = [None] * ORDER, [None] * ORDER
-    for order in range(ORDER, 0, -1):
-        keys, count = g, n.astype(float)
-        n1, n2 = (count == 1).sum(), (count == 2).sum()
-        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        ctx = keys >> np.uint64(16)  # keys are sorted, so contexts are, too
-        new = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        total = np.add.reduceat(count, new)
-        types = np.diff(np.append(new, len(keys)))
-        of = np.repeat(np.arange(len(new)), types)
-        grams[order - 1] = _hash_array(keys, (count - d) / total[of])
-        contexts[order - 1] = _hash_array(ctx[new], d * types / total)
-        if order > 1:  # continuation counts: how many characters stand before each shorter gram
-            g, n = np.unique(keys & np.uint64((1 << (16 * (order - 1))) - 1), return_counts=True)
-    return grams, contexts
+def _discounted(keys: np.ndarray, count: np.ndarray, d: float) -> tuple[tuple, tuple]:
+    """Discounted probabilities of one order's sorted grams, and back-off weights of their contexts."""
+    if not len(keys):
+        return (_hash_array(keys, count),) * 2
+    ctx = keys >> np.uint64(16)  # keys are sorted, so contexts are, too
+    new = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    total = np.add.reduceat(count, new)
+    types = np.diff(np.append(new, len(keys)))
+    of = np.repeat(np.arange(len(new)), types)
+    return _hash_array(keys, (count - d) / total[of]), _hash_array(ctx[new], d * types / total)
+
+
+def _by_language(counts: DataFrame, langs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted grams, counts) of each language, collected."""
+    rows = counts.select("lang", "gram", "n").toArrow()
+    for name in langs:
+        own = rows.filter(pa.compute.equal(rows.column("lang"), name))
+        g, n = own.column("gram").to_numpy().view(np.uint64), own.column("n").to_numpy().astype(float)
+        order = np.argsort(g)
+        yield g[order], n[order]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Model of every label of ``docs``; grams are collected within the bound of ``RARE``."""
+    """Model of every label of ``docs``, of all their grams; a part at a time is collected."""
+    spark = docs.sparkSession
     counts = saved(count_grams(docs, text, lang), "lid-grams")
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(total, "lang").where(F.col("n") >= F.col("total") * RARE).select("lang", "gram", "n").toArrow()
-    langs = sorted(set(kept.column("lang").to_pylist()))
-    names, gram, n = (kept.column(c).to_numpy() for c in ("lang", "gram", "n"))
-    grams, contexts = [], []
-    for name in langs:
-        own = names == name
-        g = gram[own].view(np.uint64)
-        order = np.argsort(g)
-        a, b = _kneser_ney(g[order], n[own][order])
-        grams.append(a)
-        contexts.append(b)
-    return Model(langs, grams, contexts)
+    orders = {ORDER: counts}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: how many characters stand before each shorter gram
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1))
+        orders[n] = saved(orders[n + 1].groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("n")), "lid-shorter")
+    discount = {}
+    for n, table in orders.items():
+        for r in table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect():
+            discount[n, r["lang"]] = r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5
+    langs = sorted({name for _, name in discount})
+
+    def tables(by_order: list[tuple[int, list]]) -> tuple[Tables, Tables]:
+        made = [[_discounted(*of[j], discount[n, name]) for n, of in by_order] for j, name in enumerate(langs)]
+        return [[x[0] for x in m] for m in made], [[x[1] for x in m] for m in made]
+
+    low = spark.sparkContext.broadcast(tables([(n, list(_by_language(orders[n], langs))) for n in (1, 2)]))
+    size = np.zeros(BUCKETS, np.int64)
+    for r in counts.groupBy(_bucket_column(F.col("gram")).alias("b")).count().collect():
+        size[r["b"]] = r["count"]
+    of, parts, at = np.zeros(BUCKETS, np.int64), [], 0
+    while at < BUCKETS:
+        to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), PART, side="right")) + at)
+        of[at:to] = len(parts)
+        rows = counts.where(_bucket_column(F.col("gram")).between(at, to - 1)) if to - at < BUCKETS else counts
+        top = list(_by_language(rows, langs))
+        # the characters before a shorter gram are all in its part
+        third = [tuple(x.astype(t) for x, t in zip(np.unique(_last(g, 3), return_counts=True), (np.uint64, float))) for g, _ in top]
+        parts.append(spark.sparkContext.broadcast(tables([(3, third), (4, top)])))
+        at = to
+    return Model(langs, low, parts, of)
 
 
 _SCORED = StructType([StructField("pred", StringType()), StructField("score", DoubleType()), StructField("xent", DoubleType())])
 
 
-def _scorer(spark: SparkSession, model: Model):
-    shared = spark.sparkContext.broadcast((model.langs, model.grams, model.contexts))
-
+def _scorer(model: Model):
     @F.pandas_udf(_SCORED)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model, letter = Model(*shared.value), _letters()
+        letter = _letters()
         for texts in batches:
             texts = [t or "" for t in texts]
             entropy = np.full((len(texts), len(model.langs)), np.inf)
@@ -252,7 +299,7 @@ def _places(u: np.ndarray, g: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "lid_") -> DataFrame:
     """``docs`` with ``<prefix>pred``, ``<prefix>score`` and ``<prefix>xent`` (bits a character)."""
     letters = F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
-    out = docs.withColumn(prefix + "made", _scorer(docs.sparkSession, model)(F.col(text)))
+    out = docs.withColumn(prefix + "made", _scorer(model)(F.col(text)))
     made = F.col(prefix + "made")
     return out.withColumns({
         prefix + "pred": F.when(letters, made["pred"]).otherwise("und"),
@@ -277,7 +324,7 @@ def classified(docs: DataFrame, keep: list[str], text: str = "text", lang: str =
                        *[F.col(c).alias(n) for c, n in zip(keep, names)])
     model = train(wide.where(~F.col("lid_out")), "lid_text", "lid_true")
     scored = saved(identify(wide, model, "lid_text").drop("lid_text"), "lid-scored")
-    # a row a learned language: no more than the model, which is collected already
+    # a row a learned language
     limits = rejection_limits(scored.where(~F.col("lid_out") & (F.col("lid_true") == F.col("lid_pred"))))
     rejected = (F.col("lid_pred") == "und") | F.coalesce(F.col("lid_xent") > F.col("limit"), F.lit(False))
     return scored.join(F.broadcast(limits), scored["lid_pred"] == limits["pred"], "left").select(

@@ -106,6 +106,28 @@ def test_kneser_ney_sums_to_one(spark):
         assert 0.9 < total <= 1.001  # what is missing goes to characters never seen
 
 
+def test_language_model_keeps_rare_grams(spark):
+    rows = [("abcd " * 3000, "x")] * 150 + [("qzx", "x"), ("wkv", "x"), ("wkv", "x"), ("efgh", "y")]  # 2.25 million grams, three of them seen once
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    pack = lambda t: sum((0 if c == " " else ord(c)) << 16 * (3 - k) for k, c in enumerate(t))
+    seen, new = 2.0 ** model.log_probs(np.array([pack(" qzx"), pack(" qzv")], np.uint64))[:, 0]
+    assert seen > 0.3 and new < 0.1
+    assert model.langs == ["x", "y"]
+
+
+@pytest.mark.parametrize("part", [1, 20])
+def test_language_model_in_parts(spark, monkeypatch, part):
+    docs = spark.createDataFrame([("the house and the river", "en"), ("la maison et la rivière", "fr"), ("das haus", "de")], "text string, lang string")
+    g, _ = language_id._grams(["the house in der rivière, maison zzz"], language_id._letters())
+    whole = language_id.train(docs)
+    monkeypatch.setattr(language_id, "PART", part)
+    model = language_id.train(docs)
+    assert len(whole.parts) == 1 < len(model.parts)
+    assert (model.log_probs(g) == whole.log_probs(g)).all()
+    scored = lambda m: language_id.identify(docs, m).orderBy("text").collect()
+    assert scored(model) == scored(whole)
+
+
 def test_language_rejects_and_odd_rows(spark, edge, empty):
     en = ["the house and the river are here with all the other things of the town " * 3] * 30
     fr = ["la maison et la rivière sont ici avec toutes les autres choses de la ville " * 3] * 30
