@@ -3,12 +3,15 @@
 Entities are found by ``KINDS``: a pattern each, the first that matches at a place wins. An entity
 is known by kind and canonical value (digits of phone and card numbers, lower-cased
 mail addresses, the value behind a ``password=`` label, single names of a person). Each
-gets a replacement drawn from a keyed hash: same length, letter classes and script, valid card
+gets a replacement drawn from a keyed hash: same length, letter classes and script (outside the
+scripts of ``CLASSES``: same 128 characters), valid card
 check digits where the original's are, address classes of IPs, first names of the title's gender.
 
 ``dictionary`` makes the replacements of all distinct entities at once and checks them:
 two entities of a kind never share a replacement and none equals an entity of the data; the loser
-draws again until nothing collides. So equal entities stay equal in all texts, and different
+draws again until nothing collides. Names get longer from draw to draw; whatever still collides after
+``SAME`` draws of its own shape gets further digits, a private address another private range and
+at last one of IPv6. So the choice never runs out. Equal entities stay equal in all texts, and different
 ones different. Texts without entities never meet the dictionary; of the others each is joined
 with its own entities only (a hot entity's rows are dealt by text, and pre-aggregated before).
 
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from ._io import read, saved
 
 DEFAULT_KEY = "surrogates-1"
+#: Draws of an entity's own length and range before it may grow.
+SAME = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _LABEL = r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
 #: Titles by gender, as plain words.
@@ -70,7 +75,11 @@ ENDINGS = {"cyrillic": {"m": "ов", "f": "ова"}, "greek": {"m": "ίδης",
 CLASSES = (("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
            (r"[\p{IsCyrillic}&&\p{Ll}]", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
            (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
-           (r"[\p{IsLatin}&&\p{Ll}]", "àáâäçèéêëíîïñóôöùúûü"), (r"[\p{IsLatin}&&\p{Lu}]", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"))
+           (r"[\p{IsLatin}&&\p{Ll}]", "àáâäçèéêëíîïñóôöùúûü"), (r"[\p{IsLatin}&&\p{Lu}]", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"),
+           (r"[\p{IsHiragana}&&\p{Lo}]", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+           (r"[\p{IsKatakana}&&\p{Lo}]", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"))
+# Categories of other scripts' letters and digits, told apart within a block of 128 characters.
+OTHER = ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd", "Nl", "No")
 
 
 def _byte(stream: Column, k: Column | int) -> Column:
@@ -86,6 +95,17 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _neighbour(c: Column, n: Column) -> Column:
+    """Another letter or digit of the same category from the same 128 characters; a lone one gets a Latin letter."""
+    base = F.floor(F.ascii(c) / 128).cast("int") * 128
+    block = F.transform(F.sequence(base, base + 127), lambda k: F.when(k.between(0xD800, 0xDFFF), "").otherwise(F.decode(F.unhex(F.lpad(F.hex(k), 8, "0")), "UTF-32")))
+    of = lambda pattern: F.filter(block, lambda x: x.rlike(pattern) & (x != c))
+    same = F
+    for category in OTHER:
+        same = same.when(c.rlike(rf"^\p{{{category}}}$"), of(rf"^\p{{{category}}}$"))
+    return F.coalesce(F.get(same, n % F.greatest(F.size(same), F.lit(1))), _pick(CLASSES[1][1], n))
+
+
 def _same_shape(value: Column, stream: Column, keep: Column, hexadecimal: bool = False) -> Column:
     """Characters of the same class each, from position ``keep`` on."""
 
@@ -95,39 +115,53 @@ def _same_shape(value: Column, stream: Column, keep: Column, hexadecimal: bool =
         classes = (("[0-9]", "0123456789"), ("[a-f]", "abcdef"), ("[A-F]", "ABCDEF")) if hexadecimal else CLASSES
         for pattern, alphabet in classes:
             out = out.when(c.rlike(f"^{pattern}$"), _pick(alphabet, n))
-        return out.otherwise(c)
+        return out.when(c.rlike(r"^[\p{L}\p{N}]$"), _neighbour(c, n)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, "(?!^)"), one), "")
+    return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
 def _word(words: list[str], n: Column) -> Column:
     return F.get(F.lit(words), (n % len(words)).cast("int"))
 
 
+def _drawn(n: Column, one) -> Column:
+    """``one(k)`` for k from 0 to n - 1, joined."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: one(k - 1)), "")).otherwise("")
+
+
 def _script(value: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
 def _replacement(kind: Column, value: Column, stream: Column) -> Column:
     """Replacement of a canonical value; person names come as kinds first_m, first_f, first_n, last_m, last_f, last_n."""
-    shape = _same_shape(value, stream, F.when(kind == "phone", F.greatest(F.lit(0), F.char_length(value) - 10)).when(kind == "card", 1).when(kind == "key", 4).when(kind == "iban", 2).otherwise(0))
+    draw = F.col("round")
+    more = _drawn(draw - (SAME - 1), lambda k: (_byte(stream, 63 - k % 64) % 10).cast("string"))
+    shape = F.concat(_same_shape(value, stream, F.when(kind == "phone", F.greatest(F.lit(0), F.char_length(value) - 10)).when(kind == "card", 1).when(kind == "key", 4).when(kind == "iban", 2).otherwise(0)), more)
     host = F.regexp_extract(value, r"^(.*)(\.[^.]+)$", 1)
-    email = F.concat(_same_shape(host, stream, F.lit(0)), F.regexp_extract(value, r"^(.*)(\.[^.]+)$", 2))
+    email = F.concat(_same_shape(host, stream, F.lit(0)), more, F.regexp_extract(value, r"^(.*)(\.[^.]+)$", 2))
     checked = F.get(F.filter(F.transform(F.lit([str(d) for d in range(10)]), lambda d: F.concat(F.substring(shape, F.lit(1), F.char_length(shape) - 1), d)), _luhn), 0)
     octet = lambda k: (_byte(stream, k) % 254 + 1).cast("string")
     private = F.regexp_extract(value, r"^(10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.|127\.)", 1)
     rest = 4 - F.char_length(F.regexp_replace(private, r"[^.]", ""))
     public = F.concat_ws(".", (_byte(stream, 0) % 150 + 40).cast("string"), octet(1), octet(2), octet(3))
     public = F.when(public.rlike(r"^(?:127|172)\."), F.concat(F.lit("99."), F.concat_ws(".", octet(1), octet(2), octet(3)))).otherwise(public)
-    address = F.when(private == "", public).otherwise(F.concat(private, F.array_join(F.transform(F.sequence(F.lit(1), rest), lambda k: (_byte(stream, k) % 254 + 1).cast("string")), ".")))
+    groups = lambda n: F.regexp_replace(F.substring(stream, 33, 4 * n), "(.{4})(?=.)", "$1:")
+    large = F.concat_ws(".", F.lit("10"), *[_byte(stream, k).cast("string") for k in range(3)])
+    address = (F.when(draw >= 2 * SAME, F.concat(F.when(private == "", "2001:0db8:").otherwise("fd00:0000:"), groups(6))).when(private == "", public).when(draw >= SAME, large)
+               .otherwise(F.concat(private, F.array_join(F.transform(F.sequence(F.lit(1), rest), lambda k: (_byte(stream, k) % 254 + 1).cast("string")), "."))))
+    hexadecimal = _same_shape(value, stream, F.lit(0), True)
     first, last = F.lit(None).cast("string"), F.lit(None).cast("string")
     script, gender = _script(value), F.substring(kind, -1, 1)
     for s, names in FIRST.items():
+        syllables = lambda n, at, s=s: _drawn(n, lambda k: _word(SYLLABLES[s], _byte(stream, k + at)))
         for g, words in (*names.items(), ("n", names["m"] + names["f"])):
-            first = F.when((script == s) & (gender == g), F.concat(_word(words, _byte(stream, 0)), F.when(F.col("round") > 0, F.concat(F.lit("-"), _word(words, _byte(stream, 1)))).otherwise(""))).otherwise(first)
-            name = F.concat(*[_word(SYLLABLES[s], _byte(stream, k)) for k in range(3)], F.when(F.col("round") > 2, _word(SYLLABLES[s], _byte(stream, 3))).otherwise(""), F.lit(ENDINGS[s].get(g, ENDINGS[s]["m"])))
+            second = F.when(draw > 2, F.initcap(syllables(draw - 1, 1))).otherwise(_word(words, _byte(stream, 1)))
+            first = F.when((script == s) & (gender == g), F.concat(_word(words, _byte(stream, 0)), F.when(draw > 0, F.concat(F.lit("-"), second)).otherwise(""))).otherwise(first)
+            name = F.concat(syllables(3 + F.greatest(draw - 2, F.lit(0)), 0), F.lit(ENDINGS[s].get(g, ENDINGS[s]["m"])))
             last = F.when((script == s) & (gender == g), F.initcap(name)).otherwise(last)
-    return (F.when(kind == "email", email).when(kind == "ip", address).when(kind.isin("hex", "ip6") | (kind == "labelled") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _same_shape(value, stream, F.lit(0), True))
+    return (F.when(kind == "email", email).when(kind == "ip", address).when(kind == "ip6", F.when(draw >= SAME, groups(8)).otherwise(hexadecimal))
+            .when((kind == "hex") | (kind == "labelled") & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.concat(hexadecimal, more))
             .when((kind == "card") & _luhn(value), checked).when(kind.startswith("first_"), first).when(kind.startswith("last_"), last).otherwise(shape))
 
 
@@ -175,7 +209,8 @@ def _formatted(kind: Column, entity: Column, new: Column) -> Column:
     label = F.regexp_extract(entity, "^(" + _LABEL + ")", 1)
     title = F.regexp_extract(entity, r"^([^ ]+ )", 1)
     upper = (F.upper(entity) == entity) & (F.lower(entity) != entity)
-    return (F.when(kind.isin(*DIGIT_KINDS), filled("^[0-9]$", "[^0-9]")).when(kind == "iban", filled("^[A-Z0-9]$", " "))
+    beyond = lambda kept: F.substring(value, F.char_length(F.regexp_replace(entity, kept, "")) + 1, F.char_length(value))
+    return (F.when(kind.isin(*DIGIT_KINDS), F.concat(filled("^[0-9]$", "[^0-9]"), beyond("[^0-9]"))).when(kind == "iban", F.concat(filled("^[A-Z0-9]$", " "), beyond(" ")))
             .when(kind == "labelled", F.concat(label, value)).when(kind == "email", F.when(upper, F.upper(value)).otherwise(value))
             .when(kind == "person", F.concat(title, F.when(F.size(new) > 1, F.concat(F.get(new, 1), F.lit(" "))).otherwise(""), value)).otherwise(value))
 

@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -116,6 +117,42 @@ def test_surrogates_stay_distinct_and_hide_all(spark):
     assert again == got != other
 
 
+def test_surrogates_never_run_out(spark):
+    sounds = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    names = [(a + b).capitalize() for a in sounds for b in sounds[:10]]  # 600 first names for 420 short replacements
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]  # no other of this shape is left
+    rows = [(i, f"{m} {'Mr ' + names[i] + ' Smith' if i < 600 else ''}") for i, m in enumerate(mails)]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = [got[i].split(" ") for i in range(len(rows))]
+    assert len({n[0] for n in new}) == len(mails) and not {n[0] for n in new} & set(mails)
+    assert all(re.fullmatch(r"[a-z]@[a-z]\d+\.com", n[0]) for n in new)
+    firsts = [n[2] for n in new[:600]]
+    assert len({f.lower() for f in firsts}) == 600 and not set(firsts) & set(names) and len({n[3] for n in new[:600]}) == 1
+
+
+def test_surrogates_of_other_scripts(spark):
+    texts = ["李@例子.中国", "王@例子.中国", "token: これはテストです", "token: ١٢٣٤٥٦", "token: 𝒳𝒴𝒵𝒳𝒴𝒵", "token: नमस्तेजी", "token: שלוםלך"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+    for i, old in enumerate(texts):
+        assert len(got[i]) == len(old) and "?" not in got[i]
+        for a, b in zip(old, got[i]):
+            assert unicodedata.category(a) == unicodedata.category(b) and unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+
+
+def test_later_draws_are_wider(spark):
+    rows = [("ip", "192.168.1.1", 9), ("ip", "192.168.1.1", 20), ("ip", "8.8.8.8", 20), ("ip6", "0:0:0:0:0:0:0:1", 9), ("phone", "12345", 9), ("card", "4111111111111111", 9)]
+    stream = F.sha2(F.concat_ws(" ", "value", F.col("round").cast("string")).cast("binary"), 512)
+    df = spark.createDataFrame(rows, "kind string, value string, round int")
+    got = [r[0] for r in df.select(pii._replacement(F.col("kind"), F.col("value"), stream)).collect()]
+    group = r"(?::[0-9a-f]{4})"
+    for pattern, new in zip([r"10(\.\d+){3}", f"fd00:0000{group}{{6}}", f"2001:0db8{group}{{6}}", f"[0-9a-f]{{4}}{group}{{7}}", r"\d{7}", r"4\d{17}"], got):
+        assert re.fullmatch(pattern, new), (pattern, new)
+    phone = pii._formatted(F.lit("phone"), F.lit("+1 23-45"), F.array(F.lit("9876543")))
+    assert df.select(phone).first()[0] == "+9 87-6543"
+
+
 def test_surrogates_of_documents_and_odd_rows(spark, edge, empty):
     sf = "/root/testdata/sf0.001"
     old = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
