@@ -4,8 +4,10 @@ Markup is stripped to one line per block element. Containers put blank lines bet
 neighbours: one around a ``div``, ``WINDOW`` around a section or a dropped element. The length
 of unlinked text is summed over sliding windows of ``WINDOW`` lines. A region runs from a surge
 (the window sum leaves zero) to the next dive (it is zero again). Regions that reach
-``SURGE`` characters are kept, and every region inside an ``article`` or ``main`` element; with
-neither, the largest region is. Kept blocks are joined by one line feed.
+``SURGE`` characters are kept, and with them every region inside the content element of their lines (the
+nearest ``div``, or the outermost section or table below the body) and between two of them below
+the same element of the body. So is every region inside an ``article`` or ``main`` element; with
+none of these, the largest region is. Kept blocks are joined by one line feed.
 
 Defined results: null or empty html gives '', html without markup is one block, unclosed or
 cut markup is read as far as it goes, unknown character references stay as they are. Rows are
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,7 @@ from ._io import read
 WINDOW = 3
 SURGE = 80
 
-_RAW = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|canvas|select|"
-                  r"textarea|head|title)\b[^>]*(?:>.*?(?:</\1\s*>|$)|$)", re.S | re.I)
+_RAW = re.compile(r"<!--|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|head|title)(?![\w:-])[^>]*(?:>|$)", re.I)
 _HEAD = re.compile(r"<(?:head)\b[^>]*>.*?(?=<body\b|</head\s*>)", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""")
 _ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -45,6 +47,10 @@ _BOILER_WORD = frozenset("ad ads advert adverts advertisement advertising adsens
                          "subscription signup login footer pagination pager toolbar search complementary "
                          "contentinfo masthead".split())
 _BOILER_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related reply sponsored".split())
+# elements whose end tag may be missing -> what else ends them when it opens (a p: every block element)
+_LOOSE = {"p": frozenset(), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset("td th tr tbody tfoot".split()),
+          "th": frozenset("td th tr tbody tfoot".split()), "tr": frozenset("tr tbody tfoot".split()), "option": frozenset(["option", "optgroup"])}
+_ROWS = frozenset("tbody thead tfoot".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -60,25 +66,51 @@ def _boiler(tag: str, attrs: str, in_main: bool, classes: bool) -> bool:
     return False
 
 
-def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside article or main) of each block and blank line.
+def _without_raw(page: str) -> str:
+    """``page`` without comments and the elements of ``_RAW``; of one that is never closed only the tag goes,
+    but scripts, styles and comments go up to the page's end."""
+    out, at, unclosed = [], 0, set()
+    while m := _RAW.search(page, at):
+        out.append(page[at:m.start()])
+        at, tag = m.end(), (m[1] or "").lower()
+        if not tag:
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+        elif not m[0].endswith("/>"):
+            end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(tag)
+        out.append("\0" if tag else " ")
+    return "".join([*out, page[at:]])
+
+
+def lines(page: str, classes: bool = True) -> tuple[list[tuple[str, int, bool, int]], list[tuple[int, bool]]]:
+    """(text, characters outside links, inside article or main, container) of each block and blank line,
+    and (parent, is a div) of each container; container 0 is the body.
 
     classes: drop elements also by the words of their class, id or role.
     """
-    page = _RAW.sub(lambda m: " " if m[0].startswith("<!--") else "\0", _HEAD.sub("", page))
-    out: list[tuple[str, int, bool]] = []
+    page = _without_raw(_HEAD.sub("", page))
+    out: list[tuple[str, int, bool, int]] = []
+    nodes: list[tuple[int, bool]] = [(0, False)]
+    opened: list[tuple[str, int]] = []
+    n_open: Counter[str] = Counter()
     text: list[str] = []
-    linked = link = mains = depth = 0
+    linked = link = mains = depth = inner = 0
     skip = ""
 
     def end_block(blanks: int) -> None:
         nonlocal linked
         line = " ".join("".join(text).replace("\0", " ").split())
         if line:
-            out.append((line, max(0, len(line) - linked), mains > 0))
+            out.append((line, max(0, len(line) - linked), mains > 0, opened[-1][1] if opened else 0))
         text.clear()
         linked = 0
-        out.extend([("", 0, mains > 0)] * blanks)
+        out.extend([("", 0, mains > 0, 0)] * blanks)
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -96,6 +128,17 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool]]:
         if not tag:
             continue
         closing, attrs = bool(m[1]), m[3]
+        if skip in _LOOSE and tag not in _INLINE and tag not in _VOID:
+            # ends at its end tag, at its next sibling or with its parent; the last two tags count themselves
+            if not inner and closing and tag == skip:
+                skip = ""
+                continue
+            if not inner and (tag not in _LOOSE or (skip, tag) in (("td", "tr"), ("th", "tr")) if closing else tag in _LOOSE[skip] or skip == "p"):
+                skip = ""
+            elif tag not in _LOOSE and tag not in _ROWS and not attrs.endswith("/"):
+                inner += -1 if closing else 1
+        if skip in _LOOSE:
+            continue
         if skip:
             if tag == skip and not attrs.endswith("/"):
                 depth += -1 if closing else 1
@@ -108,7 +151,7 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool]]:
         if not closing and tag not in _VOID and _boiler(tag, attrs, mains > 0, classes):
             end_block(WINDOW)
             if not attrs.endswith("/"):
-                skip, depth = tag, 1
+                skip, depth, inner = tag, 1, 0
             continue
         if tag == "a":
             link = 0 if closing else 1
@@ -117,13 +160,24 @@ def lines(page: str, classes: bool = True) -> list[tuple[str, int, bool]]:
         elif tag not in _INLINE:
             link = 0
             end_block(WINDOW if tag in _SECTION else 1 if tag == "div" else 0)
+            if (tag == "div" or tag in _SECTION) and tag not in ("body", "html") and not attrs.endswith("/"):
+                if not closing:
+                    nodes.append((opened[-1][1] if opened else 0, tag == "div"))
+                    opened.append((tag, len(nodes) - 1))
+                    n_open[tag] += 1
+                elif n_open[tag]:
+                    while True:
+                        gone = opened.pop()[0]
+                        n_open[gone] -= 1
+                        if gone == tag:
+                            break
             if tag in ("article", "main"):
                 mains = max(0, mains + (-1 if closing else 1))
     tail = page[at:]
     cut = re.search(r"<[/!a-zA-Z][^>]*$", tail)  # markup that the page's end cuts off
     add(tail[:cut.start()] if cut else tail)
     end_block(WINDOW)
-    return out
+    return out, nodes
 
 
 def main_text(page: str | None) -> str:
@@ -131,13 +185,13 @@ def main_text(page: str | None) -> str:
 
     A page that has nothing but elements with suspicious class names is read again by tags alone.
     """
-    return "\n".join(_kept(lines(page)) or _kept(lines(page, classes=False))) if page else ""
+    return "\n".join(_kept(*lines(page)) or _kept(*lines(page, classes=False))) if page else ""
 
 
-def _kept(block: list[tuple[str, int, bool]]) -> list[str]:
-    if any(inside and text for text, _, inside in block):
-        block = [x if x[2] else ("", 0, False) for x in block]
-    length = [n for _, n, _ in block] + [0] * WINDOW
+def _kept(block: list[tuple[str, int, bool, int]], nodes: list[tuple[int, bool]]) -> list[str]:
+    if any(inside and text for text, _, inside, _ in block):
+        block = [x if x[2] else ("", 0, False, 0) for x in block]
+    length = [n for _, n, _, _ in block] + [0] * WINDOW
     window = [sum(length[i:i + WINDOW]) for i in range(len(block))]
     regions, start = [], None
     for i, w in enumerate([*window, 0]):
@@ -146,7 +200,17 @@ def _kept(block: list[tuple[str, int, bool]]) -> list[str]:
         elif not w and start is not None:
             regions.append((start, i))
             start = None
-    kept = [r for r in regions if max(window[r[0]:r[1]]) >= SURGE or any(block[i][2] for i in range(*r))]
+    element, top = [0] * len(nodes), [0] * len(nodes)  # content element and outermost container of each container
+    for k, (parent, div) in enumerate(nodes[1:], 1):
+        element[k], top[k] = k if div or not parent else element[parent], top[parent] or k
+    surging = [sorted({j for i in range(*r) if window[i] >= SURGE for j in range(i, min(i + WINDOW, len(block))) if block[j][1]}) for r in regions]
+    content = {element[block[j][3]] for of in surging for j in of} - {0}
+    within = [False] * len(nodes)
+    for k, (parent, _) in enumerate(nodes[1:], 1):
+        within[k] = k in content or within[parent]
+    strong = [k for k, of in enumerate(surging) if of]
+    between = {m for a, b in zip(strong, strong[1:]) if top[block[surging[a][-1]][3]] == top[block[surging[b][0]][3]] for m in range(a + 1, b)}
+    kept = [r for k, r in enumerate(regions) if surging[k] or k in between or any(block[i][2] or block[i][1] and within[block[i][3]] for i in range(*r))]
     if not kept and regions:
         kept = [max(regions, key=lambda r: sum(length[r[0]:r[1]]))]
     out = []

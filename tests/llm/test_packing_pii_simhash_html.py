@@ -254,6 +254,21 @@ def test_main_text(page):
     assert html_extraction.main_text(page) == PAGES[page]
 
 
+WHOLE = {
+    f"<div id=content><p>{LONG}</p><table><tr><td>Mass</td><td>5 kg</td></tr></table><section><h2>Note</h2><p>Short.</p></section><p>{LONG}</p></div>": f"{LONG}\nMass\n5 kg\nNote\nShort.\n{LONG}",
+    f"<body><div>Site</div><div><div><p>{LONG}</p><div><div><p>Short.</p></div></div></div></div><div><div>Else</div></div></body>": f"{LONG}\nShort.",
+    f"<body><p>{LONG}</p><table><tr><td>Mass</td></tr></table><p>{LONG}</p></body>": f"{LONG}\nMass\n{LONG}",
+    f"<p>{LONG}</p><svg width=3 /><p>One.</p><template-x>Two.</template-x><object-view>Three.</object-view><p>Four.<select><p>Five.": f"{LONG}\nOne.\nTwo.\nThree.\nFour.\nFive.",
+    f"<div><p class=ad>x<p>{LONG}</p></div>": LONG,
+    f"<div><ul><li class=promo>x<ul><li>y</ul><li>{LONG}</ul><table><tr><td class=ad>z<td>One<tr><td class=ad>z</table><p>Two.</p></div>": f"{LONG}\nOne\nTwo.",
+}
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_nothing_of_the_article_is_lost(page):
+    assert html_extraction.main_text(page) == WHOLE[page]
+
+
 def test_pages_of_the_table(spark):
     import html
 
