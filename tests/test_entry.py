@@ -12,6 +12,7 @@ spec = importlib.util.spec_from_file_location("spark_entry", os.path.join(ROOT,
 E = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(E)
 
+from diffsieve.sources.tables import TABLES  # noqa: E402
 from oracle_check import digest  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +32,7 @@ def test_every_query_has_sql():
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]:
+    for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
