@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffsieve.functions.text import null_to_empty, tokenize
+from diffsieve.session import default_parallelism
 
 # BM25 parameters of the similarity the reference uses.
 K1 = 1.2
@@ -70,14 +75,37 @@ class LexicalIndex:
     hash_unique: bool | None = None
 
 
-def _doc_tokens(corpus: DataFrame, key: str, fields) -> DataFrame:
-    parts = [corpus.select(F.col(key).cast("long").alias("doc_id"), F.lit(f).alias("field"),
-                           tokenize(null_to_empty(f)).alias("toks"))
-             for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("dl", F.size("toks"))
+def spread(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The corpus as it is if it fills the task slots; a smaller one is dealt out first.
+
+    Counted over the partition numbers alone. On data worth distributing the scan has far
+    more partitions than slots, and nothing is exchanged.
+    """
+    slots = partitions or default_parallelism(corpus.sparkSession)
+    filled = corpus.select(F.spark_partition_id().alias("p")).distinct().count()
+    return corpus if filled >= slots else corpus.repartition(slots)
+
+
+def _doc_counts(corpus: DataFrame, key: str, fields) -> DataFrame:
+    """``(doc_id, field, term, dl, tf)``: tokens are found in the JVM and counted in Arrow
+    batches, each text by itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for i, f in enumerate(fields):
+                column = batch.column(1 + i)
+                size = np.asarray(pc.list_value_length(column), np.int64)
+                coded = pc.list_flatten(column).dictionary_encode()
+                many = max(1, len(coded.dictionary))
+                pair, tf = np.unique(np.repeat(np.arange(len(size)), size) * np.int64(many) + np.asarray(coded.indices, np.int64),
+                                     return_counts=True)
+                row = pair // many
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row)), pa.array([f] * len(row), pa.string()), coded.dictionary.take(pa.array(pair % many)),
+                     pa.array(size[row].astype(np.int32)), pa.array(tf)], ["doc_id", "field", "term", "dl", "tf"])
+
+    tokens = corpus.select(F.col(key).cast("long").alias("doc_id"), *[tokenize(null_to_empty(f)).alias(f"t{i}") for i, f in enumerate(fields)])
+    return tokens.mapInArrow(run, "doc_id long, field string, term string, dl int, tf long")
 
 
 def salted_postings(tf: DataFrame, terms: DataFrame, stats: dict, salt_rows: int) -> DataFrame:
@@ -102,9 +130,8 @@ def build_index(corpus: DataFrame, key: str = "doc_id", fields=("diff",),
                 path: str | None = None) -> LexicalIndex:
     """Index tables of a corpus (A1), written once and read back.
 
-    The corpus is hash-partitioned by key once, before tokenising. Every document's
-    postings then live in one partition (and one output file), so the term counts need
-    no further shuffle and a later BM25 sum per ``(query, doc)`` completes map-side.
+    Every text is counted where it lies, inside its row, so no text is shuffled and every
+    document's postings stand in one file; keys are taken as unique.
     ``tf`` and ``terms`` are written as Parquet under ``path`` (default: a fresh folder
     in the shared checkpoint folder), so the corpus is tokenised exactly once however
     many branches read the index, and a lost executor does not re-tokenise it.
@@ -113,13 +140,8 @@ def build_index(corpus: DataFrame, key: str = "doc_id", fields=("diff",),
 
     fields = tuple(fields)
     spark = corpus.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path or shared_dir(spark, "index")
-    docs = _doc_tokens(corpus.select(key, *fields).repartition(n, F.col(key).cast("long")),
-                       key, fields)
-    (docs.select("field", "doc_id", "dl", F.explode("toks").alias("term"))
-     .groupBy("doc_id", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-     .write.mode("overwrite").parquet(path + "/tf"))
+    _doc_counts(spread(corpus.select(key, *fields), partitions), key, fields).write.mode("overwrite").parquet(path + "/tf")
     tf = spark.read.parquet(path + "/tf")
     (tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
      .withColumn("n_salt", F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows)))

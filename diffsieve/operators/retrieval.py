@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffsieve.functions.text import require_columns
+from diffsieve.operators import streamtop
 from diffsieve.operators.dense import block_topk, hybrid_topk, lexical_topk
 from diffsieve.operators.lexical import LexicalIndex, bm25_scores, build_index
 from diffsieve.functions.text import patch_key_hashes
@@ -28,7 +29,7 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
               index: LexicalIndex | None = None, query_key: str = "query_id",
               fields=("diff",), query_fields=("diff", "ast_seq"),
               payload=("diff", "message"), mode: str = "second",
-              lexical: str = "block") -> DataFrame:
+              lexical: str = "stream") -> DataFrame:
     """Lexical retrieval with the reference's fallback and self-match rules.
 
     Ranks 1 and 2 by BM25; a missing rank falls back to the smallest corpus key;
@@ -36,9 +37,10 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     (``mode='second'``, as the reference does), or every row with that key is removed
     before ranking (``mode='all'``). Output:
     ``(query_id, doc_id, rank1_id, score, same_key, is_fallback, retrieved_*)``.
-    With ``lexical='block'`` (default for ``mode='second'``) the top hits come from the
-    similarity blocks and the table of all hits is never shuffled; ``lexical='join'``
-    ranks the joined BM25 table. Both give the same rows.
+    With ``lexical='stream'`` (default for ``mode='second'``) the corpus is streamed once
+    past the broadcast queries (``streamtop``; larger query tables go to the blocks);
+    ``'block'`` takes the shuffled similarity blocks and ``'join'`` ranks the joined BM25
+    table. All give the same rows.
     """
     queries = _prepare_queries(queries, query_key, query_fields)
     corpus = corpus.na.fill("", subset=[c for c in ("diff", "ast_seq") if c in corpus.columns])
@@ -54,7 +56,9 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
                                     queries_bounded=bounded)
         out = lookup_payload(materialize(picks, "picks"), corpus, payload, picks_bounded=bounded)
     else:
-        if lexical == "block":
+        if lexical == "stream":
+            top = streamtop.lexical_topk(idx, queries, corpus, k, query_key=query_key, query_fields=query_fields)
+        elif lexical == "block":
             top = lexical_topk(idx, queries, k, query_key=query_key, query_fields=query_fields)
         else:
             top = top_k(bm25_scores(idx, queries, query_key, query_fields), k)
@@ -86,16 +90,18 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
                     w_cos: float = 0.5, w_lex: float = 0.5,
                     index: LexicalIndex | None = None, query_key: str = "query_id",
                     vec: str = "v", fields=("diff",), query_fields=("diff", "ast_seq"),
-                    payload=("diff", "ast_seq", "message"), lexical: str = "block",
+                    payload=("diff", "ast_seq", "message"), lexical: str = "stream",
                     mode: str = "second") -> DataFrame:
     """Hybrid retrieval: ``w_cos * cosine + w_lex * minmax(BM25)`` over the whole
     corpus, top ``k`` per query, rank-1 self match skipped, payload attached (W4).
 
     ``w_lex = 0`` gives pure cosine retrieval and ``w_cos = 0`` pure normalised BM25
-    over the dense row (the reference's single-signal modes). ``lexical='block'``
-    (default) computes BM25 inside the similarity blocks, so no query x document table
-    exists; ``lexical='join'`` computes the sparse BM25 table by joins, writes it once
-    and feeds it to the blocks. Both give the same scores. ``mode='second'`` skips a
+    over the dense row (the reference's single-signal modes). ``lexical='stream'``
+    (default) streams the corpus past the broadcast queries: it is neither copied nor
+    shuffled, and query tables over ``streamtop.BROADCAST_BYTES`` go to the blocks.
+    ``'block'`` computes BM25 inside the similarity blocks, so no query x document table
+    exists; ``'join'`` computes the sparse BM25 table by joins, writes it once
+    and feeds it to the blocks. All give the same scores. ``mode='second'`` skips a
     rank-1 self match as the reference does; ``mode='all'`` removes every corpus row
     with the query's own patch key before ranking.
     """
@@ -107,7 +113,10 @@ def retrieve_hybrid(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     nq = queries.count()
     bounded = nq <= BROADCAST_QUERIES
     excl = "diff" if mode == "all" else None
-    if lexical == "block":
+    if lexical == "stream":
+        top = streamtop.hybrid_topk(idx, queries, corpus, k, w_cos=w_cos, w_lex=w_lex, query_key=query_key, vec=vec,
+                                    query_fields=query_fields, n_queries=nq, stats_bounded=bounded, exclude_identical=excl)
+    elif lexical == "block":
         top = hybrid_topk(idx, queries, corpus, k, w_cos=w_cos, w_lex=w_lex,
                           query_key=query_key, vec=vec, query_fields=query_fields,
                           n_queries=nq, stats_bounded=bounded, exclude_identical=excl)

@@ -14,7 +14,7 @@ from diffsieve.functions import structure as ST
 from diffsieve.functions import text as TX
 from diffsieve.functions import vectors as VX
 from diffsieve.operators import datasets as DS
-from diffsieve.operators import dense, lexical, rank, retrieval
+from diffsieve.operators import dense, lexical, rank, retrieval, streamtop
 from diffsieve.operators import edits as ED
 from diffsieve.operators import features as FE
 from diffsieve.plans import sqltext as S
@@ -181,7 +181,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, doc_id, rk AS rank, round(score, 6) AS score FROM r WHERE rk <= 2""")
 def q_cosine_topk(spark, sf):
     c = T.corpus(spark, sf)
-    t = dense.cosine_topk(_self_queries(c), c, 2)
+    t = streamtop.cosine_topk(_self_queries(c), c, 2)
     return t.select("query_id", "doc_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
