@@ -73,6 +73,7 @@ class LexicalIndex:
     fields: tuple
     salt_rows: int = SALT_ROWS
     hash_unique: bool | None = None
+    store: object = None  # term-clustered postings (``sources.index_store.TermStore``), if built
 
 
 def spread(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -206,6 +207,11 @@ def match_postings(index: LexicalIndex, queries: DataFrame, key: str = "query_id
     # query terms x the largest possible salt count (df <= documents).
     max_salt = max([1] + [-(-st[0] // _salt_rows(index)) for st in index.stats.values()])
     bounded = qt.count() * max_salt * len(index.fields) <= broadcast_rows
+    postings = index.postings
+    if index.store is not None:
+        # only the files of the queried terms are read
+        asked = qt.select("term").distinct().withColumn("field", F.explode(F.array(*[F.lit(f) for f in index.fields])))
+        postings = salted_postings(index.store.postings(asked), index.terms, index.stats, _salt_rows(index))
     parts = []
     for f in index.fields:
         n, avgdl = index.stats[f]
@@ -220,7 +226,7 @@ def match_postings(index: LexicalIndex, queries: DataFrame, key: str = "query_id
         # the document side of a term's weight is computed once per posting, below the
         # join; the join output only multiplies
         norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl))
-        post = (index.postings.where(F.col("field") == f)
+        post = (postings.where(F.col("field") == f)
                 .select("term", "salt", "doc_id",
                         (F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).alias("tfn")))
         # contributions are positive: floor(x + 0.5) is round-half-up, without the

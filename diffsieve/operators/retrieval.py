@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diffsieve.functions.text import require_columns
 from diffsieve.operators import streamtop
+from diffsieve.operators.blockmax import blockmax_topk
 from diffsieve.operators.dense import block_topk, hybrid_topk, lexical_topk
 from diffsieve.operators.lexical import LexicalIndex, bm25_scores, build_index
 from diffsieve.functions.text import patch_key_hashes
@@ -39,8 +40,9 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     ``(query_id, doc_id, rank1_id, score, same_key, is_fallback, retrieved_*)``.
     With ``lexical='stream'`` (default for ``mode='second'``) the corpus is streamed once
     past the broadcast queries (``streamtop``; larger query tables go to the blocks);
-    ``'block'`` takes the shuffled similarity blocks and ``'join'`` ranks the joined BM25
-    table. All give the same rows.
+    ``'blockmax'`` reads the term-clustered postings that bounds can't rule out (``blockmax``,
+    for an index built with ``clustered=True``), ``'block'`` takes the shuffled similarity
+    blocks and ``'join'`` ranks the joined BM25 table. All give the same rows.
     """
     queries = _prepare_queries(queries, query_key, query_fields)
     corpus = corpus.na.fill("", subset=[c for c in ("diff", "ast_seq") if c in corpus.columns])
@@ -58,6 +60,8 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 2, *,
     else:
         if lexical == "stream":
             top = streamtop.lexical_topk(idx, queries, corpus, k, query_key=query_key, query_fields=query_fields)
+        elif lexical == "blockmax":
+            top = blockmax_topk(idx.store, queries, k, query_key=query_key, query_fields=query_fields)
         elif lexical == "block":
             top = lexical_topk(idx, queries, k, query_key=query_key, query_fields=query_fields)
         else:

@@ -14,7 +14,7 @@ from diffsieve.functions import structure as ST
 from diffsieve.functions import text as TX
 from diffsieve.functions import vectors as VX
 from diffsieve.operators import datasets as DS
-from diffsieve.operators import dense, lexical, rank, retrieval, streamtop
+from diffsieve.operators import blockmax, dense, lexical, rank, retrieval, streamtop
 from diffsieve.operators import edits as ED
 from diffsieve.operators import features as FE
 from diffsieve.plans import sqltext as S
@@ -637,6 +637,38 @@ def q_build_index_tables(spark, sf):
     return lexical.term_stats(idx).drop("field")
 
 
+def _clustered(spark, sf):
+    """The commits, the benchmark queries and a term-clustered index in small files."""
+    c = T.commits(spark, sf)
+    idx = build_index_tables(c, shared_dir(spark, "index"), clustered=True, per_file=100_000)
+    return c, T.benchmark_queries(spark, sf), idx
+
+
+@register("bm25_scores_clustered", SQL["bm25_scores"])
+def q_bm25_scores_clustered(spark, sf):
+    # the postings come from the files of the queried terms alone
+    _, q, idx = _clustered(spark, sf)
+    return lexical.bm25_scores(idx, q).withColumn("score", F.round("score", 6))
+
+
+@register("bm25_topk_blockmax", SQL["bm25_topk"])
+def q_bm25_topk_blockmax(spark, sf):
+    c, q, idx = _clustered(spark, sf)
+    return retrieval.bm25_topk(c, q, index=idx, lexical="blockmax")
+
+
+@register("blockmax_postings", f"""
+WITH c AS ({S.COMMITS}), q AS ({S.BENCH_QUERIES}), {S.bm25_ctes()}
+SELECT count(DISTINCT query_id) AS queries, CAST(sum(df) AS BIGINT) AS postings_all, true AS below_half
+FROM qt JOIN dfs USING (term)""")
+def q_blockmax_postings(spark, sf):
+    # how many postings an exhaustive search reads, and whether the bounds leave over half of them unread
+    _, q, idx = _clustered(spark, sf)
+    read = blockmax.blockmax(idx.store, q, 2)[1]
+    return read.agg(F.count(F.lit(1)).alias("queries"), F.sum("postings_all").alias("postings_all"),
+                    (2 * F.sum("postings_read") < F.sum("postings_all")).alias("below_half"))
+
+
 # ------------------------------------------------------------ file round trips
 
 

@@ -5,18 +5,34 @@ whole documents, as the build partitions by document), ``terms/`` and, written l
 ``meta/`` (one row: the fingerprint and per-field statistics). A folder with ``meta`` is
 complete and is reused; a changed corpus gets a folder of its own, so a rebuild that ends
 half way neither harms nor impersonates an older index.
+
+``clustered=True`` adds the layout that lookups read (``TermStore``): ``clustered/`` holds the
+postings range-partitioned and sorted by (field, term, document block), about
+``POSTINGS_PER_FILE`` a file, so that a term stands in one file and a hot one is split over several;
+``files/`` names each file's first and last term, ``block_max/`` the largest document factor
+and the postings of each (field, term, block), ``term_max/`` those of each term.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from diffsieve.operators.lexical import SALT_ROWS, LexicalIndex, build_index, salted_postings
+from diffsieve.operators.lexical import B, K1, SALT_ROWS, SCORE_SCALE, LexicalIndex, build_index, salted_postings
+
+POSTINGS_PER_FILE = 4_000_000
+# Documents are dealt into blocks of about this many by a hash of their key.
+DOCS_PER_BLOCK = 64
+ROW_GROUP_BYTES = 1 << 20
 
 
 def fingerprint(corpus: DataFrame, key: str, fields) -> str:
@@ -42,10 +58,105 @@ def _read(spark, path: str):
         return None
 
 
+def _ordered(df: DataFrame, files: int, *by: str) -> DataFrame:
+    return df.repartitionByRange(files, *by).sortWithinPartitions(*by)
+
+
+def _write_sorted(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+
+
+def _key(field: str, term: str) -> bytes:
+    """Orders like (field, term) does in Spark: strings by their UTF-8 bytes."""
+    return (field + "\0" + term).encode()
+
+
+@dataclass
+class TermStore:
+    """Term-clustered postings of an index, read by the terms of a lookup."""
+
+    path: str
+    index: LexicalIndex
+    manifest: list  # (first key, last key, file, postings) in key order, a row a file
+
+    @property
+    def spark(self):
+        return self.index.terms.sparkSession
+
+    def term_max(self) -> DataFrame:
+        return self.spark.read.parquet(self.path + "/term_max")
+
+    def block_max(self) -> DataFrame:
+        return self.spark.read.parquet(self.path + "/block_max")
+
+    def files_of(self, terms: DataFrame) -> list[str]:
+        """The files that hold any of the ``(field, term)`` pairs; at most the manifest's."""
+        sent = self.spark.sparkContext.broadcast(([x[1] for x in self.manifest], [x[0] for x in self.manifest]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, first = sent.value
+            found: set = set()
+            for batch in batches:
+                for f, t in zip(*(c.to_pylist() for c in batch.columns)):
+                    k = _key(f, t)
+                    at = bisect.bisect_left(last, k)
+                    while at < len(last) and first[at] <= k:
+                        found.add(at)
+                        at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["file"])
+
+        hit = terms.select("field", "term").mapInArrow(run, "file int").distinct().collect()
+        return [self.manifest[i][2] for i in sorted(r["file"] for r in hit)]
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """``(field, term, block, doc_id, tf, dl, tfn)`` read from the files of ``terms`` alone;
+        other terms of those files come along, so the caller still joins."""
+        files = self.files_of(terms)
+        if not files:
+            return self.spark.read.parquet(self.path + "/clustered").where(F.lit(False))
+        return self.spark.read.parquet(*files)
+
+
+def _cluster(idx: LexicalIndex, path: str, per_file: int, per_block: int) -> None:
+    spark = idx.terms.sparkSession
+    total = idx.terms.agg(F.sum("df").alias("n")).first()["n"] or 0
+    files = max(1, math.ceil(total / per_file))
+    blocks = max(1, math.ceil(idx.n_corpus / per_block))
+    factor = F.lit(0.0)
+    for f in idx.fields:
+        n, avgdl = idx.stats[f]
+        if n:
+            norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
+            factor = F.when(F.col("field") == f, F.col("tf") / (F.col("tf") + norm) * F.lit(SCORE_SCALE)).otherwise(factor)
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+    rows = spark.read.parquet(path + "/tf").select("field", "term", block, "doc_id", "tf", "dl", factor.alias("tfn"))
+    _write_sorted(_ordered(rows, files, "field", "term", "block", "doc_id"), path + "/clustered")
+    rows = spark.read.parquet(path + "/clustered")
+    per = rows.groupBy("field", "term", "block").agg(F.max("tfn").alias("top"), F.count(F.lit(1)).alias("n"))
+    _write_sorted(_ordered(per, files, "field", "term", "block"), path + "/block_max")
+    per = spark.read.parquet(path + "/block_max")
+    terms = per.groupBy("field", "term").agg(F.max("top").alias("top"), F.sum("n").alias("df"))
+    _write_sorted(_ordered(terms, max(1, files // 8), "field", "term"), path + "/term_max")
+    ends = F.struct("field", "term")
+    (rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(ends).alias("lo"), F.max(ends).alias("hi"), F.count(F.lit(1)).alias("n"))
+     .coalesce(1).write.mode("overwrite").parquet(path + "/files"))
+
+
+def open_store(idx: LexicalIndex, path: str, per_file: int = POSTINGS_PER_FILE, per_block: int = DOCS_PER_BLOCK) -> TermStore:
+    """The term-clustered postings under an index's folder, built when they aren't there."""
+    spark = idx.terms.sparkSession
+    if not _exists(spark, path + "/files/_SUCCESS"):
+        _cluster(idx, path, per_file, per_block)
+    rows = spark.read.parquet(path + "/files").collect()  # a row a file
+    manifest = sorted((_key(*r["lo"]), _key(*r["hi"]), r["file"], r["n"]) for r in rows)
+    return TermStore(path, idx, manifest)
+
+
 def build_index_tables(corpus: DataFrame, path: str, key: str = "doc_id", fields=("diff",),
-                       reuse: bool = True, salt_rows: int = SALT_ROWS) -> LexicalIndex:
+                       reuse: bool = True, salt_rows: int = SALT_ROWS, clustered: bool = False,
+                       per_file: int = POSTINGS_PER_FILE, per_block: int = DOCS_PER_BLOCK) -> LexicalIndex:
     """Build (or reuse) the index tables of ``corpus`` under ``path`` and return the
-    index read back from Parquet."""
+    index read back from Parquet; with ``clustered`` its ``store`` is open for lookups."""
     spark = corpus.sparkSession
     fields = tuple(fields)
     fp = fingerprint(corpus, key, fields)
@@ -57,10 +168,14 @@ def build_index_tables(corpus: DataFrame, path: str, key: str = "doc_id", fields
         (spark.createDataFrame(row, "fingerprint string, fields string, stats string, "
                                     "n_corpus long, min_key long")
          .coalesce(1).write.mode("overwrite").parquet(path + "/meta"))
+        if clustered:
+            idx.store = open_store(idx, path, per_file, per_block)
         return idx
     stats = {k: tuple(v) for k, v in json.loads(meta["stats"]).items()}
     # a stored index is re-opened through the same salting rule as a fresh build
     terms = spark.read.parquet(path + "/terms")
     postings = salted_postings(spark.read.parquet(path + "/tf"), terms, stats, salt_rows)
-    return LexicalIndex(postings, terms, stats, int(meta["n_corpus"]), meta["min_key"], fields,
-                        salt_rows)
+    idx = LexicalIndex(postings, terms, stats, int(meta["n_corpus"]), meta["min_key"], fields, salt_rows)
+    if clustered:
+        idx.store = open_store(idx, path, per_file, per_block)
+    return idx
