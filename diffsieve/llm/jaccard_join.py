@@ -14,11 +14,14 @@ so copies never meet each other.
   bits, every shingle flips one; ``WIDE_SKETCH`` for large sets in crowded columns) differ in more bits than the sets may differ in shingles, and when
   the overlap counted over all blocks is too low for the sizes; that of the rest is counted on the
   whole sets.
-* First product: each row only with the first row of its band. Linked rows become one component.
-  Second product: all pairs of rows in different components, columns within one component being
-  skipped. A pair that is left out is connected already, so components lose no link, and a large group of
-  near copies costs about one pair a row instead of all pairs. The groups' pairs stay in the tasks
-  and leave them one row a pair.
+* Near rounds first (``TURNS``): in the columns of each row's ``EARLY`` smallest hashes a row proposes
+  one other row, that of the closest sketch among its ``NEAR`` neighbours on both sides in the order of
+  sizes (equal sizes in another random order each turn), if they are in different components. Proposed
+  pairs are checked on the whole sets, and links merge components before the next turn. So a large
+  group of near copies costs a few pairs a row instead of all its pairs.
+* Then the whole product: all pairs of rows in different components, columns within one component
+  being skipped. A pair that is left out is connected already, so components lose no link. A
+  column of over ``CELL`` rows is dealt in cells of two blocks of its rows, a task each.
 * Components of the links are found by smallest-label propagation with pointer jumping, in tables.
 
 Results: per row the size of its set and its component, the smallest id that links lead to. Defined
@@ -43,6 +46,10 @@ from ._words import SPACE, Words, keep_repeated, mix, own_repeats, slices, windo
 N, PERCENT, SKETCH = 5, 80, 512
 #: Sketch of sets over LARGE shingles, for columns of over CROWDED rows.
 WIDE_SKETCH, LARGE, CROWDED = 4096, 700, 6
+TURNS, EARLY, NEAR = 3, 6, 12
+CELL = 4096
+#: Class names up to this many (counted; 16 bytes each) are sent to the tasks that look for their texts.
+SENT_NAMES = 2_000_000
 
 
 def _sets(w: Words, n: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +114,10 @@ def classes(docs: DataFrame, kind: str, n: int) -> DataFrame:
 
 
 def prefix_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, c1, size): prefix columns that occur in two rows, a slice's copies taken once."""
+    """(key, c1, size, early): prefix columns that occur in two rows, a slice's copies taken once.
+
+    early: the column is among the row's ``EARLY`` smallest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,13 +133,15 @@ def prefix_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 # a column's entries in this slice are all sure if there are two; all but the first are spread
                 one, sure = own_repeats(key[at])
                 spread = np.where(one, 0, 1 + (mix(c1[row].view(np.uint64)) % np.uint64(30_000)).astype(np.int64))
-                mark = spread << 48 | size[row] << 1 | sure
+                early = at - off[row] < EARLY
+                mark = spread << 48 | size[row] << 2 | early.astype(np.int64) << 1 | sure
                 yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(c1[row]), pa.array(mark)], ["key", "c1", "mark"])
 
     spread = F.shiftright("mark", 48)
     found = keep_repeated(docs.mapInArrow(run, "key long, c1 long, mark long"), "key long, c1 long, mark long",
                           derived={"sure": F.col("mark") % 2 == 1}, dealt_by=("key", spread))
-    return found.select("key", "c1", F.shiftright(F.col("mark").bitwiseAND(F.lit((1 << 48) - 1)), 1).cast("int").alias("size"))
+    mark = F.col("mark").bitwiseAND(F.lit((1 << 48) - 1))
+    return found.select("key", "c1", F.shiftright(mark, 2).cast("int").alias("size"), (F.shiftright(mark, 1) % 2 == 1).alias("early"))
 
 
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
@@ -137,17 +149,6 @@ def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return size + (-percent * size // 100) + 1
 
 
-def _bands(size: np.ndarray, percent: int) -> np.ndarray:
-    """For rows sorted by size, the first row of each row's band: bands open at a size that
-    the opener of the last cannot link with."""
-    first, at = np.zeros(len(size), np.int64), 0
-    while at < len(size):
-        to = int(np.searchsorted(size, size[at] * 100 // percent, side="right"))
-        first[at:max(to, at + 1)] = at
-        at = max(to, at + 1)
-    return first
-
-
 class _Sketches:
     """Sketches of rows, narrow for all and wide for some, and the test of pairs of rows."""
 
@@ -177,48 +178,85 @@ class _Sketches:
         return good[~drop]
 
 
-def product(entries: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+def _counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Distinct pairs (a < b) of lists of pairs, with their sizes and how often each came."""
+    a, b, size_a, size_b = (np.concatenate(x) for x in zip(*found))
+    swap = a > b
+    a, b, size_a, size_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, size_b, size_a), np.where(swap, size_a, size_b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    columns = a[new], b[new], size_a[order][new], size_b[order][new], np.diff(np.append(new, len(a)))
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["a", "b", "size_a", "size_b", "shared"])
+
+
+_PAIRS = "a long, b long, size_a long, size_b long, shared long"
+
+
+def proposals(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): for each row of a column the closest of its neighbours in another component.
+
+    entries: (key, c1, size, comp, sketch, blocks). A column is dealt by ``blocks``, and a batch of
+    rows is worked off by itself, so a hot column needs no more memory than others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, pending = [], 0
+        for batch in batches:
+            key, c1, size, comp = (batch.column(k).to_numpy() for k in range(4))
+            order = np.lexsort((mix(c1.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), size, key))
+            key, c1, size, comp = key[order], c1[order], size[order].astype(np.int64), comp[order]
+            sketches = _Sketches(batch.column(4).take(pa.array(order)).to_pylist(), size, percent)
+            best, mate = np.full(len(key), 1 << 30), np.full(len(key), -1)
+            for step in range(1, min(NEAR, len(key) - 1) + 1):
+                i = np.flatnonzero((key[:-step] == key[step:]) & (comp[:-step] != comp[step:]) & (size[step:] <= size[:-step] * 100 // percent))
+                far = np.bitwise_count(sketches.narrow[i] ^ sketches.narrow[i + step]).sum(axis=1, dtype=np.int64)
+                for own, other in ((i, i + step), (i + step, i)):
+                    closer = far < best[own]
+                    best[own[closer]], mate[own[closer]] = far[closer], other[closer]
+            i = np.flatnonzero(mate >= 0)
+            i = i[sketches.may_link(i, mate[i])]
+            if len(i):
+                found.append((c1[i], c1[mate[i]], size[i], size[mate[i]]))
+                pending += len(i)
+            if pending > 500_000:
+                yield _counted(found)
+                found, pending = [], 0
+        if found:
+            yield _counted(found)
+
+    block = F.pmod(F.xxhash64("c1"), F.col("blocks"))
+    dealt = entries.withColumn("block", block).repartition("key", "block").sortWithinPartitions("key", "block")
+    return dealt.select("key", "c1", "size", "comp", "sketch").mapInArrow(run, _PAIRS).select("a", "b").distinct()
+
+
+def product(entries: DataFrame, percent: int) -> DataFrame:
     """(a, b): class pairs that share a column, fit in size and sketch and differ in component.
 
-    entries: (key, c1, size, comp, sketch). all_pairs: else only pairs with the opener of a band.
+    entries: (key, c1, size, comp, sketch, blocks). A column of several blocks becomes a cell for
+    every two of its blocks, with the rows of both; a cell fits into a task.
     The overlaps counted in the columns add up to the overlap of two prefixes; what lies beyond
     the shorter one can add no more than its row's other columns, so pairs that stay below the
-    overlap that their sizes ask for are discarded. With openers only, a pair isn't counted in
-    every column; what is discarded then comes again with all pairs.
-    A column's rows must fit into a task as 100 bytes each; their pairs are made in blocks.
+    overlap that their sizes ask for are discarded.
     """
     block = 256
 
-    def group(x: int, size: np.ndarray, comp: np.ndarray, sketches: _Sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of the column whose rows start at ``x``."""
-        if not all_pairs:
-            first = _bands(size, percent)
-            mine = np.flatnonzero((first < np.arange(len(size))) & (comp[first] != comp))
-            i, j = first[mine] + x, mine + x
-            good = sketches.may_link(i, j)
-            yield i[good], j[good]
-            return
+    def group(x: int, size: np.ndarray, comp: np.ndarray, side: np.ndarray, sketches: _Sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the cell whose rows start at ``x``; in a cell of two blocks only pairs across them."""
         reach = np.searchsorted(size, size * 100 // percent, side="right")
+        across = side.min() != side.max()
         for a in range(0, len(size), block):
             rows = np.arange(a, min(a + block, len(size)))
             for b in range(a, int(reach[rows].max()), block):
                 cols = np.arange(b, min(b + block, len(size)))
                 ok = (cols[None, :] > rows[:, None]) & (cols[None, :] < reach[rows][:, None]) & (comp[rows][:, None] != comp[cols][None, :])
+                if across:
+                    ok &= side[rows][:, None] != side[cols][None, :]
                 i, j = np.nonzero(ok)
                 i, j = rows[i] + x, cols[j] + x
                 good = sketches.may_link(i, j)
                 yield i[good], j[good]
 
-    def counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        a, b, size_a, size_b = (np.concatenate(x) for x in zip(*found))
-        swap = a > b
-        a, b, size_a, size_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, size_b, size_a), np.where(swap, size_a, size_b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        columns = a[new], b[new], size_a[order][new], size_b[order][new], np.diff(np.append(new, len(a)))
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["a", "b", "size_a", "size_b", "shared"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, pending = None, [], 0
 
@@ -228,25 +266,32 @@ def product(entries: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
                 found.append((c1[i], c1[j], size[i], size[j]))
                 pending += len(i)
 
+        def starts(*columns: np.ndarray) -> np.ndarray:
+            new = np.ones(len(columns[0]), bool)
+            new[1:] = False
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            return np.flatnonzero(new)
+
         def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal found, pending
-            key, c1 = (t.column(c).to_numpy() for c in ("key", "c1"))
-            own = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (c1[1:] != c1[:-1])]))  # rows come sorted
-            key, c1 = key[own], c1[own]
-            size, comp = (t.column(c).to_numpy()[own] for c in ("size", "comp"))
+            key, cell, c1 = (t.column(c).to_numpy() for c in ("key", "cell", "c1"))
+            size, comp, side = (t.column(c).to_numpy() for c in ("size", "comp", "side"))
+            own = starts(key, cell, size, c1)  # rows come sorted
+            key, cell, c1, size, comp, side = (x[own] for x in (key, cell, c1, size, comp, side))
             sketches = _Sketches(t.column("sketch").take(pa.array(own)).to_pylist(), size, percent)
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            cut = starts(key, cell)
             rows = np.diff(np.append(cut, len(key)))
-            i = cut[rows == 2]  # most columns: all at once
+            i = cut[(rows == 2) & (cell[cut] < 0)]  # most columns: all at once
             i = i[(comp[i] != comp[i + 1]) & (size[i + 1] <= size[i].astype(np.int64) * 100 // percent)]
             i = i[sketches.may_link(i, i + 1)]
             add(i, i + 1, c1, size)
-            mixed = np.minimum.reduceat(comp, cut) != np.maximum.reduceat(comp, cut)
-            for x, n in zip(cut[mixed & (rows > 2)].tolist(), rows[mixed & (rows > 2)].tolist()):
-                for i, j in group(x, size[x:x + n], comp[x:x + n], sketches):
+            mixed = (np.minimum.reduceat(comp, cut) != np.maximum.reduceat(comp, cut)) & ((rows > 2) | (cell[cut] >= 0))
+            for x, n in zip(cut[mixed].tolist(), rows[mixed].tolist()):
+                for i, j in group(x, size[x:x + n], comp[x:x + n], side[x:x + n], sketches):
                     add(i, j, c1, size)
                     if pending > 500_000:
-                        yield counted(found)
+                        yield _counted(found)
                         found, pending = [], 0
 
         for batch in batches:
@@ -254,18 +299,25 @@ def product(entries: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
             t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             if not t.num_rows:
                 continue
-            key = t.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
+            key, cell = t.column("key").to_numpy(), t.column("cell").to_numpy()
+            last = int(np.flatnonzero((key != key[-1]) | (cell != cell[-1]))[-1]) + 1 if (key[0], cell[0]) != (key[-1], cell[-1]) else 0
             held = t.slice(last)
             if last:
                 yield from made(t.slice(0, last))
         if held is not None:
             yield from made(held)
         if found:
-            yield counted(found)
-
-    dealt = entries.repartition("key").sortWithinPartitions("key", "size", "c1")
-    pairs = dealt.select("key", "c1", "size", "comp", "sketch").mapInArrow(run, "a long, b long, size_a long, size_b long, shared long")
+            yield _counted(found)
+
+    # a row of block x meets every block y of its column in the cell (smaller, larger)
+    side = F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    one = entries.where("blocks = 1").select("key", F.lit(-1).cast("long").alias("cell"), "c1", "size", "comp", F.lit(0).alias("side"), "sketch")
+    more = entries.where("blocks > 1").withColumn("side", side).select("*", other)
+    cell = F.least("side", "other").cast("long") * F.col("blocks") + F.greatest("side", "other")
+    cells = one.unionByName(more.select("key", cell.alias("cell"), "c1", "size", "comp", "side", "sketch"))
+    dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "size", "c1")
+    pairs = dealt.select("key", "cell", "c1", "size", "comp", "side", "sketch").mapInArrow(run, _PAIRS)
     pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
     beyond = F.ceil(F.greatest("size_a", "size_b") * percent / 100) - 1  # outside the longer row's prefix
     needed = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent))
@@ -289,6 +341,8 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
 def links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets overlap enough; rows: (id, text), nodes: (c1, rep)."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct().join(nodes, "c1").select("c1", F.col("rep").alias("id"))
+    needed = saved(needed, "jaccard-names")
+    needed = F.broadcast(needed) if needed.count() <= SENT_NAMES else needed
     sets = saved(shingle_sets(rows.join(needed, "id").select("c1", "text"), n), "jaccard-sets")
     both = pairs.join(sets.select(F.col("c1").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("c1").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -329,16 +383,20 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     members = saved(members, "jaccard-members")  # c1 names a class in pairs; c2 guards it
     nodes = saved(members.groupBy("c1").agg(F.min("rep").alias("comp"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("rep").alias("rep")), "jaccard-nodes")
     entries = saved(prefix_entries(rows, n, percent), "jaccard-entries")
-    labels = nodes.select("c1", "comp")
-    edges = None
-    for all_pairs in (False, True):
+    labels, edges = nodes.select("c1", "comp"), None
+    for turn in range(TURNS + 1):
+        whole = turn == TURNS
+        own = entries if whole else entries.where("early")
+        # columns within one component have nothing left to say
+        mixed = own.join(labels, "c1").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"))
+        mixed = mixed.where("x != y").select("key", (F.col("rows") > CROWDED).alias("crowded"), F.ceil(F.col("rows") / CELL).cast("int").alias("blocks"))
         known = labels.join(nodes.select("c1", "sketch", "wide"), "c1")
-        open_keys = entries.withColumn("crowded", F.lit(False))
-        if all_pairs:
-            mixed = entries.join(labels, "c1").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), (F.count("*") > CROWDED).alias("crowded"))
-            open_keys = entries.join(mixed.where("x != y").select("key", "crowded"), "key")
-        rows_in = open_keys.join(known, "c1").withColumn("sketch", F.when(F.col("crowded") & F.col("wide").isNotNull(), F.col("wide")).otherwise(F.col("sketch")))
-        pairs = saved(product(rows_in, percent, all_pairs), "jaccard-pairs")
+        wide = F.col("wide").isNotNull() & (F.col("crowded") if whole else F.lit(True))
+        rows_in = own.join(mixed, "key").join(known, "c1").withColumn("sketch", F.when(wide, F.col("wide")).otherwise(F.col("sketch")))
+        rows_in = rows_in.select("key", "c1", "size", "comp", "sketch", "blocks")
+        pairs = saved(product(rows_in, percent) if whole else proposals(rows_in, percent, turn), "jaccard-pairs")
+        if not pairs.limit(1).count():
+            continue
         found = saved(links(pairs, rows, nodes.select("c1", "rep"), n, percent), "jaccard-links")
         edges = found if edges is None else edges.unionByName(found)
         labels = saved(components(nodes.select("c1", "comp"), edges), "jaccard-components")

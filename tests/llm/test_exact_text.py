@@ -76,6 +76,40 @@ def test_jaccard_chains_groups_and_a_common_passage(spark):
     assert got == brute.jaccard(rows)
 
 
+@pytest.mark.parametrize("turns, cell", [(0, 4096), (0, 7), (2, 7)])
+def test_jaccard_in_cells_of_columns(spark, monkeypatch, turns, cell):
+    monkeypatch.setattr(jaccard_join, "TURNS", turns)
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for g in range(3):
+        base = [word() for _ in range(90)]
+        for k in range(45):  # groups whose members are linked with some of the others only
+            own = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(90)] = word()
+            rows.append((g * 100 + k, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard(rows)
+
+
+def test_near_rounds_leave_few_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(500):
+        own = list(base)
+        for _ in range(rng.randrange(2, 5)):
+            own[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    seen = []
+    plain = jaccard_join.links
+    monkeypatch.setattr(jaccard_join, "links", lambda pairs, *a: (seen.append(pairs.count()), plain(pairs, *a))[1])
+    jaccard_join.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(seen) < 20 * len(rows)  # all pairs are 125,000
+
+
 def test_jaccard_of_odd_rows(with_null_id, empty):
     got = jaccard_join.similarity_classes(with_null_id).collect()
     plain = brute.jaccard([x for x in pairs(with_null_id) if x[0] is not None])
