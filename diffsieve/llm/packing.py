@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,9 @@ from ._io import read, saved, worker_cache
 from ._words import slices
 
 CAPACITY, END_ID, SALTS = 4096, 1, 64
-KNOWN = 1_000_000
+#: Encoded parts that a worker remembers, at most, and their longest length.
+KNOWN, KNOWN_LENGTH = 200_000, 64
+SLICE_BYTES = 8 << 20
 
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -50,7 +53,7 @@ class Encoder:
 
     A text is encoded space by space: neither normalisation, pre-tokenisation nor merges of the
     given tokenizer reach over a blank (else, by ``splits_at_blanks``, texts are encoded whole).
-    Encoded parts are remembered within this worker, at most about ``KNOWN`` of them.
+    Short encoded parts are remembered within this worker, at most about ``KNOWN`` of them.
     """
 
     def __init__(self, spec: str):
@@ -78,16 +81,10 @@ class Encoder:
         raw, cut = ids.tobytes(), (4 * cut).tolist()
         return [raw[a:b] for a, b in zip([0, *cut], cut)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.whole:
-            return self._bytes(texts)
-        split = [t.split(" ") for t in texts]
-        parts = self.parts
-        if len(parts) > KNOWN:
-            parts.clear()
-            parts[""] = b""
+    def _add(self, names: list[str], parts: dict[str, bytes]) -> None:
+        """Encodes the names that ``parts`` doesn't hold yet."""
         plain, other = {}, []
-        for p in {p for s in split for p in s}.difference(parts):
+        for p in names:
             m = _PLAIN.fullmatch(p)  # a word and the stop or comma behind it are separate tokens
             if m:
                 plain[p] = m[1].lower(), m[2]
@@ -101,7 +98,44 @@ class Encoder:
             parts.update(zip(other[a:a + 20_000], self._bytes(other[a:a + 20_000])))
         for p, (word, mark) in plain.items():
             parts[p] = parts[word] + parts[mark]
-        return [b"".join(map(parts.__getitem__, s)) for s in split]
+
+    def _ids(self, names: list[str]) -> list[bytes]:
+        """The ids of each name; short ones are remembered."""
+        if len(self.parts) > KNOWN:
+            self.parts.clear()
+            self.parts[""] = b""
+        new = [p for p in names if p not in self.parts]
+        self._add([p for p in new if len(p) <= KNOWN_LENGTH], self.parts)
+        long: dict[str, bytes] = {"": b""}
+        self._add([p for p in new if len(p) > KNOWN_LENGTH], long)
+        return [self.parts[p] if p in self.parts else long[p] for p in names]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        ids, first = self.encode_column(pa.array(texts, pa.large_string()), END_ID)
+        return [ids[a:b - 1].tobytes() for a, b in zip(first.tolist(), first[1:].tolist())]
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each text's followed by ``end_id``; where each text's begin).
+
+        The texts' parts are numbered in Arrow; only the distinct ones are looked at in Python.
+        """
+        if self.whole:
+            part, size = self._bytes(texts.to_pylist()), np.ones(len(texts), np.int64)
+            code = np.arange(len(texts))
+        else:
+            lists = pc.split_pattern(texts, " ")
+            coded = pc.list_flatten(lists).dictionary_encode()
+            part, code = self._ids(coded.dictionary.to_pylist()), np.asarray(coded.indices, np.int64)
+            size = np.asarray(pc.list_value_length(lists), np.int64)
+        length = np.fromiter(map(len, part), np.int64, len(part)) // 4
+        begin = np.cumsum(length) - length
+        n = length[code]
+        ids = np.frombuffer(b"".join(part), "<u4")[np.arange(n.sum()) + np.repeat(begin[code] - (np.cumsum(n) - n), n)]
+        first = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(size)]]  # each text's first id, without end ids
+        out = np.full(len(ids) + len(texts), end_id, "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(first))] = ids
+        return out, first + np.arange(len(texts) + 1)
 
 
 def splits_at_blanks(spec: str) -> bool:
@@ -122,17 +156,19 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
-                out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc")}
-                for row, ids in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        one = ids[a:a + 4 * capacity]
-                        for name, v in zip(out, (row, k, a // 4, len(one) // 4, zlib.crc32(one))):
-                            out[name].append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(out["row"])), pa.array(out["piece"], pa.int32()), *[pa.array(out[c], pa.int64()) for c in ("start", "length", "crc")]],
+            for part in slices(batch, "text", SLICE_BYTES):
+                texts = pc.fill_null(part.column(1).cast(pa.large_string()), "")
+                ids, first = encoder.encode_column(texts, end_id)
+                size = np.diff(first)
+                many = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                raw, at = memoryview(ids.tobytes()), 4 * (first[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
                                                  ["id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
