@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Open-tag pattern of the html dialect.
@@ -40,6 +40,37 @@ def user_dialect(fn: Callable[[str], list]) -> Callable[[Column], Column]:
     return lambda c: run(F.col(c) if isinstance(c, str) else c)
 
 
+def checked_dialect(fn: Callable[[str], list]) -> Callable[[Column], Column]:
+    """As ``user_dialect``, but a row that raises has a null ``seq`` and the ``error``
+    (exception type and message) instead of ending the job."""
+    @F.pandas_udf("seq array<string>, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        seqs, errors = [], []
+        for t in texts:
+            try:
+                seqs.append([str(x) for x in fn(t if t is not None else "")])
+                errors.append(None)
+            except Exception as e:  # whatever the user's function raises
+                seqs.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        return pd.DataFrame({"seq": pd.Series(seqs, dtype=object), "error": pd.Series(errors, dtype=object)})
+    return lambda c: run(F.col(c) if isinstance(c, str) else c)
+
+
+def structure_or_error(df: DataFrame, column: str, dialect: Callable, out: str = "seq",
+                       keep: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(good, bad)``: rows with their structure sequence as ``out``, and the rows whose text
+    the user's dialect fails on, with ``reason`` (Q1 with P5)."""
+    tried = df.withColumn("_try", checked_dialect(dialect)(column))
+    seq = F.col("_try.seq")
+    if keep is not None:
+        allowed = F.array(*[F.lit(x) for x in keep])
+        seq = F.filter(seq, lambda t: F.array_contains(allowed, t))
+    good = tried.where(F.col("_try.error").isNull()).withColumn(out, seq).drop("_try")
+    bad = tried.where(F.col("_try.error").isNotNull()).withColumn("reason", F.col("_try.error")).drop("_try")
+    return good, bad
+
+
 def structure_seq(c: str | Column, dialect: str | Callable = "html",
                   keep: Iterable[str] | None = None) -> Column:
     """Structural token sequence of a text column as ``array<string>``."""

@@ -106,10 +106,30 @@ def _split_of(rank, bounds):
     return c.otherwise(F.lit(SPLIT_NAMES[3]))
 
 
+def running_before(counts: DataFrame, key: str, count: str, out: str = "_before", partitions: int | None = None) -> DataFrame:
+    """``counts`` with the sum of ``count`` over all smaller keys, without a one-task window.
+
+    The rows are range-partitioned by ``key`` and written with their partition number; each
+    partition is summed by itself, and the partitions' totals (one row each) give their offsets.
+    """
+    spark = counts.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counts.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()), "split-counts")
+    totals = sorted((r["_part"], r["n"]) for r in ranged.groupBy("_part").agg(F.sum(count).alias("n")).collect())
+    offsets, before = [], 0
+    for part, total in totals:
+        offsets.append((part, before))
+        before += total
+    at = F.broadcast(spark.createDataFrame(offsets, "_part int, _offset long"))
+    own = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.join(at, "_part").withColumn(out, F.col("_offset") + F.coalesce(F.sum(count).over(own), F.lit(0)))
+            .drop("_part", "_offset"))
+
+
 def _assign_by_groups(rows: DataFrame, group, within: list, sizes: Sequence[int]) -> DataFrame:
     """Give every row its split by a global order ``(group, *within)``.
 
-    Only group counts are ranked globally (a running sum over the small count table).
+    Only group counts are ranked globally (``running_before`` over the count table).
     A group whose rows all fall into one split takes it without any ordering; only the
     at most three groups that straddle a boundary are ordered inside (a window per
     group). No step moves all rows through one task.
@@ -118,12 +138,9 @@ def _assign_by_groups(rows: DataFrame, group, within: list, sizes: Sequence[int]
         raise ValueError("split sizes must be non-negative")
     bounds = [sum(sizes[:i + 1]) for i in range(3)]
     g = rows.withColumn("_g", group)
-    run = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     # the count table (one row per group) is written once: both branches below and the
     # size check read it instead of recounting the rows
-    counts = materialize(
-        g.groupBy("_g").agg(F.count(F.lit(1)).alias("_cnt"))
-        .withColumn("_before", F.coalesce(F.sum("_cnt").over(run), F.lit(0))), "split-counts")
+    counts = materialize(running_before(g.groupBy("_g").agg(F.count(F.lit(1)).alias("_cnt")), "_g", "_cnt"), "split-counts")
     stats = counts.agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("groups")).first()
     total = int(stats["n"] or 0)
     if total < bounds[2]:

@@ -70,6 +70,40 @@ def hash_encoder(dim: int = 64) -> Callable[[list, list], list]:
     return enc
 
 
+def encode_or_error(df: DataFrame, fn: Callable[[list, list], Sequence], batch_size: int = 32,
+                    diff: str = "diff", ast_seq: str = "ast_seq",
+                    out: str = "feature_vector") -> tuple[DataFrame, DataFrame]:
+    """``encode_features`` for encoders that may fail: ``(good, bad)`` rows, ``bad`` with ``reason``.
+
+    A batch that raises is encoded again row by row, so one bad row costs its batch a second
+    call and nothing else.
+    """
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType())), T.StructField("reason", T.StringType())])
+
+    def attempt(diffs: list, seqs: list) -> list:
+        try:
+            got = [np.asarray(v, dtype=np.float32).ravel().tolist() for v in fn(diffs, seqs)]
+            if len(got) != len(diffs):
+                raise ValueError(f"{len(got)} vectors for {len(diffs)} rows")
+            return [(v, None) for v in got]
+        except Exception as e:  # whatever the user's encoder raises
+            if len(diffs) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            return [attempt([d], [s])[0] for d, s in zip(diffs, seqs)]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for s in range(0, len(pdf), batch_size):
+                chunk = pdf.iloc[s:s + batch_size]
+                rows += attempt(list(chunk[diff]), [x if isinstance(x, str) else "" for x in chunk[ast_seq]])
+            yield pdf.assign(**{out: pd.Series([v for v, _ in rows], index=pdf.index, dtype=object),
+                                "reason": pd.Series([r for _, r in rows], index=pdf.index, dtype=object)})
+
+    tried = df.mapInPandas(run, schema)
+    return tried.where("reason is null").drop("reason"), tried.where("reason is not null").drop(out)
+
+
 def encode_features(df: DataFrame, fn: Callable[[list, list], Sequence], batch_size: int = 32,
                     diff: str = "diff", ast_seq: str = "ast_seq",
                     out: str = "feature_vector") -> DataFrame:

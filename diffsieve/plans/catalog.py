@@ -7,6 +7,8 @@ both sides; doubles are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from diffsieve.functions import structure as ST
 from diffsieve.functions import text as TX
 from diffsieve.functions import vectors as VX
 from diffsieve.operators import datasets as DS
-from diffsieve.operators import blockmax, dense, lexical, rank, retrieval, streamtop
+from diffsieve.operators import blockmax, dense, lexical, lsh, rank, retrieval, streamtop
 from diffsieve.operators import edits as ED
 from diffsieve.operators import features as FE
 from diffsieve.plans import sqltext as S
@@ -185,6 +187,18 @@ def q_cosine_topk(spark, sf):
     return t.select("query_id", "doc_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
 
 
+@register("cosine_topk_lsh", """
+SELECT count(*) AS queries, CAST(2 * count(*) AS BIGINT) AS wanted, true AS recall_90
+FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""")
+def q_cosine_topk_lsh(spark, sf):
+    # recall of the hashed search against the exact one, over all queries
+    c = T.corpus(spark, sf)
+    q = _self_queries(c)
+    r = lsh.recall(lsh.lsh_topk(q, c, 2), streamtop.cosine_topk(q, c, 2))
+    return r.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"),
+                 (F.sum("hit") >= 0.9 * F.sum("wanted")).alias("recall_90"))
+
+
 @register("fuse_scores", _HYBRID_BASE + """
 SELECT query_id, doc_id, rk AS rank, round(score, 6) AS score FROM r WHERE rk <= 2""")
 def q_fuse(spark, sf):
@@ -280,6 +294,28 @@ def q_structure_seq(spark, sf):
     return p.select("page_id", F.size("t").cast("long").alias("n_tags"), F.array_join("t", " ").alias("tags"))
 
 
+def _word_initials(text: str) -> list[str]:
+    """A user dialect that fails on some rows: the first letters of a text's words."""
+    words = re.findall(r"[^ \n\t]+", text)
+    if not words:
+        raise ValueError("no words")
+    if len(words) > 1000:
+        raise OverflowError(f"over {1000} words")
+    return [w[0] for w in words]
+
+
+@register("dialect_failures", """
+WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \n\t]+')) AS n FROM documents)
+SELECT CASE WHEN n = 0 THEN 'ValueError: no words' WHEN n > 1000 THEN 'OverflowError: over 1000 words' ELSE 'ok' END AS reason,
+       count(*) AS n, CAST(sum(CASE WHEN n BETWEEN 1 AND 1000 THEN n ELSE 0 END) AS BIGINT) AS tokens
+FROM w GROUP BY 1""")
+def q_dialect_failures(spark, sf):
+    good, bad = ST.structure_or_error(T.table(spark, sf, "documents").select("doc_id", "text"), "text", _word_initials)
+    rows = (good.select(F.lit("ok").alias("reason"), F.size("seq").cast("long").alias("tokens"))
+            .unionByName(bad.select("reason", F.lit(0).cast("long").alias("tokens"))))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+
+
 @register("edit_script", _LCS_PAIRS + """
 SELECT pair_id, lcs AS kept, n - lcs AS removed, m - lcs AS added, true AS replay_ok FROM l""")
 def q_edit_script(spark, sf):
@@ -798,6 +834,19 @@ def q_augment_stream(spark, sf):
     return spark.read.parquet(out).drop("batch_id")
 
 
+@register("augment_stream_repeated", SQL["bm25_topk"])
+def q_augment_stream_repeated(spark, sf):
+    # every query arrives twice in different files, and once more after a restart from the
+    # checkpoint; it is answered once
+    c, q, idx = _bench_index(spark, sf)
+    qdir, out, ck = (shared_dir(spark, n) for n in ("stream-q", "stream-out", "stream-ck"))
+    for twice in (q.unionByName(q).repartition(3), q.coalesce(1)):
+        twice.write.mode("append").parquet(qdir)
+        stream = (spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(qdir))
+        augment_stream(stream, lambda b: retrieval.bm25_topk(c, b, index=idx), out, ck)
+    return spark.read.parquet(out).drop("batch_id")
+
+
 # -------------------------------- the reference's per-batch Q x Q mixing
 
 _COS_PROFILE_SQL = f"""

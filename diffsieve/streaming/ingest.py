@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diffsieve.session import materialize
 from diffsieve.sources.files import COMMIT_COLUMNS, COMMIT_SUFFIX, CSV_OPTIONS, project_from_file
 
 
@@ -57,17 +58,25 @@ def ingest_incremental(spark: SparkSession, src: str, out: str, checkpoint: str,
 
 
 def augment_stream(queries: DataFrame, lookup, out: str, checkpoint: str,
-                   key: str = "query_id") -> None:
+                   key: str = "query_id", within: tuple[str, str] | None = None) -> None:
     """Run ``lookup(batch_df) -> DataFrame`` on every micro-batch of a query stream and
     write the results (F6).
 
     Each batch is written to its own ``batch_id=<n>`` folder with ``overwrite``, so a
-    retried batch replaces its earlier attempt instead of appending twice; rows are
-    de-duplicated by ``key`` inside a batch. The static side (corpus, index tables) is
-    captured by ``lookup``.
+    retried batch replaces its earlier attempt instead of appending twice. A key is
+    answered once over all batches and restarts: the stream is de-duplicated with keyed
+    state in the checkpoint. The state holds every key seen; with ``within=(time column,
+    delay)`` keys are forgotten once the watermark passed them. The static side (corpus,
+    index tables) is captured by ``lookup``.
     """
+    if within is None:
+        queries = queries.dropDuplicates([key])
+    else:
+        queries = queries.withWatermark(*within).dropDuplicatesWithinWatermark([key])
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        res = lookup(batch.dropDuplicates([key]))
+        # read once: the plan of a stateful batch must not run again for every action of the lookup
+        res = lookup(materialize(batch, "batch"))
         res.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
     q = (queries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
