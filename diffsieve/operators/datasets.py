@@ -138,9 +138,9 @@ def _assign_by_groups(rows: DataFrame, group, within: list, sizes: Sequence[int]
         raise ValueError("split sizes must be non-negative")
     bounds = [sum(sizes[:i + 1]) for i in range(3)]
     g = rows.withColumn("_g", group)
-    # the count table (one row per group) is written once: both branches below and the
-    # size check read it instead of recounting the rows
-    counts = materialize(running_before(g.groupBy("_g").agg(F.count(F.lit(1)).alias("_cnt")), "_g", "_cnt"), "split-counts")
+    # the count table (one row per group) is written once by ``running_before``: both branches
+    # below and the size check read it instead of recounting the rows
+    counts = running_before(g.groupBy("_g").agg(F.count(F.lit(1)).alias("_cnt")), "_g", "_cnt")
     stats = counts.agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("groups")).first()
     total = int(stats["n"] or 0)
     if total < bounds[2]:

@@ -3,52 +3,51 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffsieve.functions.text import null_to_empty, tokenize
+from diffsieve.operators.lexical import spread
 
-# Fixed value: hex digits of md5(term) that pick a term's bucket.
+# Fixed value: hex digits of md5(term) that, as a number modulo the width, pick a term's bucket.
 BUCKET_HEX_DIGITS = 6
 
 
-def term_bucket(term: Column, dim: int) -> Column:
-    """Bucket of a term: first 6 hex digits of md5(term) as a number, modulo ``dim``."""
-    return (F.conv(F.substring(F.md5(term), 1, BUCKET_HEX_DIGITS), 16, 10).cast("long")
-            % F.lit(dim)).cast("int")
-
-
 def hash_features(df: DataFrame, text: str, dim: int = 64, key: str = "doc_id",
                   out: str = "v") -> DataFrame:
     """L2-normalised hashed token counts of a text column (F2): ``(key, out)``.
 
-    Rows are hash-partitioned by key once; every later aggregate -- term counts per
-    row, bucket counts per row, the dense vector per row -- then runs inside the
-    partition that holds the row (hash(key) satisfies each grouping), so no
-    token-level data is shuffled. Each distinct (row, term) is hashed once, and at
-    most ``dim`` entries are gathered per row. Rows without tokens get a zero vector.
+    A row's vector depends on its own text alone, so nothing is shuffled (a corpus that
+    doesn't fill the task slots is dealt out first): tokens are found in the JVM, each batch's
+    distinct terms are hashed once, and their counts are added up in one array a batch.
+    Rows without tokens get a zero vector.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(key, text).repartition(n, key)
-    terms = (rows.select(key, F.explode(tokenize(null_to_empty(text))).alias("term"))
-             .groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")))
-    counts = (terms.select(key, term_bucket(F.col("term"), dim).alias("b"), "n")
-              .groupBy(key, "b").agg(F.sum("n").alias("n")))
-    per_row = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"),
-        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: (F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)) / F.col("norm"))
-                        .cast("float"))
-    vec = per_row.select(key, dense.alias(out))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return (rows.select(key).join(vec, key, "left")
-            .select(key, F.coalesce(F.col(out), zero).alias(out)))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, n = batch.column(1), batch.num_rows
+            coded = pc.list_flatten(tokens).dictionary_encode()
+            digits = BUCKET_HEX_DIGITS
+            bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:digits], 16) % dim for t in coded.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(n), np.asarray(pc.list_value_length(tokens), np.int64))
+            at = row * dim + (bucket[np.asarray(coded.indices, np.int64)] if len(row) else row)
+            m = np.bincount(at, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            norm = np.sqrt((m * m).sum(axis=1))
+            m[norm > 0] /= norm[norm > 0][:, None]
+            off = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, pa.array(m.astype(np.float32).ravel()))], ["key", "vec"])
+
+    vec = rows.select("key", tokenize(null_to_empty("text")).alias("tokens")).mapInArrow(run, f"key {kind}, vec array<float>")
+    return vec.select(F.col("key").alias(key), F.col("vec").alias(out))
 
 
 def hash_encoder(dim: int = 64) -> Callable[[list, list], list]:
