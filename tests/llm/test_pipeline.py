@@ -65,6 +65,6 @@ def test_odd_tables(spark, with_null_id, empty):
 def test_entry_with_and_without_the_optional_parts(entry, monkeypatch):
     names = set(entry.queries())
     assert set(registry.QUERIES) | {"pipeline"} <= names
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
     monkeypatch.setattr(entry, "_present", lambda *path: False)
     assert set(entry.queries()) == names - set(registry.QUERIES) - {"pipeline"}
