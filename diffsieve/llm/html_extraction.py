@@ -1,16 +1,20 @@
 """Main text of web pages by line-block distribution (operator 10).
 
-Markup is stripped to one line per block element. Containers put blank lines between their
-neighbours: one around a ``div``, ``WINDOW`` around a section or a dropped element. The length
-of unlinked text is summed over sliding windows of ``WINDOW`` lines. A region runs from a surge
-(the window sum leaves zero) to the next dive (it is zero again). Regions that reach
-``SURGE`` characters are kept, and with them every region inside the content element of their lines (the
-nearest ``div``, or the outermost section or table below the body) and between two of them below
-the same element of the body. So is every region inside an ``article`` or ``main`` element; with
-none of these, the largest region is. Kept blocks are joined by one line feed.
+Markup is stripped to one line per block element, with ``WINDOW`` blank lines around containers. A line weighs
+its characters outside links; paragraphs and headings weigh more than bare text, lines of elements that are named
+like menus, adverts or comments weigh less. The weights are summed over sliding windows of ``WINDOW`` lines. A region
+runs from a surge (the window sum leaves zero) to the next dive. Strong regions peak at ``SURGE`` or
+more and weigh at least ``SHARE`` of the heaviest one (which is always strong).
+
+The content element is found from the strong regions alone: from the body down as long as one child holds ``MOST`` of
+their weight, then up again over parents with paragraphs or headings of their own. Names above it no longer count, so
+a page inside one form or one ``div`` called ``social`` keeps its text. Inside it the text from its first line to its
+last is kept; named elements go unless they outweigh the rest. In an element without own paragraphs, and in
+the body, children before, between and after strong ones are judged by position and by their paragraphs. Kept
+blocks are joined by one line feed.
 
 Defined results: null or empty html gives '', html without markup is one block, unclosed or
-cut markup is read as far as it goes, unknown character references stay as they are. Rows are
+cut markup is read as far as it goes, unknown character references stay as they are; a page of links alone gives ''. Rows are
 treated one by one: repeated rows, null ids and extra columns pass through unchanged.
 """
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +33,13 @@ from pyspark.sql.types import StringType
 from ._io import read
 
 WINDOW = 3
-SURGE = 80
+SURGE = 40
+SHARE = 0.25
+MOST = 0.8
+#: Weight of a line inside an element that is named like a menu, an advert or a comment.
+NAMED = 0.02
+#: Weight of a character by the block's element; inside ``article`` or ``main`` twice as much.
+BARE, PARAGRAPH, HEADING = 0.125, 1.0, 2.0
 
 _RAW = re.compile(r"<!--|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|head|title)(?![\w:-])[^>]*(?:>|$)", re.I)
 _HEAD = re.compile(r"<(?:head)\b[^>]*>.*?(?=<body\b|</head\s*>)", re.S | re.I)
@@ -37,32 +48,57 @@ _ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*
 _WORD = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt "
                     "ruby s samp small span strike strong sub sup time tt u var wbr br input nobr".split())
-_SECTION = frozenset("article main section aside nav header footer body html form table".split())
-_BOILER_TAG = frozenset("nav footer aside form menu dialog button".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARAGRAPHS = frozenset("p pre blockquote".split())
+_MAIN = frozenset(["article", "main"])
+_LAYOUT = frozenset("article main section aside nav header footer form table div ul ol dl menu dialog".split())
+_NAMED_TAG = frozenset("nav footer aside form menu dialog button header".split())
 # words of class, id or role values that name something other than the main text
-_BOILER_WORD = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
-                         "banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar "
-                         "navigation menu breadcrumb breadcrumbs sidebar sidenav widget comment comments disqus "
-                         "respond reply replies share sharing social related recommended recommendations newsletter subscribe "
-                         "subscription signup login footer pagination pager toolbar search complementary "
-                         "contentinfo masthead".split())
-_BOILER_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related reply sponsored".split())
-# elements whose end tag may be missing -> what else ends them when it opens (a p: every block element)
-_LOOSE = {"p": frozenset(), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset("td th tr tbody tfoot".split()),
-          "th": frozenset("td th tr tbody tfoot".split()), "tr": frozenset("tr tbody tfoot".split()), "option": frozenset(["option", "optgroup"])}
-_ROWS = frozenset("tbody thead tfoot".split())
+_NAMED_WORD = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
+                        "banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar "
+                        "navigation menu breadcrumb breadcrumbs sidebar sidenav widget comment comments disqus "
+                        "respond reply replies share sharing social related recommended recommendations newsletter subscribe "
+                        "subscription signup login footer pagination pager toolbar search complementary "
+                        "contentinfo masthead".split())
+_NAMED_ARTICLE = frozenset("ad ads advert advertisement comment comments promo related reply sponsored".split())
+# words that only say what kind of box it is; a name of other words besides ("related-work") names a topic
+_BOX_WORD = frozenset("area author bar block body bottom box btn button buttons column container content field form group header "
+                      "heading icons inner item items left link links list main message panel post posts right row section site slot "
+                      "text thread title top unit wrap wrapper zone".split())
+_CELL, _ROW = frozenset(["td", "th"]), frozenset(["td", "th", "tr"])
+# elements whose end tag may be missing -> open elements that they end when they open (a p: every block element ends it)
+_ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": _CELL, "th": _CELL, "tr": _ROW,
+         **dict.fromkeys(["tbody", "thead", "tfoot"], _ROW | {"tbody", "thead", "tfoot"})}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-def _boiler(tag: str, attrs: str, in_main: bool, classes: bool) -> bool:
-    if tag in _BOILER_TAG or tag == "header" and not in_main:
+class Node(NamedTuple):
+    """An open or closed block element; node 0 is the body."""
+
+    parent: int
+    tag: str
+    named: bool
+
+
+class Line(NamedTuple):
+    """A block's text, its characters outside links and its element; blank lines have no text."""
+
+    text: str
+    free: int
+    node: int
+
+
+def _named(tag: str, attrs: str) -> bool:
+    """Whether tag, class, id or role name something other than main text."""
+    if tag in _NAMED_TAG:
         return True
-    if classes and "=" in attrs and tag not in ("body", "html", "main"):
+    if "=" in attrs and tag not in ("body", "html", "main"):
+        wanted = _NAMED_ARTICLE if tag == "article" else _NAMED_WORD
         for m in _ATTR.finditer(attrs):
-            words = _WORD.findall((m[1] or m[2] or m[3] or "").lower())
-            if not (_BOILER_ARTICLE if tag == "article" else _BOILER_WORD).isdisjoint(words) or (
-                    "header" in words and not in_main and tag != "article"):
-                return True
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = set(_WORD.findall(name))
+                if not wanted.isdisjoint(words) and words <= wanted | _BOX_WORD:
+                    return True
     return False
 
 
@@ -88,91 +124,69 @@ def _without_raw(page: str) -> str:
     return "".join([*out, page[at:]])
 
 
-def lines(page: str, classes: bool = True) -> tuple[list[tuple[str, int, bool, int]], list[tuple[int, bool]]]:
-    """(text, characters outside links, inside article or main, container) of each block and blank line,
-    and (parent, is a div) of each container; container 0 is the body.
-
-    classes: drop elements also by the words of their class, id or role.
-    """
+def lines(page: str) -> tuple[list[Line], list[Node]]:
+    """The blocks and blank lines of a page, and its block elements."""
     page = _without_raw(_HEAD.sub("", page))
-    out: list[tuple[str, int, bool, int]] = []
-    nodes: list[tuple[int, bool]] = [(0, False)]
-    opened: list[tuple[str, int]] = []
+    out: list[Line] = []
+    nodes = [Node(0, "body", False)]
+    opened = [0]
     n_open: Counter[str] = Counter()
     text: list[str] = []
-    linked = link = mains = depth = inner = 0
-    skip = ""
+    linked = 0
+    link = False
 
     def end_block(blanks: int) -> None:
         nonlocal linked
         line = " ".join("".join(text).replace("\0", " ").split())
         if line:
-            out.append((line, max(0, len(line) - linked), mains > 0, opened[-1][1] if opened else 0))
+            out.append(Line(line, max(0, len(line) - linked), opened[-1]))
         text.clear()
         linked = 0
-        out.extend([("", 0, mains > 0, 0)] * blanks)
+        out.extend([Line("", 0, 0)] * blanks)
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not skip:
+        if raw:
             plain = _html.unescape(raw) if "&" in raw else raw
             text.append(plain)
             if link:
                 linked += len(" ".join(plain.split()))
 
+    def close() -> str:
+        tag = nodes[opened.pop()].tag
+        n_open[tag] -= 1
+        return tag
+
     at = 0
     for m in _TAG.finditer(page):
         add(page[at:m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag or tag in ("html", "body"):
             continue
         closing, attrs = bool(m[1]), m[3]
-        if skip in _LOOSE and tag not in _INLINE and tag not in _VOID:
-            # ends at its end tag, at its next sibling or with its parent; the last two tags count themselves
-            if not inner and closing and tag == skip:
-                skip = ""
-                continue
-            if not inner and (tag not in _LOOSE or (skip, tag) in (("td", "tr"), ("th", "tr")) if closing else tag in _LOOSE[skip] or skip == "p"):
-                skip = ""
-            elif tag not in _LOOSE and tag not in _ROWS and not attrs.endswith("/"):
-                inner += -1 if closing else 1
-        if skip in _LOOSE:
-            continue
-        if skip:
-            if tag == skip and not attrs.endswith("/"):
-                depth += -1 if closing else 1
-            if depth == 0 or (not closing and tag in ("article", "main") and skip != tag and not _boiler(tag, attrs, True, classes)):
-                skip = ""
-                if closing:
-                    continue
-            else:
-                continue
-        if not closing and tag not in _VOID and _boiler(tag, attrs, mains > 0, classes):
-            end_block(WINDOW)
-            if not attrs.endswith("/"):
-                skip, depth, inner = tag, 1, 0
-            continue
+        named = not closing and tag not in _VOID and _named(tag, attrs)
         if tag == "a":
-            link = 0 if closing else 1
-        elif tag == "br":
+            link = not closing
+        if tag == "br":
             add(" ")
-        elif tag not in _INLINE:
-            link = 0
-            end_block(WINDOW if tag in _SECTION else 1 if tag == "div" else 0)
-            if (tag == "div" or tag in _SECTION) and tag not in ("body", "html") and not attrs.endswith("/"):
-                if not closing:
-                    nodes.append((opened[-1][1] if opened else 0, tag == "div"))
-                    opened.append((tag, len(nodes) - 1))
-                    n_open[tag] += 1
-                elif n_open[tag]:
-                    while True:
-                        gone = opened.pop()[0]
-                        n_open[gone] -= 1
-                        if gone == tag:
-                            break
-            if tag in ("article", "main"):
-                mains = max(0, mains + (-1 if closing else 1))
+        elif tag in _INLINE and not named and not n_open[tag]:
+            continue
+        elif tag in _VOID:
+            end_block(0)
+        else:
+            link = link and tag == "a"
+            end_block(WINDOW if named or tag in _LAYOUT else 0)
+            if closing:
+                while n_open[tag] and close() != tag:
+                    pass
+            elif not attrs.endswith("/"):
+                ended = _ENDS.get(tag, ())
+                while len(opened) > 1 and (nodes[opened[-1]].tag in ended or tag not in _INLINE and nodes[opened[-1]].tag == "p"):
+                    close()
+                nodes.append(Node(opened[-1], tag, named))
+                opened.append(len(nodes) - 1)
+                n_open[tag] += 1
     tail = page[at:]
     cut = re.search(r"<[/!a-zA-Z][^>]*$", tail)  # markup that the page's end cuts off
     add(tail[:cut.start()] if cut else tail)
@@ -180,19 +194,10 @@ def lines(page: str, classes: bool = True) -> tuple[list[tuple[str, int, bool, i
     return out, nodes
 
 
-def main_text(page: str | None) -> str:
-    """The kept blocks of one page, joined by line feeds.
-
-    A page that has nothing but elements with suspicious class names is read again by tags alone.
-    """
-    return "\n".join(_kept(*lines(page)) or _kept(*lines(page, classes=False))) if page else ""
-
-
-def _kept(block: list[tuple[str, int, bool, int]], nodes: list[tuple[int, bool]]) -> list[str]:
-    if any(inside and text for text, _, inside, _ in block):
-        block = [x if x[2] else ("", 0, False, 0) for x in block]
-    length = [n for _, n, _, _ in block] + [0] * WINDOW
-    window = [sum(length[i:i + WINDOW]) for i in range(len(block))]
+def distribution(weight: list[float]) -> tuple[list[float], list[tuple[int, int]]]:
+    """Window sums of the lines' weights, and the regions (first line, line after the last) from surge to dive."""
+    padded = weight + [0.0] * WINDOW
+    window = [sum(padded[i:i + WINDOW]) for i in range(len(weight))]
     regions, start = [], None
     for i, w in enumerate([*window, 0]):
         if w and start is None:
@@ -200,28 +205,109 @@ def _kept(block: list[tuple[str, int, bool, int]], nodes: list[tuple[int, bool]]
         elif not w and start is not None:
             regions.append((start, i))
             start = None
-    element, top = [0] * len(nodes), [0] * len(nodes)  # content element and outermost container of each container
-    for k, (parent, div) in enumerate(nodes[1:], 1):
-        element[k], top[k] = k if div or not parent else element[parent], top[parent] or k
-    surging = [sorted({j for i in range(*r) if window[i] >= SURGE for j in range(i, min(i + WINDOW, len(block))) if block[j][1]}) for r in regions]
-    content = {element[block[j][3]] for of in surging for j in of} - {0}
-    within = [False] * len(nodes)
-    for k, (parent, _) in enumerate(nodes[1:], 1):
-        within[k] = k in content or within[parent]
-    strong = [k for k, of in enumerate(surging) if of]
-    between = {m for a, b in zip(strong, strong[1:]) if top[block[surging[a][-1]][3]] == top[block[surging[b][0]][3]] for m in range(a + 1, b)}
-    kept = [r for k, r in enumerate(regions) if surging[k] or k in between or any(block[i][2] or block[i][1] and within[block[i][3]] for i in range(*r))]
-    if not kept and regions:
-        kept = [max(regions, key=lambda r: sum(length[r[0]:r[1]]))]
-    out = []
-    for a, b in kept:  # lines of links alone at a region's ends are menus, unless an article holds them
-        mine = [i for i in range(a, b) if block[i][0]]
-        while mine and not block[mine[0]][1] and not block[mine[0]][2]:
-            mine.pop(0)
-        while mine and not block[mine[-1]][1] and not block[mine[-1]][2]:
-            mine.pop()
-        out += [block[i][0] for i in mine]
-    return out
+    return window, regions
+
+
+def _weights(block: list[Line], nodes: list[Node]) -> tuple[list[float], list[float]]:
+    """Weight of a character of each node's own lines, and weight of each line."""
+    kind, named, main = [BARE], [False], [False]
+    for n in nodes[1:]:
+        kind.append(HEADING if n.tag in _HEADINGS else PARAGRAPH if n.tag in _PARAGRAPHS else
+                    BARE if n.tag in _LAYOUT else kind[n.parent])
+        main.append(main[n.parent] or n.tag in _MAIN)
+        named.append(n.named or named[n.parent] and n.tag not in _MAIN)
+    per = [k * (NAMED if n else 1) * (2 if m else 1) for k, n, m in zip(kind, named, main)]
+    return kind, [x.free * per[x.node] for x in block]
+
+
+def _sums(nodes: list[Node], own: list) -> list:
+    """Sums of ``own`` over each node and all below it."""
+    total = list(own)
+    for k in range(len(nodes) - 1, 0, -1):
+        total[nodes[k].parent] += total[k]
+    return total
+
+
+def main_text(page: str | None) -> str:
+    """The kept blocks of one page, joined by line feeds."""
+    return "\n".join(_kept(*lines(page))) if page else ""
+
+
+def _kept(block: list[Line], nodes: list[Node]) -> list[str]:
+    kind, weight = _weights(block, nodes)
+    window, regions = distribution(weight)
+    if not regions:
+        return []
+    mass = [sum(weight[a:b]) for a, b in regions]
+    top = max(mass)
+    strong = [r for r, m in zip(regions, mass) if m == top or m >= SHARE * top and max(window[slice(*r)]) >= SURGE]
+    lit = [i for a, b in strong for i in range(a, min(b + WINDOW, len(block))) if weight[i]]
+    own = [0.0] * len(nodes)
+    prose = [0] * len(nodes)  # characters of paragraphs and headings outside links
+    for i in dict.fromkeys(lit):
+        own[block[i].node] += weight[i]
+    for x in block:
+        if kind[x.node] > BARE:
+            prose[x.node] += x.free
+    held, prose_below = _sums(nodes, own), _sums(nodes, prose)
+    children: list[list[int]] = [[] for _ in nodes]
+    for k, n in enumerate(nodes[1:], 1):
+        children[n.parent].append(k)
+
+    def is_text(k: int) -> bool:
+        """Has paragraphs or headings of its own, not inside a further container."""
+        return any(prose[c] and not nodes[c].named and nodes[c].tag not in _LAYOUT for c in children[k])
+
+    content = 0
+    while best := max((c for c in children[content] if nodes[c].tag in _LAYOUT or nodes[c].named or children[c]), key=held.__getitem__, default=0):
+        if held[best] < MOST * held[content]:
+            break
+        content = best
+    if nodes[content].tag not in _LAYOUT:  # a paragraph or a cell: its container
+        while content and nodes[content].tag not in _LAYOUT:
+            content = nodes[content].parent
+    while nodes[content].parent and (nodes[content].tag in ("table", "ul", "ol", "dl") or is_text(nodes[content].parent)):
+        content = nodes[content].parent
+    # of each node: below the content element, the child of it that holds it, outermost named element between
+    child, mark = [-1] * len(nodes), [0] * len(nodes)
+    child[content] = 0
+    for k in range(content + 1, len(nodes)):
+        n = nodes[k]
+        if child[n.parent] >= 0:
+            child[k] = child[n.parent] or k
+            named = n.named and not (n.tag == "header" and content and prose_below[k])
+            mark[k] = mark[n.parent] if mark[n.parent] and n.tag not in _MAIN else k if named else 0
+    inside = [i for i, x in enumerate(block) if x.text and child[x.node] >= 0]
+    plain = sum(block[i].free * kind[block[i].node] for i in inside if not mark[block[i].node])
+    marked: Counter[int] = Counter()
+    for i in inside:
+        marked[mark[block[i].node]] += block[i].free * kind[block[i].node] * NAMED
+    inside = [i for i in inside if not (m := mark[block[i].node]) or marked[m] > plain]
+    if content and (is_text(content) or nodes[content].tag in _MAIN):
+        return [block[i].text for i in inside]
+    lit = [i for i in lit if child[block[i].node] >= 0]
+    first, last = min(lit), max(lit)
+    chosen = {child[block[i].node] for i in lit} - {0}
+    free = [0] * len(nodes)
+    full = [0] * len(nodes)
+    for i in inside:
+        free[child[block[i].node]] += block[i].free
+        full[child[block[i].node]] += len(block[i].text)
+
+    def stays(i: int) -> bool:
+        c = child[block[i].node]
+        if first <= i <= last or c in chosen:
+            return True
+        if not c or nodes[c].tag not in _LAYOUT:  # a line of the element itself
+            return block[i].free > 0
+        return content > 0 and prose_below[c] > 0 and 2 * free[c] > full[c]
+
+    inside = [i for i in inside if stays(i)]
+    while inside and not block[inside[0]].free and kind[block[inside[0]].node] == BARE:
+        inside.pop(0)  # lines of links alone at the ends are menus
+    while inside and not block[inside[-1]].free and kind[block[inside[-1]].node] == BARE:
+        inside.pop()
+    return [block[i].text for i in inside]
 
 
 @F.pandas_udf(StringType())

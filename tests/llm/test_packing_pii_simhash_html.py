@@ -269,6 +269,46 @@ def test_nothing_of_the_article_is_lost(page):
     assert html_extraction.main_text(page) == WHOLE[page]
 
 
+NAMES = {  # what tags and names say is a weight, not a verdict
+    f"<body><nav><a href=/>x</a></nav><article><h1>T</h1><p>{LONG}</p><div id='related-work'><p>Short.</p></div><section class='social-history'><p>Two.</p></section><div class='alert-levels'>Three</div><p><a href=/>Last link</a></p></article></body>":
+        f"T\n{LONG}\nShort.\nTwo.\nThree\nLast link",
+    f"<body><form><div><a href=/>x</a></div><div><p>{LONG}</p><p>End.</p></div></form></body>": f"{LONG}\nEnd.",
+    f"<body><form><p>{LONG}</p><p>End.</p></form></body>": f"{LONG}\nEnd.",
+    f"<body><div><a href=/>x</a></div><div id=content><header><h1>Title</h1></header><h2><a href=/>Linked</a></h2><p>{LONG}</p></div></body>": f"Title\nLinked\n{LONG}",
+    f"<body><div><a href=/>x</a></div><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><p>I agree with this.</p></div><div>(c) somebody, all rights</div></body>":
+        f"Title\n{LONG}\n{LONG}\n{LONG}",
+    f"<body><div><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class=comments><p>{LONG}</p></div></div><div>(c) somebody, all rights</div></body>": f"Title\n{LONG}\n{LONG}",
+    f"<body><div><section><h2>A</h2><p>{LONG}</p></section><section><h2>B</h2><p>{LONG}</p></section><section><h2>C</h2><p>End.</p></section></div><div>Else</div></body>":
+        f"A\n{LONG}\nB\n{LONG}\nC\nEnd.",
+}
+SIDE = f"<body><div><h1>Title</h1><p>{LONG}</p></div>" + f"<div><p>A short remark of a reader.</p></div>" * 20
+
+
+@pytest.mark.parametrize("page", NAMES)
+def test_names_are_weights(page):
+    assert html_extraction.main_text(page) == NAMES[page]
+
+
+def test_line_blocks_decide(monkeypatch):
+    assert html_extraction.main_text(SIDE) == f"Title\n{LONG}"
+    real = html_extraction.distribution
+    monkeypatch.setattr(html_extraction, "distribution", lambda w: (real(w)[0], [(0, len(w))]))
+    assert html_extraction.main_text(SIDE) != f"Title\n{LONG}"
+
+
+def test_pages_with_neutral_names(spark):
+    """Pages whose menus, adverts, articles and footers are plain ``div`` elements give the same text."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:nav|footer|article)>", r"<\1div>", r["html"]).replace(' class="ad"', "")
+        assert html_extraction.main_text(plain) == html_extraction.main_text(r["html"])
+
+
+def test_long_and_deep_pages():
+    assert html_extraction.main_text("<p>" * 50_000 + "x") == "x"
+    assert html_extraction.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    assert html_extraction.main_text(f"<div><p>{LONG}</p></div>" * 5_000).count("\n") == 4_999
+
+
 def test_pages_of_the_table(spark):
     import html
 
