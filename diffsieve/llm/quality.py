@@ -26,6 +26,8 @@ from ._io import kept_out, read, saved
 from ._words import SPACE, Words, mix, separator_table, slices, text_bytes, window_hash
 
 SAMPLE, BINS, TREES, DEPTH, RATE, MIN_ROWS, L2 = 50_000, 64, 120, 4, 0.1, 20, 1.0
+#: Labels joined per row of the sample; those kept out or without a document take their share.
+SPARE = 1.5
 
 FEATURES = ("log_bytes", "log_words", "log_lines", "word_len", "word_len_sd", "longest_word", "upper", "digit", "punct",
             "symbol", "pipe", "bang", "space", "non_ascii", "distinct_words", "top_word", "twice_in_a_row",
@@ -153,9 +155,20 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def sample(stats: DataFrame, labels: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``SAMPLE`` labelled rows, by the smallest id hashes."""
-    rows = stats.join(labels, stats["id"] == labels["label_id"]).where(F.col(label).isNotNull())
-    got = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x", label).toArrow()
+    """Statistics and labels of at most ``SAMPLE`` labelled rows, by the smallest id hashes.
+
+    Labels are counted first, and only hashes below a limit that leaves about ``SPARE`` times the sample are joined
+    and ordered, so a task never sends a sample of its own. If too few have a row, the limit is raised.
+    """
+    wanted = labels.where(F.col(label).isNotNull()).withColumn("label_id", F.col("label_id").cast(stats.schema["id"].dataType))
+    share = SPARE * SAMPLE / max(1, wanted.count())
+    while True:
+        some = wanted.where(F.xxhash64("label_id") < int(share * 2**64) - 2**63) if share < 1 else wanted
+        rows = stats.join(some, stats["id"] == some["label_id"])
+        got = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x", label).toArrow()
+        if got.num_rows == SAMPLE or share >= 1:
+            break
+        share *= 4
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0)
     return x.reshape(-1, len(FEATURES)).astype(np.float32), got.column(label).to_numpy().astype(float)
 

@@ -182,3 +182,17 @@ def test_quality_odd_rows(edge, empty):
     assert got.count() == edge.count() and got.select("score").distinct().first()[0] == pytest.approx(0.5)
     assert quality.statistics(empty).count() == 0
     assert got.join(edge.select(F.col("doc_id").alias("d")).distinct(), F.col("id") == F.col("d")).count() == edge.count()
+
+
+@pytest.mark.parametrize("spare", [1.5, 0.01])
+def test_quality_sample_is_the_smallest_hashes(spark, monkeypatch, spare):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "SAMPLE", 40)
+    monkeypatch.setattr(quality, "SPARE", spare)  # a limit that is too low is raised
+    stats = spark.range(300).select("id", F.array(*[F.col("id").cast("float")] * len(quality.FEATURES)).alias("x")).where("id % 3 > 0")
+    labels = spark.range(300).select(F.col("id").cast("int").alias("label_id"), F.expr("if(id % 7 = 0, null, id % 2)").alias("label"))
+    x, _ = quality.sample(stats, labels, "label")
+    best = [r["id"] for r in stats.where("id % 7 > 0").orderBy(F.xxhash64("id"), "id").limit(40).collect()]
+    assert x[:, 0].astype(int).tolist() == best
+    assert len(quality.sample(stats, labels.limit(0), "label")[0]) == 0
