@@ -16,7 +16,8 @@ ones different. Texts without entities never meet the dictionary; of the others
 with its own entities only (a hot entity's rows are dealt by text, and pre-aggregated before).
 
 Defined results: null stays null, text without entities stays as it is; separators and case of an
-occurrence are kept; repeated rows are treated alike; extra columns pass through; texts are
+occurrence are kept; a name behind a title is replaced at every capitalised mention in its text, with or
+without the title; repeated rows are treated alike; extra columns pass through; texts are
 read whole, by patterns that don't backtrack over long runs.
 """
 
@@ -36,21 +37,26 @@ _LABEL = r"(?<![A-Za-z])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,2}
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Signor|Господин|Κύριος"
 FEMALE = "Mrs|Ms|Miss|Lady|Frau|Madame|Mme|Mlle|Señora|Sra|Signora|Госпожа|Κυρία"
 NEUTRAL = "Dr|Prof"
+MALE, FEMALE, NEUTRAL = (f"{titles}|{titles.upper()}" for titles in (MALE, FEMALE, NEUTRAL))
 _NAME = r"\p{Lu}[\p{L}'’-]++"
 #: kind -> pattern, in order of precedence.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,24}",
+    "login": r"://[^\s/:@]{1,64}+:[^\s/@]{1,64}+@",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])",
     "labelled": _LABEL + r"[^\s\"']{6,}+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "ip6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d)",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}"
+             r"|0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}|[2-9]\d{2} ?\d{3} ?\d{4})(?![\p{L}\p{N}])",
     "social": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\p{L}\p{N}])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hex": r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+(?![\p{L}\p{N}])",
     "person": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME})?",
 }
+#: Ending of a name that isn't part of it.
+_GENITIVE = "['’][sS]?$"
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Cheap tests that every entity passes: a digit or mark, or the start of a key or a title.
 MARKS = "[0-9@=:]"
@@ -194,7 +200,7 @@ def _canonical(kind: Column, entity: Column) -> Column:
 
 def _entries(kind: Column, entity: Column) -> Column:
     """(kind, value) of the dictionary entries that an occurrence needs: the last name first."""
-    names = F.slice(F.split(entity, " "), 2, 2)
+    names = F.slice(F.split(F.regexp_replace(entity, _GENITIVE, ""), " "), 2, 2)
     last = F.struct(F.concat(F.lit("last_"), _gender(entity)).alias("kind"), F.lower(F.element_at(names, -1)).alias("value"))
     first = F.struct(F.concat(F.lit("first_"), _gender(entity)).alias("kind"), F.lower(F.get(names, 0)).alias("value"))
     one = F.array(F.struct(kind.alias("kind"), _canonical(kind, entity).alias("value")))
@@ -208,11 +214,24 @@ def _formatted(kind: Column, entity: Column, new: Column) -> Column:
     filled = lambda test, kept: F.array_join(F.transform(F.split(entity, "(?!^)"), lambda c, i: F.when(c.rlike(test), F.substring(value, place(i, kept), F.lit(1))).otherwise(c)), "")
     label = F.regexp_extract(entity, "^(" + _LABEL + ")", 1)
     title = F.regexp_extract(entity, r"^([^ ]+ )", 1)
+    name = F.regexp_replace(F.regexp_replace(entity, r"^[^ ]+ ", ""), _GENITIVE, "")
     upper = (F.upper(entity) == entity) & (F.lower(entity) != entity)
     beyond = lambda kept: F.substring(value, F.char_length(F.regexp_replace(entity, kept, "")) + 1, F.char_length(value))
     return (F.when(kind.isin(*DIGIT_KINDS), F.concat(filled("^[0-9]$", "[^0-9]"), beyond("[^0-9]"))).when(kind == "iban", F.concat(filled("^[A-Z0-9]$", " "), beyond(" ")))
             .when(kind == "labelled", F.concat(label, value)).when(kind == "email", F.when(upper, F.upper(value)).otherwise(value))
-            .when(kind == "person", F.concat(title, F.when(F.size(new) > 1, F.concat(F.get(new, 1), F.lit(" "))).otherwise(""), value)).otherwise(value))
+            .when(kind == "person", F.concat(title, _cased(name, F.concat(F.when(F.size(new) > 1, F.concat(F.get(new, 1), F.lit(" "))).otherwise(""), value)),
+                                             F.regexp_extract(entity, f"({_GENITIVE})", 1))).otherwise(value))
+
+
+def _cased(old: Column, new: Column) -> Column:
+    """``new`` in capitals where ``old`` has more than one letter and all are capitals."""
+    return F.when((F.upper(old) == old) & old.rlike(r"\p{Lu}.*\p{Lu}"), F.upper(new)).otherwise(new)
+
+
+def _mentions(piece: Column, names: Column, pattern: Column) -> Column:
+    """``piece`` with each match of ``pattern`` replaced by its entry in ``names`` (lower-cased name -> replacement)."""
+    old, rest = F.regexp_extract_all(piece, pattern, F.lit(0)), F.split(piece, pattern, -1)
+    return F.array_join(F.transform(rest, lambda s, i: F.concat(s, F.coalesce(_cased(F.get(old, i), F.element_at(names, F.lower(F.get(old, i)))), F.lit("")))), "")
 
 
 def dictionary(entries: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
@@ -241,7 +260,7 @@ def dictionary(entries: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with surrogates in column ``text``; ``count``: a further column, the number of entities."""
+    """``docs`` with surrogates in column ``text``; ``count``: a further column, the number of entities that ``KINDS`` match."""
     names = docs.columns
     plain = docs.where(F.col(text).isNull() | ~has_entity(F.col(text)))
     some = docs.where(has_entity(F.col(text))).select(*[F.col(c).alias(f"pii_{i}") for i, c in enumerate(names)], found(F.col(text)).alias("pii_found"))
@@ -259,8 +278,15 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY
     new = lambda e: F.transform(entries(e), lambda x: F.element_at(F.col("pii_map"), x))
     surrogate = F.transform("pii_found", lambda e: _formatted(kinds(e), e, new(e)))
     between = F.split(F.col(f"pii_{names.index(text)}"), ANY, -1)
+    # names that stand behind a title anywhere in the text are replaced where they stand alone, too
+    entry = F.array_sort(F.filter(F.map_entries("pii_map"), lambda e: e["key"]["kind"].rlike("^(?:first|last)_")))
+    told = F.transform(entry, lambda e: F.struct(e["key"]["value"].alias("name"), e["value"].alias("new")))
+    first = F.filter(told, lambda e, i: ~F.exists(F.slice(told, 1, i), lambda d: d["name"] == e["name"]))
+    known = F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?iu:"), F.array_join(F.map_keys("pii_names"), "|"), F.lit(r")(?!\p{L})"))
+    whole = whole.withColumn("pii_between", between).withColumn("pii_names", F.map_from_entries(first)).withColumn("pii_known", known)
+    alone = F.when(F.size("pii_names") > 0, F.transform("pii_between", lambda s: _mentions(s, F.col("pii_names"), F.col("pii_known")))).otherwise(F.col("pii_between"))
     joined = F.array_join(F.transform(F.col("pii_between"), lambda s, i: F.concat(s, F.coalesce(F.get(F.col("pii_new"), i), F.lit("")))), "")
-    whole = whole.withColumn("pii_between", between).withColumn("pii_new", surrogate)
+    whole = whole.withColumn("pii_between", alone).withColumn("pii_new", surrogate)
     extra = [F.size("pii_found").cast("long").alias(count)] if count else []
     done = whole.select(*[joined.alias(c) if c == text else F.col(f"pii_{i}").alias(c) for i, c in enumerate(names)], *extra)
     return plain.select(*names, *([F.lit(0).cast("long").alias(count)] if count else [])).unionByName(done)

@@ -117,6 +117,22 @@ def test_surrogates_stay_distinct_and_hide_all(spark):
     assert again == got != other
 
 
+def test_names_are_coreferent(spark):
+    texts = ["Mr John Smith wrote. Smith agreed. John Smith left; SMITH's word, Smithson and blacksmith stay. Mr Smith's car.",
+             "MRS. ANNA O'BRIEN met Mr Li. O'Brien nodded.", "Smith alone.", "go to https://user:pass12@host.example/x now", "call 5551234567 or 2125551234 or 020 7946 0958", None]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, pii_names string")
+    out = pii.replace_entities(df)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    first, last = re.match(r"Mr (\S+) (\S+) wrote", got[0]).groups()
+    assert got[0] == f"Mr {first} {last} wrote. {last} agreed. {first} {last} left; {last.upper()}'s word, Smithson and blacksmith stay. Mr {last}'s car."
+    anna, brien, li, again = re.fullmatch(r"MRS\. (\S+) (\S+) met Mr (\S+)\. (\S+) nodded\.", got[1]).groups()
+    assert anna.isupper() and anna.capitalize() in pii.FIRST["latin"]["f"] and brien == again.upper() != "O'BRIEN" and li != "Li"
+    assert got[2] == texts[2] and got[5] is None
+    assert re.fullmatch(r"go to https://[a-z]{4}:[a-z]{4}\d\d@host\.example/x now", got[3]) and got[3] != texts[3]
+    assert re.fullmatch(r"call \d{10} or \d{10} or 0\d\d \d{4} \d{4}", got[4]) and not any(x in got[4] for x in ("5551234567", "2125551234", "7946 0958"))
+
+
 def test_surrogates_never_run_out(spark):
     sounds = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
     names = [(a + b).capitalize() for a in sounds for b in sounds[:10]]  # 600 first names for 420 short replacements
