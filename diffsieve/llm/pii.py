@@ -281,9 +281,12 @@ def replace_entities(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY
     # names that stand behind a title anywhere in the text are replaced where they stand alone, too
     entry = F.array_sort(F.filter(F.map_entries("pii_map"), lambda e: e["key"]["kind"].rlike("^(?:first|last)_")))
     told = F.transform(entry, lambda e: F.struct(e["key"]["value"].alias("name"), e["value"].alias("new")))
-    first = F.filter(told, lambda e, i: ~F.exists(F.slice(told, 1, i), lambda d: d["name"] == e["name"]))
     known = F.concat(F.lit(r"(?<!\p{L})(?=\p{Lu})(?iu:"), F.array_join(F.map_keys("pii_names"), "|"), F.lit(r")(?!\p{L})"))
-    whole = whole.withColumn("pii_between", between).withColumn("pii_names", F.map_from_entries(first)).withColumn("pii_known", known)
+    whole = whole.withColumn("pii_between", between).withColumn("pii_told", told)
+    # sorted by kind and name, so a name's first entry is the one after no equal name
+    names_of = F.array_distinct(F.transform("pii_told", lambda e: e["name"]))
+    whole = whole.withColumn("pii_names", F.map_from_arrays(names_of, F.transform(names_of, lambda n: F.element_at(F.filter("pii_told", lambda e: e["name"] == n), 1)["new"])))
+    whole = whole.withColumn("pii_known", known)
     alone = F.when(F.size("pii_names") > 0, F.transform("pii_between", lambda s: _mentions(s, F.col("pii_names"), F.col("pii_known")))).otherwise(F.col("pii_between"))
     joined = F.array_join(F.transform(F.col("pii_between"), lambda s, i: F.concat(s, F.coalesce(F.get(F.col("pii_new"), i), F.lit("")))), "")
     whole = whole.withColumn("pii_between", alone).withColumn("pii_new", surrogate)
