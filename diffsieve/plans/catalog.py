@@ -142,6 +142,18 @@ def q_bm25_topk_mixed(spark, sf):
     return retrieval.bm25_topk(c, T.mixed_queries(spark, sf))
 
 
+@register("drop_identical_key", _BM25_RANKED.replace(S.BENCH_QUERIES, S.MIXED_QUERIES) + f"""
+SELECT r.query_id, r.doc_id, r.rk AS rank FROM r JOIN q USING (query_id) JOIN c USING (doc_id)
+WHERE r.rk <= 2 AND NOT ({S.pk('c.diff')} = {S.pk('q.diff')} AND {S.pk('q.diff')} <> '')""")
+def q_drop_identical_key(spark, sf):
+    # both candidates of each query, without those that carry its own patch key
+    c, q = T.commits(spark, sf), T.mixed_queries(spark, sf)
+    best = rank.top_k(lexical.bm25_scores(lexical.build_index(c), q), 2)
+    texts = best.join(q.select("query_id", F.col("diff").alias("query_diff")), "query_id").join(c.select("doc_id", "diff"), "doc_id")
+    return (texts.where(~TX.same_patch_key("diff", "query_diff"))
+            .select("query_id", "doc_id", F.col("rank").cast("long")))
+
+
 @register("lookup_payload", _BM25_RANKED + "," + S.pick_ctes("r", fallback=True) + f""",
 y AS (SELECT {S.picked_cols()} FROM x)
 SELECT y.query_id, y.doc_id, l.quality AS retrieved_quality, l.toxic AS retrieved_toxic
