@@ -1,9 +1,10 @@
 """Steps whose memory or shuffle once grew with the batch, or with queries times documents."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from diffsieve.operators import dense
+from diffsieve.operators import dense, docside, lexical, rank
 
 
 def plan_of(df) -> str:
@@ -32,3 +33,46 @@ def test_cosine_profile_of_two_widths_is_an_error(spark):
     c = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "doc_id long, v array<double>")
     with pytest.raises(Exception, match="different widths"):
         dense.cosine_profile(c.withColumnRenamed("doc_id", "query_id"), c.repartition(2, "doc_id")).collect()
+
+
+def test_tokens_are_counted_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SLICE_TOKENS", 10)
+    lists = pa.array([["a"] * n for n in (4, 4, 0, 30, 9, 1, 1)], pa.list_(pa.string()))
+    parts = list(lexical.token_slices(pa.record_batch([pa.array(range(7)), lists], ["id", "t"]), 1))
+    assert [p.num_rows for p in parts] == [3, 1, 2, 1]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(7))
+
+
+def corpus(spark):
+    docs = [(i, f"alpha beta{' beta' * (i % 3)} w{i % 5} x{i}") for i in range(60)] + [(7, "alpha w2 again")]
+    c = spark.createDataFrame(docs, "doc_id long, diff string")
+    q = spark.createDataFrame([(i * 9, t, "") for i, t in docs[:20]] + [(9, "w1 w1", ""), (None, "alpha", ""), (900, "none", "")], "query_id long, diff string, ast_seq string")
+    return c, q
+
+
+def test_scores_are_not_shuffled_by_pair(spark, monkeypatch):
+    from diffsieve.operators import streamtop
+    c, q = corpus(spark)
+    idx = lexical.build_index(c)
+    want = sorted(map(tuple, lexical.bm25_scores(idx, q, broadcast_rows=0).collect()), key=str)
+    df = lexical.bm25_scores(idx, q)
+    assert "MapInArrow" in plan_of(df) and "hashpartitioning(query_id" not in plan_of(df)
+    assert sorted(map(tuple, df.collect()), key=str) == want
+    monkeypatch.setattr(streamtop, "OUTER", 1)
+    monkeypatch.setattr(streamtop, "CELLS", 50)
+    assert sorted(map(tuple, lexical.bm25_scores(idx, q).collect()), key=str) == want
+
+
+def test_lexical_profile_in_passes(spark):
+    c, q = corpus(spark)
+    q = q.where("query_id IS NOT NULL")
+    idx = lexical.build_index(c)
+    want = {(r[0], r[1]): r[2] for r in dense.profile_similarity(rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus), q, 32, n_docs=idx.n_corpus).collect()}
+    one = dense.lexical_profile(idx, q, 32)
+    assert "Generate" not in plan_of(one)
+    ids = q.select("query_id")
+    many = docside.profile(idx, ids, lexical.query_terms(q), 32, lexical.K1, lexical.B, limit=500)
+    for df in (one, many):
+        got = {(r[0], r[1]): r[2] for r in df.collect()}
+        assert set(got) == set(want) and len(got) > 60
+        assert got == pytest.approx(want, abs=1e-9)
