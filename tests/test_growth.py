@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from diffsieve.operators import dense, docside, lexical, rank
 
@@ -76,3 +77,32 @@ def test_lexical_profile_in_passes(spark):
         got = {(r[0], r[1]): r[2] for r in df.collect()}
         assert set(got) == set(want) and len(got) > 60
         assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_large_query_tables_take_passes(spark):
+    from diffsieve.operators import streamtop
+    c, q = corpus(spark)
+    q = q.where("query_id IS NOT NULL").dropDuplicates(["query_id"])
+    v = lambda df, key: df.withColumn("v", F.array(F.col(key) % 5 + 1.0, F.col(key) % 3 - 1.0))
+    c, q = v(c.dropDuplicates(["doc_id"]), "doc_id"), v(q, "query_id")
+    idx = lexical.build_index(c)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+    for search in (lambda n: streamtop.cosine_topk(q, c, 2, limit=n), lambda n: streamtop.hybrid_topk(idx, q, c, 2, limit=n),
+                   lambda n: streamtop.lexical_topk(idx, q, c, 2, limit=n)):
+        some = search(400)
+        assert "FlatMapCoGroups" not in plan_of(some) and "Generate" not in plan_of(some)
+        assert rows(some) == rows(search(streamtop.BROADCAST_BYTES))
+    want = rows(rank.top_k(lexical.bm25_scores(idx, q), 2))
+    assert rows(rank.top_k(lexical.bm25_scores(idx, q, broadcast_rows=20), 2)) == want
+    few = lexical.bm25_scores(idx, q, broadcast_rows=20, best=2)
+    assert rows(rank.top_k(few, 2)) == want
+
+
+def test_searches_ask_the_rows_divisible_by_100(spark):
+    from diffsieve.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    c, q = catalog._search(spark, sf)
+    n = c.count()
+    assert sorted(r[0] for r in q.select("query_id").collect()) == sorted(r[0] for r in c.select("doc_id").collect() if r[0] % 100 == 0)
+    # profiles still compare all rows
+    assert catalog.QUERIES["mixed_profile"](spark, sf).select("query_id").distinct().count() == n
