@@ -106,3 +106,12 @@ def test_searches_ask_the_rows_divisible_by_100(spark):
     assert sorted(r[0] for r in q.select("query_id").collect()) == sorted(r[0] for r in c.select("doc_id").collect() if r[0] % 100 == 0)
     # profiles still compare all rows
     assert catalog.QUERIES["mixed_profile"](spark, sf).select("query_id").distinct().count() == n
+
+
+def test_a_search_by_vectors_moves_no_text(spark):
+    from diffsieve.plans import catalog
+    c, q = catalog._vector_search(spark, "/root/testdata/sf0.001")
+    whole, asked = catalog._search(spark, "/root/testdata/sf0.001")
+    assert c.columns == ["doc_id", "v"] and q.columns == ["query_id", "v"]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(c) == key(whole.select("doc_id", "v")) and key(q) == key(asked.select("query_id", "v"))
