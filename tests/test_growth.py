@@ -108,6 +108,22 @@ def test_searches_ask_the_rows_divisible_by_100(spark):
     assert catalog.QUERIES["mixed_profile"](spark, sf).select("query_id").distinct().count() == n
 
 
+def test_postings_are_exchanged_once_for_the_term_store(spark, tmp, monkeypatch):
+    from diffsieve.sources import index_store
+    plans = []
+    write = index_store._write_sorted
+    monkeypatch.setattr(index_store, "_write_sorted", lambda df, path: (plans.append(plan_of(df)), write(df, path)))
+    c, _ = corpus(spark)
+    store = index_store.build_index_tables(c, tmp, clustered=True, per_file=40, per_block=4).store
+    assert plans[0].count("Exchange rangepartitioning") == 1
+    assert "Exchange hashpartitioning" not in plans[0]
+    rows = store.spark.read.parquet(store.path + "/clustered")
+    per = rows.groupBy("field", "term", "block").agg(F.max("tfn"), F.count(F.lit(1)))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(store.block_max()) == key(per) and len(key(per)) > 60
+    assert len(store.manifest) > 3
+
+
 def test_a_search_by_vectors_moves_no_text(spark):
     from diffsieve.plans import catalog
     c, q = catalog._vector_search(spark, "/root/testdata/sf0.001")
