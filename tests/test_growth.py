@@ -108,6 +108,24 @@ def test_searches_ask_the_rows_divisible_by_100(spark):
     assert catalog.QUERIES["mixed_profile"](spark, sf).select("query_id").distinct().count() == n
 
 
+def test_whole_documents_are_scored_without_an_exchange(spark, monkeypatch):
+    c, q = corpus(spark)
+    c, q = c.dropDuplicates(["doc_id"]), q.where("query_id IS NOT NULL")
+    idx = lexical.build_index(c)
+    want = sorted(map(tuple, lexical.bm25_scores(idx, q, broadcast_rows=0).collect()))
+    monkeypatch.setattr(lexical, "SLICE_TOKENS", 30)
+    for rows in (docside.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(docside, "BROADCAST_ROWS", rows)
+        df = lexical.bm25_scores(idx, q)
+        assert "Exchange" not in plan_of(df)
+        assert sorted(map(tuple, df.collect())) == want
+    # a key that comes twice, or none, is still one document
+    twice = c.unionByName(c.where("doc_id < 9")).unionByName(spark.createDataFrame([(None, "alpha"), (None, "w1")], c.schema))
+    idx = lexical.build_index(twice)
+    assert idx.docs is None
+    assert sorted(map(tuple, lexical.bm25_scores(idx, q).collect()), key=str) == sorted(map(tuple, lexical.bm25_scores(idx, q, broadcast_rows=0).collect()), key=str)
+
+
 def test_postings_are_exchanged_once_for_the_term_store(spark, tmp, monkeypatch):
     from diffsieve.sources import index_store
     plans = []
