@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from diffsieve.operators import dense, docside, lexical, rank
+from diffsieve.sources import tables
 
 
 def plan_of(df) -> str:
@@ -149,3 +150,19 @@ def test_a_search_by_vectors_moves_no_text(spark):
     assert c.columns == ["doc_id", "v"] and q.columns == ["query_id", "v"]
     key = lambda df: sorted(map(str, df.collect()))
     assert key(c) == key(whole.select("doc_id", "v")) and key(q) == key(asked.select("query_id", "v"))
+
+
+@pytest.mark.parametrize("sent", [tables.SENT_KEYS, 0])
+def test_texts_without_a_vector_are_not_exchanged(spark, tmp, monkeypatch, sent):
+    monkeypatch.setattr(tables, "SENT_KEYS", sent)
+    spark.createDataFrame([(i, f"text {i}", "en", "s") for i in [*range(40), 3]] + [(None, "no key", "en", "s")],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp}/documents.parquet")
+    spark.createDataFrame([(3, [1.0]), (5, [2.0]), (5, [3.0]), (90, [4.0]), (None, [5.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp}/embeddings.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c = tables.corpus(spark, str(tmp))
+        assert ("LeftSemi" in plan_of(c)) == (sent > 0)
+        assert sorted((r["doc_id"], r["v"][0]) for r in c.collect()) == [(3, 1.0), (3, 1.0), (5, 2.0), (5, 3.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
