@@ -13,7 +13,8 @@ so copies never meet each other.
   the size bound allows. A pair is dropped when the parity sketches of the two sets (``SKETCH``
   bits, every shingle flips one; ``WIDE_SKETCH`` for large sets in crowded columns) differ in more bits than the sets may differ in shingles, and when
   the overlap counted over all blocks is too low for the sizes; that of the rest is counted on the
-  whole sets.
+  whole sets. A row carries its ``HEAD`` smallest columns: a pair that shares one of them is named by
+  the smallest shared one alone, however many columns and tasks it meets in, and needs no count.
 * Near rounds first (``TURNS``): in the columns of each row's ``EARLY`` smallest hashes a row proposes
   one other row, that of the closest sketch among its ``NEAR`` neighbours on both sides in the order of
   sizes (equal sizes in another random order each turn), if they are in different components. Proposed
@@ -47,6 +48,7 @@ N, PERCENT, SKETCH = 5, 80, 512
 #: Sketch of sets over LARGE shingles, for columns of over CROWDED rows.
 WIDE_SKETCH, LARGE, CROWDED = 4096, 700, 6
 TURNS, EARLY, NEAR = 3, 6, 12
+HEAD = 4
 CELL = 4096
 #: Class names up to this many (counted; 16 bytes each) are sent to the tasks that look for their texts.
 SENT_NAMES = 2_000_000
@@ -96,8 +98,16 @@ def _class_hash(key: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def classes(docs: DataFrame, kind: str, n: int) -> DataFrame:
-    """(id, size, c1, c2, sketch, wide): set size, 128-bit hash of the set, its parity sketches."""
+def _heads(key: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray:
+    """(rows, HEAD): each row's smallest columns, in a short prefix the first one again."""
+    size = np.diff(off)
+    place = np.arange(HEAD)[None, :]
+    at = off[:-1, None] + np.where(place < _prefix(size, percent)[:, None], place, 0)
+    return np.where(size[:, None] > 0, np.append(key, np.uint64(0))[at], np.uint64(0))
+
+
+def classes(docs: DataFrame, kind: str, n: int, percent: int) -> DataFrame:
+    """(id, size, c1, c2, sketch, wide, head): set size, 128-bit hash of the set, its parity sketches and smallest columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +116,12 @@ def classes(docs: DataFrame, kind: str, n: int) -> DataFrame:
                 half = _class_hash(key, off)
                 size = np.diff(off)
                 wide = _sketch(key, off)
+                head = [x.tobytes() for x in _heads(key, off, percent)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()),
-                                                  pa.array([x.tobytes() for x in _folded(wide)], pa.binary()), pa.array([x.tobytes() if n > LARGE else None for x, n in zip(wide, size)], pa.binary())],
-                                                 ["id", "size", "c1", "c2", "sketch", "wide"])
+                                                  pa.array([x.tobytes() for x in _folded(wide)], pa.binary()), pa.array([x.tobytes() if n > LARGE else None for x, n in zip(wide, size)], pa.binary()), pa.array(head, pa.binary())],
+                                                 ["id", "size", "c1", "c2", "sketch", "wide", "head"])
 
-    return docs.mapInArrow(run, f"id {kind}, size long, c1 long, c2 long, sketch binary, wide binary")
+    return docs.mapInArrow(run, f"id {kind}, size long, c1 long, c2 long, sketch binary, wide binary, head binary")
 
 
 def prefix_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -179,17 +190,25 @@ class _Sketches:
 
 
 def _counted(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Distinct pairs (a < b) of lists of pairs, with their sizes and how often each came."""
-    a, b, size_a, size_b = (np.concatenate(x) for x in zip(*found))
+    """Distinct pairs (a < b) of lists of pairs, with their sizes and the sum of what each shares."""
+    a, b, size_a, size_b, shared = (np.concatenate(x) for x in zip(*found))
     swap = a > b
     a, b, size_a, size_b = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, size_b, size_a), np.where(swap, size_a, size_b)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    columns = a[new], b[new], size_a[order][new], size_b[order][new], np.diff(np.append(new, len(a)))
+    columns = a[new], b[new], size_a[order][new], size_b[order][new], np.add.reduceat(shared[order], new)
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["a", "b", "size_a", "size_b", "shared"])
 
 
+def _named_here(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of pairs that column ``key`` names, whether heads share a column); a, b: heads of the pairs' rows."""
+    both = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    named = both.any(axis=1)
+    first = a[np.arange(len(a)), both.argmax(axis=1)]  # heads are in the same order, so it is the same for both
+    return np.flatnonzero(~named | (first == key)), named
+
+
 _PAIRS = "a long, b long, size_a long, size_b long, shared long"
 
 
@@ -217,7 +236,7 @@ def proposals(entries: DataFrame, percent: int, turn: int) -> DataFrame:
             i = np.flatnonzero(mate >= 0)
             i = i[sketches.may_link(i, mate[i])]
             if len(i):
-                found.append((c1[i], c1[mate[i]], size[i], size[mate[i]]))
+                found.append((c1[i], c1[mate[i]], size[i], size[mate[i]], np.ones(len(i), np.int64)))
                 pending += len(i)
             if pending > 500_000:
                 yield _counted(found)
@@ -233,9 +252,11 @@ def proposals(entries: DataFrame, percent: int, turn: int) -> DataFrame:
 def product(entries: DataFrame, percent: int) -> DataFrame:
     """(a, b): class pairs that share a column, fit in size and sketch and differ in component.
 
-    entries: (key, c1, size, comp, sketch, blocks). A column of several blocks becomes a cell for
+    entries: (key, c1, size, comp, sketch, head, blocks). A column of several blocks becomes a cell for
     every two of its blocks, with the rows of both; a cell fits into a task.
-    The overlaps counted in the columns add up to the overlap of two prefixes; what lies beyond
+    A pair whose heads share a column comes from the smallest such column only: near copies share most
+    of their columns and would come from every task. The other pairs come from each column they share.
+    These overlaps add up to the overlap of two prefixes; what lies beyond
     the shorter one can add no more than its row's other columns, so pairs that stay below the
     overlap that their sizes ask for are discarded.
     """
@@ -260,10 +281,12 @@ def product(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, pending = None, [], 0
 
-        def add(i: np.ndarray, j: np.ndarray, c1: np.ndarray, size: np.ndarray) -> None:
+        def add(i: np.ndarray, j: np.ndarray, key: np.ndarray, c1: np.ndarray, size: np.ndarray, head: np.ndarray) -> None:
             nonlocal pending
+            own, named = _named_here(key[i], head[i], head[j])
+            i, j = i[own], j[own]
             if len(i):
-                found.append((c1[i], c1[j], size[i], size[j]))
+                found.append((c1[i], c1[j], size[i], size[j], np.where(named[own], size[i] + size[j], 1)))
                 pending += len(i)
 
         def starts(*columns: np.ndarray) -> np.ndarray:
@@ -280,16 +303,17 @@ def product(entries: DataFrame, percent: int) -> DataFrame:
             own = starts(key, cell, size, c1)  # rows come sorted
             key, cell, c1, size, comp, side = (x[own] for x in (key, cell, c1, size, comp, side))
             sketches = _Sketches(t.column("sketch").take(pa.array(own)).to_pylist(), size, percent)
+            head = np.frombuffer(b"".join(t.column("head").take(pa.array(own)).to_pylist()), np.int64).reshape(-1, HEAD)
             cut = starts(key, cell)
             rows = np.diff(np.append(cut, len(key)))
             i = cut[(rows == 2) & (cell[cut] < 0)]  # most columns: all at once
             i = i[(comp[i] != comp[i + 1]) & (size[i + 1] <= size[i].astype(np.int64) * 100 // percent)]
             i = i[sketches.may_link(i, i + 1)]
-            add(i, i + 1, c1, size)
+            add(i, i + 1, key, c1, size, head)
             mixed = (np.minimum.reduceat(comp, cut) != np.maximum.reduceat(comp, cut)) & ((rows > 2) | (cell[cut] >= 0))
             for x, n in zip(cut[mixed].tolist(), rows[mixed].tolist()):
                 for i, j in group(x, size[x:x + n], comp[x:x + n], side[x:x + n], sketches):
-                    add(i, j, c1, size)
+                    add(i, j, key, c1, size, head)
                     if pending > 500_000:
                         yield _counted(found)
                         found, pending = [], 0
@@ -312,12 +336,12 @@ def product(entries: DataFrame, percent: int) -> DataFrame:
     # a row of block x meets every block y of its column in the cell (smaller, larger)
     side = F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    one = entries.where("blocks = 1").select("key", F.lit(-1).cast("long").alias("cell"), "c1", "size", "comp", F.lit(0).alias("side"), "sketch")
+    one = entries.where("blocks = 1").select("key", F.lit(-1).cast("long").alias("cell"), "c1", "size", "comp", F.lit(0).alias("side"), "sketch", "head")
     more = entries.where("blocks > 1").withColumn("side", side).select("*", other)
     cell = F.least("side", "other").cast("long") * F.col("blocks") + F.greatest("side", "other")
-    cells = one.unionByName(more.select("key", cell.alias("cell"), "c1", "size", "comp", "side", "sketch"))
+    cells = one.unionByName(more.select("key", cell.alias("cell"), "c1", "size", "comp", "side", "sketch", "head"))
     dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "size", "c1")
-    pairs = dealt.select("key", "cell", "c1", "size", "comp", "side", "sketch").mapInArrow(run, _PAIRS)
+    pairs = dealt.select("key", "cell", "c1", "size", "comp", "side", "sketch", "head").mapInArrow(run, _PAIRS)
     pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.sum("shared").alias("shared"))
     beyond = F.ceil(F.greatest("size_a", "size_b") * percent / 100) - 1  # outside the longer row's prefix
     needed = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent))
@@ -377,11 +401,11 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """(id, n_shingles, component_id) of every row; ids: whole numbers."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    made = saved(classes(rows, "long", n), "jaccard-classes")
+    made = saved(classes(rows, "long", n, percent), "jaccard-classes")
     some = made.where("size > 0 and id is not null")
-    members = some.groupBy("c1", "c2", "size").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
+    members = some.groupBy("c1", "c2", "size").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("head").alias("head"))
     members = saved(members, "jaccard-members")  # c1 names a class in pairs; c2 guards it
-    nodes = saved(members.groupBy("c1").agg(F.min("rep").alias("comp"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("rep").alias("rep")), "jaccard-nodes")
+    nodes = saved(members.groupBy("c1").agg(F.min("rep").alias("comp"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.first("head").alias("head"), F.first("rep").alias("rep")), "jaccard-nodes")
     entries = saved(prefix_entries(rows, n, percent), "jaccard-entries")
     labels, edges = nodes.select("c1", "comp"), None
     for turn in range(TURNS + 1):
@@ -390,10 +414,10 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         # columns within one component have nothing left to say
         mixed = own.join(labels, "c1").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"))
         mixed = mixed.where("x != y").select("key", (F.col("rows") > CROWDED).alias("crowded"), F.ceil(F.col("rows") / CELL).cast("int").alias("blocks"))
-        known = labels.join(nodes.select("c1", "sketch", "wide"), "c1")
+        known = labels.join(nodes.select("c1", "sketch", "wide", "head"), "c1")
         wide = F.col("wide").isNotNull() & (F.col("crowded") if whole else F.lit(True))
         rows_in = own.join(mixed, "key").join(known, "c1").withColumn("sketch", F.when(wide, F.col("wide")).otherwise(F.col("sketch")))
-        rows_in = rows_in.select("key", "c1", "size", "comp", "sketch", "blocks")
+        rows_in = rows_in.select("key", "c1", "size", "comp", "sketch", *(["head"] if whole else []), "blocks")
         pairs = saved(product(rows_in, percent) if whole else proposals(rows_in, percent, turn), "jaccard-pairs")
         if not pairs.limit(1).count():
             continue

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import brute
@@ -110,6 +111,24 @@ def test_near_rounds_leave_few_pairs(spark, monkeypatch):
     assert sum(seen) < 20 * len(rows)  # all pairs are 125,000
 
 
+def test_near_copies_are_named_by_one_column():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.1], rng.integers(0, 2**64, 30, dtype=np.uint64)])) for _ in range(8)]
+    sets += [base[:1], base[:3], np.zeros(0, np.uint64)]  # prefixes of one column, and none
+    key, off = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    head, take = jaccard_join._heads(key, off, 80).view(np.int64), jaccard_join._prefix(np.diff(off), 80)
+    once = 0
+    for a in range(len(sets) - 1):
+        for b in range(a):
+            shared = np.intersect1d(sets[a][:take[a]], sets[b][:take[b]]).view(np.int64)
+            rows = len(shared)
+            own, named = jaccard_join._named_here(shared, np.repeat(head[a:a + 1], rows, 0), np.repeat(head[b:b + 1], rows, 0))
+            assert len(own) == (1 if named.any() else rows)
+            once += rows > 1 and len(own) == 1
+    assert once == 8 * 7 // 2
+
+
 def test_jaccard_of_odd_rows(with_null_id, empty):
     got = jaccard_join.similarity_classes(with_null_id).collect()
     plain = brute.jaccard([x for x in pairs(with_null_id) if x[0] is not None])
