@@ -76,11 +76,11 @@ class Encoder:
         self.tokenizer, self.parts, self.ends, self.whole, self.added = (self.cache[k] for k in ("tokenizer", "parts", "ends", "whole", "added"))
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of single words, encoded as one text and cut where a token ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) != len(words):
             return self._bytes(words)
@@ -90,13 +90,17 @@ class Encoder:
     def _add(self, names: list[str], parts: dict[str, bytes]) -> None:
         """Encodes the names that ``parts`` doesn't hold yet."""
         plain, other = {}, []
+        low = []
         for p in names:
+            if p.isascii() and p.isalpha() and p.islower():  # most: a word that is its own name
+                low.append(p)
+                continue
             m = _PLAIN.fullmatch(p)  # a word and the stop or comma behind it are separate tokens
             if m:
                 plain[p] = m[1].lower(), m[2]
             else:
                 other.append(p)
-        words = list({w for w, _ in plain.values()}.difference(parts))
+        words = list({w for w, _ in plain.values()}.union(low).difference(parts))
         for a in range(0, len(words), 20_000):
             parts.update(zip(words[a:a + 20_000], self._words(words[a:a + 20_000])))
         other += {mark for _, mark in plain.values()}.difference(parts)
@@ -110,11 +114,17 @@ class Encoder:
         if len(self.parts) > KNOWN:
             self.parts.clear()
             self.parts[""] = b""
-        new = [p for p in names if p not in self.parts]
-        self._add([p for p in new if len(p) <= KNOWN_LENGTH], self.parts)
+        found = list(map(self.parts.get, names))
+        new = [i for i, x in enumerate(found) if x is None]
+        short = [names[i] for i in new if len(names[i]) <= KNOWN_LENGTH]
+        self._add(short, self.parts)
         long: dict[str, bytes] = {"": b""}
-        self._add([p for p in new if len(p) > KNOWN_LENGTH], long)
-        return [self.parts[p] if p in self.parts else long[p] for p in names]
+        if len(short) < len(new):
+            self._add([names[i] for i in new if len(names[i]) > KNOWN_LENGTH], long)
+        for i in new:
+            name = names[i]
+            found[i] = self.parts[name] if len(name) <= KNOWN_LENGTH else long[name]
+        return found
 
     def _even(self, texts: pa.Array) -> pa.Array:
         """The texts with fewer distinct parts and the same ids: ASCII letters lower-cased, line
@@ -150,14 +160,17 @@ class Encoder:
             coded = pc.list_flatten(lists).dictionary_encode()
             part, code = self._ids(coded.dictionary.to_pylist()), np.asarray(coded.indices, np.int64)
             size = np.asarray(pc.list_value_length(lists), np.int64)
-        length = np.fromiter(map(len, part), np.int64, len(part)) // 4
-        begin = np.cumsum(length) - length
-        n = length[code]
-        ids = np.frombuffer(b"".join(part), "<u4")[np.arange(n.sum()) + np.repeat(begin[code] - (np.cumsum(n) - n), n)]
-        first = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(size)]]  # each text's first id, without end ids
-        out = np.full(len(ids) + len(texts), end_id, "<u4")
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(first))] = ids
-        return out, first + np.arange(len(texts) + 1)
+        # the end id is one more part, behind each text's parts; Arrow lays the parts out
+        last = np.cumsum(size + 1)
+        at = np.full(len(code) + len(size), len(part), np.int64)
+        inside = np.ones(len(at), bool)
+        inside[last - 1] = False
+        at[inside] = code
+        laid = pa.array([*part, np.array([end_id], "<u4").tobytes()], pa.large_binary()).take(pa.array(at))
+        off, data = laid.buffers()[1:]
+        off = np.frombuffer(off, np.int64)[:len(at) + 1] // 4
+        ids = np.frombuffer(data, "<u4")[:off[-1]] if off[-1] else np.zeros(0, "<u4")
+        return ids, off[np.r_[0, last]]
 
 
 def splits_at_blanks(spec: str) -> bool:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,13 @@ def test_encoder_is_the_tokenizer():
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_plain_words_are_not_matched_one_by_one(monkeypatch):
+    monkeypatch.setattr(packing, "_PLAIN", None)
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    ids, first = packing.Encoder(spec).encode_column(pa.array(["only plainwords zyxwv", "", "plainwords"], pa.large_string()), 1)
+    assert first[-1] == len(ids) and [int(ids[k - 1]) for k in first[1:]] == [1, 1, 1] and first[2] - first[1] == 1
+
+
 def test_pieces_and_places(spark, with_null_id, empty):
     from tokenizers import Tokenizer
 
