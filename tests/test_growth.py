@@ -45,6 +45,18 @@ def test_tokens_are_counted_in_slices(spark, monkeypatch):
     assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(7))
 
 
+def test_tokens_are_counted_without_python_workers(spark):
+    rows = [(1, "b a B", "x"), (2, None, ""), (3, " ... ", "Z z \u00c9_1"), (None, "q", None), (1, "b a b", "k"), (4, "w1 w2 w1 " * 5000, "w1")]
+    df = lexical._doc_counts(spark.createDataFrame(rows, "doc_id long, diff string, ast_seq string"), "doc_id", ("diff", "ast_seq"))
+    # nothing of a text passes through Arrow batches, whose size a worker's memory would follow
+    plan = plan_of(df)
+    assert "Arrow" not in plan and "Python" not in plan
+    got = sorted(((r["doc_id"], r["field"], r["dl"], sorted(map(tuple, r["counts"]))) for r in df.collect()), key=str)
+    assert got == sorted([(1, "diff", 3, [("a", 1), ("b", 2)]), (1, "ast_seq", 1, [("x", 1)]), (3, "ast_seq", 3, [("z", 2), ("\u00e9_1", 1)]),
+                          (None, "diff", 1, [("q", 1)]), (1, "diff", 3, [("a", 1), ("b", 2)]), (1, "ast_seq", 1, [("k", 1)]),
+                          (4, "diff", 15000, [("w1", 10000), ("w2", 5000)]), (4, "ast_seq", 1, [("w1", 1)])], key=str)
+
+
 def corpus(spark):
     docs = [(i, f"alpha beta{' beta' * (i % 3)} w{i % 5} x{i}") for i in range(60)] + [(7, "alpha w2 again")]
     c = spark.createDataFrame(docs, "doc_id long, diff string")
