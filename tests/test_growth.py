@@ -178,3 +178,13 @@ def test_texts_without_a_vector_are_not_exchanged(spark, tmp, monkeypatch, sent)
         assert sorted((r["doc_id"], r["v"][0]) for r in c.collect()) == [(3, 1.0), (3, 1.0), (5, 2.0), (5, 3.0)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_mixed_queries_ask_every_commit_labelled_toxic(spark, tmp):
+    # keys that no hundred divides, one of them labelled and one not
+    spark.createDataFrame([(i, f"text {i}", "en", "s") for i in (1, 2, 100, 205, 300)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0), (100, 1), (205, 1), (999, 1)], "doc_id long, toxic int").write.parquet(f"{tmp}/labels.parquet")
+    spark.createDataFrame([(7, "item")], "item_id long, text string").write.parquet(f"{tmp}/benchmark.parquet")
+    spark.createDataFrame([(3,)], "n_nationkey int").write.parquet(f"{tmp}/nation.parquet")
+    q = tables.mixed_queries(spark, tmp)
+    assert sorted(r["query_id"] for r in q.collect()) == [7, 1_000_000_001, 1_000_000_100, 1_000_000_205, 2_000_000_003]
