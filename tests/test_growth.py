@@ -111,12 +111,17 @@ def test_large_query_tables_take_passes(spark):
     assert rows(rank.top_k(few, 2)) == want
 
 
-def test_searches_ask_the_rows_divisible_by_100(spark):
+def test_searches_ask_every_row(spark):
     from diffsieve.plans import catalog
     sf = "/root/testdata/sf0.001"
     c, q = catalog._search(spark, sf)
     n = c.count()
-    assert sorted(r[0] for r in q.select("query_id").collect()) == sorted(r[0] for r in c.select("doc_id").collect() if r[0] % 100 == 0)
+    assert sorted(r[0] for r in q.select("query_id").collect()) == sorted(r[0] for r in c.select("doc_id").collect())
+    # and their statements ask all of them
+    for name in ("fuse_scores", "retrieve_hybrid", "retrieve_lexical_only", "retrieve_cosine_only", "exclude_self_match", "same_key_count", "augment", "augment_stream", "exclude_all_identical", "cosine_topk", "cosine_topk_lsh"):
+        assert "% 100" not in catalog.SQL[name]
+    asked = catalog.QUERIES["retrieve_lexical_only"](spark, sf)
+    assert asked.select("query_id").distinct().count() == asked.count() == n
     # profiles still compare all rows
     assert catalog.QUERIES["mixed_profile"](spark, sf).select("query_id").distinct().count() == n
 
@@ -188,3 +193,12 @@ def test_mixed_queries_ask_every_commit_labelled_toxic(spark, tmp):
     spark.createDataFrame([(3,)], "n_nationkey int").write.parquet(f"{tmp}/nation.parquet")
     q = tables.mixed_queries(spark, tmp)
     assert sorted(r["query_id"] for r in q.collect()) == [7, 1_000_000_001, 1_000_000_100, 1_000_000_205, 2_000_000_003]
+
+
+def test_searches_by_vectors_ask_every_row(spark):
+    from diffsieve.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/embeddings.parquet"), F.expr("doc_id = vec_id")).count()
+    assert catalog.QUERIES["cosine_topk"](spark, sf).select("query_id").distinct().count() == n
+    r = catalog.QUERIES["cosine_topk_lsh"](spark, sf).first()
+    assert (r["queries"], r["wanted"], r["recall_90"]) == (n, 2 * n, True)
