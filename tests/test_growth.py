@@ -202,3 +202,33 @@ def test_searches_by_vectors_ask_every_row(spark):
     assert catalog.QUERIES["cosine_topk"](spark, sf).select("query_id").distinct().count() == n
     r = catalog.QUERIES["cosine_topk_lsh"](spark, sf).first()
     assert (r["queries"], r["wanted"], r["recall_90"]) == (n, 2 * n, True)
+
+
+def test_block_scores_are_those_of_single_postings():
+    from diffsieve.operators import streamtop
+    rng = np.random.default_rng(3)
+    nq, nd, n_terms = 700, 40, 60
+    # terms of all queries, of some and of few; a document that holds a term twice
+    share = np.r_[np.full(20, 0.9), np.full(20, 0.3), np.full(20, 0.01)]
+    who, term = np.nonzero(rng.random((nq, n_terms)) < share)
+    q = streamtop.Queries(np.arange(nq), None, None)
+    weight = rng.random(len(who)) * 9
+    q.set_terms(who, term, weight, n_terms)
+    doc, at = np.nonzero(rng.random((nd, n_terms)) < 0.4)
+    doc, at = np.r_[doc, doc[:50]], np.r_[at, at[:50]]
+    w = rng.random(len(doc)) * 2.0 ** 32
+    w[:9] = 1e-3  # rounded to nothing, still a hit
+    full = np.zeros((nq, n_terms))
+    full[who, term] = weight
+    want, met = np.zeros((nq, nd)), np.zeros((nq, nd), bool)
+    for d, t, x in zip(doc, at, w):
+        want[:, d] += np.floor(full[:, t] * x + 0.5)
+        met[:, d] |= full[:, t] > 0
+    s, h = streamtop.lexical_block(q, doc, at, w, nd)
+    assert (s == want / 2.0 ** 32).all() and (h == met).all()
+    products = streamtop.Products(q)
+    assert 0 < len(products.weights) < n_terms
+    s, h = products.block(doc, at, w, nd)
+    assert np.abs(s - want / 2.0 ** 32).max() < 1e-6 and (h == met).all()
+    empty = streamtop.lexical_block(q, doc[:0], at[:0], w[:0], 3)
+    assert not empty[0].any() and not empty[1].any() and empty[0].shape == (nq, 3)
