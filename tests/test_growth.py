@@ -204,6 +204,26 @@ def test_searches_by_vectors_ask_every_row(spark):
     assert (r["queries"], r["wanted"], r["recall_90"]) == (n, 2 * n, True)
 
 
+def test_fused_queries_take_parts(spark, monkeypatch):
+    from diffsieve.operators import retrieval
+    c, q = corpus(spark)
+    v = lambda df, key: df.withColumn("v", F.array(F.col(key) % 5 + 1.0, F.col(key) % 3 - 1.0))
+    c = v(c.dropDuplicates(["doc_id"]), "doc_id")
+    q = v(q.where("query_id IS NOT NULL").dropDuplicates(["query_id"]), "query_id")
+    idx = lexical.build_index(c)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    want = rows(dense.block_topk(q, c, 2, w_cos=0.5, sparse=rank.minmax_normalize(lexical.bm25_scores(idx, q), idx.n_corpus), w_sparse=0.5))
+    assert rows(retrieval.fused_topk(idx, q, c, 2)) == want and len(want) == 2 * q.count()
+    asked = []
+    scores = retrieval.bm25_scores
+    monkeypatch.setattr(retrieval, "bm25_scores", lambda index, own: (asked.append(own.count()), scores(index, own))[1])
+    monkeypatch.setattr(retrieval, "PART_QUERIES", 6)
+    monkeypatch.setattr(retrieval, "PART_PAIRS", 0)
+    assert rows(retrieval.fused_topk(idx, q, c, 2)) == want
+    # the hits of a part alone are exchanged at a time, and no query is left out
+    assert len(asked) == -(-q.count() // 6) and sum(asked) == q.count()
+
+
 def test_block_scores_are_those_of_single_postings():
     from diffsieve.operators import streamtop
     rng = np.random.default_rng(3)
